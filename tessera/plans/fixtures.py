@@ -147,14 +147,19 @@ SPIKE_FACTOR = 15
 
 
 def metric_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(metric, bucket, value): hourly event count and mean value per type.
+    """(metric, bucket, value): hourly event count and total value per type.
+
+    The total is an exact decimal sum rounded to whole units, so every series
+    is integer-valued and trailing means over <= 24 points never sit on a
+    rounding tie at 4 decimals (results do not depend on summation order).
 
     The count of every type is multiplied by 15 in one hour, 400 hours after
     the first event hour, so the detectors have something to find.
     """
     e = table(spark, sf_dir, "events")
     hourly = e.groupBy("event_type", F.date_trunc("hour", "ts").alias("bucket")).agg(
-        F.count("*").alias("n"), F.avg("value").alias("avg_value"))
+        F.count("*").alias("n"),
+        F.round(F.sum(F.col("value").cast("decimal(18,2)")), 0).cast("double").alias("value_sum"))
     start = e.agg(F.date_trunc("hour", F.min("ts")).alias("t0"))   # exactly one row
     spike = F.col("bucket") == (F.col("t0") + F.expr(f"INTERVAL {SPIKE_HOUR_OFFSET} HOURS"))
     h = hourly.crossJoin(F.broadcast(start))
@@ -162,21 +167,22 @@ def metric_series(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.col("event_type"), F.lit(".count")).alias("metric"), "bucket",
         (F.col("n") * F.when(spike, SPIKE_FACTOR).otherwise(1)).cast("double").alias("value"))
     avgs = h.select(
-        F.concat(F.col("event_type"), F.lit(".avg_value")).alias("metric"), "bucket",
-        F.round("avg_value", 4).alias("value"))
+        F.concat(F.col("event_type"), F.lit(".value_sum")).alias("metric"), "bucket",
+        F.col("value_sum").alias("value"))
     return counts.unionByName(avgs)
 
 
 METRIC_SERIES_SQL = f"""
 WITH hourly AS (
-  SELECT event_type, date_trunc('hour', ts) AS bucket, count(*) AS n, avg(value) AS avg_value
+  SELECT event_type, date_trunc('hour', ts) AS bucket, count(*) AS n,
+         CAST(round(sum(CAST(value AS DECIMAL(18,2))), 0) AS DOUBLE) AS value_sum
   FROM events GROUP BY 1, 2),
 start AS (SELECT date_trunc('hour', min(ts)) AS t0 FROM events)
 SELECT event_type || '.count' AS metric, bucket,
        CAST(n * CASE WHEN bucket = t0 + INTERVAL {SPIKE_HOUR_OFFSET} HOUR THEN {SPIKE_FACTOR} ELSE 1 END AS DOUBLE) AS value
 FROM hourly, start
 UNION ALL
-SELECT event_type || '.avg_value' AS metric, bucket, round(avg_value, 4) AS value FROM hourly"""
+SELECT event_type || '.value_sum' AS metric, bucket, value_sum AS value FROM hourly"""
 
 
 # --- daily revenue per market segment ----------------------------------------
