@@ -55,12 +55,14 @@ def one_hot_encode(df: DataFrame, target: str | None = None, features: list[str]
                 levels.setdefault(r["k"], []).append(r["v"])
         for c in cats:
             levels[c] = sorted(levels.get(c, [])) if c in small else None
+    # pandas order: untouched (numeric, bool) columns first, then the dummies
     out_cols, names = [], []
     for c in feats:
         if c in nums:
             out_cols.append(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c))
             names.append(c)
-        elif c in levels:
+    for c in feats:
+        if c in levels:
             lv = levels[c]
             if lv is None:
                 b = F.pmod(F.xxhash64(F.col(c)), F.lit(max_levels))

@@ -53,10 +53,13 @@ def open_stream(spark: SparkSession, source: dict, schema: T.StructType) -> Data
     return reader.format(fmt).load(conf["path"])
 
 
-def event_stream(spark: SparkSession, sf_dir: str, name: str = "events", max_files: int = 1) -> DataFrame:
-    """The ``{name}.parquet`` file(s) of ``sf_dir`` as a stream, ts as TIMESTAMP."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
-    s = (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+def event_stream(spark: SparkSession, sf_dir: str, name: str = "events", max_files: int = 1,
+                 glob: str | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """Parquet files of a directory as a stream (default: ``{name}.parquet`` of
+    ``sf_dir``), at most ``max_files`` per micro-batch; ts as TIMESTAMP."""
+    if schema is None:
+        schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
+    s = (spark.readStream.schema(schema).option("pathGlobFilter", glob or f"{name}.parquet")
          .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
     if "ts" in s.columns:
         s = s.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -92,10 +95,11 @@ def throughput_windows(events: DataFrame, window: str = "1 hour", watermark: str
 
 
 def stream_throughput(spark: SparkSession, sf_dir: str, window_seconds: int = 3600, watermark: str = "1 hour",
-                      out: str | None = None) -> DataFrame:
+                      out: str | None = None, source: DataFrame | None = None) -> DataFrame:
     """(window_start, window_end, events, rate_per_sec) for every closed window."""
     out = out or scratch_dir(spark, "throughput")
-    agg = throughput_windows(event_stream(spark, sf_dir), f"{window_seconds} seconds", watermark)
+    src = source if source is not None else event_stream(spark, sf_dir)
+    agg = throughput_windows(src, f"{window_seconds} seconds", watermark)
     run_available(agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "events"), out)
     r = spark.read.parquet(out)
     return r.select(_ntz("window_start").alias("window_start"), _ntz("window_end").alias("window_end"), "events",
