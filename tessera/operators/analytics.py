@@ -62,6 +62,17 @@ def revenue_by_year(sales: DataFrame) -> DataFrame:
         .withColumn("change_pct", pct_change("revenue", "prev_revenue"))
 
 
+def _fold_rows(parts: list[DataFrame]) -> DataFrame:
+    """Several one-row aggregates -> one row with all their columns (as double)."""
+    keys, cells = [], None
+    for p in parts:
+        keys += p.columns
+        long = p.select(F.inline(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v"))
+                                           for c in p.columns])))
+        cells = long if cells is None else cells.unionByName(long)
+    return cells.groupBy(F.lit(1).alias("_g")).pivot("k", keys).agg(F.first("v")).drop("_g")
+
+
 # --------------------------------------------------------------------------
 def kpi_summary(lineitem: DataFrame, orders: DataFrame, events: DataFrame, period: int = 30) -> DataFrame:
     """(metric, value, prev, change_pct, trend, is_positive) for the period.
@@ -110,8 +121,9 @@ def kpi_summary(lineitem: DataFrame, orders: DataFrame, events: DataFrame, perio
         (F.count(F.when((F.col("k") == i) & (score >= 9), 1)) - F.count(F.when((F.col("k") == i) & (score <= 6), 1))) * 100.0,
         F.count(F.when(F.col("k") == i, 1))), 2).alias(f"nps_{i}") for i in range(2)])
 
-    # Every piece is a global aggregate: exactly one row each.
-    one = rev.crossJoin(cnt).crossJoin(cust).crossJoin(new).crossJoin(conv).crossJoin(nps)
+    # Every piece is a global aggregate (one row): fold them into one row by a
+    # union of (key, value) cells and a pivot on the known keys.
+    one = _fold_rows([rev, cnt, cust, new, conv, nps])
 
     def aov(i):
         return F.round(safe_div(F.col(f"revenue_{i}"), F.col(f"orders_{i}")), 2)

@@ -39,10 +39,9 @@ def detect_anomalies(scored: DataFrame, open_hours: int = 24, investigating_hour
 
     status (chosen rule): open when within ``open_hours`` of the newest
     bucket, investigating within ``investigating_hours``, else resolved."""
-    newest = scored.agg(F.max("bucket").alias("_newest"))   # one row
-    age_h = (F.unix_micros(F.col("_newest").cast("timestamp")) - F.unix_micros(F.col("bucket").cast("timestamp"))) / 3.6e9
-    a = scored.withColumn("severity", severity_from_z("z_score")).filter(F.col("severity").isNotNull()) \
-        .crossJoin(F.broadcast(newest))
+    newest = scored.agg(F.max("bucket")).first()[0]                # one scalar
+    age_h = (F.unix_micros(F.lit(newest).cast("timestamp")) - F.unix_micros(F.col("bucket").cast("timestamp"))) / 3.6e9
+    a = scored.withColumn("severity", severity_from_z("z_score")).filter(F.col("severity").isNotNull())
     return a.select(
         F.concat_ws("@", "metric", F.date_format("bucket", "yyyy-MM-dd'T'HH:mm")).alias("id"),
         "metric", "bucket", "value", "expected_value", "z_score", "severity",

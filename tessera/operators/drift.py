@@ -52,11 +52,15 @@ def drift_report(feature_drift: DataFrame, prediction_drift: DataFrame, model_na
                  threshold: float = DRIFT_THRESHOLD) -> DataFrame:
     """One row per model: feature_drift_score (max PSI), prediction_drift_score,
     status, drifted_features (comma-separated, sorted)."""
-    f = feature_drift.agg(
-        F.max("psi").alias("feature_drift_score"),
-        F.concat_ws(",", F.sort_array(F.collect_list(F.when(F.col("psi") > threshold, F.col("feature"))))).alias("drifted_features"))
-    pr = prediction_drift.agg(F.max("psi").alias("prediction_drift_score"))
-    r = f.crossJoin(pr)   # both are one-row aggregates
+    # one row per feature on each side (bounded): one aggregate over their union
+    both = feature_drift.select(F.lit("f").alias("kind"), "feature", "psi").unionByName(
+        prediction_drift.select(F.lit("p").alias("kind"), "feature", "psi"))
+    is_f = F.col("kind") == "f"
+    r = both.agg(
+        F.max(F.when(is_f, F.col("psi"))).alias("feature_drift_score"),
+        F.max(F.when(~is_f, F.col("psi"))).alias("prediction_drift_score"),
+        F.concat_ws(",", F.sort_array(F.collect_list(F.when(is_f & (F.col("psi") > threshold), F.col("feature")))))
+         .alias("drifted_features"))
     worst = F.greatest("feature_drift_score", "prediction_drift_score")
     return r.select(F.lit(model_name).alias("model_name"), "feature_drift_score", "prediction_drift_score",
                     F.when(worst > threshold, "WARNING").otherwise("OK").alias("status"), "drifted_features")

@@ -33,10 +33,8 @@ def gap_fill(daily: DataFrame, series: str = "series", day: str = "day", value:
     (default: newest day of all series); absent days get value 0."""
     spans = daily.groupBy(series).agg(F.min(day).alias("_d0"), F.max(day).alias("_d1"))
     if end is None:
-        end_df = daily.agg(F.max(day).alias("_end"))          # one row
-        spans = spans.crossJoin(F.broadcast(end_df))
-    else:
-        spans = spans.withColumn("_end", F.lit(end))
+        end = daily.agg(F.max(day)).first()[0]               # one scalar
+    spans = spans.withColumn("_end", F.lit(end))
     cal = spans.select(series, F.explode(F.sequence("_d0", "_end")).alias(day))
     return cal.join(daily.select(series, day, value), [series, day], "left").select(
         series, day, F.coalesce(F.col(value), F.lit(0.0)).alias(value))

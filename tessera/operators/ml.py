@@ -146,10 +146,33 @@ def classify(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def evaluate_classifier(model: PipelineModel, test: DataFrame) -> dict:
+    """accuracy and weighted F1 from one confusion matrix (one scoring pass;
+    the matrix has classes^2 cells)."""
     pred = model.transform(test)
-    ev = MulticlassClassificationEvaluator(labelCol="_label", predictionCol="_pred")
-    return {"accuracy": ev.evaluate(pred, {ev.metricName: "accuracy"}),
-            "f1": ev.evaluate(pred, {ev.metricName: "f1"})}
+    cm = pred.groupBy("_label", "_pred").agg(F.count(F.lit(1)).alias("n")).collect()
+    total = sum(r["n"] for r in cm)
+    if total == 0:
+        return {"accuracy": 0.0, "f1": 0.0}
+    labels = {r["_label"] for r in cm} | {r["_pred"] for r in cm}
+    tp = {c: sum(r["n"] for r in cm if r["_label"] == c and r["_pred"] == c) for c in labels}
+    actual = {c: sum(r["n"] for r in cm if r["_label"] == c) for c in labels}
+    predicted = {c: sum(r["n"] for r in cm if r["_pred"] == c) for c in labels}
+    f1 = 0.0
+    for c in labels:
+        if actual[c]:
+            prec = tp[c] / predicted[c] if predicted[c] else 0.0
+            rec = tp[c] / actual[c]
+            f1 += (actual[c] / total) * (2 * prec * rec / (prec + rec) if prec + rec else 0.0)
+    return {"accuracy": sum(tp.values()) / total, "f1": f1}
+
+
+def spread(df: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """Hash-repartition to the cluster's parallelism when the input has fewer
+    partitions (a single small file would otherwise train in one task)."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= par:
+        return df
+    return df.repartition(par, *[F.col(k) for k in key]) if key else df.repartition(par)
 
 
 def evaluate_regressor(model: PipelineModel, test: DataFrame, target: str) -> dict:
@@ -172,7 +195,7 @@ def train(df: DataFrame, target: str, problem_type: str, model_type: str = "rand
     split_key = keep or names
     tr, te = train_test_split(enc, split_key, test_fraction, seed)
     from pyspark import StorageLevel
-    tr = tr.persist(StorageLevel.MEMORY_AND_DISK)
+    tr = spread(tr, split_key).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if problem_type == "classification":
             model = classifier_pipeline(names, target, num_trees, max_depth, seed).fit(tr)
@@ -299,7 +322,7 @@ def cross_validate(df: DataFrame, target: str, key: str | list[str], folds: int
     _require(df, target)
     keys = [key] if isinstance(key, str) else list(key)
     enc, names = one_hot_encode(df, target, keep=keys)
-    enc = enc.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(folds)))
+    enc = spread(enc.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(folds))), keys)
     rows = []
     for k in range(folds):
         tr, te = enc.filter(F.col("_fold") != k), enc.filter(F.col("_fold") == k)

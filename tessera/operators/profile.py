@@ -200,20 +200,26 @@ def profile_outliers(df: DataFrame, cols: list[str] | None = None, approx: bool
     """(column_name, q1, q3, outliers): Tukey fences, strict; iqr == 0 -> 0."""
     cols = cols if cols is not None else numeric_columns(df)
     vals = {c: _num(df, c) for c in cols}
-    quart = df.agg(*[_quantiles(vals[c], [0.25, 0.75], approx).alias(f"q{i}") for i, c in enumerate(cols)])
-    # A global aggregate has exactly one row: broadcasting it is size-bounded.
-    j = df.select(*[vals[c].alias(f"v{i}") for i, c in enumerate(cols)]).crossJoin(F.broadcast(quart))
-    aggs = [F.first(f"q{i}").alias(f"q{i}") for i in range(len(cols))]
-    for i in range(len(cols)):
-        q1, q3, v = F.col(f"q{i}")[0], F.col(f"q{i}")[1], F.col(f"v{i}")
-        iqr = q3 - q1
-        out = (v < q1 - 1.5 * iqr) | (v > q3 + 1.5 * iqr)
-        aggs.append(F.sum(F.when((iqr != 0) & out, 1).otherwise(0)).alias(f"o{i}"))
-    counts = j.agg(*aggs)
+    # pass 1: quartiles (one row, collected as scalars)
+    quart = df.agg(*[_quantiles(vals[c], [0.25, 0.75], approx).alias(f"q{i}") for i, c in enumerate(cols)]).first()
+    # pass 2: fence counts with the quartiles as literals
+    aggs = []
+    for i, c in enumerate(cols):
+        q = quart[f"q{i}"]
+        if q is None or q[0] is None or q[1] == q[0]:
+            aggs.append(F.lit(0).cast("bigint").alias(f"o{i}"))
+            continue
+        iqr = q[1] - q[0]
+        out = (vals[c] < F.lit(q[0] - 1.5 * iqr)) | (vals[c] > F.lit(q[1] + 1.5 * iqr))
+        aggs.append(F.count(F.when(out, 1)).alias(f"o{i}"))
+    counts = df.agg(*aggs)
+
+    def qlit(i, k):
+        q = quart[f"q{i}"]
+        return F.round(F.lit(None if q is None else q[k]).cast("double"), 4)
     return counts.select(_stack([
-        F.struct(F.lit(c).alias("column_name"), F.round(F.col(f"q{i}")[0], 4).alias("q1"),
-                 F.round(F.col(f"q{i}")[1], 4).alias("q3"),
-                 F.coalesce(F.col(f"o{i}"), F.lit(0)).cast("bigint").alias("outliers"))
+        F.struct(F.lit(c).alias("column_name"), qlit(i, 0).alias("q1"), qlit(i, 1).alias("q3"),
+                 F.col(f"o{i}").cast("bigint").alias("outliers"))
         for i, c in enumerate(cols)]))
 
 
@@ -247,16 +253,20 @@ def profile_histogram(df: DataFrame, cols: list[str] | None = None, bins: int =
         return F.when(~v.isin(float("inf"), float("-inf")), v)
 
     vals = {c: finite(c) for c in cols}
+    # pass 1: range of each column (one row, collected as scalars)
     bounds = df.agg(*[F.struct(F.min(vals[c]).alias("mn"), F.max(vals[c]).alias("mx")).alias(f"b{i}")
-                      for i, c in enumerate(cols)])
+                      for i, c in enumerate(cols)]).first() if cols else None
 
     def lo_hi(i):
-        mn, mx = F.col(f"b{i}.mn"), F.col(f"b{i}.mx")
-        lo = F.when(mn.isNull(), 0.0).when(mn == mx, mn - 0.5).otherwise(mn)
-        hi = F.when(mn.isNull(), 1.0).when(mn == mx, mx + 0.5).otherwise(mx)
-        return lo, hi
-
-    binned = df.select(*[vals[c].alias(f"v{i}") for i, c in enumerate(cols)]).crossJoin(F.broadcast(bounds))
+        mn, mx = bounds[f"b{i}"]["mn"], bounds[f"b{i}"]["mx"]
+        if mn is None:
+            return F.lit(0.0), F.lit(1.0)
+        if mn == mx:
+            return F.lit(mn) - 0.5, F.lit(mx) + 0.5
+        return F.lit(float(mn)), F.lit(float(mx))
+
+    # pass 2: bin counts with the ranges as literals
+    binned = df.select(*[vals[c].alias(f"v{i}") for i, c in enumerate(cols)])
     pairs = []
     for i, c in enumerate(cols):
         lo, hi = lo_hi(i)
@@ -271,7 +281,7 @@ def profile_histogram(df: DataFrame, cols: list[str] | None = None, bins: int =
         w = (hi - lo) / bins
         grid_rows.append(F.struct(F.lit(c).alias("column_name"),
                                   F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), _edges(lo, w)).alias("cells")))
-    grid = bounds.select(_stack(grid_rows)).select("column_name", F.inline("cells"))
+    grid = spark.range(1).select(_stack(grid_rows)).select("column_name", F.inline("cells"))
     # grid has len(cols) * bins rows: bounded by schema width and bin count.
     return F.broadcast(grid).join(counts, ["column_name", "bin"], "left").select(
         "column_name", "bin", "lower", "upper", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))

@@ -7,6 +7,8 @@ whole tables.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,9 +162,9 @@ def metric_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     hourly = e.groupBy("event_type", F.date_trunc("hour", "ts").alias("bucket")).agg(
         F.count("*").alias("n"),
         F.round(F.sum(F.col("value").cast("decimal(18,2)")), 0).cast("double").alias("value_sum"))
-    start = e.agg(F.date_trunc("hour", F.min("ts")).alias("t0"))   # exactly one row
-    spike = F.col("bucket") == (F.col("t0") + F.expr(f"INTERVAL {SPIKE_HOUR_OFFSET} HOURS"))
-    h = hourly.crossJoin(F.broadcast(start))
+    t0 = e.agg(F.date_trunc("hour", F.min("ts"))).first()[0]        # one scalar
+    spike = F.col("bucket") == F.lit(t0 + dt.timedelta(hours=SPIKE_HOUR_OFFSET))
+    h = hourly
     counts = h.select(
         F.concat(F.col("event_type"), F.lit(".count")).alias("metric"), "bucket",
         (F.col("n") * F.when(spike, SPIKE_FACTOR).otherwise(1)).cast("double").alias("value"))
@@ -211,9 +213,9 @@ def events_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events tagged ``window`` = baseline (first 15 days) or current (rest);
     current ``value`` of one event type is scaled by 1.5."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
-    start = e.agg(F.to_date(F.min("ts")).alias("d0"))
-    j = e.crossJoin(F.broadcast(start))
-    is_base = F.col("ts") < F.date_add("d0", 15).cast("timestamp_ntz")
+    d0 = e.agg(F.to_date(F.min("ts"))).first()[0]                 # one scalar
+    j = e
+    is_base = F.col("ts") < F.lit(dt.datetime.combine(d0 + dt.timedelta(days=15), dt.time()))
     return j.select(
         "event_id", "ts", "event_type",
         F.when(is_base, F.lit("baseline")).otherwise(F.lit("current")).alias("window"),

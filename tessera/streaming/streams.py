@@ -14,7 +14,7 @@ results.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,11 +117,12 @@ def stream_topic_rates(spark: SparkSession, sf_dir: str, window_seconds: int = 3
     run_available(agg.select(F.col("w.start").alias("window_start"), "event_type", "events"), out)
     r = spark.read.parquet(out)
     per = r.groupBy("event_type").agg(F.sum("events").alias("events"), F.count(F.lit(1)).alias("windows"))
-    tot = per.agg(F.sum("events").alias("_all"), F.count(F.lit(1)).alias("active_topics"))   # one row
-    return per.crossJoin(F.broadcast(tot)).select(
+    w = Window.partitionBy()   # one row per topic: bounded
+    return per.select(
         "event_type", "events", "windows",
         F.round(safe_div(F.col("events"), F.col("windows") * float(window_seconds)), 4).alias("rate_per_sec"),
-        F.round(safe_div(F.col("events") * 100.0, F.col("_all")), 2).alias("share_pct"), "active_topics")
+        F.round(safe_div(F.col("events") * 100.0, F.sum("events").over(w)), 2).alias("share_pct"),
+        F.count(F.lit(1)).over(w).alias("active_topics"))
 
 
 def stream_recent(spark: SparkSession, sf_dir: str, n: int = 8, max_files: int = 1, source: DataFrame | None = None,
@@ -133,21 +134,42 @@ def stream_recent(spark: SparkSession, sf_dir: str, n: int = 8, max_files: int =
     state_dir = state_dir or scratch_dir(spark, "recent")
     ev = source if source is not None else event_stream(spark, sf_dir, max_files=max_files)
     order = [F.desc("ts"), F.desc("event_id")]
-    versions: list[str] = []
 
     def merge(batch: DataFrame, epoch: int):
+        # The kept rows are found on storage (latest committed version before
+        # this epoch), so a restarted driver or a replayed epoch resumes
+        # correctly; each epoch writes its own version, so replays overwrite.
         top = batch.orderBy(*order).limit(n)
-        if versions:
-            top = top.unionByName(batch.sparkSession.read.parquet(versions[-1]))
-        path = f"{state_dir}/v{epoch:08d}"
-        top.orderBy(*order).limit(n).write.mode("overwrite").parquet(path)
-        versions.append(path)
+        prev = committed_versions(batch.sparkSession, state_dir, before=epoch)
+        if prev:
+            top = top.unionByName(batch.sparkSession.read.parquet(prev[-1]))
+        top.orderBy(*order).limit(n).write.mode("overwrite").parquet(f"{state_dir}/v{epoch:08d}")
 
     run_foreach_batch(ev, merge, state_dir + "-checkpoint")
-    if not versions:
-        return spark.createDataFrame([], ev.schema)
-    r = spark.read.parquet(versions[-1])
-    return r.withColumn("ts", _ntz("ts"))
+    latest = committed_versions(spark, state_dir)
+    if not latest:
+        return spark.createDataFrame([], ev.schema).withColumn("ts", _ntz("ts"))
+    return spark.read.parquet(latest[-1]).withColumn("ts", _ntz("ts"))
+
+
+def committed_versions(spark: SparkSession, state_dir: str, before: int | None = None) -> list[str]:
+    """State versions ``v{epoch}`` under ``state_dir`` whose write committed
+    (``_SUCCESS`` present), oldest first, optionally only epochs < ``before``."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(state_dir)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    out = []
+    for st in fs.listStatus(root):
+        name = st.getPath().getName()
+        if not (name.startswith("v") and name[1:].isdigit()):
+            continue
+        if before is not None and int(name[1:]) >= before:
+            continue
+        if fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            out.append((int(name[1:]), f"{state_dir}/{name}"))
+    return [p for _, p in sorted(out)]
 
 
 # Microsecond timestamps survive the JSON round trip.
@@ -204,9 +226,9 @@ def stream_lag(spark: SparkSession, sf_dir: str, alert_seconds: float = 3600.0)
 
     run_foreach_batch(agg, keep, out + "-checkpoint", mode="complete")
     r = spark.read.parquet(out)
-    newest = r.agg(F.max("last_ts").alias("_newest"))   # one row
-    lag = (F.unix_micros("_newest") - F.unix_micros("last_ts")) / 1e6
-    return r.crossJoin(F.broadcast(newest)).select(
+    newest = F.max("last_ts").over(Window.partitionBy())   # one row per topic: bounded
+    lag = (F.unix_micros(newest) - F.unix_micros("last_ts")) / 1e6
+    return r.select(
         "event_type", _ntz("last_ts").alias("last_ts"), "events", lag.alias("lag_seconds"),
         (lag > alert_seconds).alias("alert"))
 
@@ -214,8 +236,9 @@ def stream_lag(spark: SparkSession, sf_dir: str, alert_seconds: float = 3600.0)
 def hourly_baseline(events: DataFrame, days: int = 15) -> DataFrame:
     """Static baseline per event type: mean and sample std of hourly counts in
     the first ``days`` days of the table."""
-    start = events.agg(F.to_date(F.min("ts")).alias("d0"))
-    e = events.crossJoin(F.broadcast(start)).filter(F.col("ts") < F.date_add("d0", days).cast("timestamp_ntz"))
+    import datetime as dt
+    d0 = events.agg(F.to_date(F.min("ts"))).first()[0]                   # one scalar
+    e = events.filter(F.col("ts") < F.lit(dt.datetime.combine(d0 + dt.timedelta(days=days), dt.time())))
     h = e.groupBy("event_type", F.date_trunc("hour", "ts").alias("h")).agg(F.count(F.lit(1)).alias("n"))
     return h.groupBy("event_type").agg(F.avg("n").alias("baseline_mean"), F.stddev_samp("n").alias("baseline_std"))
 

@@ -73,3 +73,26 @@ def test_alert_state_last_write_wins(spark):
     st = {r["alert_id"]: r["resolved"] for r in M.alert_state(log).collect()}
     assert st == {"a": True, "b": False}
     assert [r["alert_id"] for r in M.active_alerts(M.alert_state(log)).collect()] == ["b"]
+
+
+def test_recent_survives_restart(spark, tmp_path):
+    """Two runs on one checkpoint: the second (new files only) still merges
+    with the state the first run left on storage."""
+    import glob
+    import shutil
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    src = tmp_path / "w"
+    e.repartition(4, "event_id").write.parquet(str(tmp_path / "parts"))
+    files = sorted(glob.glob(str(tmp_path / "parts" / "*.parquet")))
+    src.mkdir()
+    for f in files[:2]:
+        shutil.copy(f, src)
+    state = str(tmp_path / "state")
+    S.stream_recent(spark, SF, n=8, source=S.event_stream(spark, str(src), glob="*.parquet", schema=e.schema),
+                    state_dir=state)
+    for f in files[2:]:
+        shutil.copy(f, src)
+    got = S.stream_recent(spark, SF, n=8, source=S.event_stream(spark, str(src), glob="*.parquet", schema=e.schema),
+                          state_dir=state)
+    b = e.orderBy(F.desc("ts"), F.desc("event_id")).limit(8)
+    assert rows(got) == rows(b)
