@@ -15,7 +15,7 @@ SELECT product_id, product_name,
        CAST(round(sum(CAST(revenue AS DECIMAL(18,4))), 2) AS DOUBLE) AS total_revenue,
        count(order_id) AS order_count
 FROM {view}
-WHERE transaction_date >= (SELECT max(transaction_date) FROM {view}) - INTERVAL {days} DAYS
+WHERE transaction_date >= {as_of} - INTERVAL {days} DAYS
 GROUP BY product_id, product_name
 ORDER BY total_revenue DESC, product_id
 LIMIT {k}
@@ -23,10 +23,17 @@ LIMIT {k}
 
 
 def nl_sql_top_products(spark: SparkSession, sales_transactions: DataFrame, days: int = 30,
-                        k: int = 10, view: str = "sales_transactions") -> DataFrame:
-    """Top ``k`` products by revenue over the ``days`` up to the newest sale.
+                        k: int = 10, view: str = "sales_transactions", as_of=None) -> DataFrame:
+    """Top ``k`` products by revenue over the ``days`` up to ``as_of``.
 
-    ``as_of`` is the newest transaction date in the data, not the wall clock.
-    """
+    ``as_of`` defaults to the newest transaction date of the view (a scalar
+    subquery over it, never the wall clock). Passing it as a value (e.g. the
+    newest order date, answered from Parquet footers) turns the predicate into
+    a literal that is pushed into the orders scan and avoids evaluating the
+    view twice."""
     sales_transactions.createOrReplaceTempView(view)
-    return spark.sql(TOP_PRODUCTS_SQL.format(view=view, days=int(days), k=int(k)))
+    if as_of is None:
+        as_of_sql = f"(SELECT max(transaction_date) FROM {view})"
+    else:
+        as_of_sql = f"TIMESTAMP_NTZ '{as_of.isoformat(sep=' ')}'"
+    return spark.sql(TOP_PRODUCTS_SQL.format(view=view, days=int(days), k=int(k), as_of=as_of_sql))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.operators.sql_top_products import nl_sql_top_products
 from tessera.plans import fixtures as fx
 from tessera.plans.registry import register
+from tessera.sources.files import table
 
 
 @register("nl_sql_top_products", f"""
@@ -12,10 +13,12 @@ WITH st AS ({fx.SALES_TRANSACTIONS_SQL})
 SELECT product_id, product_name,
        CAST(round(sum(CAST(revenue AS DECIMAL(18,4))), 2) AS DOUBLE) AS total_revenue,
        count(order_id) AS order_count
-FROM st WHERE transaction_date >= (SELECT max(transaction_date) FROM st) - INTERVAL 30 DAY
+FROM st WHERE transaction_date >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 30 DAY
 GROUP BY product_id, product_name ORDER BY total_revenue DESC, product_id LIMIT 10""")
 def q_nl_sql_top_products(spark, sf_dir):
-    return nl_sql_top_products(spark, fx.sales_transactions(spark, sf_dir), days=30, k=10)
+    from pyspark.sql import functions as F
+    as_of = table(spark, sf_dir, "orders").agg(F.max("o_orderdate")).first()[0]   # newest order date
+    return nl_sql_top_products(spark, fx.sales_transactions(spark, sf_dir), days=30, k=10, as_of=as_of)
 
 
 # ---------------------------------------------------------------------------
