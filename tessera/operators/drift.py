@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.quantiles import quantile_arrays
+
 # The drift threshold of the published model records
 # (0.062 -> WARNING, 0.012 and 0.004 -> OK).
 DRIFT_THRESHOLD = 0.05
@@ -28,9 +30,9 @@ def feature_psi(df: DataFrame, feature: str, window: str, value: str, baseline:
                 current: str = "current", approx: bool = False, threshold: float = DRIFT_THRESHOLD) -> DataFrame:
     """(feature, psi, status) for rows tagged ``window`` in {baseline, current}."""
     qs = _edges()
-    base = df.filter(F.col(window) == baseline)
-    q_expr = F.percentile_approx(value, qs, 10000) if approx else F.percentile(value, F.array(*[F.lit(q) for q in qs]))
-    edges = base.groupBy(F.col(feature).alias("feature")).agg(q_expr.alias("edges"))
+    base = df.filter(F.col(window) == baseline).select(F.col(feature).alias("feature"), F.col(value).alias("v"))
+    edges = quantile_arrays(base, "v", qs, ["feature"], "sketch" if approx else "distributed") \
+        .withColumnRenamed("quantiles", "edges")
     tagged = df.filter(F.col(window).isin(baseline, current)).select(
         F.col(feature).alias("feature"), F.col(window).alias("w"), F.col(value).alias("v"))
     j = tagged.join(edges, "feature")

@@ -10,9 +10,10 @@ Design notes for scale:
   to its distinct pairs before the shuffle, so a value held by a third of all
   rows costs one row per task, not a third of the data in one task. This also
   avoids the ``Expand`` blow-up of many ``count(DISTINCT)`` in one aggregate.
-* Exact quartiles use ``percentile`` (a value->count map per task merged in the
-  final aggregate). For very high-cardinality columns pass ``approx=True`` to
-  use ``percentile_approx`` (bounded-size sketch).
+* Exact quartiles come from ``grouped_quantiles`` over the stacked columns:
+  distinct-value counts, range partitioning and running counts, so no task
+  holds a whole column (``percentile`` would merge a value map per column in
+  one task). ``approx=True`` switches to ``percentile_approx`` sketches.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.exprs import NUMERIC_TYPES, is_missing, numeric_columns
+from tessera.operators.quantiles import quantile_arrays
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -44,10 +46,14 @@ def _stack(pairs: list[F.Column]) -> F.Column:
     return F.inline(F.array(*pairs))
 
 
-def _quantiles(v: F.Column, qs, approx: bool) -> F.Column:
-    if approx:
-        return F.percentile_approx(v, qs, 10000)
-    return F.percentile(v, F.array(*[F.lit(q) for q in qs]))
+def _method(approx: bool, method: str | None) -> str:
+    return method or ("sketch" if approx else "distributed")
+
+
+def _column_quantiles(df: DataFrame, cols: list[str], qs, method: str) -> DataFrame:
+    """(column_name, quantiles array) for every numeric column in one job."""
+    stacked = df.select(_stack([F.struct(F.lit(c).alias("column_name"), _num(df, c).alias("v")) for c in cols]))
+    return quantile_arrays(stacked, "v", qs, ["column_name"], method)
 
 
 # The dtype names pandas reports for each Spark type.
@@ -75,8 +81,13 @@ def profile_schema(df: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def profile_numeric_stats(df: DataFrame, cols: list[str] | None = None, approx: bool = False) -> DataFrame:
-    """count (non-null), mean, std (ddof 1), min, 25/50/75 % (linear), max."""
+def profile_numeric_stats(df: DataFrame, cols: list[str] | None = None, approx: bool = False,
+                          method: str | None = None) -> DataFrame:
+    """count (non-null), mean, std (ddof 1), min, 25/50/75 % (linear), max.
+
+    Moments come from one aggregate; quartiles from ``grouped_quantiles``
+    over the stacked columns (exact, bounded per-task memory), or a sketch
+    with ``approx=True``."""
     cols = cols if cols is not None else numeric_columns(df)
     if not cols:
         return df.sparkSession.createDataFrame(
@@ -86,15 +97,19 @@ def profile_numeric_stats(df: DataFrame, cols: list[str] | None = None, approx:
     for i, c in enumerate(cols):
         v = _num(df, c)
         aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"),
-                 F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), _quantiles(v, QUARTILES, approx).alias(f"q{i}")]
+                 F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
     wide = df.agg(*aggs)
-    return wide.select(_stack([
+    moments = wide.select(_stack([
         F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("count"),
                  F.round(f"m{i}", 4).alias("mean"), F.round(f"s{i}", 4).alias("std"),
-                 F.col(f"lo{i}").alias("min"),
-                 F.round(F.col(f"q{i}")[0], 4).alias("p25"), F.round(F.col(f"q{i}")[1], 4).alias("p50"),
-                 F.round(F.col(f"q{i}")[2], 4).alias("p75"), F.col(f"hi{i}").alias("max"))
+                 F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"))
         for i, c in enumerate(cols)]))
+    q = _column_quantiles(df, cols, QUARTILES, _method(approx, method))
+    # both sides have one row per column
+    j = moments.join(q, "column_name", "left")
+    return j.select("column_name", "count", "mean", "std", "min",
+                    F.round(F.col("quantiles")[0], 4).alias("p25"), F.round(F.col("quantiles")[1], 4).alias("p50"),
+                    F.round(F.col("quantiles")[2], 4).alias("p75"), "max")
 
 
 def categorical_columns(df: DataFrame, include_bool: bool = True) -> list[str]:
@@ -196,12 +211,14 @@ def correlation_matrix(corr_long: DataFrame) -> DataFrame:
     return corr_long.groupBy("col_a").pivot("col_b", names).agg(F.first("corr"))
 
 
-def profile_outliers(df: DataFrame, cols: list[str] | None = None, approx: bool = False) -> DataFrame:
+def profile_outliers(df: DataFrame, cols: list[str] | None = None, approx: bool = False,
+                     method: str | None = None) -> DataFrame:
     """(column_name, q1, q3, outliers): Tukey fences, strict; iqr == 0 -> 0."""
     cols = cols if cols is not None else numeric_columns(df)
     vals = {c: _num(df, c) for c in cols}
-    # pass 1: quartiles (one row, collected as scalars)
-    quart = df.agg(*[_quantiles(vals[c], [0.25, 0.75], approx).alias(f"q{i}") for i, c in enumerate(cols)]).first()
+    # pass 1: quartiles (two numbers per column, collected)
+    got = {r["column_name"]: r["quantiles"] for r in _column_quantiles(df, cols, [0.25, 0.75], _method(approx, method)).collect()}
+    quart = {f"q{i}": got.get(c) for i, c in enumerate(cols)}
     # pass 2: fence counts with the quartiles as literals
     aggs = []
     for i, c in enumerate(cols):
