@@ -78,11 +78,15 @@ def index_documents(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
     d = docs.select(key, words.alias("_w")).withColumn("_n", F.size("_w"))
     n_chunks = F.when(F.col("_n") <= size, F.lit(1)).otherwise(
         F.ceil((F.col("_n") - size) / F.lit(stride)).cast("int") + 1)
-    c = d.select(key, "_w", F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("chunk_id"))
-    start = F.col("chunk_id") * stride
-    piece = F.slice("_w", start + 1, size)
-    return c.select(key, "chunk_id", start.alias("start_word"), F.size(piece).alias("n_words"),
-                    F.array_join(piece, " ").alias("text"))
+
+    def passage(i):
+        piece = F.slice(F.col("_w"), i * stride + 1, size)
+        return F.struct(i.alias("chunk_id"), (i * stride).alias("start_word"), F.size(piece).alias("n_words"),
+                        F.array_join(piece, " ").alias("text"))
+
+    # All passages are built inside the row (about 1.33x the text), then
+    # inlined: exploded rows never carry the whole word array.
+    return d.select(key, F.inline(F.transform(F.sequence(F.lit(0), n_chunks - 1), passage)))
 
 
 MAX_QUERIES_PER_PASS = 256
