@@ -217,7 +217,7 @@ def segments(sales_c: DataFrame, period: int = 365) -> DataFrame:
         "segment", "customers", F.coalesce("revenue", F.lit(0.0)).alias("revenue"),
         F.round(safe_div(F.col("revenue") * 100.0, F.sum("revenue").over(w)), 1).alias("revenue_share"),
         F.round(safe_div("revenue", "customers"), 2).alias("avg_ltv"),
-        pct_change("revenue", "prev_revenue").alias("growth_pct"))
+        pct_change("revenue", "prev_revenue").alias("growth_pct")).orderBy(F.desc("revenue_share"), "segment")
 
 
 def top_products(sales_p: DataFrame, period: int = 365, k: int = 10, cost_factor: float = 0.5) -> DataFrame:

@@ -109,22 +109,22 @@ MAX_MEMORY_MB = 256
 
 
 def classifier_pipeline(features: list[str], target: str, num_trees: int = 200, max_depth: int = MAX_DEPTH,
-                        seed: int = SEED) -> Pipeline:
+                        seed: int = SEED, params: dict | None = None) -> Pipeline:
     idx = StringIndexer(inputCol=target, outputCol="_label", handleInvalid="skip", stringOrderType="alphabetAsc")
     asm = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep")
     rf = RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=num_trees, maxDepth=max_depth,
                                 featureSubsetStrategy="sqrt", seed=seed, predictionCol="_pred",
-                                maxMemoryInMB=MAX_MEMORY_MB,
+                                maxMemoryInMB=MAX_MEMORY_MB, **(params or {}),
                                 probabilityCol="probability", rawPredictionCol="_raw")
     return Pipeline(stages=[idx, asm, rf])
 
 
 def regressor_pipeline(features: list[str], target: str, num_trees: int = 200, max_depth: int = MAX_DEPTH,
-                       seed: int = SEED) -> Pipeline:
+                       seed: int = SEED, params: dict | None = None) -> Pipeline:
     asm = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep")
     rf = RandomForestRegressor(featuresCol="_features", labelCol=target, numTrees=num_trees, maxDepth=max_depth,
                                featureSubsetStrategy="all", seed=seed, predictionCol="prediction",
-                               maxMemoryInMB=MAX_MEMORY_MB)
+                               maxMemoryInMB=MAX_MEMORY_MB, **(params or {}))
     return Pipeline(stages=[asm, rf])
 
 
@@ -183,7 +183,7 @@ def evaluate_regressor(model: PipelineModel, test: DataFrame, target: str) -> di
 
 def train(df: DataFrame, target: str, problem_type: str, model_type: str = "random_forest",
           key: str | list[str] | None = None, features: list[str] | None = None, test_fraction: float = 0.2,
-          num_trees: int = 200, max_depth: int = MAX_DEPTH, seed: int = SEED) -> dict:
+          num_trees: int = 200, max_depth: int = MAX_DEPTH, seed: int = SEED, dataset_id: str | None = None) -> dict:
     """Encode, split, fit and score one model. ``problem_type`` 'classification'
     trains a classifier (accuracy), anything else a regressor (rmse).
 
@@ -207,7 +207,8 @@ def train(df: DataFrame, target: str, problem_type: str, model_type: str = "rand
             metric_name = "rmse"
     finally:
         tr.unpersist()
-    return {"run_id": uuid.uuid4().hex, "model_name": f"{model_type}_{target}", "model_type": model_type,
+    # model name {model_type}_{dataset_id}; the target names it when no dataset id is given
+    return {"run_id": uuid.uuid4().hex, "model_name": f"{model_type}_{dataset_id or target}", "model_type": model_type,
             "problem_type": problem_type, "target": target, "features": names, "metric_name": metric_name,
             "metric_value": float(metrics[metric_name]), "metrics": {k: float(v) for k, v in metrics.items()},
             "params": {"num_trees": str(num_trees), "max_depth": str(max_depth), "seed": str(seed),
@@ -316,8 +317,14 @@ def permutation_importance(spark: SparkSession, model: PipelineModel, test: Data
 
 
 def cross_validate(df: DataFrame, target: str, key: str | list[str], folds: int = 5, problem_type: str = "classification",
-                   num_trees: int = 50, max_depth: int = 8, seed: int = SEED) -> DataFrame:
-    """(fold, metric, score) for k folds assigned by key hash."""
+                   num_trees: int = 50, max_depth: int = 8, seed: int = SEED, params: dict | str | None = None) -> DataFrame:
+    """(fold, metric, score) for k folds assigned by key hash.
+
+    ``params`` is a map (or its JSON text) of extra forest hyperparameters,
+    e.g. ``{"minInstancesPerNode": 2, "subsamplingRate": 0.8}``."""
+    if isinstance(params, str):
+        import json
+        params = json.loads(params) if params.strip() else None
     spark = df.sparkSession
     _require(df, target)
     keys = [key] if isinstance(key, str) else list(key)
@@ -327,10 +334,10 @@ def cross_validate(df: DataFrame, target: str, key: str | list[str], folds: int
     for k in range(folds):
         tr, te = enc.filter(F.col("_fold") != k), enc.filter(F.col("_fold") == k)
         if problem_type == "classification":
-            m = classifier_pipeline(names, target, num_trees, max_depth, seed).fit(tr)
+            m = classifier_pipeline(names, target, num_trees, max_depth, seed, params).fit(tr)
             rows.append((k, "accuracy", float(evaluate_classifier(m, te)["accuracy"])))
         else:
-            m = regressor_pipeline(names, target, num_trees, max_depth, seed).fit(tr)
+            m = regressor_pipeline(names, target, num_trees, max_depth, seed, params).fit(tr)
             rows.append((k, "rmse", float(evaluate_regressor(m, te, target)["rmse"])))
     return spark.createDataFrame(rows, "fold int, metric string, score double")
 
@@ -352,11 +359,15 @@ def model_leaderboard(runs: DataFrame) -> DataFrame:
 
 
 def registry_summary(runs: DataFrame) -> DataFrame:
-    """Counts by problem type and the mean classifier accuracy (0 when none)."""
+    """Counts by problem type and by stage, and the mean classifier accuracy
+    (0 when none)."""
+    lb = model_leaderboard(runs).select("problem_type", "stage", F.col("score"))
     is_clf = F.col("problem_type") == "classification"
-    return runs.agg(F.count(F.lit(1)).alias("models"), F.count(F.when(is_clf, 1)).alias("classifiers"),
-                    F.count(F.when(~is_clf, 1)).alias("regressors"),
-                    F.coalesce(F.round(F.avg(F.when(is_clf, F.col("metrics")["accuracy"])), 4), F.lit(0.0)).alias("mean_accuracy"))
+    return lb.agg(F.count(F.lit(1)).alias("models"), F.count(F.when(is_clf, 1)).alias("classifiers"),
+                  F.count(F.when(~is_clf, 1)).alias("regressors"),
+                  F.count(F.when(F.col("stage") == "Production", 1)).alias("production"),
+                  F.count(F.when(F.col("stage") == "Staging", 1)).alias("staging"),
+                  F.coalesce(F.round(F.avg(F.when(is_clf, F.col("score"))), 4), F.lit(0.0)).alias("mean_accuracy"))
 
 
 def model_compare(runs: DataFrame, model_names: list[str]) -> DataFrame:

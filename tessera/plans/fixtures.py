@@ -96,29 +96,33 @@ PROMPTS_SQL = "SELECT conv_id, turn, role, (CASE conv_id % 8 " + " ".join(
 
 # --- sales: the star join ---------------------------------------------------
 def sales(spark: SparkSession, sf_dir: str, customer: bool = False, part: bool = False,
-          geo: bool = False) -> DataFrame:
+          geo: bool = False, source=None) -> DataFrame:
     """lineitem ⋈ orders (+ customer, part, nation, region on request).
 
     Only the joins asked for are planned: an inner join is never removed by
     Catalyst, so callers pay for exactly the dimensions they use. nation and
     region are bounded by definition (25 and 5 rows) and are broadcast; part
     and customer grow with the data and are left to AQE, which broadcasts
-    them only when their runtime size is below the threshold.
+    them only when their runtime size is below the threshold. ``source``
+    (name -> DataFrame) reads a co-located layout instead of the files
+    (see ``tessera.sources.layout``): bucketed lineitem and orders join
+    without a shuffle.
     """
-    li = table(spark, sf_dir, "lineitem").select(
+    get = source or (lambda t: table(spark, sf_dir, t))
+    li = get("lineitem").select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    o = get("orders").select("o_orderkey", "o_custkey", "o_orderdate")
     df = li.join(o, li.l_orderkey == o.o_orderkey).drop("l_orderkey")
     df = df.withColumn("revenue", F.col("l_extendedprice") * (1 - F.col("l_discount")))
     if part:
-        p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_retailprice")
+        p = get("part").select("p_partkey", "p_name", "p_brand", "p_retailprice")
         df = df.join(p, df.l_partkey == p.p_partkey).drop("p_partkey")
     if customer or geo:
-        c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+        c = get("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
         df = df.join(c, df.o_custkey == c.c_custkey).drop("c_custkey")
     if geo:
-        n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", "n_name")
-        r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+        n = get("nation").select("n_nationkey", "n_regionkey", "n_name")
+        r = get("region").select("r_regionkey", "r_name")
         geo_dim = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name")
         df = df.join(F.broadcast(geo_dim), df.c_nationkey == geo_dim.n_nationkey).drop("n_nationkey")
     return df

@@ -137,7 +137,8 @@ def q_shap_like(spark, sf_dir):
 
 @register("cross_validate")
 def q_cross_validate(spark, sf_dir):
-    return ML.cross_validate(fx.orders_dummies(spark, sf_dir), "label", "o_orderkey", folds=5)
+    return ML.cross_validate(fx.orders_dummies(spark, sf_dir), "label", "o_orderkey", folds=5,
+                             params='{"minInstancesPerNode": 1}')
 
 
 @register("model_leaderboard")
