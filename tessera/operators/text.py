@@ -92,6 +92,17 @@ def index_documents(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
 MAX_QUERIES_PER_PASS = 256
 
 
+def _batches(it, n):
+    batch = []
+    for r in it:
+        batch.append(r)
+        if len(batch) == n:
+            yield batch
+            batch = []
+    if batch:
+        yield batch
+
+
 def semantic_search(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
                     vec_col: str = "embedding", query_id: str = "query_id", query_vec: str = "query_vec",
                     extra: list[str] | None = None) -> DataFrame:
@@ -103,10 +114,10 @@ def semantic_search(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: s
     ``row_number() <= k``, which Catalyst pre-limits per task before the
     shuffle (WindowGroupLimit)."""
     extra = extra or []
-    qrows = queries.select(query_id, query_vec).collect()   # bounded: the query batch
     results = None
-    for lo in range(0, len(qrows), MAX_QUERIES_PER_PASS):
-        batch = qrows[lo:lo + MAX_QUERIES_PER_PASS]
+    # queries arrive partition by partition (never all at once) and are cut
+    # into passes of at most MAX_QUERIES_PER_PASS vectors
+    for batch in _batches(queries.select(query_id, query_vec).toLocalIterator(), MAX_QUERIES_PER_PASS):
         lit = F.array(*[F.struct(F.lit(r[0]).alias("qid"),
                                  F.array(*[F.lit(float(x)) for x in r[1]]).alias("qv")) for r in batch])
         scored = corpus.select(id_col, *extra, F.explode(F.transform(lit, lambda q: F.struct(
