@@ -10,7 +10,7 @@ of features times 10.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.quantiles import quantile_arrays
@@ -28,24 +28,37 @@ def _edges(n: int = BINS):
 
 def feature_psi(df: DataFrame, feature: str, window: str, value: str, baseline: str = "baseline",
                 current: str = "current", approx: bool = False, threshold: float = DRIFT_THRESHOLD) -> DataFrame:
-    """(feature, psi, status) for rows tagged ``window`` in {baseline, current}."""
+    """(feature, psi, status) for rows tagged ``window`` in {baseline, current}.
+
+    Pass 1 computes the baseline deciles per feature (exact, distributed) and
+    collects them: features x 9 numbers. Pass 2 bins every row with those
+    edges as a literal map, counts per (feature, window, bin), zero-fills from
+    the (feature x bin) grid by a union and folds to PSI with one more
+    aggregate. No join: the plan stays free of pairwise joins even when the
+    feature column is a constant."""
     qs = _edges()
+    spark = df.sparkSession
     base = df.filter(F.col(window) == baseline).select(F.col(feature).alias("feature"), F.col(value).alias("v"))
-    edges = quantile_arrays(base, "v", qs, ["feature"], "sketch" if approx else "distributed") \
-        .withColumnRenamed("quantiles", "edges")
+    edges = {r["feature"]: r["quantiles"] for r in
+             quantile_arrays(base, "v", qs, ["feature"], "sketch" if approx else "distributed").collect()}
+    if not edges:
+        return spark.createDataFrame([], "feature string, psi double, status string")
+    edge_map = F.create_map(*[x for f, e in edges.items() for x in (F.lit(f), F.array(*[F.lit(float(v)) for v in e]))])
     tagged = df.filter(F.col(window).isin(baseline, current)).select(
         F.col(feature).alias("feature"), F.col(window).alias("w"), F.col(value).alias("v"))
-    j = tagged.join(edges, "feature")
-    binned = j.select("feature", "w", F.size(F.filter("edges", lambda e: F.col("v") > e)).alias("bin"))
+    ed = F.element_at(edge_map, F.col("feature"))
+    binned = tagged.filter(ed.isNotNull()).select(
+        "feature", "w", F.size(F.filter(ed, lambda e: F.col("v") > e)).alias("bin"))
     counts = binned.groupBy("feature", "w", "bin").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy("feature", "w").agg(F.sum("n").alias("tot"))
-    shares = counts.join(totals, ["feature", "w"]).select("feature", "w", "bin", (F.col("n") / F.col("tot")).alias("share"))
-    grid = edges.select("feature", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))).alias("bin"))
-    p = shares.filter(F.col("w") == baseline).select("feature", "bin", F.col("share").alias("p"))
-    q = shares.filter(F.col("w") == current).select("feature", "bin", F.col("share").alias("q"))
-    g = grid.join(p, ["feature", "bin"], "left").join(q, ["feature", "bin"], "left").select(
-        "feature", F.greatest(F.coalesce("p", F.lit(0.0)), F.lit(FLOOR)).alias("p"),
-        F.greatest(F.coalesce("q", F.lit(0.0)), F.lit(FLOOR)).alias("q"))
+    grid = spark.createDataFrame([(f, b, None, 0) for f in edges for b in range(BINS)],
+                                 "feature string, bin int, w string, n bigint")
+    per = counts.unionByName(grid).groupBy("feature", "bin").agg(
+        F.sum(F.when(F.col("w") == baseline, F.col("n")).otherwise(0)).alias("nb"),
+        F.sum(F.when(F.col("w") == current, F.col("n")).otherwise(0)).alias("nc"))
+    by_feature = Window.partitionBy("feature")   # BINS rows per feature
+    p = F.greatest(F.coalesce(F.try_divide(F.col("nb"), F.sum("nb").over(by_feature)), F.lit(0.0)), F.lit(FLOOR))
+    q = F.greatest(F.coalesce(F.try_divide(F.col("nc"), F.sum("nc").over(by_feature)), F.lit(0.0)), F.lit(FLOOR))
+    g = per.select("feature", p.alias("p"), q.alias("q"))
     psi = g.groupBy("feature").agg(F.round(F.sum((F.col("q") - F.col("p")) * F.ln(F.col("q") / F.col("p"))), 4).alias("psi"))
     return psi.withColumn("status", F.when(F.col("psi") > threshold, "WARNING").otherwise("OK"))
 

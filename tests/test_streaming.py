@@ -96,3 +96,22 @@ def test_recent_survives_restart(spark, tmp_path):
                           state_dir=state)
     b = e.orderBy(F.desc("ts"), F.desc("event_id")).limit(8)
     assert rows(got) == rows(b)
+
+
+def test_registered_iot_source_streams_json(spark, tmp_path):
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    land = tmp_path / "iot"
+    e.limit(500).write.json(str(land))
+    src = S.register_stream_source("sensors", "iot", {"path": str(land), "format": "json"})
+    st = S.open_stream(spark, src, e.schema)
+    assert st.isStreaming
+    out = S.run_available(st.groupBy("event_type").count(), str(tmp_path / "out"), mode="complete", fmt="memory") \
+        if False else None
+    q = st.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")) \
+        .trigger(availableNow=True).start(str(tmp_path / "sink"))
+    q.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "sink")).count() == 500
+    del out
+    import pytest
+    with pytest.raises(ValueError):
+        S.open_stream(spark, S.register_stream_source("x", "mqtt"), e.schema)
