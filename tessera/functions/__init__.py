@@ -11,4 +11,6 @@ from tessera.functions.exprs import (  # noqa: F401
     string_columns,
     is_missing,
     round4,
+    hour_start,
+    day_start,
 )

@@ -85,3 +85,48 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+
+
+def hour_start(c) -> Column:
+    """Start of the hour of a TIMESTAMP_NTZ, computed from its fields (no
+    session time zone involved; ``date_trunc`` would return a zoned TIMESTAMP)."""
+    c = col(c)
+    return F.make_timestamp_ntz(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.lit(0), F.lit(0))
+
+
+def day_start(c) -> Column:
+    """Midnight of the day of a TIMESTAMP_NTZ, as TIMESTAMP_NTZ."""
+    return F.to_date(col(c)).cast("timestamp_ntz")
+
+
+# --- zone-independent time handling ------------------------------------------
+# The test timestamps are TIMESTAMP_NTZ (wall clock, no zone). Python datetime
+# literals and casts to TIMESTAMP go through the session time zone; these
+# helpers never do, so results are the same in any session.
+EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def ntz_lit(d) -> Column:
+    """A datetime / date as a TIMESTAMP_NTZ / DATE literal (parsed from text)."""
+    import datetime as _dt
+    if isinstance(d, _dt.datetime):
+        return F.lit(d.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
+    if isinstance(d, _dt.date):
+        return F.lit(d.isoformat()).cast("date")
+    return F.lit(d)
+
+
+def micros_between(start, end) -> Column:
+    """end - start in microseconds, for TIMESTAMP_NTZ values."""
+    return F.timestamp_diff("MICROSECOND", col(start), col(end))
+
+
+def ntz_to_instant(c) -> Column:
+    """TIMESTAMP_NTZ -> TIMESTAMP, reading the wall clock as UTC (for event-time
+    operators such as watermarks, which need TIMESTAMP)."""
+    return F.timestamp_micros(micros_between(F.lit(EPOCH_NTZ).cast("timestamp_ntz"), c))
+
+
+def instant_to_ntz(c) -> Column:
+    """TIMESTAMP -> TIMESTAMP_NTZ, the UTC wall clock (inverse of ntz_to_instant)."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(col(c)), F.lit(EPOCH_NTZ).cast("timestamp_ntz"))

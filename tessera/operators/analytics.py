@@ -20,7 +20,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import money, money_sum, pct_change, safe_div
+from tessera.functions.exprs import day_start, money, money_sum, ntz_lit, pct_change, safe_div
 
 PERIODS = (7, 30, 90, 365)
 
@@ -40,7 +40,7 @@ def as_of_date(df: DataFrame, c: str):
 
 
 def _ts(d) -> F.Column:
-    return F.lit(d).cast("timestamp_ntz") if isinstance(d, dt.datetime) else F.lit(d)
+    return ntz_lit(d)
 
 
 def period_bounds(as_of, days: int, n: int = 2):
@@ -191,7 +191,7 @@ def metric_timeseries(lineitem: DataFrame, orders: DataFrame, events: DataFrame,
             daily = j.groupBy("day").agg(F.round(safe_div(
                 F.count(F.when(F.col("is_active").isNull(), 1)) * 100.0, F.count(F.lit(1))), 2).alias("value"))
     end = as_of.date()
-    cal = spark.range(1).select(F.explode(F.sequence(F.lit(end - dt.timedelta(days=days - 1)), F.lit(end))).alias("day"))
+    cal = spark.range(1).select(F.explode(F.sequence(ntz_lit(end - dt.timedelta(days=days - 1)), ntz_lit(end))).alias("day"))
     # The calendar has ``days`` (<= 90) rows: bounded, broadcast.
     return F.broadcast(cal).join(daily, "day", "left").select(
         F.col("day").cast("timestamp_ntz").alias("day"), F.coalesce("value", F.lit(0.0)).alias("value"))
@@ -236,7 +236,7 @@ def top_products(sales_p: DataFrame, period: int = 365, k: int = 10, cost_factor
     top = agg.orderBy(F.desc("revenue"), "product_id").limit(k)
     w = Window.orderBy(F.desc("revenue"), "product_id")   # k rows
     return top.select(
-        F.row_number().over(w).alias("rank"), "product_id", "product", "revenue", "units",
+        F.row_number().over(w).cast("bigint").alias("rank"), "product_id", "product", "revenue", "units",
         F.round(safe_div(F.col("revenue") - F.col("cost"), F.col("revenue")) * 100, 2).alias("margin_pct"),
         pct_change("revenue", "prev_revenue").alias("growth_pct"))
 
@@ -287,7 +287,7 @@ def etl_sales_aggregation(sales_gp: DataFrame) -> DataFrame:
     """Nightly rollup day > region > brand: revenue, quantity, lines, level.
 
     level = grouping_id (0 = day+region+brand ... 7 = grand total)."""
-    return sales_gp.rollup(F.date_trunc("day", "o_orderdate").alias("day"), F.col("r_name").alias("region"),
+    return sales_gp.rollup(day_start("o_orderdate").alias("day"), F.col("r_name").alias("region"),
                            F.col("p_brand").alias("brand")).agg(
         F.grouping_id().alias("level"), money_sum("revenue").alias("revenue"),
         F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).alias("lines"))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import safe_div, severity_from_z
+from tessera.functions.exprs import micros_between, ntz_lit, safe_div, severity_from_z
 
 TRAILING_POINTS = 24
 
@@ -40,7 +40,7 @@ def detect_anomalies(scored: DataFrame, open_hours: int = 24, investigating_hour
     status (chosen rule): open when within ``open_hours`` of the newest
     bucket, investigating within ``investigating_hours``, else resolved."""
     newest = scored.agg(F.max("bucket")).first()[0]                # one scalar
-    age_h = (F.unix_micros(F.lit(newest).cast("timestamp")) - F.unix_micros(F.col("bucket").cast("timestamp"))) / 3.6e9
+    age_h = micros_between(F.col("bucket"), ntz_lit(newest)) / 3.6e9
     a = scored.withColumn("severity", severity_from_z("z_score")).filter(F.col("severity").isNotNull())
     return a.select(
         F.concat_ws("@", "metric", F.date_format("bucket", "yyyy-MM-dd'T'HH:mm")).alias("id"),

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.exprs import ntz_lit
+
 
 def preview_page(df: DataFrame, order_by: list[str], page: int = 1, limit: int = 50) -> DataFrame:
     """Rows of page ``page`` (1-based) of size ``limit`` (1..500) in key order.
@@ -46,7 +48,7 @@ def audit_filter(log: DataFrame, ts_col: str, action_col: str, days: int | None
     if days:
         if as_of is None:
             as_of = log.agg(F.max(ts_col)).first()[0]
-        out = out.filter(F.col(ts_col) >= F.lit(as_of - dt.timedelta(days=int(days))))
+        out = out.filter(F.col(ts_col) >= ntz_lit(as_of - dt.timedelta(days=int(days))))
     if token and token != "all":
         out = out.filter(F.col(action_col).contains(token))
     return out
@@ -93,4 +95,4 @@ def last_n_per_key(df: DataFrame, key: str, order_cols: list, n: int = 8) -> Dat
     ships at most n rows per key: a key holding a third of the rows does not
     land in one task whole."""
     w = Window.partitionBy(key).orderBy(*order_cols)
-    return df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
+    return df.withColumn("rn", F.row_number().over(w).cast("bigint")).filter(F.col("rn") <= n)

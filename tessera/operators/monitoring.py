@@ -9,14 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import safe_div
+from tessera.functions.exprs import hour_start, micros_between, safe_div
 from tessera.operators.quantiles import grouped_quantiles
 
 NODES = 6
 
 
-def _micros(c: str) -> F.Column:
-    return F.unix_micros(F.col(c).cast("timestamp"))
 
 
 def _p99_method(approx: bool) -> str:
@@ -31,7 +29,7 @@ def metrics_summary(events: DataFrame, approx: bool = False) -> DataFrame:
     a = events.agg(F.count(F.lit(1)).alias("requests"), F.count(F.when(is_err, 1)).alias("errors"),
                    F.lit(p99["value"] if p99 else None).cast("double").alias("p99"),
                    F.min("ts").alias("t0"), F.max("ts").alias("t1"))
-    minutes = (_micros("t1") - _micros("t0")) / 6e7
+    minutes = micros_between("t0", "t1") / 6e7
     return a.select("requests", "errors",
                     F.coalesce(F.round(safe_div(F.col("errors") * 100.0, F.col("requests")), 2), F.lit(0.0)).alias("error_rate"),
                     F.round("p99", 4).alias("p99_latency"),
@@ -41,7 +39,7 @@ def metrics_summary(events: DataFrame, approx: bool = False) -> DataFrame:
 def metrics_hourly(events: DataFrame, approx: bool = False) -> DataFrame:
     """Per hour: requests, errors, error_rate (%), p99 latency."""
     is_err = F.col("event_type") == "error"
-    ev = events.withColumn("hour", F.date_trunc("hour", "ts"))
+    ev = events.withColumn("hour", hour_start("ts"))
     h = ev.groupBy("hour").agg(F.count(F.lit(1)).alias("requests"), F.count(F.when(is_err, 1)).alias("errors"))
     p99 = grouped_quantiles(ev, "value", [0.99], ["hour"], method=_p99_method(approx)) \
         .select("hour", F.col("value").alias("p99"))

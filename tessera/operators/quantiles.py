@@ -13,8 +13,9 @@ computes the same numbers with bounded per-task memory:
 4. keep only the value rows that hold the target ranks floor/ceil(q (N - 1))
    and interpolate the way ``percentile`` does.
 
-Cost: three shuffles of the distinct (group, value) counts instead of one
-aggregate, in exchange for no unbounded buffer anywhere. ``method='map'`` uses
+Cost: the distinct (group, value) counts are shuffled and checkpointed once
+(range bounds are sampled, so the partition ids are materialised for all
+later steps), then two small shuffles; in exchange no buffer is unbounded. ``method='map'`` uses
 ``percentile`` (one pass, fine for low-cardinality values), ``'sketch'`` uses
 ``percentile_approx`` (bounded, approximate).
 """
@@ -24,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import _ensure_checkpoint_dir
+
 METHODS = ("distributed", "map", "sketch")
 
 
@@ -47,12 +50,17 @@ def grouped_quantiles(df: DataFrame, value: str, qs: list[float], groups: list[s
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = base.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    # Range bounds are sampled: materialise the partition ids once (reliable
+    # checkpoint in the shared folder) so every branch below sees the same
+    # assignment, also after an executor loss.
+    _ensure_checkpoint_dir(spark)
     ranged = counts.repartitionByRange(parts, *[F.col(c) for c in g], F.col("_v")) \
-        .withColumn("_pid", F.spark_partition_id())
-    run = Window.partitionBy("_pid", *g).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    local = ranged.withColumn("_before", F.coalesce(F.sum("_n").over(run), F.lit(0)))
+        .withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+    run = Window.partitionBy("_pid", *g).orderBy("_v")
+    local = ranged.select("*", F.coalesce(F.sum("_n").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+                          .alias("_before"))
     # one row per (partition, group): bounded by partitions + groups
-    tot = local.groupBy("_pid", *g).agg(F.sum("_n").alias("_pn"))
+    tot = ranged.groupBy("_pid", *g).agg(F.sum("_n").alias("_pn"))
     prior = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select("_pid", *g, F.coalesce(F.sum("_pn").over(prior), F.lit(0)).alias("_off"),
                       F.sum("_pn").over(Window.partitionBy(*g)).alias("_total"))

@@ -117,8 +117,9 @@ def semantic_search(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: s
     results = None
     # queries arrive partition by partition (never all at once) and are cut
     # into passes of at most MAX_QUERIES_PER_PASS vectors
+    qid_type = queries.schema[query_id].dataType
     for batch in _batches(queries.select(query_id, query_vec).toLocalIterator(), MAX_QUERIES_PER_PASS):
-        lit = F.array(*[F.struct(F.lit(r[0]).alias("qid"),
+        lit = F.array(*[F.struct(F.lit(r[0]).cast(qid_type).alias("qid"),
                                  F.array(*[F.lit(float(x)) for x in r[1]]).alias("qv")) for r in batch])
         scored = corpus.select(id_col, *extra, F.explode(F.transform(lit, lambda q: F.struct(
             q["qid"].alias("qid"), F.round(cosine_similarity(q["qv"], F.col(vec_col)), 4).alias("sim")))).alias("_s"))

@@ -12,6 +12,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.exprs import hour_start, ntz_lit
 from tessera.sources.files import table
 
 
@@ -163,11 +164,11 @@ def metric_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     the first event hour, so the detectors have something to find.
     """
     e = table(spark, sf_dir, "events")
-    hourly = e.groupBy("event_type", F.date_trunc("hour", "ts").alias("bucket")).agg(
+    hourly = e.groupBy("event_type", hour_start("ts").alias("bucket")).agg(
         F.count("*").alias("n"),
         F.round(F.sum(F.col("value").cast("decimal(18,2)")), 0).cast("double").alias("value_sum"))
-    t0 = e.agg(F.date_trunc("hour", F.min("ts"))).first()[0]        # one scalar
-    spike = F.col("bucket") == F.lit(t0 + dt.timedelta(hours=SPIKE_HOUR_OFFSET))
+    t0 = e.agg(hour_start(F.min("ts"))).first()[0]                 # one scalar
+    spike = F.col("bucket") == ntz_lit(t0 + dt.timedelta(hours=SPIKE_HOUR_OFFSET))
     h = hourly
     counts = h.select(
         F.concat(F.col("event_type"), F.lit(".count")).alias("metric"), "bucket",
@@ -219,7 +220,7 @@ def events_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
     d0 = e.agg(F.to_date(F.min("ts"))).first()[0]                 # one scalar
     j = e
-    is_base = F.col("ts") < F.lit(dt.datetime.combine(d0 + dt.timedelta(days=15), dt.time()))
+    is_base = F.col("ts") < ntz_lit(dt.datetime.combine(d0 + dt.timedelta(days=15), dt.time()))
     return j.select(
         "event_id", "ts", "event_type",
         F.when(is_base, F.lit("baseline")).otherwise(F.lit("current")).alias("window"),

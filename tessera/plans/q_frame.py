@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.exprs import day_start
 from tessera.operators import frame_ops as FO
 from tessera.plans.registry import register
 from tessera.sources.files import table
@@ -106,7 +107,7 @@ SELECT event_type, CAST(idx AS INTEGER) AS idx, CAST(days[idx + 1] AS TIMESTAMP)
        coalesce(CAST(counts[idx + 1] AS DOUBLE), 0.0) AS counts, coalesce(CAST(bigs[idx + 1] AS DOUBLE), 0.0) AS bigs FROM z""")
 def q_series_zip(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    d = e.groupBy("event_type", F.date_trunc("day", "ts").alias("day")).agg(
+    d = e.groupBy("event_type", day_start("ts").alias("day")).agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("value") > 100, 1)).alias("big"))
     # One array element per day: arrays are bounded by the calendar span.
     arr = d.groupBy("event_type").agg(

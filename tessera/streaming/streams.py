@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.exprs import safe_div, severity_from_z
+from tessera.functions.exprs import (hour_start, instant_to_ntz, ntz_lit, ntz_to_instant, safe_div,
+                                     severity_from_z)
 from tessera.session import scratch_dir
 
 # Source types a stream may be registered with.
@@ -62,7 +63,7 @@ def event_stream(spark: SparkSession, sf_dir: str, name: str = "events", max_fil
     s = (spark.readStream.schema(schema).option("pathGlobFilter", glob or f"{name}.parquet")
          .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
     if "ts" in s.columns:
-        s = s.withColumn("ts", F.col("ts").cast("timestamp"))
+        s = s.withColumn("ts", ntz_to_instant("ts"))
     return s
 
 
@@ -83,7 +84,7 @@ def run_foreach_batch(query_df: DataFrame, fn, checkpoint: str, mode: str = "app
 
 
 def _ntz(c: str) -> F.Column:
-    return F.col(c).cast("timestamp_ntz")
+    return instant_to_ntz(c)
 
 
 # --------------------------------------------------------------------------
@@ -227,7 +228,7 @@ def stream_lag(spark: SparkSession, sf_dir: str, alert_seconds: float = 3600.0)
     run_foreach_batch(agg, keep, out + "-checkpoint", mode="complete")
     r = spark.read.parquet(out)
     newest = F.max("last_ts").over(Window.partitionBy())   # one row per topic: bounded
-    lag = (F.unix_micros(newest) - F.unix_micros("last_ts")) / 1e6
+    lag = (F.unix_micros(newest) - F.unix_micros("last_ts")) / 1e6      # instants: zone-free
     return r.select(
         "event_type", _ntz("last_ts").alias("last_ts"), "events", lag.alias("lag_seconds"),
         (lag > alert_seconds).alias("alert"))
@@ -238,8 +239,8 @@ def hourly_baseline(events: DataFrame, days: int = 15) -> DataFrame:
     the first ``days`` days of the table."""
     import datetime as dt
     d0 = events.agg(F.to_date(F.min("ts"))).first()[0]                   # one scalar
-    e = events.filter(F.col("ts") < F.lit(dt.datetime.combine(d0 + dt.timedelta(days=days), dt.time())))
-    h = e.groupBy("event_type", F.date_trunc("hour", "ts").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    e = events.filter(F.col("ts") < ntz_lit(dt.datetime.combine(d0 + dt.timedelta(days=days), dt.time())))
+    h = e.groupBy("event_type", hour_start("ts").alias("h")).agg(F.count(F.lit(1)).alias("n"))
     return h.groupBy("event_type").agg(F.avg("n").alias("baseline_mean"), F.stddev_samp("n").alias("baseline_std"))
 
 
