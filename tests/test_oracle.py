@@ -43,3 +43,16 @@ def test_partition_invariance(spark, name):
 def test_entry_runs(spark):
     df = se.entry(spark)
     assert df.count() >= 0 and "total_revenue" in df.columns
+
+
+@pytest.mark.parametrize("name", ["kpi_summary_7d", "anomaly_detect", "audit_filter", "feature_drift",
+                                  "metrics_hourly", "stream_anomalies", "segments"])
+def test_session_time_zone_invariance(spark, con, name):
+    """Timestamps are zone-less: results must not depend on the session zone."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = se.queries()[name](spark, SF).toPandas()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert compare(got, con.sql(se.oracle_sql()[name]).df()) is None
