@@ -130,3 +130,14 @@ def ntz_to_instant(c) -> Column:
 def instant_to_ntz(c) -> Column:
     """TIMESTAMP -> TIMESTAMP_NTZ, the UTC wall clock (inverse of ntz_to_instant)."""
     return F.timestamp_add("MICROSECOND", F.unix_micros(col(c)), F.lit(EPOCH_NTZ).cast("timestamp_ntz"))
+
+
+# --- broadcast only behind a size check ---------------------------------------
+MAX_BROADCAST_ROWS = 100_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only when the row count is checked to be small (one
+    cheap job over at most max_rows + 1 rows); otherwise a plain join."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

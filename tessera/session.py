@@ -24,6 +24,8 @@ DEFAULT_CONF = {
     # MIN/MAX/COUNT answered from Parquet footers (used for as_of dates).
     "spark.sql.parquet.aggregatePushdown": "true",
     "spark.ui.enabled": "false",
+    # remove reliable-checkpoint files once their RDD is garbage collected
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.showConsoleProgress": "false",
 }
 

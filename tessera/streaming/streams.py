@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.exprs import (hour_start, instant_to_ntz, ntz_lit, ntz_to_instant, safe_div,
-                                     severity_from_z)
+from tessera.functions.exprs import (bounded_broadcast, hour_start, instant_to_ntz, ntz_lit, ntz_to_instant,
+                                     safe_div, severity_from_z)
 from tessera.session import scratch_dir
 
 # Source types a stream may be registered with.
@@ -244,15 +244,6 @@ def hourly_baseline(events: DataFrame, days: int = 15) -> DataFrame:
     return h.groupBy("event_type").agg(F.avg("n").alias("baseline_mean"), F.stddev_samp("n").alias("baseline_std"))
 
 
-MAX_BROADCAST_ROWS = 100_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the row count is checked to be small."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def stream_anomalies(spark: SparkSession, sf_dir: str, watermark: str = "1 hour") -> DataFrame:
     """Hourly counts per event type from the stream, scored against the static
     baseline; windows with |z| >= 2 are appended to an alerts table."""
