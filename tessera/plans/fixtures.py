@@ -51,7 +51,11 @@ SELECT user_id, event_type, floor(value)::DOUBLE AS value FROM events WHERE user
 
 # --- orders with categorical nulls and a binary label -------------------------
 def orders_dummies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    return derive_orders_dummies(table(spark, sf_dir, "orders"))
+
+
+def derive_orders_dummies(o: DataFrame) -> DataFrame:
+    """The orders_dummies derivation on any orders frame (batch or stream)."""
     hole = F.col("o_orderkey") % 19 == 0
     return o.select(
         "o_orderkey", "o_custkey",

@@ -97,28 +97,38 @@ def q_run_log(spark, sf_dir):
     return _runs(spark, sf_dir)
 
 
+def _scoring_input(spark, sf_dir):
+    """orders_dummies encoded for scoring, with the order key carried as ``key``
+    (o_orderkey itself is also a model feature, as a double)."""
+    od = fx.orders_dummies(spark, sf_dir).withColumn("key", F.col("o_orderkey"))
+    feats = [c for c in od.columns if c not in ("label", "key")]
+    enc, _ = ML.one_hot_encode(od, target="label", features=feats, keep=["key"])
+    return enc
+
+
+def _as_order_key(df):
+    return df.withColumnRenamed("key", "o_orderkey")
+
+
 @register("model_save_load")
 def q_model_save_load(spark, sf_dir):
     runs = _runs(spark, sf_dir).filter(F.col("problem_type") == "classification").first()
     model = ML.load_model(runs["artifact"])
-    od, _ = ML.one_hot_encode(fx.orders_dummies(spark, sf_dir), target="label")
-    return ML.classify(model, ML.align_features(od, list(runs["features"]), keep=["o_orderkey", "label"])) \
-        .select("o_orderkey", "label", "prediction")
+    x = ML.align_features(_scoring_input(spark, sf_dir), list(runs["features"]), keep=["key", "label"])
+    return _as_order_key(ML.classify(model, x).select("key", "label", "prediction"))
 
 
 @register("predict_batch")
 def q_predict_batch(spark, sf_dir):
     run = _clf(spark, sf_dir)
-    od, _ = ML.one_hot_encode(fx.orders_dummies(spark, sf_dir), target="label")
-    # the extra column o_totalprice-free label is ignored; a missing feature would be 0.0
-    return ML.predict_batch(run["model"], od, run["features"], keep=["o_orderkey"])
+    # features by name: a missing one would be 0.0, extra columns (label) are ignored
+    return _as_order_key(ML.predict_batch(run["model"], _scoring_input(spark, sf_dir), run["features"], keep=["key"]))
 
 
 @register("predict_proba")
 def q_predict_proba(spark, sf_dir):
     run = _clf(spark, sf_dir)
-    od, _ = ML.one_hot_encode(fx.orders_dummies(spark, sf_dir), target="label")
-    return ML.predict_proba(run["model"], od, run["features"], keep=["o_orderkey"])
+    return _as_order_key(ML.predict_proba(run["model"], _scoring_input(spark, sf_dir), run["features"], keep=["key"]))
 
 
 @register("feature_importance")

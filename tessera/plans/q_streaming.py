@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.plans import fixtures as fx
 from tessera.plans.registry import register
 from tessera.streaming import streams as S
 
@@ -77,18 +78,20 @@ def q_stream_score(spark, sf_dir):
     run = _clf(spark, sf_dir)
     feats = run["features"]
     model = ML.scorer(run["model"])
-    levels = {"o_orderstatus": ["O", "P"], "o_orderpriority": None}
+    labels = F.array(*[F.lit(x) for x in ML._labels(run["model"])])
 
     def score(stream):
-        cols = [F.col("o_orderkey"), F.col("o_orderkey").cast("double").alias("o_orderkey_f"),
+        od = fx.derive_orders_dummies(stream)
+        # the fitted feature names carry the dummy levels: {column}_{level}
+        cols = [F.col("o_orderkey").alias("key"), F.col("o_orderkey").cast("double").alias("o_orderkey"),
                 F.col("o_custkey").cast("double").alias("o_custkey")]
         for f in feats:
             for c in ("o_orderstatus", "o_orderpriority"):
                 if f.startswith(c + "_"):
                     cols.append(F.coalesce((F.col(c) == f[len(c) + 1:]).cast("double"), F.lit(0.0)).alias(f))
-        x = stream.select(*cols).withColumnRenamed("o_orderkey", "key").withColumnRenamed("o_orderkey_f", "o_orderkey")
+        x = od.select(*cols)
         return model.transform(ML.align_features(x, feats, keep=["key"])).select(
-            F.col("key").alias("o_orderkey"), F.col("_pred").alias("prediction_index"))
+            F.col("key").alias("o_orderkey"), F.col("_pred").alias("prediction_index"),
+            F.element_at(labels, F.col("_pred").cast("int") + 1).alias("prediction"))
 
-    del levels
     return S.stream_score(spark, S.event_stream(spark, sf_dir, name="orders"), score)

@@ -2,6 +2,8 @@
 input split into several files whose rows are out of order inside a file."""
 
 import pyspark.sql.functions as F
+import pytest
+from pyspark.sql import Window
 
 from tessera.operators import monitoring as M
 from tessera.streaming import streams as S
@@ -27,7 +29,7 @@ def test_throughput_stream_equals_batch(spark):
 def test_throughput_split_files_out_of_order(spark, tmp_path):
     e = spark.read.parquet(f"{SF}/events.parquet")
     # four time-ordered chunks, rows shuffled inside each file
-    chunks = e.withColumn("chunk", F.ntile(4).over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("ts")))
+    chunks = e.withColumn("chunk", F.ntile(4).over(Window.orderBy("ts")))
     src = tmp_path / "in"
     for k in range(1, 5):
         (chunks.filter(F.col("chunk") == k).drop("chunk").orderBy(F.rand(k)).coalesce(1)
@@ -105,13 +107,17 @@ def test_registered_iot_source_streams_json(spark, tmp_path):
     src = S.register_stream_source("sensors", "iot", {"path": str(land), "format": "json"})
     st = S.open_stream(spark, src, e.schema)
     assert st.isStreaming
-    out = S.run_available(st.groupBy("event_type").count(), str(tmp_path / "out"), mode="complete", fmt="memory") \
-        if False else None
     q = st.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")) \
         .trigger(availableNow=True).start(str(tmp_path / "sink"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "sink")).count() == 500
-    del out
-    import pytest
     with pytest.raises(ValueError):
         S.open_stream(spark, S.register_stream_source("x", "mqtt"), e.schema)
+
+
+def test_stream_score_equals_batch_predictions(spark):
+    import __spark_entry__ as se
+    small = "/root/testdata/sf0.001"
+    s = se.queries()["stream_score"](spark, small).select("o_orderkey", "prediction")
+    b = se.queries()["predict_batch"](spark, small).select("o_orderkey", "prediction")
+    assert rows(s) == rows(b)
