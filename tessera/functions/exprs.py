@@ -141,3 +141,16 @@ def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Data
     cheap job over at most max_rows + 1 rows); otherwise a plain join."""
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def spread(df: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """Hash-repartition to the session's shuffle partitions when the input has
+    fewer partitions than the cluster has cores (e.g. a few large unsplittable
+    files); otherwise unchanged. Partitioning on the join key lets a following
+    sort-merge join on that key reuse it."""
+    spark = df.sparkSession
+    par = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= par:
+        return df
+    n = max(par, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *[F.col(k) for k in key]) if key else df.repartition(n)

@@ -20,7 +20,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import day_start, money, money_sum, ntz_lit, pct_change, safe_div
+from tessera.functions.exprs import day_start, money, money_sum, ntz_lit, pct_change, safe_div, spread
 
 PERIODS = (7, 30, 90, 365)
 
@@ -90,7 +90,8 @@ def kpi_summary(lineitem: DataFrame, orders: DataFrame, events: DataFrame, perio
     cur, prev, prev2 = in_period("o_orderdate", b0, b1), in_period("o_orderdate", b1, b2), in_period("o_orderdate", b2, b3)
     o = o.withColumn("k", F.when(cur, 0).when(prev, 1).when(prev2, 2))
 
-    li = lineitem.select("l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
+    li = spread(lineitem.select("l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue")),
+                ["l_orderkey"])
     rev = li.join(o.filter(F.col("k") < 2), li.l_orderkey == o.o_orderkey).agg(
         money_sum(F.when(F.col("k") == 0, F.col("revenue"))).alias("revenue_0"),
         money_sum(F.when(F.col("k") == 1, F.col("revenue"))).alias("revenue_1"))
@@ -169,7 +170,8 @@ def metric_timeseries(lineitem: DataFrame, orders: DataFrame, events: DataFrame,
         lo = as_of - dt.timedelta(days=days)
         o = orders.select("o_orderkey", "o_custkey", "o_orderdate").filter(F.col("o_orderdate") > _ts(lo))
         if metric == "revenue":
-            li = lineitem.select("l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r"))
+            li = spread(lineitem.select("l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r")),
+                        ["l_orderkey"])
             daily = li.join(o, li.l_orderkey == o.o_orderkey).groupBy(F.to_date("o_orderdate").alias("day")) \
                 .agg(money_sum("r").alias("value"))
         else:

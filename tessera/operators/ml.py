@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.exprs import NUMERIC_TYPES
+from tessera.functions.exprs import spread as _spread
 
 MAX_LEVELS = 1000
 SEED = 42
@@ -177,12 +178,9 @@ def evaluate_classifier(model: PipelineModel, test: DataFrame) -> dict:
 
 
 def spread(df: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """Hash-repartition to the cluster's parallelism when the input has fewer
-    partitions (a single small file would otherwise train in one task)."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= par:
-        return df
-    return df.repartition(par, *[F.col(k) for k in key]) if key else df.repartition(par)
+    """Training input spread over the cluster (a single small file would
+    otherwise train in one task)."""
+    return _spread(df, key)
 
 
 def evaluate_regressor(model: PipelineModel, test: DataFrame, target: str) -> dict:

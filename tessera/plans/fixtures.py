@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import hour_start, ntz_lit
+from tessera.functions.exprs import hour_start, ntz_lit, spread
 from tessera.sources.files import table
 
 
@@ -114,8 +114,12 @@ def sales(spark: SparkSession, sf_dir: str, customer: bool = False, part: bool =
     without a shuffle.
     """
     get = source or (lambda t: table(spark, sf_dir, t))
-    li = get("lineitem").select(
-        "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
+    li = get("lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
+    if source is None:
+        # a fact scan thinner than the cluster is spread on the join key (no-op
+        # when the files already give enough partitions; a bucketed layout
+        # keeps its own partitioning)
+        li = spread(li, ["l_orderkey"])
     o = get("orders").select("o_orderkey", "o_custkey", "o_orderdate")
     df = li.join(o, li.l_orderkey == o.o_orderkey).drop("l_orderkey")
     df = df.withColumn("revenue", F.col("l_extendedprice") * (1 - F.col("l_discount")))
