@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import cosine_similarity
+from tessera.functions.exprs import cosine_similarity, spread
 
 # Intent keyword groups, checked in this order; the first group
 # with a keyword contained in the lower-cased prompt wins.
@@ -75,7 +75,8 @@ def index_documents(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
     the first that reaches the end of the text."""
     stride = size - overlap
     words = F.split(F.regexp_replace(F.col(text_col), "^[\\t\\n\\f\\r ]+|[\\t\\n\\f\\r ]+$", ""), WS, -1)
-    d = docs.select(key, words.alias("_w")).withColumn("_n", F.size("_w"))
+    # per-document work is heavy (regex split, joins): spread a thin scan first
+    d = spread(docs.select(key, text_col), [key]).select(key, words.alias("_w")).withColumn("_n", F.size("_w"))
     n_chunks = F.when(F.col("_n") <= size, F.lit(1)).otherwise(
         F.ceil((F.col("_n") - size) / F.lit(stride)).cast("int") + 1)
 
