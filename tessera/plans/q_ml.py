@@ -118,6 +118,34 @@ def q_model_save_load(spark, sf_dir):
     return _as_order_key(ML.classify(model, x).select("key", "label", "prediction"))
 
 
+@register("model_save")
+def q_model_save(spark, sf_dir):
+    """Saved artifacts: one row per fitted model with its path (overwrite on save)."""
+    return _runs(spark, sf_dir).select("model_name", "model_type", "problem_type", "target", "features", "artifact")
+
+
+@register("model_load")
+def q_model_load(spark, sf_dir):
+    """Every saved model loaded back and applied to its own input."""
+    runs = _runs(spark, sf_dir)
+    out = None
+    for r in runs.collect():                       # one row per saved model
+        model = ML.load_model(r["artifact"])
+        if r["problem_type"] == "classification":
+            x = ML.align_features(_scoring_input(spark, sf_dir), list(r["features"]), keep=["key"])
+            pred = ML.classify(model, x).select(F.col("key").cast("string").alias("row_key"),
+                                                F.col("prediction").cast("string").alias("prediction"))
+        else:
+            li = _lineitem_reg(spark, sf_dir).withColumn("key", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+            enc, _ = ML.one_hot_encode(li, target="l_extendedprice", keep=["key"],
+                                       features=["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"])
+            pred = model.transform(ML.align_features(enc, list(r["features"]), keep=["key"])).select(
+                F.col("key").alias("row_key"), F.round("prediction", 4).cast("string").alias("prediction"))
+        pred = pred.select(F.lit(r["model_name"]).alias("model_name"), "row_key", "prediction")
+        out = pred if out is None else out.unionByName(pred)
+    return out
+
+
 @register("predict_batch")
 def q_predict_batch(spark, sf_dir):
     run = _clf(spark, sf_dir)
