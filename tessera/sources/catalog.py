@@ -18,12 +18,18 @@ CATALOG_SCHEMA = ("name string, source_type string, file_path string, rows bigin
 
 
 def _size_bytes(df: DataFrame):
-    """Sum of input file sizes from the hidden ``_metadata`` column, if file based."""
-    try:
-        files = df.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s")).distinct()
-        return files.agg(F.sum("s")).first()[0]
-    except Exception:  # noqa: BLE001 - not a file source
+    """Sum of the input file sizes, from file-system metadata (no Spark job);
+    None when the DataFrame is not file based."""
+    files = df.inputFiles()
+    if not files:
         return None
+    sc = df.sparkSession.sparkContext
+    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+    total = 0
+    for f in files:
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        total += p.getFileSystem(conf).getFileStatus(p).getLen()
+    return int(total)
 
 
 def dataset_records(spark: SparkSession, datasets: list[tuple[str, str, str | None, DataFrame]],

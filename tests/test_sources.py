@@ -43,3 +43,22 @@ def test_stream_source_validation():
     assert register_stream_source("s", "IoT")["status"] == "registered"
     assert register_stream_source("s", "web_logs")["status"] == "registered"
     assert register_stream_source("s", "mqtt")["status"] == "rejected"
+
+
+def test_catalog_register_list_export(spark, tmp_path):
+    import json
+    import os
+
+    from tessera.sources import catalog as C
+    sf = "/root/testdata/sf0.001"
+    cat = str(tmp_path / "cat")
+    C.register_datasets(spark, cat, [(t, "parquet", f"{sf}/{t}.parquet", spark.read.parquet(f"{sf}/{t}.parquet"))
+                                     for t in ("nation", "region")])
+    C.register_datasets(spark, cat, [("orders", "parquet", f"{sf}/orders.parquet", spark.read.parquet(f"{sf}/orders.parquet"))])
+    rows = C.list_datasets(spark, cat).collect()
+    assert [r["name"] for r in rows][0] == "orders"           # newest first
+    got = {r["name"]: r for r in rows}
+    assert got["nation"]["rows"] == 25 and got["nation"]["columns"] == 3
+    assert got["orders"]["size_bytes"] == os.path.getsize(f"{sf}/orders.parquet")
+    doc = json.loads(C.export_dataset(spark, cat, "region").first()["document"])
+    assert doc["rows"] == 5 and json.loads(doc["schema"])["fields"][0]["name"] == "r_regionkey"
