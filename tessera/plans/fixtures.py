@@ -252,7 +252,12 @@ def alert_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     alert_id = node-{user_id % 6}-{yyyy-MM-dd}; rows (alert_id, event_id, ts,
     severity, title, resolved).
     """
-    e = table(spark, sf_dir, "events").filter(F.col("event_type").isin("error", "purchase"))
+    return derive_alert_log(table(spark, sf_dir, "events"))
+
+
+def derive_alert_log(events: DataFrame) -> DataFrame:
+    """The alert_log derivation on any events frame (batch or stream, ts NTZ)."""
+    e = events.filter(F.col("event_type").isin("error", "purchase"))
     return e.select(
         F.format_string("node-%d-%s", F.col("user_id") % 6, F.date_format("ts", "yyyy-MM-dd")).alias("alert_id"),
         "event_id", "ts",

@@ -95,3 +95,20 @@ def q_stream_score(spark, sf_dir):
             F.element_at(labels, F.col("_pred").cast("int") + 1).alias("prediction"))
 
     return S.stream_score(spark, S.event_stream(spark, sf_dir, name="orders"), score)
+
+
+@register("stream_metrics_hourly", f"""
+SELECT date_trunc('hour', ts) AS hour, count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS errors,
+       round(count(*) FILTER (WHERE event_type = 'error') * 100.0::DOUBLE / nullif(count(*), 0), 2) AS error_rate,
+       round(quantile_cont(value, 0.99), 4) AS p99_latency
+FROM events WHERE {CLOSED} GROUP BY 1""")
+def q_stream_metrics_hourly(spark, sf_dir):
+    return S.stream_metrics_hourly(spark, sf_dir)
+
+
+@register("stream_alert_state", f"""
+WITH al AS ({fx.ALERT_LOG_SQL}),
+r AS (SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY ts DESC, event_id DESC) AS rn FROM al)
+SELECT alert_id, event_id, ts, severity, title, resolved FROM r WHERE rn = 1""")
+def q_stream_alert_state(spark, sf_dir):
+    return S.stream_alert_state(spark, sf_dir, fx.derive_alert_log)

@@ -268,3 +268,47 @@ def stream_score(spark: SparkSession, stream: DataFrame, transform, out: str | N
     out = out or scratch_dir(spark, "scored")
     run_available(transform(stream), out)
     return spark.read.parquet(out)
+
+
+def stream_metrics_hourly(spark: SparkSession, sf_dir: str, watermark: str = "1 hour", approx: bool = False,
+                          source: DataFrame | None = None) -> DataFrame:
+    """Monitoring on the stream: per closed hour requests, errors, error_rate
+    and p99 latency. The p99 state is one value map per open window (bounded
+    by the watermark); ``approx=True`` keeps a fixed-size sketch instead."""
+    out = scratch_dir(spark, "hourly")
+    ev = source if source is not None else event_stream(spark, sf_dir)
+    p99 = F.percentile_approx("value", 0.99, 10000) if approx else F.percentile("value", 0.99)
+    agg = ev.withWatermark("ts", watermark).groupBy(F.window("ts", "1 hour").alias("w")).agg(
+        F.count(F.lit(1)).alias("requests"), F.count(F.when(F.col("event_type") == "error", 1)).alias("errors"),
+        p99.alias("p99"))
+    run_available(agg.select(F.col("w.start").alias("hour"), "requests", "errors", "p99"), out)
+    r = spark.read.parquet(out)
+    return r.select(_ntz("hour").alias("hour"), "requests", "errors",
+                    F.round(safe_div(F.col("errors") * 100.0, F.col("requests")), 2).alias("error_rate"),
+                    F.round("p99", 4).alias("p99_latency"))
+
+
+def stream_alert_state(spark: SparkSession, sf_dir: str, derive, key: str = "alert_id",
+                       order_cols=("ts", "event_id"), source: DataFrame | None = None,
+                       state_dir: str | None = None) -> DataFrame:
+    """Upsert by key, last write wins, on a stream of change records.
+
+    ``derive`` maps the raw stream (ts as TIMESTAMP_NTZ) to change rows. Each
+    micro-batch is reduced to its latest row per key (partial aggregate),
+    merged with the latest committed state version on storage and written as
+    the next version, so restarts and replayed epochs resume correctly."""
+    from tessera.operators.monitoring import latest_per_key
+    state_dir = state_dir or scratch_dir(spark, "alert-state")
+    ev = source if source is not None else event_stream(spark, sf_dir)
+    changes = derive(ev.withColumn("ts", instant_to_ntz("ts")))
+
+    def merge(batch: DataFrame, epoch: int):
+        cur = latest_per_key(batch, key, list(order_cols))
+        prev = committed_versions(batch.sparkSession, state_dir, before=epoch)
+        if prev:
+            cur = latest_per_key(cur.unionByName(batch.sparkSession.read.parquet(prev[-1])), key, list(order_cols))
+        cur.write.mode("overwrite").parquet(f"{state_dir}/v{epoch:08d}")
+
+    run_foreach_batch(changes, merge, state_dir + "-checkpoint")
+    latest = committed_versions(spark, state_dir)
+    return spark.read.parquet(latest[-1]) if latest else spark.createDataFrame([], changes.schema)

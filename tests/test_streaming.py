@@ -121,3 +121,23 @@ def test_stream_score_equals_batch_predictions(spark):
     s = se.queries()["stream_score"](spark, small).select("o_orderkey", "prediction")
     b = se.queries()["predict_batch"](spark, small).select("o_orderkey", "prediction")
     assert rows(s) == rows(b)
+
+
+def test_alert_state_stream_equals_batch_across_restart(spark, tmp_path):
+    import glob
+    import shutil
+
+    from tessera.plans import fixtures as fx
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    e.repartition(4, "event_id").write.parquet(str(tmp_path / "parts"))
+    files = sorted(glob.glob(str(tmp_path / "parts" / "*.parquet")))
+    src = tmp_path / "w"
+    src.mkdir()
+    state = str(tmp_path / "state")
+    for batch in (files[:2], files[2:]):
+        for f in batch:
+            shutil.copy(f, src)
+        got = S.stream_alert_state(spark, SF, fx.derive_alert_log, state_dir=state,
+                                   source=S.event_stream(spark, str(src), glob="*.parquet", schema=e.schema))
+    want = M.alert_state(fx.alert_log(spark, SF))
+    assert rows(got) == rows(want)
