@@ -49,3 +49,23 @@ def q_report_dataset(spark, sf_dir):
 @register("daily_run")
 def q_daily_run(spark, sf_dir):
     return daily_run(spark, sf_dir)
+
+
+ORDERS_NUM = ["o_orderkey", "o_custkey", "o_totalprice"]
+
+
+def _charts_sql() -> str:
+    from tessera.plans.q_profile import _corr_sql, _hist_sql
+    return f"""
+WITH h AS ({_hist_sql("orders", ORDERS_NUM)}),
+c AS ({_corr_sql("orders", ORDERS_NUM)})
+SELECT 'profiling_charts' AS section, 'orders.' || column_name || '.' || CAST(bin AS VARCHAR) AS item,
+       'count' AS metric, CAST("count" AS DOUBLE) AS value FROM h
+UNION ALL
+SELECT 'profiling_charts', 'orders.' || col_a || '.' || col_b, 'corr', corr FROM c"""
+
+
+@register("report_profiling_charts", _charts_sql())
+def q_report_profiling_charts(spark, sf_dir):
+    from tessera.plans.reports import profiling_charts
+    return profiling_charts(table(spark, sf_dir, "orders"), "orders")
