@@ -16,7 +16,7 @@ fit in one job. The calendar is bounded by (series x days in span).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HORIZON_MIN, HORIZON_MAX = 7, 365
@@ -40,27 +40,28 @@ def gap_fill(daily: DataFrame, series: str = "series", day: str = "day", value:
         series, day, F.coalesce(F.col(value), F.lit(0.0)).alias(value))
 
 
-def _with_t(filled: DataFrame, series: str, day: str) -> DataFrame:
-    first = filled.groupBy(series).agg(F.min(day).alias("_first"))
-    return filled.join(first, series).withColumn("t", F.datediff(day, "_first")).drop("_first")
-
-
 def fit(filled: DataFrame, series: str = "series", day: str = "day", value: str = "value"):
     """Returns (params, season): params per series (n, intercept, slope, sigma,
-    last_day, last_t, last_value), season per (series, dow, season)."""
-    d = _with_t(filled, series, day)
-    ols = d.groupBy(series).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.regr_intercept(value, "t").alias("intercept"), F.regr_slope(value, "t").alias("slope"),
-        F.max("t").alias("last_t"), F.max(day).alias("last_day"),
-        F.max_by(value, "t").alias("last_value"))
-    r = d.join(ols.select(series, "intercept", "slope"), series).withColumn(
-        "resid", F.col(value) - (F.coalesce("intercept", F.lit(0.0)) + F.coalesce("slope", F.lit(0.0)) * F.col("t"))) \
+    last_day, last_t, last_value, and the weekday seasons as a <= 7-item
+    array), season per (series, dow, season).
+
+    Every step is a window or aggregate keyed by the series, so the filled
+    series is shuffled once (hash on the series also clusters (series, dow)).
+    A window partition holds one series' days: bounded by the calendar span,
+    whatever the series' share of the raw data."""
+    by_series = Window.partitionBy(series)
+    d = filled.withColumn("t", F.datediff(F.col(day), F.min(day).over(by_series)))
+    d = d.withColumn("_b0", F.regr_intercept(value, "t").over(by_series)) \
+        .withColumn("_b1", F.regr_slope(value, "t").over(by_series))
+    d = d.withColumn("resid", F.col(value) - (F.coalesce("_b0", F.lit(0.0)) + F.coalesce("_b1", F.lit(0.0)) * F.col("t"))) \
         .withColumn("dow", F.col("t") % 7)
-    season = r.groupBy(series, "dow").agg(F.avg("resid").alias("season"))
-    sigma = r.join(season, [series, "dow"]).groupBy(series).agg(
-        F.stddev_samp(F.col("resid") - F.col("season")).alias("sigma"))
-    params = ols.join(sigma, series)
+    d = d.withColumn("season", F.avg("resid").over(Window.partitionBy(series, "dow")))
+    params = d.groupBy(series).agg(
+        F.count(F.lit(1)).alias("n"), F.first("_b0").alias("intercept"), F.first("_b1").alias("slope"),
+        F.stddev_samp(F.col("resid") - F.col("season")).alias("sigma"),
+        F.max("t").alias("last_t"), F.max(day).alias("last_day"), F.max_by(value, "t").alias("last_value"),
+        F.sort_array(F.collect_set(F.struct("dow", "season"))).alias("_s"))
+    season = params.select(series, F.inline("_s"))
     return params, season
 
 
@@ -75,9 +76,12 @@ def project(params: DataFrame, season: DataFrame, horizon: int = 30, z: float =
             series: str = "series") -> DataFrame:
     """(series, step, day, value, lower, upper) for step 1..h (h in [7, 365])."""
     h = clamp_horizon(horizon)
-    s_arr = season.groupBy(series).agg(F.sort_array(F.collect_list(F.struct("dow", "season"))).alias("_s"))
-    # at most 7 elements per series (one per weekday)
-    p = params.join(s_arr, series)
+    if "_s" in params.columns:
+        p = params                              # seasons already on the row (from ``fit``)
+    else:
+        s_arr = season.groupBy(series).agg(F.sort_array(F.collect_list(F.struct("dow", "season"))).alias("_s"))
+        # at most 7 elements per series (one per weekday)
+        p = params.join(s_arr, series)
 
     def s_at(t):
         return F.coalesce(F.element_at(F.filter("_s", lambda x: x["dow"] == t % 7), 1)["season"], F.lit(0.0))
