@@ -127,8 +127,8 @@ def backtest(filled: DataFrame, holdout: int = 14, z: float = 1.96, series: str
              day: str = "day", value: str = "value") -> DataFrame:
     """Hold out the last ``holdout`` days of each series, fit on the rest,
     forecast them: (series, points, mae, mape); zero actuals are left out of MAPE."""
-    ends = filled.groupBy(series).agg(F.max(day).alias("_end"))
-    tagged = filled.join(ends, series).withColumn("_test", F.col(day) > F.date_sub("_end", holdout))
+    tagged = filled.withColumn("_end", F.max(day).over(Window.partitionBy(series))) \
+        .withColumn("_test", F.col(day) > F.date_sub("_end", holdout))
     train = tagged.filter(~F.col("_test")).select(series, day, value)
     test = tagged.filter(F.col("_test")).select(series, F.col(day).cast("timestamp_ntz").alias("day"),
                                                  F.col(value).alias("actual"))

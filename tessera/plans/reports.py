@@ -30,7 +30,7 @@ def executive_summary(spark: SparkSession, sf_dir: str, period: int = 365) -> Da
     kpi = A.kpi_summary(li, o, ev, period=period).filter(F.col("metric").isin("revenue", "orders", "customers"))
     sales = kpi.select(F.lit("executive_summary").alias("section"), F.lit("sales").alias("item"),
                        F.concat(F.col("metric"), F.lit(f"_{period}d")).alias("metric"), F.col("value"))
-    traffic = _long(M.metrics_summary(ev), "executive_summary", F.lit("platform"), ["events_per_min", "error_rate"]) \
+    traffic = _long(M.metrics_summary(ev, with_p99=False), "executive_summary", F.lit("platform"), ["events_per_min", "error_rate"]) \
         .unionByName(_long(M.uptime_percent(ev), "executive_summary", F.lit("platform"), ["uptime_pct"]))
     an = AN.anomaly_summary(AN.detect_anomalies(AN.anomaly_zscore(fx.metric_series(spark, sf_dir))))
     an = _long(an, "executive_summary", F.lit("anomalies"), ["total", "open", "critical"])
