@@ -130,6 +130,8 @@ def profile_categorical_stats(df: DataFrame, cols: list[str] | None = None) -> D
     Ties for the top value go to the smallest value (pandas takes the first
     one seen, which depends on file order)."""
     cols = cols if cols is not None else categorical_columns(df)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column_name string, count bigint, unique bigint, top string, freq bigint")
     vc = _value_counts(df, cols)
     nn = F.col("value").isNotNull()
     best = F.min(F.when(nn, F.struct((-F.col("n")).alias("neg"), F.col("value").alias("v"))))
@@ -166,6 +168,8 @@ def profile_duplicates(df: DataFrame) -> DataFrame:
 def profile_unique(df: DataFrame, cols: list[str] | None = None, approx: bool = False) -> DataFrame:
     """(column_name, unique_values): distinct values, null counted as a value."""
     cols = cols if cols is not None else df.columns
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column_name string, unique_values bigint")
     if approx:
         wide = df.agg(*[(F.approx_count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(f"u{i}")
                         for i, c in enumerate(cols)])
@@ -215,6 +219,8 @@ def profile_outliers(df: DataFrame, cols: list[str] | None = None, approx: bool
                      method: str | None = None) -> DataFrame:
     """(column_name, q1, q3, outliers): Tukey fences, strict; iqr == 0 -> 0."""
     cols = cols if cols is not None else numeric_columns(df)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column_name string, q1 double, q3 double, outliers bigint")
     vals = {c: _num(df, c) for c in cols}
     # pass 1: quartiles (two numbers per column, collected)
     got = {r["column_name"]: r["quantiles"] for r in _column_quantiles(df, cols, [0.25, 0.75], _method(approx, method)).collect()}
@@ -264,6 +270,8 @@ def profile_histogram(df: DataFrame, cols: list[str] | None = None, bins: int =
     """
     cols = cols if cols is not None else numeric_columns(df)
     spark = df.sparkSession
+    if not cols:
+        return spark.createDataFrame([], "column_name string, bin int, lower double, upper double, count bigint")
 
     def finite(c):
         v = _num(df, c)

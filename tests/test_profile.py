@@ -160,3 +160,14 @@ def test_pca_needs_two_columns(spark):
     df = spark.createDataFrame([(1.0,), (2.0,)], "a double")
     coords, ratio = P.profile_pca(df, ["a"])
     assert coords.count() == 0 and ratio.count() == 0
+
+
+def test_tables_without_numeric_or_string_columns(spark):
+    s_only = spark.createDataFrame([("a",), ("b",)], "s string")
+    n_only = spark.createDataFrame([(1.0,), (2.0,)], "x double")
+    assert P.profile_numeric_stats(s_only).count() == 0
+    assert P.profile_histogram(s_only).count() == 0
+    assert P.profile_outliers(s_only).count() == 0
+    assert P.profile_categorical_stats(n_only).count() == 0
+    assert P.column_stats_sorted(s_only).count() == 1
+    assert P.profile_dataset(s_only).count() > 0
