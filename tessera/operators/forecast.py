@@ -53,7 +53,9 @@ def fit(filled: DataFrame, series: str = "series", day: str = "day", value: str
     d = filled.withColumn("t", F.datediff(F.col(day), F.min(day).over(by_series)))
     d = d.withColumn("_b0", F.regr_intercept(value, "t").over(by_series)) \
         .withColumn("_b1", F.regr_slope(value, "t").over(by_series))
-    d = d.withColumn("resid", F.col(value) - (F.coalesce("_b0", F.lit(0.0)) + F.coalesce("_b1", F.lit(0.0)) * F.col("t"))) \
+    # fewer than two points: no trend line, so nothing is left to call season
+    d = d.withColumn("resid", F.when(F.col("_b1").isNull(), F.lit(0.0))
+                     .otherwise(F.col(value) - (F.col("_b0") + F.col("_b1") * F.col("t")))) \
         .withColumn("dow", F.col("t") % 7)
     d = d.withColumn("season", F.avg("resid").over(Window.partitionBy(series, "dow")))
     params = d.groupBy(series).agg(
@@ -84,7 +86,7 @@ def project(params: DataFrame, season: DataFrame, horizon: int = 30, z: float =
         p = params.join(s_arr, series)
 
     def s_at(t):
-        return F.coalesce(F.element_at(F.filter("_s", lambda x: x["dow"] == t % 7), 1)["season"], F.lit(0.0))
+        return F.coalesce(F.try_element_at(F.filter("_s", lambda x: x["dow"] == t % 7), F.lit(1))["season"], F.lit(0.0))
 
     steps = p.select("*", F.explode(F.sequence(F.lit(1), F.lit(h))).alias("step"))
     v = F.col("last_value") + F.coalesce("slope", F.lit(0.0)) * F.col("step") \

@@ -48,6 +48,8 @@ def audit_filter(log: DataFrame, ts_col: str, action_col: str, days: int | None
     if days:
         if as_of is None:
             as_of = log.agg(F.max(ts_col)).first()[0]
+        if as_of is None:                      # empty log
+            return out.limit(0)
         out = out.filter(F.col(ts_col) >= ntz_lit(as_of - dt.timedelta(days=int(days))))
     if token and token != "all":
         out = out.filter(F.col(action_col).contains(token))

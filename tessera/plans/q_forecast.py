@@ -23,7 +23,8 @@ def _fit_ctes(src: str, p: str) -> str:
 {p}d AS (SELECT s.series, s.day, s.value, date_diff('day', f.d0, s.day) AS t FROM {src} s JOIN {p}first f USING (series)),
 {p}ols AS (SELECT series, count(*) AS n, regr_intercept(value, t) AS intercept, regr_slope(value, t) AS slope,
               max(t) AS last_t, max(day) AS last_day, arg_max(value, t) AS last_value FROM {p}d GROUP BY 1),
-{p}r AS (SELECT d.series, d.t, d.value - (coalesce(o.intercept, 0.0) + coalesce(o.slope, 0.0) * d.t) AS resid, d.t % 7 AS dow
+{p}r AS (SELECT d.series, d.t, CASE WHEN o.slope IS NULL THEN 0.0 ELSE d.value - (o.intercept + o.slope * d.t) END AS resid,
+                d.t % 7 AS dow
          FROM {p}d d JOIN {p}ols o USING (series)),
 {p}se AS (SELECT series, dow, avg(resid) AS season FROM {p}r GROUP BY 1, 2),
 {p}sg AS (SELECT r.series, stddev_samp(r.resid - s.season) AS sigma FROM {p}r r JOIN {p}se s USING (series, dow) GROUP BY 1),

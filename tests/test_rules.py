@@ -77,3 +77,17 @@ def test_anomaly_explain_unknown_id_is_empty(spark):
     assert AN.anomaly_explain(a, ids).count() == 0
     # the injected spike is found and is critical
     assert a.filter("severity = 'CRITICAL'").count() >= 1
+
+
+def test_degenerate_inputs(spark):
+    import datetime as dt
+
+    from tessera.operators import forecast as FC
+    from tessera.operators import frame_ops as FO
+    one = spark.createDataFrame([("s", dt.date(2024, 1, 1), 5.0)], "series string, day date, value double")
+    fc = FC.project(*FC.fit(FC.gap_fill(one)), horizon=7).collect()
+    assert len(fc) == 7 and all(r["value"] == 5.0 for r in fc)      # flat from the last value
+    empty = spark.createDataFrame([], "ts timestamp_ntz, event_type string")
+    assert FO.audit_filter(empty, "ts", "event_type", days=7).count() == 0
+    win = spark.createDataFrame([("a", "baseline", 1.0), ("a", "baseline", 2.0)], "f string, w string, v double")
+    assert D.feature_psi(win, "f", "w", "v").first()["status"] == "WARNING"   # no current data at all
