@@ -153,6 +153,12 @@ def stream_recent(spark: SparkSession, sf_dir: str, n: int = 8, max_files: int =
     return spark.read.parquet(latest[-1]).withColumn("ts", _ntz("ts"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def committed_versions(spark: SparkSession, state_dir: str, before: int | None = None) -> list[str]:
     """State versions ``v{epoch}`` under ``state_dir`` whose write committed
     (``_SUCCESS`` present), oldest first, optionally only epochs < ``before``."""
@@ -208,8 +214,32 @@ def stream_schema_guard(spark: SparkSession, sf_dir: str, landing: str | None =
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in ev.schema.fields])
     lines = spark.readStream.text(landing)
     out = landing + "-guarded"
-    run_available(schema_guard(lines, schema), out)
-    return spark.read.parquet(out)
+
+    def split(batch: DataFrame, epoch: int):
+        # two sinks: parsed rows and the quarantine of raw text; one folder per
+        # epoch, overwritten when an epoch is replayed after a failure
+        batch.persist()
+        batch.filter(F.col("status") == "valid").drop("raw") \
+            .write.mode("overwrite").parquet(f"{out}/valid/epoch={epoch}")
+        batch.filter(F.col("status") == "quarantine").select("raw") \
+            .write.mode("overwrite").parquet(f"{out}/quarantine/epoch={epoch}")
+        batch.unpersist()
+
+    run_foreach_batch(schema_guard(lines, schema), split, out + "-checkpoint")
+    return guarded_outputs(spark, out, schema)
+
+
+def guarded_outputs(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
+    """Valid rows and quarantined raw records of a schema-guard run, as one
+    table (status 'valid' / 'quarantine')."""
+    valid_schema = T.StructType(schema.fields + [T.StructField("status", T.StringType())])
+    if not _exists(spark, f"{out}/valid"):              # nothing arrived
+        return spark.createDataFrame([], T.StructType(valid_schema.fields + [T.StructField("raw", T.StringType())]))
+    valid = spark.read.schema(valid_schema).parquet(f"{out}/valid").drop("epoch")
+    quarantine = spark.read.schema("raw string").parquet(f"{out}/quarantine").drop("epoch")
+    bad = quarantine.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields],
+                            F.lit("quarantine").alias("status"), "raw")
+    return valid.withColumn("raw", F.lit(None).cast("string")).unionByName(bad)
 
 
 def stream_lag(spark: SparkSession, sf_dir: str, alert_seconds: float = 3600.0) -> DataFrame:
