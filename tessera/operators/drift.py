@@ -20,6 +20,8 @@ from tessera.operators.quantiles import quantile_arrays
 DRIFT_THRESHOLD = 0.05
 BINS = 10
 FLOOR = 1e-6
+# above this many features the edges are joined instead of inlined as a literal
+MAX_LITERAL_FEATURES = 5000
 
 
 def _edges(n: int = BINS):
@@ -39,19 +41,29 @@ def feature_psi(df: DataFrame, feature: str, window: str, value: str, baseline:
     qs = _edges()
     spark = df.sparkSession
     base = df.filter(F.col(window) == baseline).select(F.col(feature).alias("feature"), F.col(value).alias("v"))
-    edges = {r["feature"]: r["quantiles"] for r in
-             quantile_arrays(base, "v", qs, ["feature"], "sketch" if approx else "distributed").collect()}
-    if not edges:
-        return spark.createDataFrame([], "feature string, psi double, status string")
-    edge_map = F.create_map(*[x for f, e in edges.items() for x in (F.lit(f), F.array(*[F.lit(float(v)) for v in e]))])
+    edge_df = quantile_arrays(base, "v", qs, ["feature"], "sketch" if approx else "distributed") \
+        .withColumnRenamed("quantiles", "edges")
     tagged = df.filter(F.col(window).isin(baseline, current)).select(
         F.col(feature).alias("feature"), F.col(window).alias("w"), F.col(value).alias("v"))
-    ed = F.element_at(edge_map, F.col("feature"))
-    binned = tagged.filter(ed.isNotNull()).select(
-        "feature", "w", F.size(F.filter(ed, lambda e: F.col("v") > e)).alias("bin"))
+    n_features = edge_df.count()
+    if n_features == 0:
+        return spark.createDataFrame([], "feature string, psi double, status string")
+    if n_features <= MAX_LITERAL_FEATURES:
+        # few features: edges as a literal map, no join at all
+        edges = {r["feature"]: r["edges"] for r in edge_df.collect()}
+        edge_map = F.create_map(*[x for f, e in edges.items() for x in (F.lit(f), F.array(*[F.lit(float(v)) for v in e]))])
+        ed = F.element_at(edge_map, F.col("feature"))
+        binned = tagged.filter(ed.isNotNull()).select(
+            "feature", "w", F.size(F.filter(ed, lambda e: F.col("v") > e)).alias("bin"))
+        grid = spark.createDataFrame([(f, b, None, 0) for f in edges for b in range(BINS)],
+                                     "feature string, bin int, w string, n bigint")
+    else:
+        # many features: an equi-join on the feature key (a data column here)
+        binned = tagged.join(edge_df, "feature").select(
+            "feature", "w", F.size(F.filter("edges", lambda e: F.col("v") > e)).alias("bin"))
+        grid = edge_df.select("feature", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))).alias("bin"),
+                              F.lit(None).cast("string").alias("w"), F.lit(0).cast("bigint").alias("n"))
     counts = binned.groupBy("feature", "w", "bin").agg(F.count(F.lit(1)).alias("n"))
-    grid = spark.createDataFrame([(f, b, None, 0) for f in edges for b in range(BINS)],
-                                 "feature string, bin int, w string, n bigint")
     per = counts.unionByName(grid).groupBy("feature", "bin").agg(
         F.sum(F.when(F.col("w") == baseline, F.col("n")).otherwise(0)).alias("nb"),
         F.sum(F.when(F.col("w") == current, F.col("n")).otherwise(0)).alias("nc"))
