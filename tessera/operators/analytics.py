@@ -20,7 +20,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import day_start, money, money_sum, ntz_lit, pct_change, safe_div, spread
+from tessera.functions.exprs import day_start, money_sum, ntz_lit, pct_change, safe_div, spread
 
 PERIODS = (7, 30, 90, 365)
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.exprs import NUMERIC_TYPES, is_missing, numeric_columns
+from tessera.functions.exprs import is_missing, numeric_columns
 from tessera.operators.quantiles import quantile_arrays
 
 QUARTILES = [0.25, 0.5, 0.75]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tessera.plans.registry import register
 from tessera.session import scratch_dir
 from tessera.sources import catalog as C
