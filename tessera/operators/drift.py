@@ -4,8 +4,7 @@ current window, per feature.
 Bin edges are the baseline deciles of each feature; a value falls in bin
 b = number of edges strictly below it (0..9). PSI = sum over bins of
 (q - p) * ln(q / p) with shares floored at 1e-6. Everything is a grouped
-aggregate keyed by feature; the (feature x bin) grid is bounded by the number
-of features times 10.
+aggregate keyed by feature; the (feature x bin) grid has 10 rows per feature.
 """
 
 from __future__ import annotations
@@ -32,12 +31,13 @@ def feature_psi(df: DataFrame, feature: str, window: str, value: str, baseline:
                 current: str = "current", approx: bool = False, threshold: float = DRIFT_THRESHOLD) -> DataFrame:
     """(feature, psi, status) for rows tagged ``window`` in {baseline, current}.
 
-    Pass 1 computes the baseline deciles per feature (exact, distributed) and
-    collects them: features x 9 numbers. Pass 2 bins every row with those
-    edges as a literal map, counts per (feature, window, bin), zero-fills from
-    the (feature x bin) grid by a union and folds to PSI with one more
-    aggregate. No join: the plan stays free of pairwise joins even when the
-    feature column is a constant."""
+    Pass 1 computes the baseline deciles per feature (exact, distributed).
+    Up to MAX_LITERAL_FEATURES features, they are collected (features x 9
+    numbers) and every row is binned through a literal map, so the plan has no
+    join even when the feature column is a constant; beyond that the edges
+    table is equi-joined on the feature. Counts per (feature, window, bin) are
+    zero-filled from the (feature x bin) grid by a union and folded to PSI by
+    one more aggregate."""
     qs = _edges()
     spark = df.sparkSession
     base = df.filter(F.col(window) == baseline).select(F.col(feature).alias("feature"), F.col(value).alias("v"))
