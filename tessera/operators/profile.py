@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.exprs import is_missing, numeric_columns
+from tessera.functions.exprs import is_missing, numeric_columns, spread
 from tessera.operators.quantiles import quantile_arrays
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -190,22 +190,48 @@ def profile_correlations(df: DataFrame, cols: list[str] | None = None) -> DataFr
     """Pearson matrix in long form (i, j, col_a, col_b, corr), pairwise-complete.
 
     Undefined correlations (constant column, < 2 complete pairs) are 0.0, also
-    on the diagonal. One aggregate with k(k+1)/2 covariance expressions; never
-    ``corr`` (it raises on constant columns under ANSI)."""
+    on the diagonal. Never ``corr`` (it raises on constant columns under ANSI).
+    Pass 1 takes null counts and means per column. Pairs of null-free columns
+    then need only sums of centred products (two-pass formula: one sum per
+    pair, stable and codegen-friendly); pairs touching a nullable column use
+    covariance / std masked to their complete rows."""
     cols = cols if cols is not None else numeric_columns(df)
-    vals = {c: _num(df, c) for c in cols}
-    aggs, cells = [], []
-    for i, a in enumerate(cols):
+    spark = df.sparkSession
+    if not cols:
+        return spark.createDataFrame([], "i int, j int, col_a string, col_b string, corr double")
+    x = spread(df.select(*[_num(df, c).alias(f"_c{i}") for i, c in enumerate(cols)]))
+    # pass 1: nulls and means per column (2k numbers, collected)
+    first = x.agg(*[F.count(F.when(F.col(f"_c{i}").isNull(), 1)).alias(f"z{i}") for i in range(len(cols))],
+                  *[F.avg(F.col(f"_c{i}")).alias(f"m{i}") for i in range(len(cols))]).first()
+    clean = [first[f"z{i}"] == 0 and first[f"m{i}"] is not None for i in range(len(cols))]
+    v = [F.col(f"_c{i}") for i in range(len(cols))]
+    d = [v[i] - F.lit(first[f"m{i}"]) if clean[i] else None for i in range(len(cols))]
+    # pass 2: centred sums for null-free pairs (one sum each), masked
+    # covariance form for pairs touching a nullable column
+    aggs = [F.sum(d[i] * d[i]).alias(f"ss{i}") for i in range(len(cols)) if clean[i]]
+    for i in range(len(cols)):
+        for j in range(i + 1, len(cols)):
+            if clean[i] and clean[j]:
+                aggs.append(F.sum(d[i] * d[j]).alias(f"sp{i}_{j}"))
+    for i in range(len(cols)):
         for j in range(i, len(cols)):
-            aggs.append(F.round(_pair_corr(vals[a], vals[cols[j]]), 4).alias(f"r{i}_{j}"))
-    wide = df.agg(*aggs) if aggs else None
-    if wide is None:
-        return df.sparkSession.createDataFrame([], "i int, j int, col_a string, col_b string, corr double")
+            if not (clean[i] and clean[j]):
+                aggs.append(F.round(_pair_corr(v[i], v[j]), 4).alias(f"r{i}_{j}"))
+    wide = x.agg(*aggs)
+    cells = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
-            src = f"r{min(i, j)}_{max(i, j)}"
+            lo, hi = min(i, j), max(i, j)
+            if clean[lo] and clean[hi]:
+                if lo == hi:
+                    r = F.when(F.col(f"ss{lo}") > 0, F.lit(1.0)).otherwise(F.lit(0.0))
+                else:
+                    r = F.round(F.coalesce(F.try_divide(F.col(f"sp{lo}_{hi}"),
+                                                        F.sqrt(F.col(f"ss{lo}") * F.col(f"ss{hi}"))), F.lit(0.0)), 4)
+            else:
+                r = F.col(f"r{lo}_{hi}")
             cells.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(a).alias("col_a"),
-                                  F.lit(b).alias("col_b"), F.col(src).alias("corr")))
+                                  F.lit(b).alias("col_b"), r.alias("corr")))
     return wide.select(_stack(cells))
 
 
