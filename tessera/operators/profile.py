@@ -171,12 +171,37 @@ def profile_unique(df: DataFrame, cols: list[str] | None = None, approx: bool =
     if not cols:
         return df.sparkSession.createDataFrame([], "column_name string, unique_values bigint")
     if approx:
-        wide = df.agg(*[(F.approx_count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(f"u{i}")
+        def v(c):
+            return _num(df, c) if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else F.col(c)
+        wide = df.agg(*[(F.approx_count_distinct(v(c)) + F.max(v(c).isNull().cast("int"))).alias(f"u{i}")
                         for i, c in enumerate(cols)])
         return wide.select(_stack([F.struct(F.lit(c).alias("column_name"), F.col(f"u{i}").cast("bigint")
                                             .alias("unique_values")) for i, c in enumerate(cols)]))
-    vc = _value_counts(df, cols)
-    return vc.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_values"))
+    # stack by type family so values are compared natively, not as text:
+    # integers as bigint, fractions as double (grouping equates -0.0 / 0.0 and
+    # NaNs, as pandas does), everything else as its string form
+    fam = {"i": [], "f": [], "s": []}
+    for c in cols:
+        dt = df.schema[c].dataType
+        if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            fam["i"].append(c)
+        elif isinstance(dt, (T.FloatType, T.DoubleType)):
+            fam["f"].append(c)
+        else:
+            fam["s"].append(c)
+    casts = {"i": "bigint", "f": "double", "s": "string"}
+    out = None
+    for k, members in fam.items():
+        if not members:
+            continue
+        def val(c, k=k):
+            v = F.col(c).cast(casts[k])
+            return F.when(F.isnan(v), F.lit(None)).otherwise(v) if k == "f" else v   # NaN is missing, like null
+        pairs = df.select(_stack([F.struct(F.lit(c).alias("column_name"), val(c).alias("value")) for c in members]))
+        u = pairs.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")) \
+            .groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_values"))
+        out = u if out is None else out.unionByName(u)
+    return out
 
 
 def _pair_corr(a: F.Column, b: F.Column) -> F.Column:

@@ -75,6 +75,7 @@ def test_unique_counts_null_as_value(frames):
     # pandas nunique(dropna=False) counts NaN once
     assert got["s"]["unique_values"] == pdf["s"].nunique(dropna=False)
     assert got["id"]["unique_values"] == 8
+    assert got["x"]["unique_values"] == pdf["x"].nunique(dropna=False)   # None and NaN count once
 
 
 def test_correlations_pairwise_and_constant_zero(frames):
