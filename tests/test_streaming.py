@@ -169,3 +169,20 @@ def test_stream_anomalies_split_files_equal_single_file(spark, tmp_path):
     split = spark.read.parquet(out).withColumn("window_start", S.instant_to_ntz("window_start"))
     cols = ["event_type", "window_start", "events", "z_score"]
     assert rows(split.select(*cols)) == rows(whole.select(*cols))
+
+
+def test_stream_metrics_hourly_split_files(spark, tmp_path):
+    import glob
+    import shutil
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    chunks = e.withColumn("chunk", F.ntile(3).over(Window.orderBy("ts")))
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    for k in range(1, 4):
+        d = tmp_path / f"c{k}"
+        chunks.filter(F.col("chunk") == k).drop("chunk").orderBy(F.rand(k)).coalesce(1).write.parquet(str(d))
+        shutil.copy(glob.glob(str(d / "*.parquet"))[0], flat / f"part-{k}.parquet")
+    split = S.stream_metrics_hourly(spark, SF, source=S.event_stream(spark, str(flat), glob="part-*.parquet",
+                                                                    schema=e.schema, max_files=1))
+    whole = S.stream_metrics_hourly(spark, SF)
+    assert rows(split) == rows(whole)
