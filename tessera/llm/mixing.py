@@ -9,9 +9,10 @@ have nearly the same size, the words taken come near the target.
 
 The prefix sum is exact (whole units of 2**-24 copies in 64-bit integers) and is
 never computed in one task: rows are added up per block (source, size, first
-digits of the hash), block totals are summed inside (source, size class), class
-totals inside the source. A source or a group of equal texts that holds a third
-of all rows is spread over as many blocks as its hashes.
+three hex digits of the hash), and running sums of totals go over the blocks of a
+size (at most 4,096), the sizes of a size class and the classes of a source. A
+source or a group of equal texts that holds a third of all rows is spread over as
+many blocks as its hashes.
 
 Defined results: null or empty text has size 0; a null source is a source of its
 own, ordered last; repeated rows (also repeated ids) are rows of their own; a
@@ -77,22 +78,29 @@ def systematic_copies(rows: DataFrame, key: str = "doc_id", seed: str = SEED) ->
     rows = (rows.withColumn("_h", h).withColumn("_block", F.substring("_h", 1, 3))
                 .withColumn("_class", _size_class(F.col("size"))))
     blocks = rows.groupBy("source", "_class", "size", "_block").agg(F.sum("units").alias("_sum"))
-    classes = blocks.groupBy("source", "_class").agg(F.sum("_sum").alias("_sum"))
-    none = F.lit(0).cast("long")
-    ahead = (Window.unboundedPreceding, -1)
-    by_source = Window.partitionBy("source").orderBy("_class").rowsBetween(*ahead)
-    by_class = Window.partitionBy("source", "_class").orderBy("size", "_block").rowsBetween(*ahead)
-    classes = classes.select(F.col("source").alias("_s"), F.col("_class").alias("_c"),
-                             F.coalesce(F.sum("_sum").over(by_source), none).alias("_before"))
-    blocks = blocks.withColumn("_inside", F.coalesce(F.sum("_sum").over(by_class), none))
-    blocks = (blocks.join(classes, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_c")))
-                    .select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("_block").alias("_b"),
-                            (F.col("_before") + F.col("_inside")).alias("_start")))
+    sizes = blocks.groupBy("source", "_class", "size").agg(F.sum("_sum").alias("_sum"))
+    classes = sizes.groupBy("source", "_class").agg(F.sum("_sum").alias("_sum"))
+
+    def before(sums: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return sums.withColumn(out, F.coalesce(F.sum("_sum").over(w), F.lit(0).cast("long")))
+
+    def same(*cols: tuple[str, str]):
+        on = F.col("source").eqNullSafe(F.col("_s"))
+        for left, right in cols:
+            on = on & (F.col(left) == F.col(right))
+        return on
+
+    classes = before(classes, ["source"], "_class", "_b0").select(F.col("source").alias("_s"), F.col("_class").alias("_c"), "_b0")
+    sizes = (before(sizes, ["source", "_class"], "size", "_b1").join(classes, same(("_class", "_c")))
+             .select(F.col("source").alias("_s"), F.col("size").alias("_z"), (F.col("_b0") + F.col("_b1")).alias("_b1")))
+    blocks = (before(blocks, ["source", "size"], "_block", "_b2").join(sizes, same(("size", "_z")))
+              .select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("_block").alias("_b"),
+                      (F.col("_b1") + F.col("_b2")).alias("_start")))
     in_block = (Window.partitionBy("source", "size", "_block").orderBy("_h", key)
                 .rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_end", F.sum("units").over(in_block))
-    rows = rows.join(blocks, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))
-                     & (F.col("_block") == F.col("_b")))
+    rows = rows.join(blocks, same(("size", "_z"), ("_block", "_b")))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("source"), F.lit("\0")))), 1, 6),
                     16, 10).cast("long")
     end = F.col("_start") + F.col("_end") + offset

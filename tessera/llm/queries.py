@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import line_quality, mixing, packed_tokens
+from tessera.llm import decontamination, line_quality, mixing, packed_tokens
 
 QUERIES = {
     "op1_line_quality": line_quality.op1_line_quality,
     "op4_packed_tokens": packed_tokens.op4_packed_tokens,
+    "op7_decontaminate": decontamination.op7_decontaminate,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
 
