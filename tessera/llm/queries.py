@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, line_quality, mixing, packed_tokens
+from tessera.llm import chat_windows, decontamination, line_quality, mixing, order_minhash, packed_tokens
 
 QUERIES = {
     "op1_line_quality": line_quality.op1_line_quality,
+    "op2_chat_windows": chat_windows.op2_chat_windows,
     "op4_packed_tokens": packed_tokens.op4_packed_tokens,
     "op7_decontaminate": decontamination.op7_decontaminate,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op10_order_minhash": order_minhash.op10_order_minhash,
 }
 
 ORACLE = {
     "op1_line_quality": line_quality.ORACLE_SQL,
+    "op2_chat_windows": chat_windows.ORACLE_SQL,
     "op8_mix_sources": mixing.ORACLE_SQL,
 }
