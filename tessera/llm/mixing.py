@@ -7,7 +7,8 @@ that order from one random offset, and a document is emitted once for every
 integer that its step of the prefix sum crosses. Since neighbours in the order
 have nearly the same size, the words taken come near the target.
 
-The prefix sum is exact (whole units of 2**-24 copies in 64-bit integers) and is
+All rows of a source have the same step, so the prefix sum is its row numbers times
+the step, in whole units of 2**-24 copies (exact 64-bit integers). It is
 never computed in one task: rows are added up per block (source, size, first
 three hex digits of the hash), and running sums of totals go over the blocks of a
 size (at most 4,096), the sizes of a size class and the classes of a source. A
@@ -17,7 +18,8 @@ many blocks as its hashes.
 Defined results: null or empty text has size 0; a null source is a source of its
 own, ordered last; repeated rows (also repeated ids) are rows of their own; a
 source of size 0 has target 0 and takes nothing; an empty table gives no rows;
-extra columns are kept by ``mix`` (its own column names raise if they clash).
+``mix`` keeps all columns (its own begin with an underscore). Ids should tell rows
+apart: a row without id is placed by the hash of its text, equal rows side by side.
 """
 
 from __future__ import annotations
@@ -72,85 +74,81 @@ def _size_class(size):
     return F.when(size < 8, size).otherwise(bits * 8 + top - 8).cast("int")
 
 
-def systematic_copies(rows: DataFrame, key: str = "doc_id", seed: str = SEED) -> DataFrame:
-    """Rows (key, source, size, units) -> + copies: the integers crossed by each row's step."""
-    h = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
-    rows = (rows.withColumn("_h", h).withColumn("_block", F.substring("_h", 1, 3))
-                .withColumn("_class", _size_class(F.col("size"))))
-    blocks = rows.groupBy("source", "_class", "size", "_block").agg(F.sum("units").alias("_sum"))
-    sizes = blocks.groupBy("source", "_class", "size").agg(F.sum("_sum").alias("_sum"))
-    classes = sizes.groupBy("source", "_class").agg(F.sum("_sum").alias("_sum"))
+def _marks(docs: DataFrame, key: str, source: str, size, text: str | None) -> DataFrame:
+    """``docs`` and what places a row: source, size, size class, hash (of the id, for null ids of the text), block."""
+    name = F.col(key).cast("string") if text is None else F.coalesce(F.col(key).cast("string"), F.md5(F.col(text)))
+    return (docs.withColumn("_source", F.col(source)).withColumn("_size", size)
+                .withColumn("_hash", F.md5(F.coalesce(name, F.lit("")))).withColumn("_class", _size_class(F.col("_size")))
+                .withColumn("_block", F.substring("_hash", 1, 3)))
+
+
+def _starts(blocks: DataFrame) -> DataFrame:
+    """Sums of units per (source, class, size, block) -> where each block starts in its source."""
+    sizes = blocks.groupBy("_source", "_class", "_size").agg(F.sum("_sum").alias("_sum"))
+    classes = sizes.groupBy("_source", "_class").agg(F.sum("_sum").alias("_sum"))
 
     def before(sums: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
         w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return sums.withColumn(out, F.coalesce(F.sum("_sum").over(w), F.lit(0).cast("long")))
 
-    def same(*cols: tuple[str, str]):
-        on = F.col("source").eqNullSafe(F.col("_s"))
-        for left, right in cols:
-            on = on & (F.col(left) == F.col(right))
-        return on
-
-    classes = before(classes, ["source"], "_class", "_b0").select(F.col("source").alias("_s"), F.col("_class").alias("_c"), "_b0")
-    sizes = (before(sizes, ["source", "_class"], "size", "_b1").join(classes, same(("_class", "_c")))
-             .select(F.col("source").alias("_s"), F.col("size").alias("_z"), (F.col("_b0") + F.col("_b1")).alias("_b1")))
-    blocks = (before(blocks, ["source", "size"], "_block", "_b2").join(sizes, same(("size", "_z")))
-              .select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("_block").alias("_b"),
-                      (F.col("_b1") + F.col("_b2")).alias("_start")))
-    in_block = (Window.partitionBy("source", "size", "_block").orderBy("_h", key)
+    classes = before(classes, ["_source"], "_class", "_b0").select(F.col("_source").alias("_s"), F.col("_class").alias("_c"), "_b0")
+    sizes = (before(sizes, ["_source", "_class"], "_size", "_b1").join(classes, _same(("_class", "_c")))
+             .select(F.col("_source").alias("_s"), F.col("_size").alias("_z"), (F.col("_b0") + F.col("_b1")).alias("_b1")))
+    return (before(blocks, ["_source", "_size"], "_block", "_b2").join(sizes, _same(("_size", "_z")))
+            .select(F.col("_source").alias("_s"), F.col("_size").alias("_z"), F.col("_block").alias("_b"),
+                    (F.col("_b1") + F.col("_b2")).alias("_start"), "_units", "_source_size", "_target"))
+
+
+def _same(*cols: tuple[str, str]):
+    on = F.col("_source").eqNullSafe(F.col("_s"))
+    for left, right in cols:
+        on = on & (F.col(left) == F.col(right))
+    return on
+
+
+def plan_mix(marked: DataFrame, key: str = "doc_id", weights=WEIGHTS, share: float = SHARE, most: float = MOST,
+             seed: str = SEED) -> DataFrame:
+    """Rows with their marks -> + _source_size, _target, _copies (integers that the row's step crosses)."""
+    counts = cut(marked.groupBy("_source", "_class", "_size", "_block").agg(F.count("*").alias("_n")), "mix-counts")
+    sizes = counts.groupBy(F.col("_source").alias("source")).agg(F.sum(F.col("_size") * F.col("_n")).alias("source_size"))
+    goal = targets(sizes, weights, share, most)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    units = F.least(F.floor(rate * F.lit(float(UNIT))).cast("long"), F.lit(int(most * UNIT)).cast("long"))
+    goal = goal.select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"),
+                       F.col("target").alias("_target"), units.alias("_units"))
+    blocks = counts.join(goal, _same()).drop("_s").withColumn("_sum", F.col("_n") * F.col("_units"))
+    rows = marked.join(_starts(blocks), _same(("_size", "_z"), ("_block", "_b")))
+    in_block = (Window.partitionBy("_source", "_size", "_block").orderBy("_hash", key)
                 .rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_end", F.sum("units").over(in_block))
-    rows = rows.join(blocks, same(("size", "_z"), ("_block", "_b")))
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("source"), F.lit("\0")))), 1, 6),
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("_source"), F.lit("\0")))), 1, 6),
                     16, 10).cast("long")
-    end = F.col("_start") + F.col("_end") + offset
-    crossed = F.expr(f"{UNIT}L")
-    return (rows.withColumn("copies", (F.floor(end / crossed) - F.floor((end - F.col("units")) / crossed)).cast("int"))
-                .drop("_h", "_block", "_class", "_end", "_start", "_s", "_z", "_b"))
-
-
-def plan_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
-             weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
-    """One row per input row: key, source, size, source_size, target, copies."""
-    narrow = cut(docs.select(F.col(key).alias(key), F.col(source).alias("source"), word_count(F.col(text)).alias("size")),
-                 "mix-sizes")
-    sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = targets(sizes, weights, share, most).select(F.col("source").alias("_src"), "source_size", "target")
-    rows = narrow.join(goal, F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = rows.withColumn("units", F.least(F.floor(rate * F.lit(float(UNIT))).cast("long"),
-                                            F.lit(int(most * UNIT)).cast("long")))
-    return systematic_copies(rows, key, seed).drop("units")
+    end = F.col("_start") + F.col("_units") * F.row_number().over(in_block) + offset
+    unit = F.lit(UNIT).cast("long")
+    return (rows.withColumn("_end", end)
+                .withColumn("_copies", (F.floor(F.col("_end") / unit)
+                                        - F.floor((F.col("_end") - F.col("_units")) / unit)).cast("int")))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", **params) -> DataFrame:
-    """The mixed documents: each row of ``docs`` once per integer crossed, all columns kept.
-
-    ``key`` must tell rows apart (repeated rows are counted and emitted together).
-    """
-    copies = plan_mix(docs, key=key, **params)
-    # repeated keys: their copies are added up and dealt to the equal rows in turn
-    per_key = copies.groupBy(F.col(key).alias("_key")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    out = docs.join(per_key.filter("_copies > 0"), F.col(key).eqNullSafe(F.col("_key")))
-    once = out.filter("_rows = 1").withColumn("_n", F.col("_copies"))
-    in_key = Window.partitionBy("_key").orderBy(*[F.col(c) for c in docs.columns])
-    many = (out.filter("_rows > 1").withColumn("_i", F.row_number().over(in_key) - 1)
-               .withColumn("_n", F.floor((F.col("_i") + 1) * F.col("_copies") / F.col("_rows"))
-                           - F.floor(F.col("_i") * F.col("_copies") / F.col("_rows"))).drop("_i"))
-    return (once.unionByName(many).filter("_n > 0")
-                .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-                .select(*docs.columns))
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **params) -> DataFrame:
+    """The mixed documents: each row of ``docs`` once per integer crossed, all columns kept."""
+    planned = plan_mix(_marks(docs, key, source, word_count(F.col(text)), text), key, **params)
+    return (planned.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+                   .select(*docs.columns))
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = plan_mix(table(spark, sf_dir, "documents"))
-    return p.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"),
-                    "copies")
+    docs = table(spark, sf_dir, "documents")
+    # ids, sources and counted words once; the texts are not needed again
+    narrow = cut(_marks(docs, "doc_id", "source", word_count(F.col("text")), "text")
+                 .select("doc_id", "_source", "_size", "_class", "_hash", "_block"), "mix-rows")
+    return plan_mix(narrow).select(
+        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
+        (F.col("_copies") * F.col("_size")).cast("long").alias("taken"), F.col("_copies").alias("copies"))
 
 
 ORACLE_SQL = f"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size
+  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, md5(text), '')) AS h, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size
   FROM documents),
 src AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -169,12 +167,12 @@ goal AS (
               ELSE least({float(MOST)}::DOUBLE * source_size, fin.level * weight) END AS target
   FROM lv2, fin),
 units AS (
-  SELECT s.doc_id, s.source, s.size, g.source_size, g.target,
+  SELECT s.doc_id, s.source, s.size, s.h, g.source_size, g.target,
          least(floor(CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END * {UNIT}.0::DOUBLE)::BIGINT,
                {MOST * UNIT}) AS units
   FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source),
 ends AS (
-  SELECT *, sum(units) OVER (PARTITION BY source ORDER BY size, md5(coalesce(doc_id::VARCHAR, '')), doc_id
+  SELECT *, sum(units) OVER (PARTITION BY source ORDER BY size, h, doc_id
                              ROWS UNBOUNDED PRECEDING)::BIGINT
             + ('0x' || substr(md5('{SEED}:' || coalesce(source, chr(0))), 1, 6))::BIGINT AS e
   FROM units)
