@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_windows, decontamination, line_quality, mixing, order_minhash, packed_tokens
+from tessera.llm import chat_windows, decontamination, line_dedup, line_quality, mixing, order_minhash, packed_tokens
 
 QUERIES = {
     "op1_line_quality": line_quality.op1_line_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_packed_tokens": packed_tokens.op4_packed_tokens,
     "op7_decontaminate": decontamination.op7_decontaminate,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_order_minhash": order_minhash.op10_order_minhash,
 }
 
