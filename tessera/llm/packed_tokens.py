@@ -26,7 +26,7 @@ attempt's own name and renamed when whole, so a task that is repeated or runs
 twice leaves the same file.
 
 Defined results: null and empty texts have only the end id; repeated ids are
-documents of their own, ordered by their text; an empty table writes no shard and
+documents of their own, ordered by a hash of their text; an empty table writes no shard and
 gives no rows; other columns are not stored. A null id is stored as the smallest
 64-bit number and read back as null.
 """
@@ -253,8 +253,9 @@ def write_shards(docs: DataFrame, folder: str, key: str = "doc_id", text: str =
     spark, path = docs.sparkSession, tokenizer or tokenizer_path()
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-                  .repartitionByRange(n, F.col("k").asc_nulls_first())
-                  .sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
+                  .withColumn("h", F.xxhash64("t"))      # many rows of one id still fall into several ranges
+                  .repartitionByRange(n, F.col("k").asc_nulls_first(), "h")
+                  .sortWithinPartitions(F.col("k").asc_nulls_first(), "h", "t").drop("h")
                   .withColumn("p", F.spark_partition_id()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_windows, decontamination, line_dedup, line_quality, mixing, order_minhash, packed_tokens
+from tessera.llm import chat_windows, decontamination, line_dedup, line_quality, mixing, order_minhash, packed_tokens, revisits, secret_forest
 
 QUERIES = {
     "op1_line_quality": line_quality.op1_line_quality,
     "op2_chat_windows": chat_windows.op2_chat_windows,
     "op4_packed_tokens": packed_tokens.op4_packed_tokens,
+    "op5_warc_revisits": revisits.op5_warc_revisits,
+    "op6_secret_forest": secret_forest.op6_secret_forest,
     "op7_decontaminate": decontamination.op7_decontaminate,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_line_dedup": line_dedup.op9_line_dedup,
@@ -17,5 +19,6 @@ QUERIES = {
 ORACLE = {
     "op1_line_quality": line_quality.ORACLE_SQL,
     "op2_chat_windows": chat_windows.ORACLE_SQL,
+    "op5_warc_revisits": revisits.ORACLE_SQL,
     "op8_mix_sources": mixing.ORACLE_SQL,
 }
