@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_windows, decontamination, line_dedup, line_quality, mixing, order_minhash, packed_tokens, revisits, secret_forest
+from tessera.llm import chat_windows, decontamination, line_dedup, line_quality, mixing, order_minhash, packed_tokens, pitman_yor, revisits, secret_forest
 
 QUERIES = {
     "op1_line_quality": line_quality.op1_line_quality,
     "op2_chat_windows": chat_windows.op2_chat_windows,
+    "op3_pitman_yor": pitman_yor.op3_pitman_yor,
     "op4_packed_tokens": packed_tokens.op4_packed_tokens,
     "op5_warc_revisits": revisits.op5_warc_revisits,
     "op6_secret_forest": secret_forest.op6_secret_forest,
