@@ -19,7 +19,8 @@ back takes one away. Roles are URL-encoded (the usual ones stay as they are).
 
 Tokens are counted by ``tokens`` (a column of the input) or estimated as bytes / 3,
 plus ``TURN_TOKENS`` of markup a turn. A turn that alone exceeds the budget is kept
-whole in a window of its own.
+whole in a window of its own; a system turn that leaves less than a quarter of the
+budget for new turns is still repeated, and its windows exceed the budget by it.
 
 Defined results: null text and null role are empty; turns with equal numbers are
 ordered by role, then text; null turn numbers come first; rows without conv_id are

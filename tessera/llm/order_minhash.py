@@ -14,9 +14,9 @@ size costs one node. In a bucket (equal entry) of up to ``SMALL`` nodes all pair
 are checked; in a larger one every node is checked against one hub, the nodes not
 linked to it go on among themselves in finer buckets (one more equal entry), and so
 on until no bucket is left; nodes linked to the same hub are in one class already.
-So work stays linear in the bucket and no bucket is cut off. With 16 entries of 4
+So work stays linear in the bucket and no bucket is cut off. With 24 entries of 6
 k-mers, a pair of five-word-shingle similarity 0.8 shares no entry with probability
-0.0002 and, where its only shared buckets are large, fewer than two with 0.003.
+0.0007 and, where its only shared buckets are large, fewer than two with 0.007.
 
 Every step is a Spark aggregate or join; hub keys are left to AQE's skew join;
 links, labels and sketches stay in tables of the shared folder.
@@ -42,8 +42,8 @@ from tessera.llm.bitvector import banded_distance
 from tessera.llm.common import cut, split_words, table
 
 K = 5
-ENTRIES = 16
-ELL = 4
+ENTRIES = 24
+ELL = 6
 SIMILARITY = 0.8
 SMALL = 12
 

@@ -1,0 +1,52 @@
+"""Operator 6: candidates, features, held-out accuracy."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from tessera.llm import secret_forest as op
+from tests.llm.util import DOCS, documents, with_clashes
+
+
+def corpus(spark):
+    rng = random.Random(4)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = []
+    for i in range(400):
+        kind = i % 4
+        secret = [f"password={hexa(18)}", "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)),
+                  f"user{i}.name@mail.example.com", str(rng.randrange(10 ** 15, 10 ** 16))][kind]
+        before = ["set the", "access key", "write to", "card number"][kind]
+        rows.append((i, f"Some words stand here, {before} {secret} and more words follow.", "en", f"src/{'tests/' if i % 7 == 0 else ''}f{i}", 0))
+    return documents(spark, rows)
+
+
+def test_candidates_and_features(spark):
+    d = documents(spark, [(1, "aaa token = \"abc123def456ghi789\" word\nABCDEFGHIJKLMNOPQ x", "en", "a/test/b", 0)])
+    got = op.features(op.candidates(d), d, least=1).orderBy("position").collect()
+    assert [r.value for r in got] == ['"abc123def456ghi789"', "ABCDEFGHIJKLMNOPQ"]
+    a, b = got
+    assert a.length == 20 and abs(a.digits - 0.45) < 1e-9 and a.word_before == 1 and a.assigned == 1 and a.quoted == 1
+    assert a.sample_path == 1 and a.path_depth == 2 and a.transitions == 7 / 20 and b.transitions == 0 and b.coverage == 1
+
+
+def test_held_out_accuracy(spark):
+    docs = corpus(spark)
+    found = op.review(op.features(op.candidates(docs), docs))
+    train = found.filter(F.col("doc_id") % 3 != 0)
+    test = op.score(found, train).filter((F.col("doc_id") % 3 == 0) & F.col("label").isNotNull())
+    rows = test.collect()
+    right = sum((r.score >= op.THRESHOLD) == bool(r.label) for r in rows)
+    assert len(rows) > 100 and right >= 0.97 * len(rows)
+    again = {(r.doc_id, r.position): r.score for r in op.score(found.repartition(5), train.repartition(3)).collect()}
+    assert all(again[(r.doc_id, r.position)] == r.score for r in rows)
+
+
+def test_awkward_rows(spark):
+    docs = with_clashes(documents(spark), "value", "runs", "length")
+    assert op.scan(docs).count() == len([w for d in DOCS for w in (d[1] or "").split() if len(w) >= 12 and any(c.isdigit() for c in w)])
+    assert op.scan(documents(spark, [])).count() == 0
+    labels = spark.createDataFrame([("a1b2c3d4e5f6g7", 1), (None, 0)], "value string, label int")
+    one = documents(spark, [(1, "see a1b2c3d4e5f6g7 here", "en", None, 0)])
+    r = op.scan(one, labels=labels).collect()[0]
+    assert r.score == 1.0 and r.is_secret and r.path_depth == 0
