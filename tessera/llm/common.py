@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,16 +60,20 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply ``fn`` to each Arrow batch of ``df``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield fn(b)
-
-    return df.mapInArrow(run, schema)
-
-
 def word_count(col) -> F.Column:
     """Number of words of a text column, null counting as 0 (built-in expressions only)."""
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], text: int, chars: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a part has some ``chars`` of text in column ``text`` (or one row)."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_pylist()
+        first = total = 0
+        for i, n in enumerate(sizes):
+            total += n
+            if total >= chars:
+                yield b.slice(first, i + 1 - first)
+                first, total = i + 1, 0
+        if first < len(sizes):
+            yield b.slice(first)

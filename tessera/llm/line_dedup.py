@@ -11,9 +11,9 @@ then line number) has an equal set or is a verified match.
 Rarity comes from a table of ``BUCKETS`` counts over token hashes (a few MB at any
 input size, so it may be broadcast). Every order of the tokens gives the same
 result; rare-first only keeps the join small. Where the first common token of two
-lines would be a frequent one (count over ``FREQUENT``), the key is made of three
-common tokens instead of one (prefixes two tokens longer), which is exact by the
-same argument and splits the groups of very common words.
+lines would be a frequent one (count over ``FREQUENT``), the key is that token and a
+second common one (from prefixes one token longer), which is exact by the same
+argument for the tokens after the first and splits the groups of very common words.
 
 Tokens are 32-bit hashes inside a comparison (two words of two compared lines are
 taken for one with a chance of about 1 in 10**6 a pair); node ids have 64 bits.
@@ -29,97 +29,85 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, split_words, table
+from tessera.llm.common import cut, small_batches, split_words, table
 
 SIMILARITY = 0.8
 BUCKETS = 1 << 21
 CHUNKS = 64
-FREQUENT = 64
-DEPTH = 3
+FREQUENT = 256
 
 
 class Lines:
-    """The lines with words of a batch of texts: flat token hashes and where each line begins."""
+    """The lines with words of a batch of texts: flat tokens (places in ``hashes``) and where each line begins."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, lines: Iterator[tuple[int, int, str]]):
         words, sizes, self.row, self.number = [], [], [], []
-        for r, t in enumerate(texts):
-            if not t:
-                continue
-            for i, line in enumerate(t.lower().split("\n")):
-                w = split_words(line)
-                if w:
-                    words += w
-                    sizes.append(len(w))
-                    self.row.append(r)
-                    self.number.append(i)
-        codes, kinds = pd.factorize(np.array(words, dtype=object)) if words else (np.empty(0, np.int64), [])
-        kinds = pd.util.hash_array(np.asarray(kinds, dtype=object), categorize=False) if len(kinds) else np.empty(0, np.uint64)
+        for r, i, line in lines:
+            w = split_words(line)
+            if w:
+                words += w
+                sizes.append(len(w))
+                self.row.append(r)
+                self.number.append(i)
         self.n = len(sizes)
-        self.tokens = kinds[codes] if words else np.empty(0, np.uint64)
+        coded = pa.array(words, pa.large_string()).dictionary_encode()
+        self.codes = coded.indices.to_numpy().astype(np.int64)
+        kinds = coded.dictionary.to_numpy(zero_copy_only=False)
+        self.hashes = pd.util.hash_array(kinds, categorize=False) if len(kinds) else np.empty(0, np.uint64)
         self.line = np.repeat(np.arange(self.n), sizes)
 
-    def sets(self, rank: np.ndarray | None = None):
-        """Distinct tokens of each line, rarest first: (tokens, their line, start of each line, set sizes)."""
-        t32 = self.tokens >> np.uint64(32)
-        key = t32 if rank is None else rank[(self.tokens & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(32) | t32
-        order = np.lexsort((key, self.line))
-        key, line = key[order], self.line[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (line[1:] != line[:-1])]) if len(key) else np.empty(0, bool)
-        key, line = key[new], line[new]
+    def buckets(self) -> np.ndarray:
+        """Token occurrences in each bucket."""
+        at = (self.hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
+        return np.bincount(at[self.codes], minlength=BUCKETS).astype(np.uint32)
+
+    def sets(self, count: np.ndarray | None = None) -> Sets:
+        """The distinct tokens of each line, rare ones first by ``count``."""
+        of = count[(self.hashes & np.uint64(BUCKETS - 1)).astype(np.int64)] if count is not None else np.zeros(len(self.hashes), np.uint32)
+        order = np.lexsort((self.hashes, of))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        key = np.sort(self.line << 32 | place[self.codes])
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+        line, kind = key >> 32, order[key & 0xFFFFFFFF]
         size = np.bincount(line, minlength=self.n)
-        return key, line, np.concatenate([[0], np.cumsum(size)])[:-1].astype(np.int64), size
+        return Sets(self.hashes[kind], of[kind].astype(np.int64), line, np.cumsum(size) - size, size)
 
 
-def set_ids(tokens: np.ndarray, line: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A 64-bit id of each set (a sum of mixed tokens, so independent of the order)."""
-    low = tokens & np.uint64(0xFFFFFFFF)
-    with np.errstate(over="ignore"):
-        x = (low + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(32)
-        total = np.add.reduceat(x, start) if len(start) else np.empty(0, np.uint64)
-        total = (total ^ (size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)
-    return (total ^ (total >> np.uint64(31))).view(np.int64)
+class Sets(NamedTuple):
+    tokens: np.ndarray      # hashes, set after set
+    count: np.ndarray       # how often the token's bucket occurs in the corpus
+    line: np.ndarray        # the set of each token
+    start: np.ndarray       # the first token of each set
+    size: np.ndarray
 
+    def ids(self) -> np.ndarray:
+        """A 64-bit id of each set (a sum of mixed tokens, so independent of the order)."""
+        with np.errstate(over="ignore"):
+            x = (self.tokens + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(32)
+            total = np.add.reduceat(x, self.start) if len(self.start) else np.empty(0, np.uint64)
+            total = (total ^ (self.size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)
+        return (total ^ (total >> np.uint64(31))).view(np.int64)
 
-def token_counts(docs: DataFrame, text: str) -> np.ndarray:
-    """How often the tokens of each hash bucket occur: ``BUCKETS`` counts, capped only as numbers (32 bits)."""
-    size = BUCKETS // CHUNKS
+    def low(self) -> np.ndarray:
+        return (self.tokens >> np.uint64(32)).astype("<u4")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.uint32)
-        for b in batches:
-            t = Lines(b.column(0).to_pylist()).tokens
-            total += np.bincount((t & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
-        parts = [zlib.compress(total[i * size:(i + 1) * size].tobytes(), 1) for i in range(CHUNKS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())],
-                                         names=["chunk", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for c, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(part), np.uint32)
-                total[c] = total[c] + np.minimum(part, np.uint32(0xFFFFFFFF) - total[c]) if c in total else part
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())],
-            names=["chunk", "counts"])
 
-    schema = "chunk int, counts binary"
-    rows = docs.select(text).mapInArrow(count, schema).repartition(CHUNKS, "chunk").mapInArrow(add, schema)
-    out = np.zeros(BUCKETS, np.uint32)
-    for r in rows.collect():       # CHUNKS rows, 8 MB in all at any input size
-        out[r["chunk"] * size:(r["chunk"] + 1) * size] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint32)
-    return out
+def lines_of(texts: list[str | None]) -> Iterator[tuple[int, int, str]]:
+    for r, t in enumerate(texts):
+        if t:
+            for i, line in enumerate(t.lower().split("\n")):
+                yield r, i, line
 
 
 def row_key(key: str, text: str):
@@ -127,19 +115,47 @@ def row_key(key: str, text: str):
 
 
 def line_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_id, row, number, node of each line with words."""
+    """doc_id, row, number, node of each line with words; and from each task ``CHUNKS`` rows (number: the
+    chunk) with its part of the token counts in ``counts``: one reading of the texts gives both."""
+    size = BUCKETS // CHUNKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lines = Lines(b.column(2).to_pylist())
-            nodes = set_ids(*lines.sets())
+        names = ["doc_id", "row", "number", "node", "counts"]
+        total = np.zeros(BUCKETS, np.uint32)
+        for b in small_batches(batches, 2):
+            lines = Lines(lines_of(b.column(2).to_pylist()))
+            total += lines.buckets()
             row = pa.array(lines.row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(row), b.column(1).take(row), pa.array(lines.number, pa.int32()), pa.array(nodes)],
-                names=["doc_id", "row", "number", "node"])
+                [b.column(0).take(row), b.column(1).take(row), pa.array(lines.number, pa.int32()), pa.array(lines.sets().ids()),
+                 pa.nulls(lines.n, pa.binary())], names=names)
+        parts = [zlib.compress(total[i * size:(i + 1) * size].tobytes(), 1) for i in range(CHUNKS)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.array(range(CHUNKS), pa.int32()),
+             pa.nulls(CHUNKS, pa.int64()), pa.array(parts, pa.binary())], names=names)
 
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), row_key(key, text).alias("row"), F.col(text))
-    return narrow.mapInArrow(run, "doc_id long, row long, number int, node long")
+    return narrow.mapInArrow(run, "doc_id long, row long, number int, node long, counts binary")
+
+
+def token_counts(parts: DataFrame) -> np.ndarray:
+    """How often the tokens of each hash bucket occur, from the tasks' parts (number, counts)."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for c, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(zlib.decompress(part), np.uint32)
+                total[c] = total[c] + np.minimum(part, np.uint32(0xFFFFFFFF) - total[c]) if c in total else part
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())],
+            names=["number", "counts"])
+
+    size, out = BUCKETS // CHUNKS, np.zeros(BUCKETS, np.uint32)
+    for r in parts.repartition(CHUNKS, "number").mapInArrow(add, "number int, counts binary").collect():
+        # CHUNKS rows, 8 MB in all at any input size
+        out[r["number"] * size:(r["number"] + 1) * size] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint32)
+    return out
 
 
 def needed(size: np.ndarray, t: float) -> np.ndarray:
@@ -148,46 +164,36 @@ def needed(size: np.ndarray, t: float) -> np.ndarray:
 
 
 def prefix_keys(docs: DataFrame, text: str, counts, t: float) -> DataFrame:
-    """key, node, size, at (position of the key's last token) of every prefix key of every set."""
+    """key, node, size, at (position of the key's first token) of every prefix key of every set."""
+
+    def keys_of(s: Sets) -> tuple:
+        node, need = s.ids(), needed(s.size, t)
+        use = np.zeros(len(node), bool)
+        use[np.unique(node, return_index=True)[1]] = True         # each set once a batch
+        # similar to equal sets only: no larger size is near enough and none of its own tokens can differ
+        use &= (s.size > need) | (np.floor(s.size / t + 1e-9) > s.size)
+        at = np.arange(len(s.tokens)) - s.start[s.line]
+        inside = use[s.line] & (at < (s.size - need + 1)[s.line]) & (s.count > 1)     # a token seen once matches nothing
+        low = s.low().astype(np.int64)
+        one = np.flatnonzero(inside & ((s.count <= FREQUENT) | (need[s.line] == 1)))
+        out = [(low[one], one, at[one])]
+        # a frequent first token: with each token after it in the prefix that is one longer
+        hot = np.flatnonzero(inside & (s.count > FREQUENT) & (need[s.line] > 1))
+        last = s.start[s.line[hot]] + np.minimum(s.size, s.size - need + 2)[s.line[hot]]
+        n = np.maximum(last - hot - 1, 0)
+        first = np.repeat(hot, n)
+        second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
+        with np.errstate(over="ignore"):
+            both = (low[first].astype(np.uint64) << np.uint64(32) | low[second].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            both ^= both >> np.uint64(29)
+        out.append(((both | np.uint64(1 << 63)).view(np.int64), first, at[first]))
+        key, token, place = (np.concatenate(x) for x in zip(*out, strict=True))
+        ln = s.line[token]
+        return key, node[ln], s.size[ln], place
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        freq = counts.value
-        for b in batches:
-            tokens, line, start, size = Lines(b.column(0).to_pylist()).sets(freq)
-            node = set_ids(tokens, line, start, size)
-            # each set once a batch; sets under 4 tokens are similar to equal sets only
-            _, once = np.unique(node, return_index=True)
-            use = np.zeros(len(node), bool)
-            use[once] = True
-            use &= (size > needed(size, t)) | (np.ceil(size / t - 1e-9) > size)
-            at = np.arange(len(tokens)) - start[line]
-            low, count = tokens & np.uint64(0xFFFFFFFF), tokens >> np.uint64(32)
-            prefix = (size - needed(size, t) + 1)[line]
-            inside = use[line] & (at < prefix) & (count > 1)     # a token seen once matches nothing
-            one = inside & (count <= FREQUENT)
-            out = [(low[one].astype(np.int64), node[line[one]], size[line[one]], at[one])]
-            # frequent first tokens: keys of three tokens, the first in the prefix, the others in longer ones
-            hot = np.flatnonzero(inside & (count > FREQUENT))
-            keys, nodes, sizes, places = [], [], [], []
-            for i in hot.tolist():
-                ln = line[i]
-                s, n = int(start[ln]), int(size[ln])
-                need = int(needed(size[ln], t))
-                depth = min(DEPTH, need)
-                if depth == 1:
-                    combos = [(i,)]
-                elif depth == 2:
-                    combos = [(i, j) for j in range(i + 1, s + min(n, n - need + 2))]
-                else:
-                    combos = [(i, j, k) for j in range(i + 1, s + min(n, n - need + 2))
-                              for k in range(j + 1, s + min(n, n - need + 3))]
-                for c in combos:
-                    keys.append(xxhash.xxh64_intdigest(low[list(c)].tobytes()) - (1 << 63))
-                    nodes.append(int(node[ln]))
-                    sizes.append(n)
-                    places.append(c[0] - s)
-            out.append((np.array(keys, np.int64), np.array(nodes, np.int64), np.array(sizes, np.int64), np.array(places, np.int64)))
-            key, node, size, at = (np.concatenate(x) for x in zip(*out, strict=True))
+        for b in small_batches(batches, 0):
+            key, node, size, at = keys_of(Lines(lines_of(b.column(0).to_pylist())).sets(counts.value))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key), pa.array(node), pa.array(size.astype(np.int32)), pa.array(at.astype(np.int32))],
                 names=["key", "node", "size", "at"])
@@ -195,26 +201,30 @@ def prefix_keys(docs: DataFrame, text: str, counts, t: float) -> DataFrame:
     return docs.select(text).mapInArrow(run, "key long, node long, size int, at int")
 
 
-def node_sets(docs: DataFrame, text: str) -> DataFrame:
-    """node, tokens (sorted 32-bit hashes), once a batch."""
+def node_sets(docs: DataFrame, key: str, text: str, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, tokens (32-bit hashes) of the wanted nodes, read from the first line of each."""
+    places = (nodes.join(wanted, "node", "left_semi").groupBy(F.col("first.row").alias("_row"))
+              .agg(F.collect_list(F.struct(F.col("first.number").alias("number"), "node")).alias("_lines")))   # lines of one text
+    rows = docs.withColumn("_key", row_key(key, text)).join(places, F.col("_key") == F.col("_row")).select(text, "_lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            tokens, line, start, size = Lines(b.column(0).to_pylist()).sets()
-            node = set_ids(tokens, line, start, size)
-            _, once = np.unique(node, return_index=True)
-            low = tokens.astype("<u4")
-            blobs = [low[start[i]:start[i] + size[i]].tobytes() for i in once.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(node[once]), pa.array(blobs, pa.binary())], names=["node", "tokens"])
+        for b in small_batches(batches, 0):
+            texts = [(t or "").lower().split("\n") for t in b.column(0).to_pylist()]
+            asked = [[(x["number"], x["node"]) for x in places] for places in b.column(1).to_pylist()]
+            lines = Lines((r, node, texts[r][number]) for r, places in enumerate(asked) for number, node in places)
+            s = lines.sets()
+            low, end = s.low(), s.start + s.size
+            blobs = [low[i:j].tobytes() for i, j in zip(s.start.tolist(), end.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(lines.number, pa.int64()), pa.array(blobs, pa.binary())], names=["node", "tokens"])
 
-    return docs.select(text).mapInArrow(run, "node long, tokens binary")
+    # only equal rows (same id, same text) give a node twice
+    return rows.mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"])
 
 
-def similar_lines(docs: DataFrame, text: str = "text", t: float = SIMILARITY) -> DataFrame:
+def similar_lines(docs: DataFrame, key: str, text: str, nodes: DataFrame, counts: np.ndarray, t: float = SIMILARITY) -> DataFrame:
     """The verified pairs (a, b, similarity) of different token sets, a < b."""
-    spark = docs.sparkSession
-    counts = spark.sparkContext.broadcast(token_counts(docs, text))
-    keys = cut(prefix_keys(docs, text, counts, t), "line-keys")
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    keys = cut(prefix_keys(docs, text, shared, t), "line-keys")
     x = keys.select("key", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("at").alias("pa"))
     y = keys.select("key", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("at").alias("pb"))
     # overlap needed: t / (1 + t) * (|a| + |b|); still possible: the shared token and what follows it in both
@@ -225,17 +235,16 @@ def similar_lines(docs: DataFrame, text: str = "text", t: float = SIMILARITY) ->
               .select("a", "b").distinct())
     pairs = cut(pairs, "line-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut(node_sets(docs, text).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "line-sets")
+    sets = cut(node_sets(docs, key, text, nodes, wanted), "line-sets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sim = []
             for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                u, v = np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4")
-                both = np.concatenate([u, v])
+                both = np.frombuffer(p + q, "<u4").copy()
                 both.sort()
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
-                sim.append(common / (len(u) + len(v) - common))
+                sim.append(common / (len(both) - common))
             out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sim, pa.float64())], names=["a", "b", "similarity"])
             yield out.filter(pa.array([s >= t - 1e-12 for s in sim], pa.bool_()))
 
@@ -247,10 +256,12 @@ def similar_lines(docs: DataFrame, text: str = "text", t: float = SIMILARITY) ->
 
 def judge_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", t: float = SIMILARITY):
     """(lines, nodes): every line with its node; every node with links and whether its first line stays."""
-    lines = cut(line_rows(docs, key, text), "line-rows")
+    both = cut(line_rows(docs, key, text), "line-rows")
+    lines = both.filter("counts IS NULL").drop("counts")
+    counts = token_counts(both.filter("counts IS NOT NULL").select("number", "counts"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"), F.col("number"))
     nodes = cut(lines.groupBy("node").agg(F.min(place).alias("first")), "line-nodes")
-    links = cut(similar_lines(docs, text, t), "line-links")
+    links = cut(similar_lines(docs, key, text, nodes, counts, t), "line-links")
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = (both.join(nodes.select(F.col("node").alias("b"), "first"), "b").groupBy("a")
             .agg(F.min("first").alias("earlier"), F.count("*").alias("links")))
