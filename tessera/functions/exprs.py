@@ -132,25 +132,21 @@ def instant_to_ntz(c) -> Column:
     return F.timestamp_add("MICROSECOND", F.unix_micros(col(c)), F.lit(EPOCH_NTZ).cast("timestamp_ntz"))
 
 
-# --- broadcast only behind a size check ---------------------------------------
-MAX_BROADCAST_ROWS = 100_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the row count is checked to be small (one
-    cheap job over at most max_rows + 1 rows); otherwise a plain join."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+# --- sizes from the plan, without running a job ---------------------------------
+def plan_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of the bytes of ``df`` (file sizes through the plan; no job)."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def spread(df: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """Hash-repartition to the session's shuffle partitions when the input has
-    fewer partitions than the cluster has cores (e.g. a few large unsplittable
-    files); otherwise unchanged. Partitioning on the join key lets a following
-    sort-merge join on that key reuse it."""
+    """Hash-repartition a small input to the session's shuffle partitions.
+
+    A few unsplittable files would otherwise keep the per-row work in a few
+    tasks. Decided by the estimated size alone (below one scan partition per
+    shuffle partition), so without a job and alike on every cluster."""
     spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= par:
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    unit = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if plan_bytes(df) >= n * unit:
         return df
-    n = max(par, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(n, *[F.col(k) for k in key]) if key else df.repartition(n)

@@ -20,14 +20,17 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import day_start, money_sum, ntz_lit, pct_change, safe_div, spread
+from tessera.functions.exprs import day_start, money, money_sum, ntz_lit, pct_change, safe_div, spread
 
+# The periods that the reference's pages offer.
 PERIODS = (7, 30, 90, 365)
 
 
-def normalize_period(days: int) -> int:
-    """7/30/90/365; anything else becomes 30."""
-    return days if days in PERIODS else 30
+def check_period(days: int) -> int:
+    """Any whole number of days from 1 on; anything else raises."""
+    if int(days) != days or days < 1:
+        raise ValueError(f"period must be a positive number of days, not {days}")
+    return int(days)
 
 
 def scalar(df: DataFrame):
@@ -83,7 +86,7 @@ def kpi_summary(lineitem: DataFrame, orders: DataFrame, events: DataFrame, perio
     metrics: conversion_rate (% of viewing user-days that also purchase) and
     nps (% score 9-10 minus % score 0-6, score = least(10, floor(value/10))).
     """
-    p = normalize_period(period)
+    p = check_period(period)
     as_of = as_of_date(orders, "o_orderdate")
     b0, b1, b2, b3 = period_bounds(as_of, p, 3)
     o = orders.select("o_orderkey", "o_custkey", "o_orderdate").filter(F.col("o_orderdate") > _ts(b3))
@@ -159,11 +162,14 @@ TIMESERIES_METRICS = ("revenue", "customers", "events", "api_requests", "churn")
 
 
 def metric_timeseries(lineitem: DataFrame, orders: DataFrame, events: DataFrame, metric: str = "revenue",
-                      days: int = 90) -> DataFrame:
-    """(day, value): one point per day for the last ``days`` days (at most 90),
-    zero-filled from a calendar. Unknown metric -> revenue."""
-    metric = metric if metric in TIMESERIES_METRICS else "revenue"
-    days = max(1, min(int(days), 90))
+                      days: int = 90, max_points: int | None = None) -> DataFrame:
+    """(day, value): one point per day for the last ``days`` days, zero-filled from
+    a calendar. An unknown metric, days below 1 or above ``max_points`` raise."""
+    if metric not in TIMESERIES_METRICS:
+        raise ValueError(f"metric must be one of {TIMESERIES_METRICS}")
+    days = check_period(days)
+    if max_points is not None and days > max_points:
+        raise ValueError(f"{days} days are more than max_points={max_points}")
     spark = orders.sparkSession
     if metric in ("revenue", "customers"):
         as_of = as_of_date(orders, "o_orderdate")
@@ -194,8 +200,8 @@ def metric_timeseries(lineitem: DataFrame, orders: DataFrame, events: DataFrame,
                 F.count(F.when(F.col("is_active").isNull(), 1)) * 100.0, F.count(F.lit(1))), 2).alias("value"))
     end = as_of.date()
     cal = spark.range(1).select(F.explode(F.sequence(ntz_lit(end - dt.timedelta(days=days - 1)), ntz_lit(end))).alias("day"))
-    # The calendar has ``days`` (<= 90) rows: bounded, broadcast.
-    return F.broadcast(cal).join(daily, "day", "left").select(
+    # one calendar row per day asked for; its join is left to AQE
+    return cal.join(daily, "day", "left").select(
         F.col("day").cast("timestamp_ntz").alias("day"), F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
@@ -288,17 +294,22 @@ def regions(sales_g: DataFrame, period: int = 365) -> DataFrame:
 def etl_sales_aggregation(sales_gp: DataFrame) -> DataFrame:
     """Nightly rollup day > region > brand: revenue, quantity, lines, level.
 
-    level = grouping_id (0 = day+region+brand ... 7 = grand total)."""
-    return sales_gp.rollup(day_start("o_orderdate").alias("day"), F.col("r_name").alias("region"),
-                           F.col("p_brand").alias("brand")).agg(
-        F.grouping_id().alias("level"), money_sum("revenue").alias("revenue"),
-        F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).alias("lines"))
+    level = grouping_id (0 = day+region+brand ... 7 = grand total). The fact rows
+    are first summed per (day, region, brand), exactly and unrounded; only that
+    table is expanded for the rollup."""
+    detail = sales_gp.groupBy(day_start("o_orderdate").alias("day"), F.col("r_name").alias("region"), F.col("p_brand").alias("brand")).agg(
+        F.sum(money("revenue")).alias("_revenue"), F.sum("l_quantity").alias("_quantity"), F.count(F.lit(1)).alias("_lines"))
+    return detail.rollup("day", "region", "brand").agg(
+        F.grouping_id().alias("level"), F.round(F.sum("_revenue"), 2).cast("double").alias("revenue"),
+        F.sum("_quantity").alias("quantity"), F.sum("_lines").alias("lines"))
 
 
 def write_sales_rollup(rollup: DataFrame, path: str) -> str:
-    """Detail level partitioned by day (day-range reads prune folders)."""
-    rollup.filter(F.col("level") == 0).withColumn("day", F.to_date("day")) \
-        .write.mode("overwrite").partitionBy("day").parquet(path)
+    """Detail level partitioned by month (range reads prune folders); rows of a
+    month go to one task each, so a folder holds few files."""
+    detail = rollup.filter(F.col("level") == 0).withColumn("day", F.to_date("day"))
+    detail = detail.withColumn("month", F.date_format("day", "yyyy-MM"))
+    detail.repartition("month", "region").write.mode("overwrite").partitionBy("month").parquet(path)
     return path
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.exprs import ntz_lit
 from tessera.operators.quantiles import quantile_arrays
 
 # The drift threshold of the published model records
@@ -19,8 +20,6 @@ from tessera.operators.quantiles import quantile_arrays
 DRIFT_THRESHOLD = 0.05
 BINS = 10
 FLOOR = 1e-6
-# above this many features the edges are joined instead of inlined as a literal
-MAX_LITERAL_FEATURES = 5000
 
 
 def _edges(n: int = BINS):
@@ -31,38 +30,23 @@ def feature_psi(df: DataFrame, feature: str, window: str, value: str, baseline:
                 current: str = "current", approx: bool = False, threshold: float = DRIFT_THRESHOLD) -> DataFrame:
     """(feature, psi, status) for rows tagged ``window`` in {baseline, current}.
 
-    Pass 1 computes the baseline deciles per feature (exact, distributed).
-    Up to MAX_LITERAL_FEATURES features, they are collected (features x 9
-    numbers) and every row is binned through a literal map, so the plan has no
-    join even when the feature column is a constant; beyond that the edges
-    table is equi-joined on the feature. Counts per (feature, window, bin) are
+    Missing values (null, NaN) are left out on both sides; a null feature is a
+    feature of its own. The baseline deciles per feature (exact, distributed)
+    are equi-joined to the rows; counts per (feature, window, bin) are
     zero-filled from the (feature x bin) grid by a union and folded to PSI by
-    one more aggregate."""
+    one more aggregate. Nothing runs while the plan is built but the range
+    sampling of the exact deciles."""
     qs = _edges()
-    spark = df.sparkSession
-    base = df.filter(F.col(window) == baseline).select(F.col(feature).alias("feature"), F.col(value).alias("v"))
-    edge_df = quantile_arrays(base, "v", qs, ["feature"], "sketch" if approx else "distributed") \
-        .withColumnRenamed("quantiles", "edges")
-    tagged = df.filter(F.col(window).isin(baseline, current)).select(
-        F.col(feature).alias("feature"), F.col(window).alias("w"), F.col(value).alias("v"))
-    n_features = edge_df.count()
-    if n_features == 0:
-        return spark.createDataFrame([], "feature string, psi double, status string")
-    if n_features <= MAX_LITERAL_FEATURES:
-        # few features: edges as a literal map, no join at all
-        edges = {r["feature"]: r["edges"] for r in edge_df.collect()}
-        edge_map = F.create_map(*[x for f, e in edges.items() for x in (F.lit(f), F.array(*[F.lit(float(v)) for v in e]))])
-        ed = F.element_at(edge_map, F.col("feature"))
-        binned = tagged.filter(ed.isNotNull()).select(
-            "feature", "w", F.size(F.filter(ed, lambda e: F.col("v") > e)).alias("bin"))
-        grid = spark.createDataFrame([(f, b, None, 0) for f in edges for b in range(BINS)],
-                                     "feature string, bin int, w string, n bigint")
-    else:
-        # many features: an equi-join on the feature key (a data column here)
-        binned = tagged.join(edge_df, "feature").select(
-            "feature", "w", F.size(F.filter("edges", lambda e: F.col("v") > e)).alias("bin"))
-        grid = edge_df.select("feature", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))).alias("bin"),
-                              F.lit(None).cast("string").alias("w"), F.lit(0).cast("bigint").alias("n"))
+    v = F.col(value).cast("double")
+    tagged = df.filter(F.col(window).isin(baseline, current) & v.isNotNull() & ~F.isnan(v)).select(
+        F.col(feature).alias("feature"), F.col(window).alias("w"), v.alias("v"))
+    edge_df = quantile_arrays(tagged.filter(F.col("w") == baseline), "v", qs, ["feature"], "sketch" if approx else "distributed") \
+        .select(F.col("feature").alias("_f"), F.col("quantiles").alias("edges"))
+    # one row per feature: broadcast by AQE where it is small, a shuffle join beyond
+    binned = tagged.join(edge_df, F.col("feature").eqNullSafe(F.col("_f"))).select(
+        "feature", "w", F.size(F.filter("edges", lambda e: F.col("v") > e)).alias("bin"))
+    grid = edge_df.select(F.col("_f").alias("feature"), F.lit(None).cast("string").alias("w"),
+                          F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))).alias("bin"), F.lit(0).cast("bigint").alias("n"))
     counts = binned.groupBy("feature", "w", "bin").agg(F.count(F.lit(1)).alias("n"))
     per = counts.unionByName(grid).groupBy("feature", "bin").agg(
         F.sum(F.when(F.col("w") == baseline, F.col("n")).otherwise(0)).alias("nb"),
@@ -75,10 +59,22 @@ def feature_psi(df: DataFrame, feature: str, window: str, value: str, baseline:
     return psi.withColumn("status", F.when(F.col("psi") > threshold, "WARNING").otherwise("OK"))
 
 
+def middle(lo, hi):
+    """The instant halfway between two dates or timestamps, as a literal."""
+    return ntz_lit(lo + (hi - lo) / 2)
+
+
+def column_psi(df: DataFrame, columns: list[str], window, **params) -> DataFrame:
+    """``feature_psi`` of every column, each a feature: the columns are stacked in one pass."""
+    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns]))
+    stacked = df.withColumn("_w", window).select(F.col("_w").alias("window"), cells)
+    return feature_psi(stacked, "feature", "window", "value", **params)
+
+
 def drift_report(feature_drift: DataFrame, prediction_drift: DataFrame, model_name: str,
                  threshold: float = DRIFT_THRESHOLD) -> DataFrame:
     """One row per model: feature_drift_score (max PSI), prediction_drift_score,
-    status, drifted_features (comma-separated, sorted)."""
+    status, drifted_features (sorted array)."""
     # one row per feature on each side (bounded): one aggregate over their union
     both = feature_drift.select(F.lit("f").alias("kind"), "feature", "psi").unionByName(
         prediction_drift.select(F.lit("p").alias("kind"), "feature", "psi"))
@@ -86,8 +82,7 @@ def drift_report(feature_drift: DataFrame, prediction_drift: DataFrame, model_na
     r = both.agg(
         F.max(F.when(is_f, F.col("psi"))).alias("feature_drift_score"),
         F.max(F.when(~is_f, F.col("psi"))).alias("prediction_drift_score"),
-        F.concat_ws(",", F.sort_array(F.collect_list(F.when(is_f & (F.col("psi") > threshold), F.col("feature")))))
-         .alias("drifted_features"))
+        F.sort_array(F.collect_list(F.when(is_f & (F.col("psi") > threshold), F.col("feature")))).alias("drifted_features"))
     worst = F.greatest("feature_drift_score", "prediction_drift_score")
     return r.select(F.lit(model_name).alias("model_name"), "feature_drift_score", "prediction_drift_score",
                     F.when(worst > threshold, "WARNING").otherwise("OK").alias("status"), "drifted_features")

@@ -19,12 +19,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HORIZON_MIN, HORIZON_MAX = 7, 365
+# Fixed value: how fast the published bands widen a step.
 BAND_GROWTH = 0.015
 
 
-def clamp_horizon(h: int) -> int:
-    return max(HORIZON_MIN, min(HORIZON_MAX, int(h)))
+def check_horizon(h: int, max_horizon: int | None = None) -> int:
+    """The number of steps asked for; below 1 or above ``max_horizon`` raises."""
+    if h < 1 or (max_horizon is not None and h > max_horizon):
+        raise ValueError(f"horizon must be at least 1{f' and at most {max_horizon}' if max_horizon else ''}, not {h}")
+    return int(h)
 
 
 def gap_fill(daily: DataFrame, series: str = "series", day: str = "day", value: str = "value",
@@ -75,9 +78,9 @@ def fit_table(params: DataFrame, series: str = "series") -> DataFrame:
 
 
 def project(params: DataFrame, season: DataFrame, horizon: int = 30, z: float = 1.96,
-            series: str = "series") -> DataFrame:
-    """(series, step, day, value, lower, upper) for step 1..h (h in [7, 365])."""
-    h = clamp_horizon(horizon)
+            series: str = "series", max_horizon: int | None = None) -> DataFrame:
+    """(series, step, day, value, lower, upper) for step 1..horizon."""
+    h = check_horizon(horizon, max_horizon)
     if "_s" in params.columns:
         p = params                              # seasons already on the row (from ``fit``)
     else:
@@ -135,7 +138,7 @@ def backtest(filled: DataFrame, holdout: int = 14, z: float = 1.96, series: str
     test = tagged.filter(F.col("_test")).select(series, F.col(day).cast("timestamp_ntz").alias("day"),
                                                  F.col(value).alias("actual"))
     params, season = fit(train, series, day, value)
-    fc = project(params, season, horizon=max(holdout, HORIZON_MIN), z=z, series=series)
+    fc = project(params, season, horizon=holdout, z=z, series=series)
     j = test.join(fc.select(series, "day", "value"), [series, "day"])
     err = F.col("value") - F.col("actual")
     return j.groupBy(series).agg(

@@ -1,9 +1,9 @@
 """Model lifecycle on MLlib: encode, split, train, evaluate, log, save/load,
 predict, explain, cross-validate, registry views.
 
-Training runs MLlib's distributed random forests. The only driver-side data
-are level lists for encoding (bounded by ``max_levels`` per column), fitted
-models, and metric values.
+Training runs MLlib's distributed random forests on one sparse feature vector
+per row; its dictionary of levels is exact at any number of levels. The
+driver holds level lists, fitted models and metric values.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ import uuid
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import (IndexToString, OneHotEncoder, StringIndexer, StringIndexerModel,
+                                VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,69 +24,95 @@ from pyspark.sql import types as T
 from tessera.functions.exprs import NUMERIC_TYPES
 from tessera.functions.exprs import spread as _spread
 
-MAX_LEVELS = 1000
 SEED = 42
 
 
 # --------------------------------------------------------------------------
 # encoding
+def _feature_kinds(df: DataFrame, target: str | None, features: list[str] | None):
+    feats = features if features is not None else [c for c in df.columns if c != target]
+    cats = [c for c in feats if isinstance(df.schema[c].dataType, T.StringType)]
+    nums = [c for c in feats if isinstance(df.schema[c].dataType, NUMERIC_TYPES + (T.BooleanType,))]
+    return feats, nums, cats
+
+
 def one_hot_encode(df: DataFrame, target: str | None = None, features: list[str] | None = None,
-                   max_levels: int = MAX_LEVELS, keep: list[str] | None = None):
-    """Drop-first dummy encoding.
+                   max_levels: int | None = None, keep: list[str] | None = None):
+    """Drop-first dummy encoding in wide form.
 
     Features = every column but the target (or ``features``). String columns
     become one 0/1 column per level except the alphabetically first, named
-    ``{col}_{level}``; a null level is all zeros. Columns with more than
-    ``max_levels`` levels are hashed into ``max_levels`` buckets instead
-    (``{col}_h{k}``). Numeric and bool columns are kept as double with null
-    -> 0. Other types are dropped. Returns (encoded DataFrame, feature names);
-    the target and ``keep`` columns are carried through unchanged.
+    ``{col}_{level}``, whatever the number of levels; a null level is all
+    zeros. With ``max_levels`` a column with more levels raises (the wide form
+    makes a plan column per level; ``one_hot_vector`` does not). Numeric and
+    bool columns are kept as double with null -> 0. Other types are dropped.
+    Returns (encoded DataFrame, feature names); the target and ``keep``
+    columns are carried through unchanged.
     """
-    feats = features if features is not None else [c for c in df.columns if c != target]
-    cats = [c for c in feats if isinstance(df.schema[c].dataType, T.StringType)]
-    nums = [c for c in feats if isinstance(df.schema[c].dataType, NUMERIC_TYPES + (T.BooleanType,))]
-    levels: dict[str, list[str]] = {}
+    feats, nums, cats = _feature_kinds(df, target, features)
+    levels: dict[str, list[str]] = {c: [] for c in cats}
     if cats:
         pairs = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).alias("v")) for c in cats])))
-        distinct = pairs.filter(F.col("v").isNotNull()).groupBy("k", "v").count()
-        sizes = {r["k"]: r["n"] for r in distinct.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
-        small = [c for c in cats if sizes.get(c, 0) <= max_levels]
-        if small:
-            for r in distinct.filter(F.col("k").isin(small)).select("k", "v").collect():
-                levels.setdefault(r["k"], []).append(r["v"])
+        for r in pairs.filter(F.col("v").isNotNull()).distinct().collect():
+            levels[r["k"]].append(r["v"])
         for c in cats:
-            levels[c] = sorted(levels.get(c, [])) if c in small else None
+            if max_levels is not None and len(levels[c]) > max_levels:
+                raise ValueError(f"column {c} has {len(levels[c])} levels, more than max_levels={max_levels}")
+            levels[c].sort()
     # pandas order: untouched (numeric, bool) columns first, then the dummies
-    out_cols, names = [], []
-    for c in feats:
-        if c in nums:
-            out_cols.append(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c))
-            names.append(c)
-    for c in feats:
-        if c in levels:
-            lv = levels[c]
-            if lv is None:
-                b = F.pmod(F.xxhash64(F.col(c)), F.lit(max_levels))
-                for k in range(max_levels):
-                    n = f"{c}_h{k}"
-                    out_cols.append(F.when(F.col(c).isNotNull() & (b == k), 1.0).otherwise(0.0).alias(n))
-                    names.append(n)
-            else:
-                for level in lv[1:]:
-                    n = f"{c}_{level}"
-                    out_cols.append(F.coalesce((F.col(c) == F.lit(level)).cast("double"), F.lit(0.0)).alias(n))
-                    names.append(n)
+    out_cols = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in nums]
+    names = list(nums)
+    for c in cats:
+        for level in levels[c][1:]:
+            names.append(f"{c}_{level}")
+            out_cols.append(F.coalesce((F.col(c) == F.lit(level)).cast("double"), F.lit(0.0)).alias(names[-1]))
     carry = [c for c in (keep or []) if c not in feats] + ([target] if target else [])
     return df.select(*[F.col(c) for c in carry], *out_cols), names
 
 
+def one_hot_vector(df: DataFrame, target: str | None = None, features: list[str] | None = None,
+                   keep: list[str] | None = None):
+    """The encoding of ``one_hot_encode`` as one sparse vector column ``_features``.
+
+    Same levels, same zeros for the alphabetically first level and for nulls,
+    at any number of levels without a plan column per level. Returns
+    (DataFrame with target, ``keep`` and ``_features``, names in vector order).
+    """
+    feats, nums, cats = _feature_kinds(df, target, features)
+    carry = [c for c in (keep or []) if c != target] + ([target] if target else [])
+    cols = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_n{i}") for i, c in enumerate(nums)]
+    d = df.select(*carry, *cols, *[F.col(c).alias(f"_c{i}") for i, c in enumerate(cats)])
+    names, parts = list(nums), [f"_n{i}" for i in range(len(nums))]
+    if cats:
+        first = df.agg(*[F.min(c).alias(f"_c{i}") for i, c in enumerate(cats)]).first()
+        # an all-null column has no level and no feature
+        used = [i for i in range(len(cats)) if first[i] is not None]
+        d = d.fillna({f"_c{i}": first[i] for i in used})
+        # descending order puts the alphabetically first level last, where dropLast drops it
+        idx = StringIndexer(inputCols=[f"_c{i}" for i in used], outputCols=[f"_i{i}" for i in used],
+                            stringOrderType="alphabetDesc").fit(d) if used else None
+        several = [(i, lv) for i, lv in zip(used, idx.labelsArray if idx else [])  if len(lv) > 1]
+        if several:
+            enc = OneHotEncoder(inputCols=[f"_i{i}" for i, _ in several], outputCols=[f"_o{i}" for i, _ in several], dropLast=True)
+            d = idx.transform(d)
+            d = enc.fit(d).transform(d)
+        for i, lv in several:
+            names += [f"{cats[i]}_{v}" for v in lv[:-1]]
+            parts.append(f"_o{i}")
+    if not parts:
+        raise ValueError("no usable feature columns")
+    asm = VectorAssembler(inputCols=parts, outputCol="_features", handleInvalid="keep")
+    return asm.transform(d).select(*carry, "_features"), names
+
+
 # --------------------------------------------------------------------------
 # split
 def split_column(key: str | list[str], test_fraction: float = 0.2, seed: int = SEED) -> F.Column:
-    """'test' / 'train' from a hash of the key: stable under repartitioning
-    and reruns (``randomSplit`` is not)."""
+    """'test' / 'train' from an md5 of the key: stable under repartitioning,
+    reruns and engines (``randomSplit`` is not)."""
     keys = [key] if isinstance(key, str) else key
-    bucket = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(10000))
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    bucket = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % 10000
     return F.when(bucket < int(round(test_fraction * 10000)), "test").otherwise("train")
 
 
@@ -102,11 +128,9 @@ def _require(df: DataFrame, target: str):
         raise ValueError("Target column not found")
 
 
-# sklearn grows trees without a depth limit; MLlib needs one (<= 30). 8 keeps
-# 200-tree forests tractable: MLlib aggregates per-node statistics for every
-# tree at each level, so cost grows with 2^depth * trees.
-MAX_DEPTH = 8
-MAX_MEMORY_MB = 256
+# sklearn grows trees without a depth limit; MLlib allows 30 levels.
+MAX_DEPTH = 30
+MAX_MEMORY_MB = 1024
 # Node ids of every row are cached between levels instead of re-walking the
 # trees (about 1/3 faster here); the cache's lineage is cut by a checkpoint
 # every 10 levels in the shared checkpoint folder.
@@ -117,26 +141,30 @@ def _ensure_ckpt(spark: SparkSession) -> None:
     _ensure_checkpoint_dir(spark)
 
 
-def classifier_pipeline(features: list[str], target: str, num_trees: int = 200, max_depth: int = MAX_DEPTH,
-                        seed: int = SEED, params: dict | None = None) -> Pipeline:
-    idx = StringIndexer(inputCol=target, outputCol="_label", handleInvalid="skip", stringOrderType="alphabetAsc")
-    asm = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep")
-    rf = RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=num_trees, maxDepth=max_depth,
-                                featureSubsetStrategy="sqrt", seed=seed, predictionCol="_pred",
-                                maxMemoryInMB=MAX_MEMORY_MB, cacheNodeIds=True, checkpointInterval=10,
-                                **(params or {}),
-                                probabilityCol="probability", rawPredictionCol="_raw")
-    return Pipeline(stages=[idx, asm, rf])
+def _forest(kind: str, label: str, num_trees: int, max_depth: int, seed: int, params: dict | None):
+    common = dict(featuresCol="_features", labelCol=label, numTrees=num_trees, maxDepth=max_depth, seed=seed,
+                  maxMemoryInMB=MAX_MEMORY_MB, cacheNodeIds=True, checkpointInterval=10, **(params or {}))
+    if kind == "classification":
+        return RandomForestClassifier(featureSubsetStrategy="sqrt", predictionCol="_pred", probabilityCol="probability",
+                                      rawPredictionCol="_raw", **common)
+    return RandomForestRegressor(featureSubsetStrategy="all", predictionCol="prediction", **common)
+
 
+def fit_forest(vectors: DataFrame, names: list[str], target: str, problem_type: str, labels_from: DataFrame,
+               num_trees: int = 200, max_depth: int = MAX_DEPTH, seed: int = SEED, params: dict | None = None) -> PipelineModel:
+    """Fit on ``_features`` vectors; the returned pipeline takes the wide feature columns ``names``.
 
-def regressor_pipeline(features: list[str], target: str, num_trees: int = 200, max_depth: int = MAX_DEPTH,
-                       seed: int = SEED, params: dict | None = None) -> Pipeline:
-    asm = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep")
-    rf = RandomForestRegressor(featuresCol="_features", labelCol=target, numTrees=num_trees, maxDepth=max_depth,
-                               featureSubsetStrategy="all", seed=seed, predictionCol="prediction",
-                               maxMemoryInMB=MAX_MEMORY_MB, cacheNodeIds=True, checkpointInterval=10,
-                               **(params or {}))
-    return Pipeline(stages=[asm, rf])
+    Class labels are indexed over ``labels_from`` (the whole label column, not
+    the training part alone). Null labels raise.
+    """
+    asm = VectorAssembler(inputCols=names, outputCol="_features", handleInvalid="keep")
+    if not labels_from.filter(F.col(target).isNull()).isEmpty():
+        raise ValueError(f"target column {target} has null values")
+    if problem_type == "classification":
+        idx = StringIndexer(inputCol=target, outputCol="_label", stringOrderType="alphabetAsc").fit(labels_from)
+        rf = _forest(problem_type, "_label", num_trees, max_depth, seed, params).fit(idx.transform(vectors))
+        return PipelineModel(stages=[idx, asm, rf])
+    return PipelineModel(stages=[asm, _forest(problem_type, target, num_trees, max_depth, seed, params).fit(vectors)])
 
 
 def _labels(model: PipelineModel) -> list[str]:
@@ -149,32 +177,38 @@ def scorer(model: PipelineModel) -> PipelineModel:
     return PipelineModel(stages=model.stages[1:]) if isinstance(model.stages[0], StringIndexerModel) else model
 
 
+def _score(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """The forest's columns; rows carry the wide features or ``_features``."""
+    if "_features" in df.columns:
+        return model.stages[-1].transform(df)
+    return scorer(model).transform(df)
+
+
 def classify(model: PipelineModel, df: DataFrame) -> DataFrame:
     """transform + original label strings in ``prediction``."""
-    out = scorer(model).transform(df)
     conv = IndexToString(inputCol="_pred", outputCol="prediction", labels=_labels(model))
-    return conv.transform(out)
+    return conv.transform(_score(model, df))
 
 
 def evaluate_classifier(model: PipelineModel, test: DataFrame) -> dict:
     """accuracy and weighted F1 from one confusion matrix (one scoring pass;
-    the matrix has classes^2 cells)."""
-    pred = model.transform(test)
-    cm = pred.groupBy("_label", "_pred").agg(F.count(F.lit(1)).alias("n")).collect()
+    the matrix has classes^2 cells). A row whose label the model does not know
+    counts as a wrong one; null labels raise."""
+    target = model.stages[0].getInputCol()
+    pred = classify(model, test)
+    cm = pred.groupBy(F.col(target).cast("string").alias("y"), F.col("prediction").alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+    if any(r["y"] is None for r in cm):
+        raise ValueError(f"target column {target} has null values")
     total = sum(r["n"] for r in cm)
     if total == 0:
         return {"accuracy": 0.0, "f1": 0.0}
-    labels = {r["_label"] for r in cm} | {r["_pred"] for r in cm}
-    tp = {c: sum(r["n"] for r in cm if r["_label"] == c and r["_pred"] == c) for c in labels}
-    actual = {c: sum(r["n"] for r in cm if r["_label"] == c) for c in labels}
-    predicted = {c: sum(r["n"] for r in cm if r["_pred"] == c) for c in labels}
     f1 = 0.0
-    for c in labels:
-        if actual[c]:
-            prec = tp[c] / predicted[c] if predicted[c] else 0.0
-            rec = tp[c] / actual[c]
-            f1 += (actual[c] / total) * (2 * prec * rec / (prec + rec) if prec + rec else 0.0)
-    return {"accuracy": sum(tp.values()) / total, "f1": f1}
+    for c in {r["y"] for r in cm}:
+        tp = sum(r["n"] for r in cm if r["y"] == c and r["p"] == c)
+        actual = sum(r["n"] for r in cm if r["y"] == c)
+        predicted = sum(r["n"] for r in cm if r["p"] == c)
+        f1 += actual / total * 2 * tp / (actual + predicted)
+    return {"accuracy": sum(r["n"] for r in cm if r["y"] == r["p"]) / total, "f1": f1}
 
 
 def spread(df: DataFrame, key: list[str] | None = None) -> DataFrame:
@@ -184,9 +218,11 @@ def spread(df: DataFrame, key: list[str] | None = None) -> DataFrame:
 
 
 def evaluate_regressor(model: PipelineModel, test: DataFrame, target: str) -> dict:
-    pred = model.transform(test)
-    ev = RegressionEvaluator(labelCol=target, predictionCol="prediction")
-    return {"rmse": ev.evaluate(pred, {ev.metricName: "rmse"}), "r2": ev.evaluate(pred, {ev.metricName: "r2"})}
+    """rmse and r2 from one aggregate over one scoring pass (r2 is 0.0 for a constant target)."""
+    e = F.col(target).cast("double") - F.col("prediction")
+    r = _score(model, test).agg(F.avg(e * e).alias("mse"), F.var_pop(F.col(target).cast("double")).alias("var")).first()
+    mse, var = r["mse"] or 0.0, r["var"] or 0.0
+    return {"rmse": mse ** 0.5, "r2": 1.0 - mse / var if var else 0.0}
 
 
 def train(df: DataFrame, target: str, problem_type: str, model_type: str = "random_forest",
@@ -199,23 +235,21 @@ def train(df: DataFrame, target: str, problem_type: str, model_type: str = "rand
     with the fitted ``PipelineModel`` under ``model``."""
     _require(df, target)
     keep = [key] if isinstance(key, str) else list(key or [])
-    enc, names = one_hot_encode(df, target, features, keep=keep)
-    split_key = keep or names
+    vec, names = one_hot_vector(df, target, features, keep=keep)
     _ensure_ckpt(df.sparkSession)
-    tr, te = train_test_split(enc, split_key, test_fraction, seed)
     from pyspark import StorageLevel
-    tr = spread(tr, split_key).persist(StorageLevel.MEMORY_AND_DISK)
+    split = split_column(keep, test_fraction, seed) if keep else split_column("_features_text", test_fraction, seed)
+    if not keep:
+        vec = vec.withColumn("_features_text", vector_to_array("_features").cast("string"))
+    vec = spread(vec.withColumn("_split", split), keep or ["_features_text"]).persist(StorageLevel.MEMORY_AND_DISK)
+    tr, te = vec.filter(F.col("_split") == "train"), vec.filter(F.col("_split") == "test")
+    kind = "classification" if problem_type == "classification" else "regression"
     try:
-        if problem_type == "classification":
-            model = classifier_pipeline(names, target, num_trees, max_depth, seed).fit(tr)
-            metrics = evaluate_classifier(model, te)
-            metric_name = "accuracy"
-        else:
-            model = regressor_pipeline(names, target, num_trees, max_depth, seed).fit(tr)
-            metrics = evaluate_regressor(model, te, target)
-            metric_name = "rmse"
+        model = fit_forest(tr, names, target, kind, vec, num_trees, max_depth, seed)
+        metrics = evaluate_classifier(model, te) if kind == "classification" else evaluate_regressor(model, te, target)
     finally:
-        tr.unpersist()
+        vec.unpersist()
+    metric_name = "accuracy" if kind == "classification" else "rmse"
     # model name {model_type}_{dataset_id}; the target names it when no dataset id is given
     return {"run_id": uuid.uuid4().hex, "model_name": f"{model_type}_{dataset_id or target}", "model_type": model_type,
             "problem_type": problem_type, "target": target, "features": names, "metric_name": metric_name,
@@ -326,46 +360,53 @@ def permutation_importance(spark: SparkSession, model: PipelineModel, test: Data
 
 
 def cross_validate(df: DataFrame, target: str, key: str | list[str], folds: int = 5, problem_type: str = "classification",
-                   num_trees: int = 50, max_depth: int = 8, seed: int = SEED, params: dict | str | None = None) -> DataFrame:
-    """(fold, metric, score) for k folds assigned by key hash.
+                   num_trees: int = 200, max_depth: int = MAX_DEPTH, seed: int = SEED, params: dict | str | None = None) -> DataFrame:
+    """(fold, metric, score) for k folds assigned by key hash; the forest is the one ``train`` grows.
 
     ``params`` is a map (or its JSON text) of extra forest hyperparameters,
     e.g. ``{"minInstancesPerNode": 2, "subsamplingRate": 0.8}``."""
+    from pyspark import StorageLevel
     if isinstance(params, str):
         import json
         params = json.loads(params) if params.strip() else None
     spark = df.sparkSession
     _require(df, target)
     keys = [key] if isinstance(key, str) else list(key)
-    enc, names = one_hot_encode(df, target, keep=keys)
+    vec, names = one_hot_vector(df, target, keep=keys)
     _ensure_ckpt(spark)
-    enc = spread(enc.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(folds))), keys)
+    fold = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(folds))
+    vec = spread(vec.withColumn("_fold", fold), keys).persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
-    for k in range(folds):
-        tr, te = enc.filter(F.col("_fold") != k), enc.filter(F.col("_fold") == k)
-        if problem_type == "classification":
-            m = classifier_pipeline(names, target, num_trees, max_depth, seed, params).fit(tr)
-            rows.append((k, "accuracy", float(evaluate_classifier(m, te)["accuracy"])))
-        else:
-            m = regressor_pipeline(names, target, num_trees, max_depth, seed, params).fit(tr)
-            rows.append((k, "rmse", float(evaluate_regressor(m, te, target)["rmse"])))
+    try:
+        for k in range(folds):
+            tr, te = vec.filter(F.col("_fold") != k), vec.filter(F.col("_fold") == k)
+            m = fit_forest(tr, names, target, problem_type, vec, num_trees, max_depth, seed, params)
+            if problem_type == "classification":
+                rows.append((k, "accuracy", float(evaluate_classifier(m, te)["accuracy"])))
+            else:
+                rows.append((k, "rmse", float(evaluate_regressor(m, te, target)["rmse"])))
+    finally:
+        vec.unpersist()
     return spark.createDataFrame(rows, "fold int, metric string, score double")
 
 
 # --------------------------------------------------------------------------
 # registry views over the runs table
-def model_leaderboard(runs: DataFrame) -> DataFrame:
-    """Every run newest first within its problem type: score (accuracy for
-    classifiers, r2 for regressors), secondary (f1 or rmse), stage
+def model_leaderboard(runs: DataFrame, sort_by: str = "created_at", descending: bool = True) -> DataFrame:
+    """Every run ordered by ``sort_by`` (any column of the result; ties by run_id): score
+    (accuracy for classifiers, r2 for regressors), secondary (f1 or rmse), stage
     (newest per problem type = Production, others Staging)."""
     is_clf = F.col("problem_type") == "classification"
     score = F.when(is_clf, F.col("metrics")["accuracy"]).otherwise(F.col("metrics")["r2"])
     second = F.when(is_clf, F.col("metrics")["f1"]).otherwise(F.col("metrics")["rmse"])
     w = Window.partitionBy("problem_type").orderBy(F.desc("created_at"), "run_id")
-    return runs.select("run_id", "model_name", "model_type", F.size("features").alias("n_features"), "problem_type",
-                       "target", "metric_name", "metric_value", F.round(score, 4).alias("score"),
-                       F.round(second, 4).alias("secondary"), "created_at",
-                       F.when(F.row_number().over(w) == 1, "Production").otherwise("Staging").alias("stage"))
+    out = runs.select("run_id", "model_name", "model_type", F.size("features").alias("n_features"), "problem_type",
+                      "target", "metric_name", "metric_value", F.round(score, 4).alias("score"),
+                      F.round(second, 4).alias("secondary"), "created_at",
+                      F.when(F.row_number().over(w) == 1, "Production").otherwise("Staging").alias("stage"))
+    if sort_by not in out.columns:
+        raise ValueError(f"sort_by must be one of {out.columns}")
+    return out.orderBy(F.col(sort_by).desc_nulls_last() if descending else F.col(sort_by).asc_nulls_last(), "run_id")
 
 
 def registry_summary(runs: DataFrame) -> DataFrame:

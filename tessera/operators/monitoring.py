@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import bounded_broadcast, hour_start, micros_between, safe_div
+from tessera.functions.exprs import hour_start, micros_between, safe_div
 from tessera.operators.quantiles import grouped_quantiles
 
 NODES = 6
@@ -42,8 +42,8 @@ def metrics_hourly(events: DataFrame, approx: bool = False) -> DataFrame:
     ev = events.withColumn("hour", hour_start("ts"))
     h = ev.groupBy("hour").agg(F.count(F.lit(1)).alias("requests"), F.count(F.when(is_err, 1)).alias("errors"))
     p99 = grouped_quantiles(ev, "value", [0.99], ["hour"], method=_p99_method(approx)) \
-        .select("hour", F.col("value").alias("p99"))
-    h = h.join(p99, "hour", "left")
+        .select(F.col("hour").alias("_h"), F.col("value").alias("p99"))
+    h = h.join(p99, F.col("hour").eqNullSafe(F.col("_h")), "left")      # events without a time are an hour of their own
     return h.select("hour", "requests", "errors",
                     F.round(safe_div(F.col("errors") * 100.0, F.col("requests")), 2).alias("error_rate"),
                     F.round("p99", 4).alias("p99_latency"))
@@ -54,10 +54,9 @@ def node_status(events: DataFrame, degraded_error_pct: float = 25.0, nodes: int
     error_rate, latency (mean value), status DEGRADED when error_rate exceeds
     ``degraded_error_pct`` (chosen rule) else ONLINE."""
     ev = events.select((F.col("user_id") % nodes).alias("node"), "ts", "event_type", "value")
-    # one row per node; broadcast behind a row-count check so a busy node
-    # never makes a skewed join partition
-    last = ev.groupBy("node").agg(F.max("ts").alias("last_seen")).cache()
-    j = ev.join(bounded_broadcast(last), "node").filter(F.col("ts") > F.col("last_seen") - F.expr("INTERVAL 1 HOUR"))
+    # one row per node: AQE broadcasts it where it is small, splits a busy node's join partition where not
+    last = ev.groupBy("node").agg(F.max("ts").alias("last_seen"))
+    j = ev.join(last, "node").filter(F.col("ts") > F.col("last_seen") - F.expr("INTERVAL 1 HOUR"))
     agg = j.groupBy("node", "last_seen").agg(
         F.count(F.lit(1)).alias("requests"), F.count(F.when(F.col("event_type") == "error", 1)).alias("errors"),
         F.round(F.avg(F.col("value").cast("decimal(18,2)")), 2).cast("double").alias("latency_ms"))

@@ -434,10 +434,8 @@ def profile_pca(df: DataFrame, cols: list[str] | None = None, k: int = 2, id_col
 def profile_dataset(df: DataFrame, approx: bool = False) -> DataFrame:
     """All profile parts as one long table (section, column_name, metric, value, text).
 
-    The input is persisted once and read by every part, then released."""
-    from pyspark import StorageLevel
-
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    Every part is a pruned scan of its own; nothing is persisted. A caller whose
+    input is dear to compute persists it and releases it afterwards."""
     parts = []
 
     def longify(part: DataFrame, section: str, keys: list[str], metrics: list[str], text: list[str] = ()):
@@ -448,28 +446,25 @@ def profile_dataset(df: DataFrame, approx: bool = False) -> DataFrame:
         name = F.concat_ws(".", *[F.col(k).cast("string") for k in keys]) if keys else F.lit(None).cast("string")
         return part.select(F.lit(section).alias("section"), name.alias("column_name"), F.inline(F.array(*cells)))
 
-    parts.append(longify(profile_schema(cached), "schema", ["column_name"], [], ["dtype"]))
-    parts.append(longify(profile_numeric_stats(cached, approx=approx), "statistics", ["column_name"],
+    parts.append(longify(profile_schema(df), "schema", ["column_name"], [], ["dtype"]))
+    parts.append(longify(profile_numeric_stats(df, approx=approx), "statistics", ["column_name"],
                          ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]))
-    cat = categorical_columns(cached)
+    cat = categorical_columns(df)
     if cat:
-        parts.append(longify(profile_categorical_stats(cached, cat), "statistics", ["column_name"],
+        parts.append(longify(profile_categorical_stats(df, cat), "statistics", ["column_name"],
                              ["count", "unique", "freq"], ["top"]))
-    parts.append(longify(profile_missing(cached), "missing_values", ["column_name"], ["missing", "missing_pct"]))
-    parts.append(longify(profile_duplicates(cached), "duplicates", [], ["duplicates"]))
-    parts.append(longify(profile_unique(cached, approx=approx), "unique_values", ["column_name"], ["unique_values"]))
-    if numeric_columns(cached):
-        parts.append(longify(profile_correlations(cached), "correlations", ["col_a", "col_b"], ["corr"]))
-        parts.append(longify(profile_outliers(cached, approx=approx), "outliers", ["column_name"], ["outliers"]))
-        parts.append(longify(profile_histogram(cached), "histogram", ["column_name", "bin"], ["count", "lower", "upper"]))
-    obj = categorical_columns(cached, include_bool=False)
+    parts.append(longify(profile_missing(df), "missing_values", ["column_name"], ["missing", "missing_pct"]))
+    parts.append(longify(profile_duplicates(df), "duplicates", [], ["duplicates"]))
+    parts.append(longify(profile_unique(df, approx=approx), "unique_values", ["column_name"], ["unique_values"]))
+    if numeric_columns(df):
+        parts.append(longify(profile_correlations(df), "correlations", ["col_a", "col_b"], ["corr"]))
+        parts.append(longify(profile_outliers(df, approx=approx), "outliers", ["column_name"], ["outliers"]))
+        parts.append(longify(profile_histogram(df), "histogram", ["column_name", "bin"], ["count", "lower", "upper"]))
+    obj = categorical_columns(df, include_bool=False)
     if obj:
-        parts.append(longify(profile_class_imbalance(cached, obj), "class_imbalance", ["column_name"], ["imbalance"]))
+        parts.append(longify(profile_class_imbalance(df, obj), "class_imbalance", ["column_name"], ["imbalance"]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
-
-def release(df: DataFrame) -> None:
-    df.unpersist()

@@ -25,9 +25,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.exprs import plan_bytes
 from tessera.session import _ensure_checkpoint_dir
 
 METHODS = ("distributed", "map", "sketch")
+#: Bytes of (group, value) input for each range partition.
+PARTITION_BYTES = 64 << 20
 
 
 def grouped_quantiles(df: DataFrame, value: str, qs: list[float], groups: list[str] | None = None,
@@ -48,7 +51,8 @@ def grouped_quantiles(df: DataFrame, value: str, qs: list[float], groups: list[s
     if method != "distributed":
         raise ValueError(f"method must be one of {METHODS}")
     spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # partitions follow the input's size, so that no window below grows with it
+    parts = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-plan_bytes(base) // PARTITION_BYTES))
     counts = base.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_n"))
     # Range bounds are sampled: materialise the partition ids once (reliable
     # checkpoint in the shared folder) so every branch below sees the same
@@ -64,20 +68,26 @@ def grouped_quantiles(df: DataFrame, value: str, qs: list[float], groups: list[s
     prior = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select("_pid", *g, F.coalesce(F.sum("_pn").over(prior), F.lit(0)).alias("_off"),
                       F.sum("_pn").over(Window.partitionBy(*g)).alias("_total"))
-    j = local.join(offs, ["_pid", *g])
+    offs = offs.select(F.col("_pid").alias("_op"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(g)], "_off", "_total")
+    on = F.col("_pid") == F.col("_op")
+    for i, c in enumerate(g):                      # a null group is a group
+        on = on & F.col(c).eqNullSafe(F.col(f"_o{i}"))
+    j = local.join(offs, on)
     start = F.col("_off") + F.col("_before")
-    pos = F.col("q") * (F.col("_total") - 1)
-    lo, hi = F.floor(pos), F.ceil(pos)
 
     def holds(r):
         return (start <= r) & (r < start + F.col("_n"))
 
-    cand = j.select(*g, "_v", "_n", "_total", start.alias("_start"),
-                    F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
-    start = F.col("_start")
-    hits = cand.filter(holds(lo) | holds(hi))
+    # keep a value row only for the quantiles whose ranks floor/ceil(q (N - 1)) it holds
+    def ranks(q):
+        pos = q * (F.col("_total") - 1)
+        return F.struct(q.alias("q"), holds(F.floor(pos)).alias("lo"), holds(F.ceil(pos)).alias("hi"))
+
+    held = F.filter(F.array(*[ranks(F.lit(float(q))) for q in qs]), lambda x: x["lo"] | x["hi"])
+    hits = j.select(*g, "_v", "_total", held.alias("_h")).filter(F.size("_h") > 0) \
+        .select(*g, "_v", "_total", F.inline("_h"))
     res = hits.groupBy(*g, "q").agg(
-        F.max(F.when(holds(lo), F.col("_v"))).alias("_vlo"), F.max(F.when(holds(hi), F.col("_v"))).alias("_vhi"),
+        F.max(F.when(F.col("lo"), F.col("_v"))).alias("_vlo"), F.max(F.when(F.col("hi"), F.col("_v"))).alias("_vhi"),
         F.first("_total").alias("_total"))
     p = F.col("q") * (F.col("_total") - 1)
     lo, hi = F.floor(p), F.ceil(p)
@@ -93,3 +103,25 @@ def quantile_arrays(df: DataFrame, value: str, qs: list[float], groups: list[str
     long = grouped_quantiles(df, value, qs, g, method)
     agg = long.groupBy(*g).agg(F.sort_array(F.collect_list(F.struct("q", "value"))).alias("_s"))   # len(qs) items
     return agg.select(*g, F.col("_s.value").alias("quantiles"))
+
+
+def weighted_quantile(counts: DataFrame, value: str, weight: str, q: float, groups: list[str]) -> DataFrame:
+    """(groups..., quantile) of values given with their counts: running counts in value order.
+
+    Rows are (group, value) counts already; a group's window sorts its distinct values."""
+    w = Window.partitionBy(*groups)
+    run = w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    c = counts.withColumn("_end", F.sum(weight).over(run)).withColumn("_total", F.sum(weight).over(w))
+    pos = F.lit(float(q)) * (F.col("_total") - 1)
+    lo, hi = F.floor(pos), F.ceil(pos)
+    start = F.col("_end") - F.col(weight)
+
+    def at(r):
+        return F.max(F.when((start <= r) & (r < F.col("_end")), F.col(value)))
+
+    g = c.groupBy(*groups).agg(at(lo).alias("_lo"), at(hi).alias("_hi"), F.first("_total").alias("_total"))
+    pos = F.lit(float(q)) * (F.col("_total") - 1)
+    lo, hi = F.floor(pos), F.ceil(pos)
+    v = F.when((lo == hi) | (F.col("_lo") == F.col("_hi")), F.col("_lo")).otherwise(
+        (hi - pos) * F.col("_lo") + (pos - lo) * F.col("_hi"))
+    return g.select(*groups, v.cast("double").alias("quantile"))

@@ -6,6 +6,8 @@ All per-row work is built-in expressions (``split``, ``slice``, ``transform``,
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,44 +92,71 @@ def index_documents(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
     return d.select(key, F.inline(F.transform(F.sequence(F.lit(0), n_chunks - 1), passage)))
 
 
-MAX_QUERIES_PER_PASS = 256
 
 
-def _batches(it, n):
-    batch = []
-    for r in it:
-        batch.append(r)
-        if len(batch) == n:
-            yield batch
-            batch = []
-    if batch:
-        yield batch
+# Cells of the search index (a parameter, not a limit: any number gives the exact result).
+CELLS = 32
+
+
+def _unit(v: str):
+    v = F.transform(F.col(v), lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return F.when(norm > 0, F.transform(v, lambda x: x / norm))
+
+
+def _distance(a, b):
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x))
 
 
 def semantic_search(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
                     vec_col: str = "embedding", query_id: str = "query_id", query_vec: str = "query_vec",
-                    extra: list[str] | None = None) -> DataFrame:
-    """Exact top-k corpus rows per query by cosine similarity.
-
-    The query set is small by nature; its size is checked and it is embedded
-    as a literal array in passes of at most 256 queries, so the corpus is
-    scanned once per pass and never joined pairwise. Per-query top-k uses
-    ``row_number() <= k``, which Catalyst pre-limits per task before the
-    shuffle (WindowGroupLimit)."""
+                    extra: list[str] | None = None, cells: int = CELLS) -> DataFrame:
+    """Exact top-k corpus rows per query by cosine similarity (4 digits; ties by id).
+
+    Corpus vectors (of length one) belong to the cell of the nearest of ``cells``
+    pivots, the corpus rows with the smallest id hash. By the triangle inequality a
+    row at distance r from its pivot is at least |d(query, pivot) - r| from the query.
+    The cells nearest to a query that hold k rows give it a bound; then the cells
+    and rows that the inequality does not exclude are compared. Queries are a
+    DataFrame of any size and both joins are equi-joins on the cell, so nothing but
+    the pivots (``cells`` vectors) passes through the driver and a hot cell is split
+    by AQE. Rows and queries with a zero or null vector have no similarity and are
+    left out."""
     extra = extra or []
-    results = None
-    # queries arrive partition by partition (never all at once) and are cut
-    # into passes of at most MAX_QUERIES_PER_PASS vectors
-    qid_type = queries.schema[query_id].dataType
-    for batch in _batches(queries.select(query_id, query_vec).toLocalIterator(), MAX_QUERIES_PER_PASS):
-        lit = F.array(*[F.struct(F.lit(r[0]).cast(qid_type).alias("qid"),
-                                 F.array(*[F.lit(float(x)) for x in r[1]]).alias("qv")) for r in batch])
-        scored = corpus.select(id_col, *extra, F.explode(F.transform(lit, lambda q: F.struct(
-            q["qid"].alias("qid"), F.round(cosine_similarity(q["qv"], F.col(vec_col)), 4).alias("sim")))).alias("_s"))
-        scored = scored.select(F.col("_s.qid").alias(query_id), id_col, *extra, F.col("_s.sim").alias("similarity"))
-        w = Window.partitionBy(query_id).orderBy(F.desc("similarity"), id_col)
-        top = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        results = top if results is None else results.unionByName(top)
-    if results is None:
-        return corpus.sparkSession.createDataFrame([], f"{query_id} long, {id_col} long, similarity double, rank int")
-    return results
+    rows = corpus.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_e{i}") for i, c in enumerate(extra)],
+                         F.col(vec_col).alias("_v"), _unit(vec_col).alias("_u")).filter(F.col("_u").isNotNull())
+    asked = queries.select(F.col(query_id).alias("_q"), F.col(query_vec).alias("_qv"), _unit(query_vec).alias("_qu")).filter(
+        F.col("_qu").isNotNull())
+    pivots = [r[0] for r in rows.select("_u", F.xxhash64("_id").alias("_h"), "_id").orderBy("_h", "_id").limit(cells).select("_u").collect()]
+    # one text literal, folded to a constant array once
+    table_of = F.from_json(F.lit(json.dumps([{"cell": i, "p": list(p)} for i, p in enumerate(pivots)])),
+                           "array<struct<cell: int, p: array<double>>>")
+
+    def distances(u: str):
+        return F.transform(table_of, lambda t: F.struct(_distance(F.col(u), t["p"]).alias("d"), t["cell"].alias("cell")))
+
+    near = F.array_min(distances("_u"))
+    rows = rows.withColumn("_n", near).withColumn("_cell", F.col("_n.cell")).withColumn("_r", F.col("_n.d")).drop("_n")
+    about = rows.groupBy("_cell").agg(F.min("_r").alias("_lo"), F.max("_r").alias("_hi"), F.count(F.lit(1)).alias("_rows"))
+    # one row per query and cell
+    pairs = asked.select("_q", F.inline(distances("_qu"))).join(about, F.col("cell") == F.col("_cell")).drop("cell")
+    pairs = pairs.withColumn("_least", F.greatest(F.lit(0.0), F.col("d") - F.col("_hi"), F.col("_lo") - F.col("d")))
+    order = Window.partitionBy("_q").orderBy("_least", "d", "_cell")
+    first = pairs.withColumn("_before", F.coalesce(F.sum("_rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    first = first.filter(F.col("_before") < k).select("_q", "_cell")
+
+    by_sim = Window.partitionBy("_q").orderBy(F.desc("_sim"), "_id")
+
+    def compared(chosen: DataFrame) -> DataFrame:
+        sims = chosen.join(asked, "_q").join(rows, "_cell")
+        if "_far" in chosen.columns:
+            sims = sims.filter(F.abs(F.col("d") - F.col("_r")) <= F.col("_far"))
+        sims = sims.withColumn("_sim", F.round(cosine_similarity("_qv", "_v"), 4))
+        return sims.withColumn("_rank", F.row_number().over(by_sim)).filter(F.col("_rank") <= k)
+
+    # the k-th similarity so far, a rounding step lower, as a distance of vectors of length one
+    bound = compared(first).groupBy("_q").agg(F.min("_sim").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    far = F.when(F.col("_n") < k, F.lit(2.1)).otherwise(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * (F.col("_s") - 0.0001))) + 1e-9)
+    chosen = pairs.join(bound.select("_q", far.alias("_far")), "_q").filter(F.col("_least") <= F.col("_far")).select("_q", "_cell", "d", "_far")
+    return compared(chosen).select(F.col("_q").alias(query_id), F.col("_id").alias(id_col), *[F.col(f"_e{i}").alias(c) for i, c in enumerate(extra)],
+                                   F.col("_sim").alias("similarity"), F.col("_rank").alias("rank"))

@@ -272,3 +272,34 @@ SELECT printf('node-%d-%s', user_id % 6, strftime(ts, '%Y-%m-%d')) AS alert_id,
        'Errors on node ' || CAST(user_id % 6 AS VARCHAR) AS title,
        event_type = 'purchase' AS resolved
 FROM events WHERE event_type IN ('error', 'purchase')"""
+
+
+def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A runs table derived from events, one run per event type and month, whose metrics SQL can express:
+    share = the type's part of the month's events, mean = its mean value."""
+    e = table(spark, sf_dir, "events")
+    month = F.date_format("ts", "yyyy-MM")
+    per_month = e.groupBy(month.alias("month")).agg(F.count(F.lit(1)).alias("all"))
+    g = e.groupBy("event_type", month.alias("month")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.col("value").cast("decimal(18,4)")).cast("double").alias("mean"), F.max("ts").alias("created_at"))
+    g = g.join(per_month, "month").withColumn("share", F.round(F.col("n") / F.col("all"), 6)).withColumn("mean", F.round("mean", 4))
+    clf = F.col("event_type").isin("click", "view", "error")
+    metrics = F.when(clf, F.create_map(F.lit("accuracy"), F.col("share"), F.lit("f1"), F.col("share") / 2)).otherwise(
+        F.create_map(F.lit("r2"), 1 - F.col("share"), F.lit("rmse"), F.col("mean")))
+    return g.select(
+        F.md5(F.concat("event_type", "month")).alias("run_id"), F.concat(F.lit("model_"), "event_type").alias("model_name"),
+        F.lit("random_forest").alias("model_type"), F.when(clf, "classification").otherwise("regression").alias("problem_type"),
+        F.col("event_type").alias("target"), F.array(F.lit("value"), F.lit("user_id")).alias("features"),
+        F.when(clf, "accuracy").otherwise("rmse").alias("metric_name"), F.when(clf, F.col("share")).otherwise(F.col("mean")).alias("metric_value"),
+        metrics.alias("metrics"), F.expr("CAST(map() AS map<string,string>)").alias("params"), "created_at",
+        F.lit(None).cast("string").alias("artifact"))
+
+
+EVENT_RUNS_SQL = """
+SELECT md5(event_type || strftime(ts, '%Y-%m')) AS run_id, 'model_' || event_type AS model_name, 'random_forest' AS model_type,
+       CASE WHEN event_type IN ('click', 'view', 'error') THEN 'classification' ELSE 'regression' END AS problem_type,
+       event_type AS target, CASE WHEN event_type IN ('click', 'view', 'error') THEN 'accuracy' ELSE 'rmse' END AS metric_name,
+       round(count(*) / any_value(total)::DOUBLE, 6) AS share, round(sum(CAST(value AS DECIMAL(18, 4)))::DOUBLE / count(value), 4) AS mean,
+       CASE WHEN event_type IN ('click', 'view', 'error') THEN round(count(*) / any_value(total)::DOUBLE, 6)
+            ELSE round(sum(CAST(value AS DECIMAL(18, 4)))::DOUBLE / count(value), 4) END AS metric_value, max(ts) AS created_at
+FROM (SELECT *, count(*) OVER (PARTITION BY strftime(ts, '%Y-%m')) AS total FROM events) GROUP BY event_type, strftime(ts, '%Y-%m')"""

@@ -219,6 +219,19 @@ def q_etl_sales_aggregation(spark, sf_dir):
     return df.withColumn("level", F.col("level").cast("int"))
 
 
+@register("etl_sales_rollup_written", f"""
+SELECT date_trunc('day', o_orderdate) AS day, r_name AS region, p_brand AS brand, {_msum(REV)} AS revenue, sum(l_quantity) AS quantity, count(*) AS lines
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+GROUP BY ALL""")
+def q_etl_sales_rollup_written(spark, sf_dir):
+    """The rollup's detail level written by month of the order date and read back."""
+    from pyspark.sql import functions as F
+    from tessera.session import scratch_dir
+    path = A.write_sales_rollup(A.etl_sales_aggregation(fx.sales(spark, sf_dir, part=True, geo=True)), scratch_dir(spark, "rollup"))
+    return spark.read.parquet(path).select(F.col("day").cast("timestamp_ntz").alias("day"), "region", "brand", "revenue", "quantity", "lines")
+
+
 @register("customer_rfm", """
 SELECT o_custkey AS c_custkey,
        CAST(date_diff('day', CAST(max(o_orderdate) AS DATE), (SELECT CAST(max(o_orderdate) AS DATE) FROM orders)) AS INTEGER) AS recency_days,

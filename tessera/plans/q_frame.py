@@ -37,11 +37,11 @@ def q_row_search(spark, sf_dir):
 
 @register("row_search_name", """
 SELECT * FROM part WHERE
-  contains(lower(CAST(p_partkey AS VARCHAR)), 'steel') OR contains(lower(p_name), 'steel') OR
-  contains(lower(p_brand), 'steel') OR contains(lower(p_type), 'steel') OR
-  contains(lower(CAST(p_size AS VARCHAR)), 'steel') OR contains(lower(CAST(p_retailprice AS VARCHAR)), 'steel')""")
+  contains(lower(CAST(p_partkey AS VARCHAR)), 'widget') OR contains(lower(p_name), 'widget') OR
+  contains(lower(p_brand), 'widget') OR contains(lower(p_type), 'widget') OR
+  contains(lower(CAST(p_size AS VARCHAR)), 'widget') OR contains(lower(CAST(p_retailprice AS VARCHAR)), 'widget')""")
 def q_row_search_name(spark, sf_dir):
-    return FO.row_search(table(spark, sf_dir, "part"), "STEEL")
+    return FO.row_search(table(spark, sf_dir, "part"), "WIDGET")
 
 
 @register("audit_filter", """
@@ -56,9 +56,9 @@ def q_audit_filter_all(spark, sf_dir):
 
 
 @register("text_filter", """
-SELECT * FROM part WHERE coalesce(contains(lower(p_name), 'green'), false) OR coalesce(contains(lower(p_type), 'green'), false)""")
+SELECT * FROM part WHERE coalesce(contains(lower(p_name), 'bolt'), false) OR coalesce(contains(lower(p_type), 'bolt'), false)""")
 def q_text_filter(spark, sf_dir):
-    return FO.text_filter(table(spark, sf_dir, "part"), ["p_name", "p_type"], "Green")
+    return FO.text_filter(table(spark, sf_dir, "part"), ["p_name", "p_type"], "Bolt")
 
 
 def _feed(spark, sf_dir):
@@ -123,3 +123,14 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DES
 WHERE rn <= 8""")
 def q_last_n_per_key(spark, sf_dir):
     return FO.last_n_per_key(table(spark, sf_dir, "events"), "user_id", [F.desc("ts"), F.desc("event_id")], n=8)
+
+
+@register("preview", """
+SELECT ['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority'] AS headers,
+       count(*) AS total, 2 AS page, 25 AS "limit", 25 AS n_rows, min(o_orderkey) FILTER (rn > 25 AND rn <= 50) AS first_key
+FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders)""")
+def q_preview(spark, sf_dir):
+    """Headers, total and one page of the orders table."""
+    p = FO.preview(table(spark, sf_dir, "orders"), ["o_orderkey"], page=2, limit=25)
+    return p.select("headers", "total", "page", "limit", F.size("rows").alias("n_rows"),
+                    F.get_json_object(F.element_at("rows", 1), "$.o_orderkey").cast("long").alias("first_key"))

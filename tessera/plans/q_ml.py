@@ -1,13 +1,15 @@
 """ML lifecycle and drift queries.
 
 Classifier: orders_dummies (label = o_totalprice > 250000). Regressor:
-lineitem l_extendedprice from quantity, discount, tax, flags. Trained models
-are memoised per (session, sf_dir) so the queries that explain or score a
-model reuse one fit.
+lineitem l_extendedprice from quantity, discount, tax, flags. Fitted models
+are kept with the session that fitted them, so the queries that explain or
+score a model reuse one fit.
 """
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import functions as F
 
 from tessera.operators import drift as D
@@ -17,15 +19,20 @@ from tessera.plans.registry import register
 from tessera.session import scratch_dir
 from tessera.sources.files import table
 
-_MODELS: dict = {}
+# session -> {(sf_dir, kind): run}; a session that ends takes its models along
+_SESSIONS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def _models(spark) -> dict:
+    return _SESSIONS.setdefault(spark, {})
 
 
 def _clf(spark, sf_dir):
-    k = (id(spark), sf_dir, "clf")
-    if k not in _MODELS:
-        _MODELS[k] = ML.train(fx.orders_dummies(spark, sf_dir), "label", "classification",
+    models, k = _models(spark), (sf_dir, "clf")
+    if k not in models:
+        models[k] = ML.train(fx.orders_dummies(spark, sf_dir), "label", "classification",
                               model_type="random_forest", key="o_orderkey")
-    return _MODELS[k]
+    return models[k]
 
 
 def _lineitem_reg(spark, sf_dir):
@@ -35,24 +42,24 @@ def _lineitem_reg(spark, sf_dir):
 
 
 def _reg(spark, sf_dir):
-    k = (id(spark), sf_dir, "reg")
-    if k not in _MODELS:
-        _MODELS[k] = ML.train(_lineitem_reg(spark, sf_dir), "l_extendedprice", "regression",
+    models, k = _models(spark), (sf_dir, "reg")
+    if k not in models:
+        models[k] = ML.train(_lineitem_reg(spark, sf_dir), "l_extendedprice", "regression",
                               model_type="random_forest", key=["l_orderkey", "l_linenumber"],
                               features=["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"])
-    return _MODELS[k]
+    return models[k]
 
 
 def _runs(spark, sf_dir):
-    k = (id(spark), sf_dir, "runs")
-    if k not in _MODELS:
+    models, k = _models(spark), (sf_dir, "runs")
+    if k not in models:
         path = scratch_dir(spark, "runs")
         for run in (_clf(spark, sf_dir), _reg(spark, sf_dir)):
             art = save_path = f"{path}-models/{run['model_name']}"
             ML.save_model(run["model"], save_path)
             ML.log_run(spark, path, run, art)
-        _MODELS[k] = path
-    return spark.read.parquet(_MODELS[k])
+        models[k] = path
+    return spark.read.parquet(models[k])
 
 
 def _run_row(spark, run):
@@ -75,7 +82,9 @@ def q_one_hot_encode(spark, sf_dir):
     return enc
 
 
-@register("train_test_split")
+@register("train_test_split", f"""
+SELECT *, CASE WHEN ('0x' || substr(md5('42|' || CAST(o_orderkey AS VARCHAR)), 1, 8))::BIGINT % 10000 < 2000
+          THEN 'test' ELSE 'train' END AS split FROM ({fx.ORDERS_DUMMIES_SQL})""")
 def q_train_test_split(spark, sf_dir):
     od = fx.orders_dummies(spark, sf_dir)
     return od.withColumn("split", ML.split_column("o_orderkey", 0.2))
@@ -92,8 +101,20 @@ def q_train_regressor(spark, sf_dir):
     return _run_row(spark, _reg(spark, sf_dir))
 
 
-@register("run_log")
+@register("run_log", f"""
+SELECT run_id, model_name, model_type, problem_type, target, metric_name, metric_value, created_at FROM ({fx.EVENT_RUNS_SQL})""")
 def q_run_log(spark, sf_dir):
+    """Runs appended to the runs table in two writes and read back."""
+    path = scratch_dir(spark, "runs")
+    runs = fx.event_runs(spark, sf_dir)
+    for part in (F.col("problem_type") == "classification", F.col("problem_type") != "classification"):
+        runs.filter(part).write.mode("append").parquet(path)
+    return spark.read.parquet(path).select("run_id", "model_name", "model_type", "problem_type", "target", "metric_name",
+                                           "metric_value", "created_at")
+
+
+@register("run_log_trained")
+def q_run_log_trained(spark, sf_dir):
     return _runs(spark, sf_dir)
 
 
@@ -179,21 +200,53 @@ def q_cross_validate(spark, sf_dir):
                              params='{"minInstancesPerNode": 1}')
 
 
-@register("model_leaderboard")
+LEADERBOARD_SQL = f"""
+SELECT run_id, model_name, model_type, 2 AS n_features, problem_type, target, metric_name, metric_value,
+       round(CASE WHEN problem_type = 'classification' THEN share ELSE 1 - share END, 4) AS score,
+       round(CASE WHEN problem_type = 'classification' THEN share / 2 ELSE mean END, 4) AS secondary, created_at,
+       CASE WHEN row_number() OVER (PARTITION BY problem_type ORDER BY created_at DESC, run_id) = 1 THEN 'Production'
+            ELSE 'Staging' END AS stage
+FROM ({fx.EVENT_RUNS_SQL})"""
+
+
+@register("model_leaderboard", LEADERBOARD_SQL)
 def q_model_leaderboard(spark, sf_dir):
-    return ML.model_leaderboard(_runs(spark, sf_dir))
+    return ML.model_leaderboard(fx.event_runs(spark, sf_dir), sort_by="score")
 
 
-@register("model_registry_summary")
-def q_model_registry_summary(spark, sf_dir):
-    return ML.registry_summary(_runs(spark, sf_dir))
+@register("model_leaderboard_trained")
+def q_model_leaderboard_trained(spark, sf_dir):
+    return ML.model_leaderboard(_runs(spark, sf_dir))
 
 
-@register("model_compare")
+@register("model_registry_summary", f"""
+SELECT count(*) AS models, count(*) FILTER (problem_type = 'classification') AS classifiers,
+       count(*) FILTER (problem_type <> 'classification') AS regressors, count(*) FILTER (stage = 'Production') AS production,
+       count(*) FILTER (stage = 'Staging') AS staging,
+       coalesce(round(avg(score) FILTER (problem_type = 'classification'), 4), 0.0) AS mean_accuracy
+FROM ({LEADERBOARD_SQL})""")
+def q_model_registry_summary(spark, sf_dir):
+    return ML.registry_summary(fx.event_runs(spark, sf_dir))
+
+
+@register("model_compare", f"""
+WITH r AS (SELECT * FROM ({fx.EVENT_RUNS_SQL}) QUALIFY row_number() OVER (PARTITION BY model_name ORDER BY created_at DESC, run_id) = 1),
+m AS (SELECT model_name, 'accuracy' AS metric, share AS v FROM r WHERE problem_type = 'classification'
+      UNION ALL SELECT model_name, 'f1', share / 2 FROM r WHERE problem_type = 'classification'
+      UNION ALL SELECT model_name, 'r2', 1 - share FROM r WHERE problem_type <> 'classification'
+      UNION ALL SELECT model_name, 'rmse', mean FROM r WHERE problem_type <> 'classification')
+SELECT metric, coalesce(max(round(v, 4)) FILTER (model_name = 'model_error'), -1) AS model_error,
+       coalesce(max(round(v, 4)) FILTER (model_name = 'model_purchase'), -1) AS model_purchase
+FROM m WHERE model_name IN ('model_error', 'model_purchase') GROUP BY metric""")
 def q_model_compare(spark, sf_dir):
-    runs = _runs(spark, sf_dir)
-    names = [r["model_name"] for r in runs.select("model_name").distinct().orderBy("model_name").collect()]
-    return ML.model_compare(runs, names)
+    from pyspark.sql import Window
+    runs = fx.event_runs(spark, sf_dir)
+    newest = Window.partitionBy("model_name").orderBy(F.desc("created_at"), "run_id")
+    runs = runs.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
+    names = ["model_error", "model_purchase"]
+    out = ML.model_compare(runs, names)
+    # the operator's '-' for an absent metric as -1, so that both engines return numbers
+    return out.select("metric", *[F.when(F.col(n) == "-", F.lit(-1.0)).otherwise(F.col(n).cast("double")).alias(n) for n in names])
 
 
 # -- drift ---------------------------------------------------------------------
@@ -247,7 +300,7 @@ SELECT 'events_value_model' AS model_name, f.feature_drift_score, p.prediction_d
        CASE WHEN greatest(f.feature_drift_score, p.prediction_drift_score) > 0.05 THEN 'WARNING' ELSE 'OK' END AS status,
        f.drifted_features
 FROM (SELECT max(psi) AS feature_drift_score,
-             coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (WHERE psi > 0.05), '') AS drifted_features FROM psi) f,
+             coalesce(list(feature ORDER BY feature) FILTER (WHERE psi > 0.05), []) AS drifted_features FROM psi) f,
      (SELECT max(psi) AS prediction_drift_score FROM ppsi) p""")
 def q_drift_report(spark, sf_dir):
     return D.drift_report(_feature_drift(spark, sf_dir), _prediction_drift(spark, sf_dir), "events_value_model")
@@ -259,3 +312,38 @@ SELECT 'events_value_model' AS model_name, feature, psi, CASE WHEN psi > 0.2 THE
 FROM psi WHERE psi > 0.05""")
 def q_drift_alerts(spark, sf_dir):
     return D.drift_alerts(_feature_drift(spark, sf_dir), "events_value_model")
+
+
+EVENTS_NULLS_WINDOWS_SQL = f"""SELECT event_type, "window", value FROM ({fx.EVENTS_WINDOWS_SQL})
+UNION ALL SELECT event_type, 'current', NULL FROM events WHERE event_id % 3 = 0
+UNION ALL SELECT event_type, 'baseline', 'NaN'::DOUBLE FROM events WHERE event_id % 7 = 0"""
+
+
+@register("feature_drift_nulls", f"""WITH ew AS (SELECT * FROM ({EVENTS_NULLS_WINDOWS_SQL}) WHERE value IS NOT NULL AND NOT isnan(value)),
+{_psi_sql('ew', 'event_type').strip()}
+SELECT feature, psi, {PSI_STATUS} AS status FROM psi""")
+def q_feature_drift_nulls(spark, sf_dir):
+    """Drift with missing values added to both windows: the same as without them."""
+    w = _windows(spark, sf_dir).select("event_type", "window", F.col("value").cast("double").alias("value"))
+    e = table(spark, sf_dir, "events")
+    nulls = e.filter(F.col("event_id") % 3 == 0).select("event_type", F.lit("current").alias("window"), F.lit(None).cast("double").alias("value"))
+    nans = e.filter(F.col("event_id") % 7 == 0).select("event_type", F.lit("baseline").alias("window"), F.lit(float("nan")).alias("value"))
+    return D.feature_psi(w.unionByName(nulls).unionByName(nans), "event_type", "window", "value")
+
+
+# -- drift over real feature columns ---------------------------------------------------
+COLUMN_DRIFT_SRC = """
+SELECT f AS feature, CASE WHEN l_shipdate < (SELECT min(l_shipdate) + (max(l_shipdate) - min(l_shipdate)) / 2 FROM lineitem)
+                          THEN 'baseline' ELSE 'current' END AS "window", v AS value
+FROM (SELECT l_shipdate, unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS f,
+             unnest([CAST(l_quantity AS DOUBLE), l_extendedprice, l_discount, l_tax]) AS v FROM lineitem)"""
+
+
+@register("feature_drift_columns", f"""WITH ew AS ({COLUMN_DRIFT_SRC}),{_psi_sql('ew', 'feature')}
+SELECT feature, psi, {PSI_STATUS} AS status FROM psi""")
+def q_feature_drift_columns(spark, sf_dir):
+    """One feature per numeric column of lineitem, the older half of the ship dates against the newer one."""
+    li = table(spark, sf_dir, "lineitem").select("l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    lo, hi = li.agg(F.min("l_shipdate"), F.max("l_shipdate")).first()
+    return D.column_psi(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"],
+                        F.when(F.col("l_shipdate") < D.middle(lo, hi), "baseline").otherwise("current"))

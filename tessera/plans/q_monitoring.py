@@ -3,6 +3,8 @@ latency = value, node = user_id % 6) and the alert change log."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tessera.operators import monitoring as M
 from tessera.plans import fixtures as fx
 from tessera.plans.registry import register
@@ -31,6 +33,14 @@ def q_metrics_hourly(spark, sf_dir):
     return M.metrics_hourly(table(spark, sf_dir, "events"))
 
 
+@register("metrics_hourly_nulls", f"WITH events AS (SELECT * REPLACE (CASE WHEN event_id % 13 = 0 THEN NULL ELSE ts END AS ts) FROM ({fx.EVENTS_NULLS_SQL}))"
+          + HOURLY_SQL)
+def q_metrics_hourly_nulls(spark, sf_dir):
+    """Missing times, values and types: one row for the events without a time."""
+    e = fx.events_nulls(spark, sf_dir)
+    return M.metrics_hourly(e.withColumn("ts", F.when(F.col("event_id") % 13 != 0, F.col("ts"))))
+
+
 NODE_SQL = """
 WITH ev AS (SELECT user_id % 6 AS node, ts, event_type, value FROM events),
 lst AS (SELECT node, max(ts) AS last_seen FROM ev GROUP BY 1),

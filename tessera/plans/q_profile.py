@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tessera.operators import profile as P
 from tessera.plans import fixtures as fx
 from tessera.plans.registry import register
@@ -223,6 +225,15 @@ def q_profile_pca_variance(spark, sf_dir):
     return ratio
 
 
+@register("profile_pca_two", """
+SELECT i AS component, round((1 + CASE WHEN i = 1 THEN abs(r) ELSE -abs(r) END) / 2, 6) AS explained_variance_ratio
+FROM (SELECT corr(l_quantity, l_extendedprice) AS r FROM lineitem), unnest([1, 2]) AS t(i)""")
+def q_profile_pca_two(spark, sf_dir):
+    """Two standardised columns have the closed form (1 +- |r|) / 2."""
+    _, ratio = P.profile_pca(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"], k=2)
+    return ratio.select("component", F.round("explained_variance_ratio", 6).alias("explained_variance_ratio"))
+
+
 @register("profile_dataset")
 def q_profile_dataset(spark, sf_dir):
     return P.profile_dataset(table(spark, sf_dir, "orders"))

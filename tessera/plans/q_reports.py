@@ -33,10 +33,31 @@ UNION ALL SELECT 'executive_summary', 'anomalies', 'open', CAST(count(*) FILTER
 UNION ALL SELECT 'executive_summary', 'anomalies', 'critical', CAST(count(*) FILTER (WHERE severity = 'CRITICAL') AS DOUBLE) FROM an_src"""
 
 
-@register("executive_summary", _exec_sql())
-def q_executive_summary(spark, sf_dir):
+def _exec_models_sql() -> str:
+    from tessera.plans.q_ml import LEADERBOARD_SQL
+    return f"""{_exec_sql()}
+UNION ALL SELECT 'executive_summary', 'models', 'models', CAST(count(*) AS DOUBLE) FROM ({LEADERBOARD_SQL})
+UNION ALL SELECT 'executive_summary', 'models', 'mean_score', round(avg(score), 4) FROM ({LEADERBOARD_SQL})
+UNION ALL SELECT 'executive_summary', 'catalog', 'datasets', CAST(2 AS DOUBLE)"""
+
+
+def _summary(spark, sf_dir):
     from tessera.plans.reports import executive_summary
-    return executive_summary(spark, sf_dir)
+    from tessera.session import scratch_dir
+    from tessera.sources import catalog as C
+    cat = scratch_dir(spark, "catalog")
+    for names in (["orders"], ["events", "orders"]):          # orders registered twice: one dataset
+        C.register_datasets(spark, cat, [(t, "parquet", f"{sf_dir.rstrip('/')}/{t}.parquet", table(spark, sf_dir, t)) for t in names])
+    return executive_summary(spark, sf_dir, runs=fx.event_runs(spark, sf_dir), datasets=C.list_datasets(spark, cat))
+
+
+@register("executive_summary", _exec_models_sql())
+def q_executive_summary(spark, sf_dir):
+    return _summary(spark, sf_dir)
+
+
+def _sections_sql() -> str:
+    return f"SELECT * FROM ({_exec_sql()}) UNION ALL SELECT * FROM ({_charts_sql()})"
 
 
 @register("report_dataset")
@@ -69,3 +90,9 @@ SELECT 'profiling_charts', 'orders.' || col_a || '.' || col_b, 'corr', corr FROM
 def q_report_profiling_charts(spark, sf_dir):
     from tessera.plans.reports import profiling_charts
     return profiling_charts(table(spark, sf_dir, "orders"), "orders")
+
+
+@register("report_sections", _sections_sql())
+def q_report_sections(spark, sf_dir):
+    """The report without the model section: every row has a SQL form."""
+    return report_dataset(spark, sf_dir, {"orders": table(spark, sf_dir, "orders")}, None, sections=("executive_summary", "profiling_charts"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.sql import functions as F
+
 from tessera.plans.registry import register
 from tessera.session import scratch_dir
 from tessera.sources import catalog as C
@@ -79,9 +83,59 @@ def q_dataset_catalog(spark, sf_dir):
     return C.list_datasets(spark, cat).select("name", "source_type", "rows", "columns")
 
 
-@register("dataset_export")
+@register("dataset_export", """
+SELECT 'orders' AS name, count(*) AS "rows", 6 AS "columns", 6 AS n_fields, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total
+FROM orders""")
 def q_dataset_export(spark, sf_dir):
-    cat = scratch_dir(spark, "catalog")
-    C.register_datasets(spark, cat, [("orders", "parquet", f"{sf_dir.rstrip('/')}/orders.parquet",
-                                      table(spark, sf_dir, "orders"))])
-    return C.export_dataset(spark, cat, "orders")
+    """The export document of a dataset with a profile, read back from its JSON objects."""
+    cat, orders = scratch_dir(spark, "catalog"), table(spark, sf_dir, "orders")
+    total = orders.agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")).first()[0]
+    C.register_datasets(spark, cat, [("orders", "parquet", f"{sf_dir.rstrip('/')}/orders.parquet", orders)],
+                        {"orders": json.dumps({"sums": {"o_totalprice": total}})})
+    doc = C.export_dataset(spark, cat, "orders")
+    return doc.select(
+        "name", F.get_json_object("document", "$.rows").cast("long").alias("rows"),
+        F.get_json_object("document", "$.columns").cast("int").alias("columns"),
+        F.size(F.from_json(F.get_json_object("document", "$.schema.fields"), "array<struct<name: string>>")).alias("n_fields"),
+        F.get_json_object("document", "$.profile.sums.o_totalprice").cast("double").alias("total"))
+
+
+@register("read_csv_text", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def q_read_csv_text(spark, sf_dir):
+    """A table whose texts hold line breaks and quotes, through CSV and back."""
+    src = table(spark, sf_dir, "documents")
+    return read_csv(spark, write_csv(src, scratch_dir(spark, "csv")), schema=src.schema)
+
+
+@register("read_csv_inferred", """
+SELECT l_orderkey, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_quantity END AS l_quantity,
+       CASE WHEN l_linenumber = 3 THEN NULL ELSE l_extendedprice END AS l_extendedprice,
+       CASE WHEN l_linenumber = 1 THEN NULL ELSE l_returnflag END AS l_returnflag FROM lineitem""")
+def q_read_csv_inferred(spark, sf_dir):
+    """Types found without a schema although columns hold NA spellings."""
+    li, n = table(spark, sf_dir, "lineitem"), F.col("l_linenumber")
+    path = scratch_dir(spark, "csv")
+    write_csv(li.select("l_orderkey", F.when(n == 2, "NA").otherwise(F.col("l_quantity").cast("string")).alias("l_quantity"),
+                        F.when(n == 3, "N/A").otherwise(F.col("l_extendedprice").cast("string")).alias("l_extendedprice"),
+                        F.when(n == 1, "null").otherwise(F.col("l_returnflag")).alias("l_returnflag")), path)
+    return read_csv(spark, path)
+
+
+@register("read_json_array", "SELECT s_suppkey, s_name FROM supplier")
+def q_read_json_array(spark, sf_dir):
+    """A pretty-printed JSON array document, one file, through ``load_table``."""
+    src = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    path = scratch_dir(spark, "json") + ".json"
+    rows = src.select(F.to_json(F.struct("s_suppkey", "s_name"), {"pretty": "true"}).alias("r"), "s_suppkey")
+    doc = rows.agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "r"))), lambda x: x["r"]), ",\n"),
+                            F.lit("]")).alias("value"))
+    doc.write.mode("overwrite").text(path)
+    return load_table(spark, path)
+
+
+@register("ingest_sql_documents", "SELECT * FROM documents")
+def q_ingest_sql_documents(spark, sf_dir):
+    """A query result whose texts hold line breaks, stored and read back whole."""
+    table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    base = scratch_dir(spark, "ingest")
+    return I.ingest_sql(spark, "SELECT * FROM documents", "documents_sql", base + "/data", base + "/catalog", profile=False)

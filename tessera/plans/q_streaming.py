@@ -9,25 +9,27 @@ from tessera.plans import fixtures as fx
 from tessera.plans.registry import register
 from tessera.streaming import streams as S
 
-CLOSED = "date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
+# the delay of the events source: its files do not overlap in time
+DELAY = "1 hour"
+CLOSED = "date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AS closed"
 
 
 @register("stream_throughput", f"""
 SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
-       count(*) AS events, round(count(*) / 3600.0::DOUBLE, 4) AS rate_per_sec
-FROM events WHERE {CLOSED} GROUP BY 1, 2""")
+       count(*) AS events, round(count(*) / 3600.0::DOUBLE, 4) AS rate_per_sec, {CLOSED}
+FROM events GROUP BY 1, 2""")
 def q_stream_throughput(spark, sf_dir):
-    return S.stream_throughput(spark, sf_dir)
+    return S.stream_throughput(spark, sf_dir, watermark=DELAY)
 
 
-@register("stream_topic_rates", f"""
-WITH w AS (SELECT date_trunc('hour', ts) AS ws, event_type, count(*) AS n FROM events WHERE {CLOSED} GROUP BY 1, 2),
+@register("stream_topic_rates", """
+WITH w AS (SELECT date_trunc('hour', ts) AS ws, event_type, count(*) AS n FROM events GROUP BY 1, 2),
 p AS (SELECT event_type, sum(n) AS events, count(*) AS windows FROM w GROUP BY 1)
 SELECT event_type, CAST(events AS BIGINT) AS events, windows,
        round(events / (windows * 3600.0::DOUBLE), 4) AS rate_per_sec,
        round(events * 100.0::DOUBLE / sum(events) OVER (), 2) AS share_pct, count(*) OVER () AS active_topics FROM p""")
 def q_stream_topic_rates(spark, sf_dir):
-    return S.stream_topic_rates(spark, sf_dir)
+    return S.stream_topic_rates(spark, sf_dir, watermark=DELAY)
 
 
 @register("stream_recent", "SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 8")
@@ -61,14 +63,14 @@ def q_stream_lag(spark, sf_dir):
 WITH d0 AS (SELECT CAST(CAST(min(ts) AS DATE) + INTERVAL 15 DAY AS TIMESTAMP) AS cut FROM events),
 bh AS (SELECT event_type, date_trunc('hour', ts) AS h, count(*) AS n FROM events, d0 WHERE ts < cut GROUP BY 1, 2),
 base AS (SELECT event_type, avg(n) AS m, stddev_samp(n) AS s FROM bh GROUP BY 1),
-w AS (SELECT event_type, date_trunc('hour', ts) AS window_start, count(*) AS events FROM events WHERE {CLOSED} GROUP BY 1, 2),
+w AS (SELECT event_type, date_trunc('hour', ts) AS window_start, count(*) AS events, {CLOSED} FROM events GROUP BY 1, 2),
 z AS (SELECT w.event_type, w.window_start, w.events, round(m, 4) AS baseline_mean, round(s, 4) AS baseline_std,
-             round((w.events - m) / nullif(s, 0), 4) AS z_score FROM w JOIN base USING (event_type))
+             round((w.events - m) / nullif(s, 0), 4) AS z_score, closed FROM w JOIN base USING (event_type))
 SELECT *, CASE WHEN abs(z_score) >= 6 THEN 'CRITICAL' WHEN abs(z_score) >= 3.8 THEN 'HIGH'
                WHEN abs(z_score) >= 3 THEN 'MEDIUM' WHEN abs(z_score) >= 2 THEN 'LOW' END AS severity
 FROM z WHERE abs(z_score) >= 2""")
 def q_stream_anomalies(spark, sf_dir):
-    return S.stream_anomalies(spark, sf_dir)
+    return S.stream_anomalies(spark, sf_dir, watermark=DELAY)
 
 
 @register("stream_score")
@@ -100,10 +102,10 @@ def q_stream_score(spark, sf_dir):
 @register("stream_metrics_hourly", f"""
 SELECT date_trunc('hour', ts) AS hour, count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS errors,
        round(count(*) FILTER (WHERE event_type = 'error') * 100.0::DOUBLE / nullif(count(*), 0), 2) AS error_rate,
-       round(quantile_cont(value, 0.99), 4) AS p99_latency
-FROM events WHERE {CLOSED} GROUP BY 1""")
+       round(quantile_cont(value, 0.99), 4) AS p99_latency, {CLOSED}
+FROM events GROUP BY 1""")
 def q_stream_metrics_hourly(spark, sf_dir):
-    return S.stream_metrics_hourly(spark, sf_dir)
+    return S.stream_metrics_hourly(spark, sf_dir, watermark=DELAY)
 
 
 @register("stream_alert_state", f"""

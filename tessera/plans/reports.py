@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import analytics as A
 from tessera.operators import anomaly as AN
+from tessera.operators import ml as ML
 from tessera.operators import monitoring as M
 from tessera.operators import profile as P
 from tessera.plans import fixtures as fx
@@ -22,10 +23,12 @@ def _long(df: DataFrame, section: str, item, metrics: list[str]) -> DataFrame:
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])))
 
 
-def executive_summary(spark: SparkSession, sf_dir: str, period: int = 365) -> DataFrame:
+def executive_summary(spark: SparkSession, sf_dir: str, period: int = 365, runs: DataFrame | None = None,
+                      datasets: DataFrame | None = None) -> DataFrame:
     """One table of headline numbers: sales (revenue, orders, active customers
-    in the period), traffic (events per minute, error rate, uptime) and
-    anomalies (open, critical)."""
+    in the period), traffic (events per minute, error rate, uptime), anomalies
+    (open, critical) and, with a runs table and a dataset list, the mean model
+    score and the number of datasets."""
     li, o, ev = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"), table(spark, sf_dir, "events")
     kpi = A.kpi_summary(li, o, ev, period=period).filter(F.col("metric").isin("revenue", "orders", "customers"))
     sales = kpi.select(F.lit("executive_summary").alias("section"), F.lit("sales").alias("item"),
@@ -34,7 +37,13 @@ def executive_summary(spark: SparkSession, sf_dir: str, period: int = 365) -> Da
         .unionByName(_long(M.uptime_percent(ev), "executive_summary", F.lit("platform"), ["uptime_pct"]))
     an = AN.anomaly_summary(AN.detect_anomalies(AN.anomaly_zscore(fx.metric_series(spark, sf_dir))))
     an = _long(an, "executive_summary", F.lit("anomalies"), ["total", "open", "critical"])
-    return sales.unionByName(traffic).unionByName(an)
+    out = sales.unionByName(traffic).unionByName(an)
+    if runs is not None:
+        score = ML.model_leaderboard(runs).agg(F.count(F.lit(1)).alias("models"), F.round(F.avg("score"), 4).alias("mean_score"))
+        out = out.unionByName(_long(score, "executive_summary", F.lit("models"), ["models", "mean_score"]))
+    if datasets is not None:
+        out = out.unionByName(_long(datasets.agg(F.count(F.lit(1)).alias("datasets")), "executive_summary", F.lit("catalog"), ["datasets"]))
+    return out
 
 
 def profiling_charts(df: DataFrame, dataset: str) -> DataFrame:

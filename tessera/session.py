@@ -63,7 +63,8 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Set a checkpoint folder only when the session has none (local runs)."""
+    """Set a checkpoint folder only when the session has none and runs in one local
+    process (tests); raise on a cluster."""
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc_dir = spark.sparkContext.getCheckpointDir()
     if conf_dir:
@@ -72,6 +73,8 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> str:
         return conf_dir
     if sc_dir:
         return sc_dir
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="tessera-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)

@@ -9,44 +9,42 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CATALOG_SCHEMA = ("name string, source_type string, file_path string, rows bigint, columns int, "
+CATALOG_SCHEMA = ("dataset_id string, name string, source_type string, file_path string, rows bigint, columns int, "
                   "size_bytes bigint, schema_json string, profile_json string, created_at timestamp_ntz")
 
 
-def _size_bytes(df: DataFrame):
-    """Sum of the input file sizes, from file-system metadata (no Spark job);
-    None when the DataFrame is not file based."""
-    files = df.inputFiles()
-    if not files:
-        return None
-    sc = df.sparkSession.sparkContext
-    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
-    total = 0
-    for f in files:
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        total += p.getFileSystem(conf).getFileStatus(p).getLen()
-    return int(total)
+def _totals(df: DataFrame, name: str, path: str | None) -> DataFrame:
+    """(name, rows, size_bytes): counts and file lengths added up on the executors (contents are not read)."""
+    rows = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows")
+    if not path:
+        return rows.withColumn("size_bytes", F.lit(None).cast("bigint"))
+    files = df.sparkSession.read.format("binaryFile").load(path).select("length")
+    size = files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("size_bytes")).select(F.lit(name).alias("name"), "size_bytes")
+    return rows.join(size, "name")
 
 
 def dataset_records(spark: SparkSession, datasets: list[tuple[str, str, str | None, DataFrame]],
                     profiles: dict[str, str] | None = None) -> DataFrame:
     """Catalog rows for several datasets: (name, source_type, path, df).
 
-    All row counts are computed in ONE job (a union of per-dataset counts)."""
+    All row counts and file sizes are computed in ONE job (a union of
+    per-dataset totals). Every registration has its own id."""
     profiles = profiles or {}
-    counts = None
-    for name, _, _, df in datasets:
-        c = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows")
-        counts = c if counts is None else counts.unionByName(c)
-    n_rows = {r["name"]: r["rows"] for r in counts.collect()} if counts is not None else {}
+    totals = None
+    for name, _, path, df in datasets:
+        c = _totals(df, name, path)
+        totals = c if totals is None else totals.unionByName(c)
+    found = {r["name"]: r for r in totals.collect()} if totals is not None else {}
     now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     rows = []
     for i, (name, source_type, path, df) in enumerate(datasets):
-        rows.append((name, source_type, path, int(n_rows[name]), len(df.columns), _size_bytes(df) if path else None,
+        r = found[name]
+        rows.append((uuid.uuid4().hex, name, source_type, path, int(r["rows"]), len(df.columns), r["size_bytes"],
                      df.schema.json(), profiles.get(name), now + dt.timedelta(microseconds=i)))
     return spark.createDataFrame(rows, CATALOG_SCHEMA)
 
@@ -57,17 +55,26 @@ def register_datasets(spark: SparkSession, catalog_path: str, datasets, profiles
     return recs
 
 
+def latest(spark: SparkSession, catalog_path: str) -> DataFrame:
+    """The newest registration of every dataset name."""
+    c = spark.read.parquet(catalog_path)
+    newest = F.max_by(F.struct(*c.columns), F.struct("created_at", "dataset_id"))
+    return c.groupBy("name").agg(newest.alias("r")).select("r.*")
+
+
 def list_datasets(spark: SparkSession, catalog_path: str) -> DataFrame:
-    """Every dataset, newest first."""
-    return spark.read.parquet(catalog_path).orderBy(F.desc("created_at"), "name")
+    """Every dataset (its latest registration), newest first."""
+    return latest(spark, catalog_path).orderBy(F.desc("created_at"), "name")
 
 
 def export_dataset(spark: SparkSession, catalog_path: str, name: str) -> DataFrame:
-    """Metadata and profile of one dataset as one JSON document."""
-    c = spark.read.parquet(catalog_path).filter(F.col("name") == name)
-    return c.select("name", F.to_json(F.struct(
-        "name", "source_type", "file_path", "rows", "columns", "size_bytes", "created_at",
-        F.col("schema_json").alias("schema"), F.col("profile_json").alias("profile"))).alias("document"))
+    """Metadata, schema and profile of one dataset as one JSON document (nested objects, not JSON text)."""
+    c = latest(spark, catalog_path).filter(F.col("name") == name)
+    head = F.to_json(F.struct("name", "source_type", "file_path", "rows", "columns", "size_bytes", "created_at"))
+    # schema and profile are JSON text already: put in as objects
+    parts = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"schema":'), F.coalesce("schema_json", F.lit("null")),
+                     F.lit(',"profile":'), F.coalesce("profile_json", F.lit("null")), F.lit("}"))
+    return c.select("name", parts.alias("document"))
 
 
 def profile_summary_json(profile_long: DataFrame) -> str:

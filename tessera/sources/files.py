@@ -26,47 +26,66 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _null_na(c: str) -> F.Column:
-    return F.when(F.col(c).isin(NA_STRINGS), F.lit(None)).otherwise(F.col(c))
+# A number as text: Java would also take a type letter (1d, 2f).
+_NUMBER = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def _typed(c: str, t: T.DataType, na: list[str]) -> F.Column:
+    v = F.when(F.col(c).isin(na), F.lit(None)).otherwise(F.col(c))
+    if isinstance(t, T.StringType):
+        return v
+    if isinstance(t, (T.FloatType, T.DoubleType)):
+        v = F.when(v.rlike(_NUMBER), v)
+    return v.try_cast(t)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
-             na_values: list[str] | None = None, sampling_ratio: float = 1.0) -> DataFrame:
+             na_values: list[str] | None = None, multiline: bool = True) -> DataFrame:
     """CSV with a header row; every NA spelling becomes null before typing.
 
-    With ``schema`` the file is read as text and each column is ``try_cast``
-    to its pinned type (no inference pass). Without it, types are inferred
-    from a sample (``sampling_ratio``) and NA spellings are nulled on the
-    string columns that result.
+    Quoted fields may hold line breaks (``multiline``; then a file is one
+    task, so large tables should come as many files; pass False for files
+    known to have none). With ``schema`` the file is read as text and each
+    column is ``try_cast`` to its pinned type (no inference pass). Without it
+    the NA spellings are nulled on the text first and the types follow from
+    all remaining values: long, else double, else boolean, else timestamp,
+    else string (one aggregate over the file).
     """
     na = na_values if na_values is not None else NA_STRINGS
-    reader = spark.read.option("header", True).option("multiLine", False) \
+    reader = spark.read.option("header", True).option("multiLine", multiline) \
         .option("escape", '"').option("mode", "PERMISSIVE")
     if schema is not None:
         text_schema = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
         raw = reader.schema(text_schema).csv(path)
-        cols = []
-        for f in schema.fields:
-            v = F.when(F.col(f.name).isin(na), F.lit(None)).otherwise(F.col(f.name))
-            if not isinstance(f.dataType, T.StringType):
-                v = v.try_cast(f.dataType)
-            cols.append(v.alias(f.name))
-        return raw.select(*cols)
-    raw = reader.option("inferSchema", True).option("samplingRatio", sampling_ratio) \
-        .option("nullValue", "").option("nanValue", "NaN").csv(path)
-    cols = []
-    for f in raw.schema.fields:
-        if isinstance(f.dataType, T.StringType):
-            cols.append(F.when(F.col(f.name).isin(na), F.lit(None)).otherwise(F.col(f.name)).alias(f.name))
-        else:
-            cols.append(F.col(f.name))
-    return raw.select(*cols)
+        return raw.select(*[_typed(f.name, f.dataType, na).alias(f.name) for f in schema.fields])
+    raw = reader.csv(path)
+    checks = []
+    for i, c in enumerate(raw.columns):
+        v = F.when(F.col(c).isin(na), F.lit(None)).otherwise(F.col(c))
+        number = v.rlike(_NUMBER)
+        tests = {"n": v.isNull(), "long": number & v.try_cast("long").isNotNull() & ~v.rlike("[.eE]"), "double": number,
+                 "boolean": F.lower(v).isin("true", "false"), "timestamp_ntz": v.try_cast("timestamp_ntz").isNotNull() & v.rlike("^[0-9]{4}-")}
+        checks += [F.min(t if k == "n" else F.coalesce(t, F.lit(True))).alias(f"{k}{i}") for k, t in tests.items()]
+    found = raw.agg(*checks).first() if checks else None
+    out = []
+    for i, c in enumerate(raw.columns):
+        empty = found[f"n{i}"] in (None, True)
+        kind = "string" if empty else next((k for k in ("long", "double", "boolean", "timestamp_ntz") if found[f"{k}{i}"]), "string")
+        out.append(_typed(c, T._parse_datatype_string(kind), na).alias(c))
+    return raw.select(*out)
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None,
-              multiline: bool = False) -> DataFrame:
-    """JSON records. JSON lines (``multiline=False``) splits across tasks; a
-    single JSON array document (``multiline=True``) is read by one task per file."""
+              multiline: bool | None = None) -> DataFrame:
+    """JSON records: JSON lines, or documents that are arrays of records.
+
+    JSON lines split across tasks; an array document is read by one task per
+    file. ``multiline=None`` looks at the first character of the input: ``[``
+    means an array.
+    """
+    if multiline is None:
+        head = spark.read.text(path).filter(F.trim("value") != "").limit(1).first()
+        multiline = head is not None and head[0].lstrip("\ufeff \t").startswith("[")
     reader = spark.read.option("multiLine", multiline)
     if schema is not None:
         reader = reader.schema(schema)

@@ -14,12 +14,13 @@ results.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.exprs import (bounded_broadcast, hour_start, instant_to_ntz, ntz_lit, ntz_to_instant,
-                                     safe_div, severity_from_z)
+from tessera.functions.exprs import hour_start, instant_to_ntz, ntz_lit, ntz_to_instant, safe_div, severity_from_z
 from tessera.session import scratch_dir
 
 # Source types a stream may be registered with.
@@ -54,14 +55,20 @@ def open_stream(spark: SparkSession, source: dict, schema: T.StructType) -> Data
     return reader.format(fmt).load(conf["path"])
 
 
-def event_stream(spark: SparkSession, sf_dir: str, name: str = "events", max_files: int = 1,
+def event_stream(spark: SparkSession, sf_dir: str, name: str = "events", max_files: int | None = None,
                  glob: str | None = None, schema: T.StructType | None = None) -> DataFrame:
     """Parquet files of a directory as a stream (default: ``{name}.parquet`` of
-    ``sf_dir``), at most ``max_files`` per micro-batch; ts as TIMESTAMP."""
+    ``sf_dir``); ts as TIMESTAMP.
+
+    ``max_files`` bounds a micro-batch. A source whose files overlap in time
+    must then get a watermark delay as long as the overlap, else rows of later
+    files are late (``run_updates`` reports how many)."""
     if schema is None:
         schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
-    s = (spark.readStream.schema(schema).option("pathGlobFilter", glob or f"{name}.parquet")
-         .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob or f"{name}.parquet")
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    s = reader.parquet(sf_dir)
     if "ts" in s.columns:
         s = s.withColumn("ts", ntz_to_instant("ts"))
     return s
@@ -77,10 +84,54 @@ def run_available(query_df: DataFrame, out: str, mode: str = "append", fmt: str
     return out
 
 
-def run_foreach_batch(query_df: DataFrame, fn, checkpoint: str, mode: str = "append") -> None:
+def run_foreach_batch(query_df: DataFrame, fn, checkpoint: str, mode: str = "append") -> int:
+    """Run over everything available; returns the rows that state operators dropped as late."""
     q = (query_df.writeStream.foreachBatch(fn).outputMode(mode).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in q.recentProgress for op in _field(p, "stateOperators"))
+
+
+def _field(progress, name: str) -> list[dict]:
+    if isinstance(progress, dict):
+        return progress.get(name, [])
+    import json
+    return json.loads(progress.json).get(name, [])
+
+
+def run_updates(query_df: DataFrame, out: str, keys: list[str]) -> DataFrame:
+    """Run in update mode into an upsert sink and return the latest row of each key.
+
+    Each micro-batch writes the rows that changed, to a folder of its own
+    (overwritten when the batch is replayed); reading takes the newest batch's
+    row of a key. So windows that are still open are there as well, and a batch
+    costs what it changes. Late rows are reported as a warning."""
+    spark = query_df.sparkSession
+    late = run_foreach_batch(query_df, lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}"),
+                             out + "-checkpoint", mode="update")
+    if late:
+        warnings.warn(f"{late} rows came after their watermark and were dropped: choose a longer delay", stacklevel=2)
+    return latest_updates(spark, out, query_df.schema, keys)
+
+
+def latest_updates(spark: SparkSession, out: str, schema: T.StructType, keys: list[str]) -> DataFrame:
+    """The newest row of each key of an upsert sink (null keys are keys)."""
+    if not _exists(spark, out):
+        return spark.createDataFrame([], schema)
+    values = [f.name for f in schema.fields if f.name not in keys]
+    r = spark.read.schema(T.StructType(schema.fields + [T.StructField("epoch", T.LongType())])).parquet(out)
+    newest = r.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("_v"))
+    return newest.select(*[F.col(f"_v.{f.name}").alias(f.name) if f.name in values else F.col(f.name) for f in schema.fields])
+
+
+def event_window(events: DataFrame, seconds: int, delay: str):
+    """The stream with its watermark, and the tumbling window of ts."""
+    return events.withWatermark("ts", delay), F.window("ts", f"{seconds} seconds").alias("w")
+
+
+def closed(window_end, newest_ts, delay: str):
+    """Whether the watermark (newest event less the delay) has passed the window's end."""
+    return window_end <= newest_ts - F.expr(f"INTERVAL {delay}")
 
 
 def _ntz(c: str) -> F.Column:
@@ -88,35 +139,31 @@ def _ntz(c: str) -> F.Column:
 
 
 # --------------------------------------------------------------------------
-def throughput_windows(events: DataFrame, window: str = "1 hour", watermark: str = "1 hour") -> DataFrame:
-    """Streaming: event count per tumbling window, emitted once the watermark
-    passes the window end (append mode)."""
-    return events.withWatermark("ts", watermark).groupBy(F.window("ts", window).alias("w")).agg(
-        F.count(F.lit(1)).alias("events"))
-
-
-def stream_throughput(spark: SparkSession, sf_dir: str, window_seconds: int = 3600, watermark: str = "1 hour",
+def stream_throughput(spark: SparkSession, sf_dir: str, window_seconds: int = 3600, *, watermark: str,
                       out: str | None = None, source: DataFrame | None = None) -> DataFrame:
-    """(window_start, window_end, events, rate_per_sec) for every closed window."""
+    """(window_start, window_end, events, rate_per_sec, closed) for every window that has events.
+
+    ``watermark`` is the delay the source needs. Windows that it has not passed
+    when the input is exhausted are there with ``closed`` false."""
     out = out or scratch_dir(spark, "throughput")
-    src = source if source is not None else event_stream(spark, sf_dir)
-    agg = throughput_windows(src, f"{window_seconds} seconds", watermark)
-    run_available(agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "events"), out)
-    r = spark.read.parquet(out)
+    src, w = event_window(source if source is not None else event_stream(spark, sf_dir), window_seconds, watermark)
+    agg = src.groupBy(w).agg(F.count(F.lit(1)).alias("events"), F.max("ts").alias("newest"))
+    r = run_updates(agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "events", "newest"),
+                    out, ["window_start", "window_end"])
+    newest = F.max("newest").over(Window.partitionBy())      # one row per window of time: a small table
     return r.select(_ntz("window_start").alias("window_start"), _ntz("window_end").alias("window_end"), "events",
-                    F.round(F.col("events") / float(window_seconds), 4).alias("rate_per_sec"))
+                    F.round(F.col("events") / float(window_seconds), 4).alias("rate_per_sec"),
+                    closed(F.col("window_end"), newest, watermark).alias("closed"))
 
 
-def stream_topic_rates(spark: SparkSession, sf_dir: str, window_seconds: int = 3600, watermark: str = "1 hour",
-                       out: str | None = None) -> DataFrame:
-    """Per topic over closed windows: events, windows, rate_per_sec, share_pct,
+def stream_topic_rates(spark: SparkSession, sf_dir: str, window_seconds: int = 3600, *, watermark: str,
+                       out: str | None = None, source: DataFrame | None = None) -> DataFrame:
+    """Per topic over all windows: events, windows, rate_per_sec, share_pct,
     active_topics."""
     out = out or scratch_dir(spark, "topics")
-    ev = event_stream(spark, sf_dir)
-    agg = ev.withWatermark("ts", watermark).groupBy(F.window("ts", f"{window_seconds} seconds").alias("w"),
-                                                    "event_type").agg(F.count(F.lit(1)).alias("events"))
-    run_available(agg.select(F.col("w.start").alias("window_start"), "event_type", "events"), out)
-    r = spark.read.parquet(out)
+    ev, w = event_window(source if source is not None else event_stream(spark, sf_dir), window_seconds, watermark)
+    agg = ev.groupBy(w, "event_type").agg(F.count(F.lit(1)).alias("events"))
+    r = run_updates(agg.select(F.col("w.start").alias("window_start"), "event_type", "events"), out, ["window_start", "event_type"])
     per = r.groupBy("event_type").agg(F.sum("events").alias("events"), F.count(F.lit(1)).alias("windows"))
     w = Window.partitionBy()   # one row per topic: bounded
     return per.select(
@@ -126,31 +173,38 @@ def stream_topic_rates(spark: SparkSession, sf_dir: str, window_seconds: int = 3
         F.count(F.lit(1)).over(w).alias("active_topics"))
 
 
-def stream_recent(spark: SparkSession, sf_dir: str, n: int = 8, max_files: int = 1, source: DataFrame | None = None,
+# Keys over which the newest rows are kept, so that no task holds more than its share of a batch.
+RECENT_SALTS = 32
+
+
+def stream_recent(spark: SparkSession, sf_dir: str, n: int = 8, max_files: int | None = None, source: DataFrame | None = None,
                   state_dir: str | None = None) -> DataFrame:
-    """The newest ``n`` events, newest first, kept across micro-batches.
+    """The newest ``n`` events, newest first.
 
-    Each batch's own top n is merged with the kept rows (at most n) and the
-    result is written as a new state version; the state never exceeds n rows."""
+    The stream's own keyed state holds the newest ``n`` rows of each of
+    ``RECENT_SALTS`` hash keys; the result is the newest ``n`` of these."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
     state_dir = state_dir or scratch_dir(spark, "recent")
     ev = source if source is not None else event_stream(spark, sf_dir, max_files=max_files)
-    order = [F.desc("ts"), F.desc("event_id")]
-
-    def merge(batch: DataFrame, epoch: int):
-        # The kept rows are found on storage (latest committed version before
-        # this epoch), so a restarted driver or a replayed epoch resumes
-        # correctly; each epoch writes its own version, so replays overwrite.
-        top = batch.orderBy(*order).limit(n)
-        prev = committed_versions(batch.sparkSession, state_dir, before=epoch)
-        if prev:
-            top = top.unionByName(batch.sparkSession.read.parquet(prev[-1]))
-        top.orderBy(*order).limit(n).write.mode("overwrite").parquet(f"{state_dir}/v{epoch:08d}")
-
-    run_foreach_batch(ev, merge, state_dir + "-checkpoint")
-    latest = committed_versions(spark, state_dir)
-    if not latest:
-        return spark.createDataFrame([], ev.schema).withColumn("ts", _ntz("ts"))
-    return spark.read.parquet(latest[-1]).withColumn("ts", _ntz("ts"))
+    schema = ev.schema
+    salted = ev.withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(RECENT_SALTS)).cast("int"))
+    salted = salted.select("_salt", F.unix_micros("ts").alias("_ts"), "event_id",
+                           F.to_json(F.struct(*ev.columns), JSON_TS_OPTIONS).alias("_row"))
+
+    def keep(key, frames, state):
+        import pandas as pd
+        held = pd.DataFrame(list(state.get[0]) if state.exists else [], columns=["_ts", "event_id", "_row"])
+        for f in frames:
+            held = pd.concat([held, f[["_ts", "event_id", "_row"]]]).sort_values(["_ts", "event_id"], ascending=False).head(n)
+        state.update(([tuple(x) for x in held.itertuples(index=False)],))
+        yield held.assign(_salt=key[0], _rank=range(len(held)))[["_salt", "_rank", "_ts", "event_id", "_row"]]
+
+    item = "struct<_ts: bigint, event_id: bigint, _row: string>"
+    out = salted.groupBy("_salt").applyInPandasWithState(
+        keep, "_salt int, _rank int, _ts long, event_id long, _row string", f"held array<{item}>", "update", GroupStateTimeout.NoTimeout)
+    kept = run_updates(out, state_dir, ["_salt", "_rank"])
+    top = kept.orderBy(F.desc("_ts"), F.desc("event_id")).limit(n)
+    return top.select(F.from_json("_row", schema, JSON_TS_OPTIONS).alias("r")).select("r.*").withColumn("ts", _ntz("ts"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -159,26 +213,6 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def committed_versions(spark: SparkSession, state_dir: str, before: int | None = None) -> list[str]:
-    """State versions ``v{epoch}`` under ``state_dir`` whose write committed
-    (``_SUCCESS`` present), oldest first, optionally only epochs < ``before``."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(state_dir)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    out = []
-    for st in fs.listStatus(root):
-        name = st.getPath().getName()
-        if not (name.startswith("v") and name[1:].isdigit()):
-            continue
-        if before is not None and int(name[1:]) >= before:
-            continue
-        if fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append((int(name[1:]), f"{state_dir}/{name}"))
-    return [p for _, p in sorted(out)]
-
-
 # Microsecond timestamps survive the JSON round trip.
 JSON_TS_OPTIONS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
                    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
@@ -274,22 +308,21 @@ def hourly_baseline(events: DataFrame, days: int = 15) -> DataFrame:
     return h.groupBy("event_type").agg(F.avg("n").alias("baseline_mean"), F.stddev_samp("n").alias("baseline_std"))
 
 
-def stream_anomalies(spark: SparkSession, sf_dir: str, watermark: str = "1 hour") -> DataFrame:
+def stream_anomalies(spark: SparkSession, sf_dir: str, *, watermark: str, source: DataFrame | None = None) -> DataFrame:
     """Hourly counts per event type from the stream, scored against the static
-    baseline; windows with |z| >= 2 are appended to an alerts table."""
+    baseline; the windows with |z| >= 2, open ones with ``closed`` false."""
     static = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
-    base = bounded_broadcast(hourly_baseline(static).cache())
-    alerts = scratch_dir(spark, "alerts")
-    ev = event_stream(spark, sf_dir)
-    agg = ev.withWatermark("ts", watermark).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(
-        F.count(F.lit(1)).alias("events"))
-    scored = agg.join(base, "event_type").select(
-        "event_type", F.col("w.start").alias("window_start"), "events",
+    ev, w = event_window(source if source is not None else event_stream(spark, sf_dir), 3600, watermark)
+    agg = ev.groupBy(w, "event_type").agg(F.count(F.lit(1)).alias("events"), F.max("ts").alias("newest"))
+    counts = run_updates(agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "event_type", "events",
+                                    "newest"), scratch_dir(spark, "alerts"), ["window_start", "window_end", "event_type"])
+    newest = F.max("newest").over(Window.partitionBy())      # one row per hour and event type: a small table
+    counts = counts.withColumn("closed", closed(F.col("window_end"), newest, watermark))
+    scored = counts.join(hourly_baseline(static), "event_type").select(
+        "event_type", _ntz("window_start").alias("window_start"), "events",
         F.round("baseline_mean", 4).alias("baseline_mean"), F.round("baseline_std", 4).alias("baseline_std"),
-        F.round(F.try_divide(F.col("events") - F.col("baseline_mean"), F.col("baseline_std")), 4).alias("z_score"))
-    flagged = scored.withColumn("severity", severity_from_z("z_score")).filter(F.col("severity").isNotNull())
-    run_available(flagged, alerts)
-    return spark.read.parquet(alerts).withColumn("window_start", _ntz("window_start"))
+        F.round(F.try_divide(F.col("events") - F.col("baseline_mean"), F.col("baseline_std")), 4).alias("z_score"), "closed")
+    return scored.withColumn("severity", severity_from_z("z_score")).filter(F.col("severity").isNotNull())
 
 
 def stream_score(spark: SparkSession, stream: DataFrame, transform, out: str | None = None) -> DataFrame:
@@ -300,22 +333,34 @@ def stream_score(spark: SparkSession, stream: DataFrame, transform, out: str | N
     return spark.read.parquet(out)
 
 
-def stream_metrics_hourly(spark: SparkSession, sf_dir: str, watermark: str = "1 hour", approx: bool = False,
+def stream_metrics_hourly(spark: SparkSession, sf_dir: str, *, watermark: str, approx: bool = False,
                           source: DataFrame | None = None) -> DataFrame:
-    """Monitoring on the stream: per closed hour requests, errors, error_rate
-    and p99 latency. The p99 state is one value map per open window (bounded
-    by the watermark); ``approx=True`` keeps a fixed-size sketch instead."""
+    """Monitoring on the stream: per hour requests, errors, error_rate, p99 latency and ``closed``.
+
+    The exact p99 is taken in two steps: the state counts rows by (hour, value), a
+    row of state each, and the quantile is read from these counts afterwards.
+    ``approx=True`` keeps one fixed-size sketch per hour instead."""
+    from tessera.operators.quantiles import weighted_quantile
     out = scratch_dir(spark, "hourly")
-    ev = source if source is not None else event_stream(spark, sf_dir)
-    p99 = F.percentile_approx("value", 0.99, 10000) if approx else F.percentile("value", 0.99)
-    agg = ev.withWatermark("ts", watermark).groupBy(F.window("ts", "1 hour").alias("w")).agg(
-        F.count(F.lit(1)).alias("requests"), F.count(F.when(F.col("event_type") == "error", 1)).alias("errors"),
-        p99.alias("p99"))
-    run_available(agg.select(F.col("w.start").alias("hour"), "requests", "errors", "p99"), out)
-    r = spark.read.parquet(out)
+    ev, w = event_window(source if source is not None else event_stream(spark, sf_dir), 3600, watermark)
+    sums = [F.count(F.lit(1)).alias("requests"), F.count(F.when(F.col("event_type") == "error", 1)).alias("errors"),
+            F.max("ts").alias("newest")]
+    hour = [F.col("w.start").alias("hour"), F.col("w.end").alias("hour_end")]
+    if approx:
+        agg = ev.groupBy(w).agg(*sums, F.percentile_approx("value", 0.99, 10000).alias("p99"))
+        r = run_updates(agg.select(*hour, "requests", "errors", "newest", "p99"), out, ["hour", "hour_end"])
+    else:
+        agg = ev.groupBy(w, "value").agg(*sums)
+        c = run_updates(agg.select(*hour, "value", "requests", "errors", "newest"), out, ["hour", "hour_end", "value"])
+        p99 = weighted_quantile(c.filter("value IS NOT NULL"), "value", "requests", 0.99, ["hour"]).select(
+            F.col("hour").alias("_h"), F.col("quantile").alias("p99"))
+        r = c.groupBy("hour", "hour_end").agg(F.sum("requests").alias("requests"), F.sum("errors").alias("errors"),
+                                              F.max("newest").alias("newest"))
+        r = r.join(p99, F.col("hour") == F.col("_h"), "left")
+    newest = F.max("newest").over(Window.partitionBy())      # one row per hour: a small table
     return r.select(_ntz("hour").alias("hour"), "requests", "errors",
                     F.round(safe_div(F.col("errors") * 100.0, F.col("requests")), 2).alias("error_rate"),
-                    F.round("p99", 4).alias("p99_latency"))
+                    F.round("p99", 4).alias("p99_latency"), closed(F.col("hour_end"), newest, watermark).alias("closed"))
 
 
 def stream_alert_state(spark: SparkSession, sf_dir: str, derive, key: str = "alert_id",
@@ -323,22 +368,12 @@ def stream_alert_state(spark: SparkSession, sf_dir: str, derive, key: str = "ale
                        state_dir: str | None = None) -> DataFrame:
     """Upsert by key, last write wins, on a stream of change records.
 
-    ``derive`` maps the raw stream (ts as TIMESTAMP_NTZ) to change rows. Each
-    micro-batch is reduced to its latest row per key (partial aggregate),
-    merged with the latest committed state version on storage and written as
-    the next version, so restarts and replayed epochs resume correctly."""
-    from tessera.operators.monitoring import latest_per_key
+    ``derive`` maps the raw stream (ts as TIMESTAMP_NTZ) to change rows. The
+    stream's own state holds the newest row of each key (``max_by``); a
+    micro-batch writes only the keys that it changed."""
     state_dir = state_dir or scratch_dir(spark, "alert-state")
     ev = source if source is not None else event_stream(spark, sf_dir)
     changes = derive(ev.withColumn("ts", instant_to_ntz("ts")))
-
-    def merge(batch: DataFrame, epoch: int):
-        cur = latest_per_key(batch, key, list(order_cols))
-        prev = committed_versions(batch.sparkSession, state_dir, before=epoch)
-        if prev:
-            cur = latest_per_key(cur.unionByName(batch.sparkSession.read.parquet(prev[-1])), key, list(order_cols))
-        cur.write.mode("overwrite").parquet(f"{state_dir}/v{epoch:08d}")
-
-    run_foreach_batch(changes, merge, state_dir + "-checkpoint")
-    latest = committed_versions(spark, state_dir)
-    return spark.read.parquet(latest[-1]) if latest else spark.createDataFrame([], changes.schema)
+    values = [c for c in changes.columns if c != key]
+    newest = changes.groupBy(key).agg(F.max_by(F.struct(*values), F.struct(*order_cols)).alias("_v"))
+    return run_updates(newest.select(key, "_v.*"), state_dir, [key]).select(*changes.columns)

@@ -19,11 +19,46 @@ def test_one_hot_matches_get_dummies(spark):
     pd.testing.assert_frame_equal(got, ref.reset_index(drop=True), check_dtype=False)
 
 
-def test_one_hot_hashes_wide_columns(spark):
-    df = spark.createDataFrame([(i, f"v{i}") for i in range(20)], "k long, s string")
-    enc, names = ML.one_hot_encode(df, features=["s"], max_levels=4)
-    assert names == [f"s_h{k}" for k in range(4)]
-    assert enc.select(sum(F.col(n) for n in names).alias("t")).distinct().collect()[0]["t"] == 1.0
+def test_one_hot_is_exact_at_any_number_of_levels(spark):
+    df = spark.createDataFrame([(i, f"v{i:04d}" if i < 1001 else None) for i in range(1002)], "k long, s string")
+    with pytest.raises(ValueError, match="1001 levels"):
+        ML.one_hot_encode(df, features=["s"], max_levels=1000)
+    vec, names = ML.one_hot_vector(df, features=["s"], keep=["k"])
+    assert sorted(names) == [f"s_v{i:04d}" for i in range(1, 1001)]
+    for r in vec.filter("k IN (0, 1, 700, 1001)").collect():
+        on = [names[i] for i in r["_features"].indices]
+        assert on == ([] if r["k"] in (0, 1001) else [f"s_v{r['k']:04d}"])
+    few, wide = ML.one_hot_encode(df.filter("k < 40"), features=["s"])
+    assert wide == [f"s_v{i:04d}" for i in range(1, 40)] and few.count() == 40
+
+
+def test_vector_equals_wide_form(spark):
+    rows = [(1, "b", 2.0, True), (2, "a", None, False), (3, None, 1.5, None), (4, "c", 3.0, True), (5, "a", 1.0, False)]
+    df = spark.createDataFrame(rows, "k long, cat string, num double, flag boolean").withColumn("none", F.lit(None).cast("string"))
+    wide, w_names = ML.one_hot_encode(df, features=["cat", "num", "flag", "none"], keep=["k"])
+    vec, v_names = ML.one_hot_vector(df, features=["cat", "num", "flag", "none"], keep=["k"])
+    assert sorted(w_names) == sorted(v_names)
+    want = {r["k"]: {n: r[n] for n in w_names} for r in wide.collect()}
+    assert {r["k"]: dict(zip(v_names, r["_features"].toArray())) for r in vec.collect()} == want
+
+
+def test_unseen_and_null_labels(spark):
+    train = spark.createDataFrame([(i, "a" if i % 2 else "b", float(i % 2)) for i in range(40)], "k long, y string, x double")
+    vec, names = ML.one_hot_vector(train, "y", ["x"], keep=["k"])
+    model = ML.fit_forest(vec, names, "y", "classification", vec, num_trees=5, max_depth=3)
+    test = spark.createDataFrame([(1, "a", 1.0), (2, "b", 0.0), (3, "c", 1.0), (4, "d", 0.0)], "k long, y string, x double")
+    got = ML.evaluate_classifier(model, test)
+    assert got["accuracy"] == 0.5 and got["f1"] < 0.5
+    with pytest.raises(ValueError, match="null"):
+        ML.evaluate_classifier(model, test.withColumn("y", F.lit(None).cast("string")))
+    with pytest.raises(ValueError, match="null"):
+        ML.train(train.withColumn("y", F.when(F.col("k") > 3, F.col("y"))), "y", "classification", key="k", num_trees=2, max_depth=2)
+
+
+def test_cross_validation_grows_the_trained_forest():
+    import inspect
+    t, c = inspect.signature(ML.train).parameters, inspect.signature(ML.cross_validate).parameters
+    assert t["num_trees"].default == c["num_trees"].default and t["max_depth"].default == c["max_depth"].default == 30
 
 
 def test_split_fraction_and_stability(spark):

@@ -54,8 +54,27 @@ def test_regions_and_segments_sum_to_kpi_revenue(spark):
     assert seg.agg(F.sum("revenue_share")).first()[0] == pytest.approx(100.0, abs=0.3)
 
 
-def test_period_normalisation():
-    assert [A.normalize_period(p) for p in (7, 30, 90, 365, 14)] == [7, 30, 90, 365, 30]
+def test_periods_and_horizons_are_kept_or_raise(spark):
+    from tessera.operators import forecast as FC
+    assert [A.check_period(p) for p in (7, 30, 90, 365, 14)] == [7, 30, 90, 365, 14]
+    for bad in (0, -1, 1.5):
+        with pytest.raises(ValueError):
+            A.check_period(bad)
+    assert FC.check_horizon(3) == 3 and FC.check_horizon(1000) == 1000
+    with pytest.raises(ValueError):
+        FC.check_horizon(400, max_horizon=365)
+    t = [spark.read.parquet(f"{SF}/{n}.parquet") for n in ("lineitem", "orders", "events")]
+    assert A.metric_timeseries(*t, metric="events", days=365).count() == 365
+    with pytest.raises(ValueError):
+        A.metric_timeseries(*t, metric="nothing")
+
+
+def test_psi_leaves_missing_values_out(spark):
+    base = [("f", "baseline", float(i)) for i in range(100)] + [("f", "current", float(i)) for i in range(100)]
+    extra = [("f", "current", None)] * 50 + [("f", "current", float("nan"))] * 20 + [("f", "baseline", None)] * 7
+    df = spark.createDataFrame(base + extra, "feature string, w string, v double")
+    r = D.feature_psi(df, "feature", "w", "v").collect()
+    assert [(x["feature"], x["psi"], x["status"]) for x in r] == [("f", 0.0, "OK")]
 
 
 def test_drift_threshold_literals(spark):

@@ -12,38 +12,69 @@ from tests.helpers import rows
 SF = "/root/testdata/sf0.01"
 
 
-def batch_windows(spark, delay_hours=1):
+DELAY = "1 hour"
+
+
+def batch_windows(spark):
     e = spark.read.parquet(f"{SF}/events.parquet")
-    mx = e.agg(F.max("ts")).first()[0]
     import datetime as dt
+    mx = e.agg(F.max("ts")).first()[0]
     h = e.groupBy(F.date_trunc("hour", "ts").alias("window_start")).agg(F.count(F.lit(1)).alias("events"))
     h = h.withColumn("window_end", F.col("window_start") + F.expr("INTERVAL 1 HOUR"))
-    return h.filter(F.col("window_end") <= F.lit(mx - dt.timedelta(hours=delay_hours)))
+    return h.withColumn("closed", F.col("window_end") <= F.lit(mx - dt.timedelta(hours=1)))
+
+
+def files(df, folder, n):
+    """``n`` Parquet files in one folder; ``df`` has a column part (0..n-1)."""
+    import glob
+    import shutil
+    flat = folder / "flat"
+    flat.mkdir()
+    for k in range(n):
+        d = folder / f"c{k}"
+        df.filter(F.col("part") == k).drop("part").orderBy(F.rand(k)).coalesce(1).write.parquet(str(d))
+        shutil.copy(glob.glob(str(d / "*.parquet"))[0], flat / f"part-{k}.parquet")
+    return str(flat)
+
+
+def by_time(e, n):
+    return e.withColumn("part", F.ntile(n).over(Window.orderBy("ts")) - 1)
+
+
+COLS = ["window_start", "window_end", "events", "closed"]
 
 
 def test_throughput_stream_equals_batch(spark):
-    s = S.stream_throughput(spark, SF).select("window_start", "window_end", "events")
-    assert rows(s) == rows(batch_windows(spark).select("window_start", "window_end", "events"))
+    s = S.stream_throughput(spark, SF, watermark=DELAY)
+    assert s.agg(F.sum("events")).first()[0] == 10000 and s.filter("NOT closed").count() > 0
+    assert rows(s.select(*COLS)) == rows(batch_windows(spark).select(*COLS))
 
 
 def test_throughput_split_files_out_of_order(spark, tmp_path):
     e = spark.read.parquet(f"{SF}/events.parquet")
-    # four time-ordered chunks, rows shuffled inside each file
-    chunks = e.withColumn("chunk", F.ntile(4).over(Window.orderBy("ts")))
-    src = tmp_path / "in"
-    for k in range(1, 5):
-        (chunks.filter(F.col("chunk") == k).drop("chunk").orderBy(F.rand(k)).coalesce(1)
-         .write.parquet(str(src / f"c{k}")))
-    flat = tmp_path / "flat"
-    flat.mkdir()
-    import glob
-    import shutil
-    for k in range(1, 5):
-        f = glob.glob(str(src / f"c{k}" / "*.parquet"))[0]
-        shutil.copy(f, flat / f"part-{k}.parquet")
-    stream = S.event_stream(spark, str(flat), glob="part-*.parquet", schema=e.schema, max_files=1)
-    s = S.stream_throughput(spark, SF, source=stream).select("window_start", "window_end", "events")
-    assert rows(s) == rows(batch_windows(spark).select("window_start", "window_end", "events"))
+    flat = files(by_time(e, 4), tmp_path, 4)
+    stream = S.event_stream(spark, flat, glob="part-*.parquet", schema=e.schema, max_files=1)
+    s = S.stream_throughput(spark, SF, watermark=DELAY, source=stream)
+    assert rows(s.select(*COLS)) == rows(batch_windows(spark).select(*COLS))
+
+
+def test_files_that_overlap_in_time_lose_no_rows(spark, tmp_path):
+    """Split by key: every file spans the whole month."""
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    flat = files(e.withColumn("part", F.col("event_id") % 4), tmp_path, 4)
+    whole = S.stream_throughput(spark, SF, watermark=DELAY, source=S.event_stream(spark, flat, glob="part-*.parquet", schema=e.schema))
+    assert rows(whole.select(*COLS)) == rows(batch_windows(spark).select(*COLS))
+    one_by_one = S.event_stream(spark, flat, glob="part-*.parquet", schema=e.schema, max_files=1)
+    s = S.stream_throughput(spark, SF, watermark="40 days", source=one_by_one)
+    assert rows(s.select("window_start", "events")) == rows(whole.select("window_start", "events"))
+
+
+def test_late_rows_are_reported(spark, tmp_path):
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    flat = files(e.withColumn("part", F.col("event_id") % 4), tmp_path, 4)
+    one_by_one = S.event_stream(spark, flat, glob="part-*.parquet", schema=e.schema, max_files=1)
+    with pytest.warns(UserWarning, match="rows came after their watermark"):
+        S.stream_throughput(spark, SF, watermark=DELAY, source=one_by_one).count()
 
 
 def test_recent_equals_batch(spark):
@@ -146,43 +177,18 @@ def test_alert_state_stream_equals_batch_across_restart(spark, tmp_path):
 def test_stream_anomalies_split_files_equal_single_file(spark, tmp_path):
     """Time-ordered files, shuffled rows inside each: the same alerts as one file."""
     e = spark.read.parquet(f"{SF}/events.parquet")
-    chunks = e.withColumn("chunk", F.ntile(3).over(Window.orderBy("ts")))
-    import glob
-    import shutil
-    flat = tmp_path / "flat"
-    flat.mkdir()
-    for k in range(1, 4):
-        d = tmp_path / f"c{k}"
-        chunks.filter(F.col("chunk") == k).drop("chunk").orderBy(F.rand(k)).coalesce(1).write.parquet(str(d))
-        shutil.copy(glob.glob(str(d / "*.parquet"))[0], flat / f"part-{k}.parquet")
-    whole = S.stream_anomalies(spark, SF)
-    split_src = S.event_stream(spark, str(flat), glob="part-*.parquet", schema=e.schema, max_files=1)
-    static = spark.read.parquet(f"{SF}/events.parquet")
-    base = S.hourly_baseline(static)
-    agg = split_src.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour").alias("w"), "event_type") \
-        .agg(F.count(F.lit(1)).alias("events"))
-    out = str(tmp_path / "alerts")
-    scored = agg.join(F.broadcast(base), "event_type").select(
-        "event_type", F.col("w.start").alias("window_start"), "events",
-        F.round(F.try_divide(F.col("events") - F.col("baseline_mean"), F.col("baseline_std")), 4).alias("z_score"))
-    S.run_available(scored.filter(F.abs("z_score") >= 2), out)
-    split = spark.read.parquet(out).withColumn("window_start", S.instant_to_ntz("window_start"))
-    cols = ["event_type", "window_start", "events", "z_score"]
-    assert rows(split.select(*cols)) == rows(whole.select(*cols))
+    flat = files(by_time(e, 3), tmp_path, 3)
+    split = S.stream_anomalies(spark, SF, watermark=DELAY,
+                               source=S.event_stream(spark, flat, glob="part-*.parquet", schema=e.schema, max_files=1))
+    assert rows(split) == rows(S.stream_anomalies(spark, SF, watermark=DELAY))
 
 
 def test_stream_metrics_hourly_split_files(spark, tmp_path):
-    import glob
-    import shutil
     e = spark.read.parquet(f"{SF}/events.parquet")
-    chunks = e.withColumn("chunk", F.ntile(3).over(Window.orderBy("ts")))
-    flat = tmp_path / "flat"
-    flat.mkdir()
-    for k in range(1, 4):
-        d = tmp_path / f"c{k}"
-        chunks.filter(F.col("chunk") == k).drop("chunk").orderBy(F.rand(k)).coalesce(1).write.parquet(str(d))
-        shutil.copy(glob.glob(str(d / "*.parquet"))[0], flat / f"part-{k}.parquet")
-    split = S.stream_metrics_hourly(spark, SF, source=S.event_stream(spark, str(flat), glob="part-*.parquet",
-                                                                    schema=e.schema, max_files=1))
-    whole = S.stream_metrics_hourly(spark, SF)
+    flat = files(by_time(e, 3), tmp_path, 3)
+    split = S.stream_metrics_hourly(spark, SF, watermark=DELAY,
+                                    source=S.event_stream(spark, flat, glob="part-*.parquet", schema=e.schema, max_files=1))
+    whole = S.stream_metrics_hourly(spark, SF, watermark=DELAY)
     assert rows(split) == rows(whole)
+    sketch = S.stream_metrics_hourly(spark, SF, watermark=DELAY, approx=True)
+    assert rows(sketch.select("hour", "requests", "errors")) == rows(whole.select("hour", "requests", "errors"))
