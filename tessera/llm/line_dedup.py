@@ -3,8 +3,8 @@
 A line is the set of its lower-cased words; lines with equal sets are one node.
 Tokens are put in one order, rare ones first. Two sets with Jaccard similarity of
 at least t overlap in at least ceil(t * |x|) tokens, so they share a token among
-the first |x| - ceil(t * |x|) + 1 of each (prefix filter). Nodes are joined on these
-tokens, the join condition holds the length and the positional filter, and what
+the first |x| - ceil(t * |x|) + 1 of each (prefix filter). Nodes are dealt by these
+tokens and paired where the length and the positional filter allow; what
 passes is verified on the whole sets. A line goes if an earlier line (by document,
 then line number) has an equal set or is a verified match.
 
@@ -17,7 +17,8 @@ argument for the tokens after the first and splits the groups of very common wor
 
 Tokens are 32-bit hashes inside a comparison (two words of two compared lines are
 taken for one with a chance of about 1 in 10**6 a pair); node ids have 64 bits.
-Hot keys are left to AQE's skew join; copies of a line are one node however many.
+Copies of a line are one node however many, and a key of one token is held by at
+most ``FREQUENT`` lines.
 
 Defined results: null and empty texts have no lines; lines without words are kept
 and not counted; rows with equal id and text are one document (each row returned
@@ -43,6 +44,8 @@ SIMILARITY = 0.8
 BUCKETS = 1 << 21
 CHUNKS = 64
 FREQUENT = 256
+#: Size of the bit table of wanted nodes: 2**26 bits, 8 MB at any input size.
+MARK_BITS = 26
 
 
 class Lines:
@@ -201,41 +204,125 @@ def prefix_keys(docs: DataFrame, text: str, counts, t: float) -> DataFrame:
     return docs.select(text).mapInArrow(run, "key long, node long, size int, at int")
 
 
-def node_sets(docs: DataFrame, key: str, text: str, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, tokens (32-bit hashes) of the wanted nodes, read from the first line of each."""
-    places = (nodes.join(wanted, "node", "left_semi").groupBy(F.col("first.row").alias("_row"))
-              .agg(F.collect_list(F.struct(F.col("first.number").alias("number"), "node")).alias("_lines")))   # lines of one text
-    rows = docs.withColumn("_key", row_key(key, text)).join(places, F.col("_key") == F.col("_row")).select(text, "_lines")
+def pairs_of(key: np.ndarray, node: np.ndarray, size: np.ndarray, at: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (a < b) of nodes that share a key and pass the length and the positional filter.
+
+    Rows are ordered by key and set size; each row is compared with the rows after it in its key
+    until their sizes are too large."""
+    order = np.lexsort((size, key))
+    key, node, size, at = key[order], node[order], size[order], at[order]
+    left, lefts, rights, d = np.arange(len(key)), [], [], 1
+    while True:
+        left = left[left + d < len(key)]
+        right = left + d
+        go = (key[left] == key[right]) & (size[left] >= t * size[right] - 1e-9)
+        left, right = left[go], right[go]
+        if not len(left):
+            break
+        # overlap needed: t / (1 + t) * (|a| + |b|); still possible: the shared token and what follows it in both
+        need = np.ceil(t / (1 + t) * (size[left] + size[right]) - 1e-9)
+        ok = (np.minimum(size[left] - at[left], size[right] - at[right]) >= need) & (node[left] != node[right])
+        lefts.append(np.minimum(node[left[ok]], node[right[ok]]))
+        rights.append(np.maximum(node[left[ok]], node[right[ok]]))
+        d += 1
+    if not lefts:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    both = np.unique(np.stack([np.concatenate(lefts), np.concatenate(rights)], axis=1), axis=0)
+    return both[:, 0], both[:, 1]
+
+
+def candidate_pairs(keys: DataFrame, t: float) -> DataFrame:
+    """Distinct candidate pairs (a, b). Rows are dealt by key; a task pairs the keys that it was dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+        if got:
+            key, node, size, at = (np.concatenate(x) for x in zip(*got, strict=True))
+            del got
+            rows = np.unique(np.stack([key, node, size, at], axis=1), axis=0)      # a set may come from several batches
+            a, b = pairs_of(*(rows[:, i] for i in range(4)), t)
+            for i in range(0, len(a), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(a[i:i + 100_000]), pa.array(b[i:i + 100_000])], names=["a", "b"])
+
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keys.repartition(n, "key").mapInArrow(run, "a long, b long").distinct()
+
+
+class Marks:
+    """Which ids may be in a set: a bit table of fixed size (no id of the set is missed, others pass by chance)."""
+
+    def __init__(self, bits: np.ndarray | None = None):
+        self.bits = np.zeros(1 << (MARK_BITS - 3), np.uint8) if bits is None else bits
+
+    @staticmethod
+    def places(ids: np.ndarray):
+        x = ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for shift in (64 - MARK_BITS, 20):
+            yield ((x >> np.uint64(shift)) & np.uint64((1 << MARK_BITS) - 1)).astype(np.int64)
+
+    def add(self, ids: np.ndarray) -> None:
+        for p in self.places(ids):
+            np.bitwise_or.at(self.bits, p >> 3, (1 << (p & 7)).astype(np.uint8))
+
+    def holds(self, ids: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(ids), bool)
+        for p in self.places(ids):
+            ok &= (self.bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+        return ok
+
+
+def marks_of(nodes: DataFrame) -> Marks:
+    """The bit table of a column of ids, put together from the tasks' tables by pieces."""
+    piece = (1 << (MARK_BITS - 3)) // CHUNKS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Marks()
+        for b in batches:
+            m.add(b.column(0).to_numpy())
+        parts = [zlib.compress(m.bits[i * piece:(i + 1) * piece].tobytes(), 1) for i in range(CHUNKS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names=["number", "bits"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for c, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(zlib.decompress(part), np.uint8)
+                total[c] = total[c] | part if c in total else part
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())],
+                                         names=["number", "bits"])
+
+    schema = "number int, bits binary"
+    out = Marks()
+    for r in nodes.mapInArrow(run, schema).repartition(CHUNKS, "number").mapInArrow(join, schema).collect():   # 8 MB in all
+        out.bits[r["number"] * piece:(r["number"] + 1) * piece] = np.frombuffer(zlib.decompress(bytes(r["bits"])), np.uint8)
+    return out
+
+
+def node_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """node, tokens (32-bit hashes) of the wanted nodes. The bit table keeps other sets from being shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(marks_of(wanted).bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = Marks(shared.value)
         for b in small_batches(batches, 0):
-            texts = [(t or "").lower().split("\n") for t in b.column(0).to_pylist()]
-            asked = [[(x["number"], x["node"]) for x in places] for places in b.column(1).to_pylist()]
-            lines = Lines((r, node, texts[r][number]) for r, places in enumerate(asked) for number, node in places)
-            s = lines.sets()
+            s = Lines(lines_of(b.column(0).to_pylist())).sets()
+            ids = s.ids()
+            _, once = np.unique(ids, return_index=True)
+            once = once[marks.holds(ids[once])]
             low, end = s.low(), s.start + s.size
-            blobs = [low[i:j].tobytes() for i, j in zip(s.start.tolist(), end.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(lines.number, pa.int64()), pa.array(blobs, pa.binary())], names=["node", "tokens"])
+            blobs = [low[s.start[i]:end[i]].tobytes() for i in once.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[once]), pa.array(blobs, pa.binary())], names=["node", "tokens"])
 
-    # only equal rows (same id, same text) give a node twice
-    return rows.mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"])
+    sets = docs.select(text).mapInArrow(run, "node long, tokens binary")
+    return sets.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
-def similar_lines(docs: DataFrame, key: str, text: str, nodes: DataFrame, counts: np.ndarray, t: float = SIMILARITY) -> DataFrame:
+def similar_lines(docs: DataFrame, text: str, counts: np.ndarray, t: float = SIMILARITY) -> DataFrame:
     """The verified pairs (a, b, similarity) of different token sets, a < b."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
-    keys = cut(prefix_keys(docs, text, shared, t), "line-keys")
-    x = keys.select("key", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("at").alias("pa"))
-    y = keys.select("key", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("at").alias("pb"))
-    # overlap needed: t / (1 + t) * (|a| + |b|); still possible: the shared token and what follows it in both
-    least = F.ceil(F.lit(t / (1 + t)) * (F.col("sa") + F.col("sb")) - F.lit(1e-9))
-    most = F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb"))
-    pairs = (x.join(y, "key").filter("a < b").filter((F.col("sb") >= F.lit(t) * F.col("sa") - 1e-9)
-                                                     & (F.col("sa") >= F.lit(t) * F.col("sb") - 1e-9) & (most >= least))
-              .select("a", "b").distinct())
-    pairs = cut(pairs, "line-pairs")
+    pairs = cut(candidate_pairs(prefix_keys(docs, text, shared, t), t), "line-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut(node_sets(docs, key, text, nodes, wanted), "line-sets")
+    sets = cut(node_sets(docs, text, wanted), "line-sets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -261,7 +348,7 @@ def judge_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", t: flo
     counts = token_counts(both.filter("counts IS NOT NULL").select("number", "counts"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"), F.col("number"))
     nodes = cut(lines.groupBy("node").agg(F.min(place).alias("first")), "line-nodes")
-    links = cut(similar_lines(docs, key, text, nodes, counts, t), "line-links")
+    links = cut(similar_lines(docs, text, counts, t), "line-links")
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = (both.join(nodes.select(F.col("node").alias("b"), "first"), "b").groupBy("a")
             .agg(F.min("first").alias("earlier"), F.count("*").alias("links")))
