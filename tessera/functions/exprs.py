@@ -133,9 +133,13 @@ def instant_to_ntz(c) -> Column:
 
 
 # --- sizes from the plan, without running a job ---------------------------------
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes of ``df`` (file sizes through the plan; no job)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def scan_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` reads, from the plan's leaves (no job); inputs of unknown size count 0.
+
+    Estimates above the leaves are left aside: without column statistics a join is the product of its sides."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
 
 
 def spread(df: DataFrame, key: list[str] | None = None) -> DataFrame:
@@ -147,6 +151,6 @@ def spread(df: DataFrame, key: list[str] | None = None) -> DataFrame:
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     unit = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    if plan_bytes(df) >= n * unit:
+    if scan_bytes(df) >= n * unit:
         return df
     return df.repartition(n, *[F.col(k) for k in key]) if key else df.repartition(n)

@@ -44,8 +44,9 @@ def preview(df: DataFrame, order_by: list[str], page: int = 1, limit: int = 50,
                        F.struct(*[F.col(c) for c in order_by]).alias("o"))
     page_df = text.agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "r"))), lambda x: x["r"]).alias("rows"))
     total = df.agg(F.count(F.lit(1)).alias("total"))
-    # two one-row tables side by side
-    both = page_df.select(F.lit(1).alias("k"), "rows").join(total.select(F.lit(1).alias("k"), "total"), "k")
+    # two one-row tables as one row
+    both = page_df.withColumn("total", F.lit(None).cast("bigint")).unionByName(total, allowMissingColumns=True).agg(
+        F.first("rows", ignorenulls=True).alias("rows"), F.max("total").alias("total"))
     return both.select(F.array(*[F.lit(c) for c in df.columns]).alias("headers"), "total",
                        F.lit(int(page)).alias("page"), F.lit(int(limit)).alias("limit"), "rows")
 

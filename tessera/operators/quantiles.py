@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import plan_bytes
+from tessera.functions.exprs import scan_bytes
 from tessera.session import _ensure_checkpoint_dir
 
 METHODS = ("distributed", "map", "sketch")
@@ -52,7 +52,7 @@ def grouped_quantiles(df: DataFrame, value: str, qs: list[float], groups: list[s
         raise ValueError(f"method must be one of {METHODS}")
     spark = df.sparkSession
     # partitions follow the input's size, so that no window below grows with it
-    parts = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-plan_bytes(base) // PARTITION_BYTES))
+    parts = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-scan_bytes(base) // PARTITION_BYTES))
     counts = base.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_n"))
     # Range bounds are sampled: materialise the partition ids once (reliable
     # checkpoint in the shared folder) so every branch below sees the same

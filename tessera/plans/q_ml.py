@@ -281,8 +281,7 @@ def _feature_drift(spark, sf_dir):
 
 
 def _prediction_drift(spark, sf_dir):
-    w = _windows(spark, sf_dir).withColumn("feature", F.lit("value"))
-    return D.feature_psi(w, "feature", "window", "value")
+    return D.column_psi(_windows(spark, sf_dir), ["value"], F.col("window"))
 
 
 @register("feature_drift", f"WITH {FEATURE_DRIFT_CTE}\nSELECT feature, psi, {PSI_STATUS} AS status FROM psi")

@@ -65,7 +65,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
         number = v.rlike(_NUMBER)
         tests = {"n": v.isNull(), "long": number & v.try_cast("long").isNotNull() & ~v.rlike("[.eE]"), "double": number,
                  "boolean": F.lower(v).isin("true", "false"), "timestamp_ntz": v.try_cast("timestamp_ntz").isNotNull() & v.rlike("^[0-9]{4}-")}
-        checks += [F.min(t if k == "n" else F.coalesce(t, F.lit(True))).alias(f"{k}{i}") for k, t in tests.items()]
+        checks += [F.min(t if k == "n" else F.when(v.isNull(), True).otherwise(t)).alias(f"{k}{i}") for k, t in tests.items()]
     found = raw.agg(*checks).first() if checks else None
     out = []
     for i, c in enumerate(raw.columns):

@@ -110,11 +110,3 @@ def test_degenerate_inputs(spark):
     assert FO.audit_filter(empty, "ts", "event_type", days=7).count() == 0
     win = spark.createDataFrame([("a", "baseline", 1.0), ("a", "baseline", 2.0)], "f string, w string, v double")
     assert D.feature_psi(win, "f", "w", "v").first()["status"] == "WARNING"   # no current data at all
-
-
-def test_psi_literal_and_join_paths_agree(spark, monkeypatch):
-    w = fx.events_windows(spark, SF)
-    a = {r["feature"]: r["psi"] for r in D.feature_psi(w, "event_type", "window", "value").collect()}
-    monkeypatch.setattr(D, "MAX_LITERAL_FEATURES", 0)
-    b = {r["feature"]: r["psi"] for r in D.feature_psi(w, "event_type", "window", "value").collect()}
-    assert a == b

@@ -60,5 +60,39 @@ def test_catalog_register_list_export(spark, tmp_path):
     got = {r["name"]: r for r in rows}
     assert got["nation"]["rows"] == 25 and got["nation"]["columns"] == 3
     assert got["orders"]["size_bytes"] == os.path.getsize(f"{sf}/orders.parquet")
+    C.register_datasets(spark, cat, [("region", "parquet", None, spark.read.parquet(f"{sf}/region.parquet"))], {"region": '{"a": 1}'})
+    assert C.list_datasets(spark, cat).count() == 3                # registered twice: the latest counts
+    assert json.loads(C.export_dataset(spark, cat, "region").first()["document"])["profile"] == {"a": 1}
     doc = json.loads(C.export_dataset(spark, cat, "region").first()["document"])
-    assert doc["rows"] == 5 and json.loads(doc["schema"])["fields"][0]["name"] == "r_regionkey"
+    assert doc["rows"] == 5 and doc["schema"]["fields"][0]["name"] == "r_regionkey"
+
+
+def test_checkpoint_folder_is_never_local_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tessera.session import _ensure_checkpoint_dir
+    for master in ("yarn", "spark://x:7077", "local-cluster[2,1,1024]"):
+        fake = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d),
+                               sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            _ensure_checkpoint_dir(fake)
+
+
+def test_inferred_types_with_na_spellings(spark, tmp_path):
+    p = tmp_path / "x.csv"
+    p.write_text('a,b,c,d,e,f\n1,2.5,true,2024-01-02,x,\nNA,N/A,null,NaN,"two\nlines, ""q""",\n3,4,False,2024-01-03 10:00:00,1d,\n')
+    df = read_csv(spark, str(p))
+    assert [t for _, t in df.dtypes] == ["bigint", "double", "boolean", "timestamp_ntz", "string", "string"]
+    got = df.collect()
+    assert [r["a"] for r in got] == [1, None, 3] and [r["b"] for r in got] == [2.5, None, 4.0]
+    assert [r["e"] for r in got] == ["x", 'two\nlines, "q"', "1d"] and [r["f"] for r in got] == [None] * 3
+
+
+def test_json_array_through_load_table(spark, tmp_path):
+    p = tmp_path / "a.json"
+    p.write_text('[\n  {"a": 1,\n   "b": "x"},\n  {"a": 2, "b": null}\n]\n')
+    df = load_table(spark, str(p))
+    assert df.columns == ["a", "b"] and sorted(r["a"] for r in df.collect()) == [1, 2]
+    q = tmp_path / "l.json"
+    q.write_text('{"a": 1}\n{"a": 2}\n')
+    assert load_table(spark, str(q)).count() == 2
