@@ -130,7 +130,7 @@ def _require(df: DataFrame, target: str):
 
 # sklearn grows trees without a depth limit; MLlib allows 30 levels.
 MAX_DEPTH = 30
-MAX_MEMORY_MB = 1024
+MAX_MEMORY_MB = 256
 # Node ids of every row are cached between levels instead of re-walking the
 # trees (about 1/3 faster here); the cache's lineage is cut by a checkpoint
 # every 10 levels in the shared checkpoint folder.

@@ -260,12 +260,6 @@ def profile_correlations(df: DataFrame, cols: list[str] | None = None) -> DataFr
     return wide.select(_stack(cells))
 
 
-def correlation_matrix(corr_long: DataFrame) -> DataFrame:
-    """Long cells back to a matrix: one row per col_a, one column per col_b."""
-    names = [r[0] for r in corr_long.select("col_b", "j").distinct().orderBy("j").collect()]
-    return corr_long.groupBy("col_a").pivot("col_b", names).agg(F.first("corr"))
-
-
 def profile_outliers(df: DataFrame, cols: list[str] | None = None, approx: bool = False,
                      method: str | None = None) -> DataFrame:
     """(column_name, q1, q3, outliers): Tukey fences, strict; iqr == 0 -> 0."""
@@ -411,8 +405,7 @@ def profile_pca(df: DataFrame, cols: list[str] | None = None, k: int = 2, id_col
     base = df.select(*ids, *[_num(df, c).alias(c) for c in cols]).dropna(subset=cols)
     asm = VectorAssembler(inputCols=cols, outputCol="_x", handleInvalid="skip")
     x = asm.transform(base)
-    stats = x.agg(F.count(F.lit(1)).alias("n"), *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
-    n = stats["n"]
+    n = x.count()
     if n == 0:
         return empty
     kk = min(k, len(cols))

@@ -47,8 +47,10 @@ def intent_summary(routed: DataFrame, by: str = "role") -> DataFrame:
 
 
 def conversation_title(conv: DataFrame, width: int = 40) -> DataFrame:
-    """First ``width`` characters of the first user turn + '...'."""
-    first = conv.filter(F.col("role") == "user").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first_text"))
+    """First ``width`` characters of the first user turn + '...'; a conversation
+    without a user turn has the title null."""
+    is_user = F.col("role") == "user"
+    first = conv.groupBy("conv_id").agg(F.min_by(F.when(is_user, F.col("text")), F.when(is_user, F.col("turn"))).alias("first_text"))
     return first.select("conv_id", F.concat(F.substring("first_text", 1, width), F.lit("...")).alias("title"))
 
 

@@ -35,7 +35,7 @@ def q_intent_summary(spark, sf_dir):
 
 
 @register("conversation_title", """
-SELECT conv_id, substr(arg_min(text, turn), 1, 40) || '...' AS title FROM conversations WHERE role = 'user' GROUP BY 1""")
+SELECT conv_id, substr(arg_min(text, turn) FILTER (role = 'user'), 1, 40) || '...' AS title FROM conversations GROUP BY 1""")
 def q_conversation_title(spark, sf_dir):
     return TX.conversation_title(table(spark, sf_dir, "conversations"))
 
