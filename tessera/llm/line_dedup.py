@@ -4,8 +4,9 @@ A line is the set of its lower-cased words; lines with equal sets are one node.
 Tokens are put in one order, rare ones first. Two sets with Jaccard similarity of
 at least t overlap in at least ceil(t * |x|) tokens, so they share a token among
 the first |x| - ceil(t * |x|) + 1 of each (prefix filter). Nodes are dealt by these
-tokens and paired where the length and the positional filter allow; what
-passes is verified on the whole sets. A line goes if an earlier line (by document,
+tokens and paired where the length and the positional filter allow and where 64
+bits of each set do not show too many differing tokens; what passes is verified on
+the whole sets. A line goes if an earlier line (by document,
 then line number) has an equal set or is a verified match.
 
 Rarity comes from a table of ``BUCKETS`` counts over token hashes (a few MB at any
@@ -43,7 +44,7 @@ from tessera.llm.common import cut, small_batches, split_words, table
 SIMILARITY = 0.8
 BUCKETS = 1 << 21
 CHUNKS = 64
-FREQUENT = 256
+FREQUENT = 4096
 #: Size of the bit table of wanted nodes: 2**26 bits, 8 MB at any input size.
 MARK_BITS = 26
 
@@ -102,6 +103,12 @@ class Sets(NamedTuple):
             total = (total ^ (self.size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)
         return (total ^ (total >> np.uint64(31))).view(np.int64)
 
+    def bits(self) -> np.ndarray:
+        """64 bits of each set: the parity of its tokens that fall on each place. Two sets differ in
+        at least as many tokens as their bits differ in places."""
+        one = np.uint64(1) << (self.tokens >> np.uint64(7) & np.uint64(63))
+        return np.bitwise_xor.reduceat(one, self.start).view(np.int64) if len(self.start) else np.empty(0, np.int64)
+
     def low(self) -> np.ndarray:
         return (self.tokens >> np.uint64(32)).astype("<u4")
 
@@ -166,8 +173,8 @@ def needed(size: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t * size - 1e-9).astype(np.int64)
 
 
-def prefix_keys(docs: DataFrame, text: str, counts, t: float) -> DataFrame:
-    """key, node, size, at (position of the key's first token) of every prefix key of every set."""
+def prefix_keys(docs: DataFrame, text: str, counts, t: float, frequent: int) -> DataFrame:
+    """key, node, bits, size, at (position of the key's first token) of every prefix key of every set."""
 
     def keys_of(s: Sets) -> tuple:
         node, need = s.ids(), needed(s.size, t)
@@ -178,10 +185,10 @@ def prefix_keys(docs: DataFrame, text: str, counts, t: float) -> DataFrame:
         at = np.arange(len(s.tokens)) - s.start[s.line]
         inside = use[s.line] & (at < (s.size - need + 1)[s.line]) & (s.count > 1)     # a token seen once matches nothing
         low = s.low().astype(np.int64)
-        one = np.flatnonzero(inside & ((s.count <= FREQUENT) | (need[s.line] == 1)))
+        one = np.flatnonzero(inside & ((s.count <= frequent) | (need[s.line] == 1)))
         out = [(low[one], one, at[one])]
         # a frequent first token: with each token after it in the prefix that is one longer
-        hot = np.flatnonzero(inside & (s.count > FREQUENT) & (need[s.line] > 1))
+        hot = np.flatnonzero(inside & (s.count > frequent) & (need[s.line] > 1))
         last = s.start[s.line[hot]] + np.minimum(s.size, s.size - need + 2)[s.line[hot]]
         n = np.maximum(last - hot - 1, 0)
         first = np.repeat(hot, n)
@@ -192,25 +199,29 @@ def prefix_keys(docs: DataFrame, text: str, counts, t: float) -> DataFrame:
         out.append(((both | np.uint64(1 << 63)).view(np.int64), first, at[first]))
         key, token, place = (np.concatenate(x) for x in zip(*out, strict=True))
         ln = s.line[token]
-        return key, node[ln], s.size[ln], place
+        return key, node[ln], s.bits()[ln], s.size[ln], place
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 0):
-            key, node, size, at = keys_of(Lines(lines_of(b.column(0).to_pylist())).sets(counts.value))
+            key, node, bits, size, at = keys_of(Lines(lines_of(b.column(0).to_pylist())).sets(counts.value))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(node), pa.array(size.astype(np.int32)), pa.array(at.astype(np.int32))],
-                names=["key", "node", "size", "at"])
+                [pa.array(key), pa.array(node), pa.array(bits), pa.array(size.astype(np.int32)), pa.array(at.astype(np.int32))],
+                names=["key", "node", "bits", "size", "at"])
 
-    return docs.select(text).mapInArrow(run, "key long, node long, size int, at int")
+    return docs.select(text).mapInArrow(run, "key long, node long, bits long, size int, at int")
 
 
-def pairs_of(key: np.ndarray, node: np.ndarray, size: np.ndarray, at: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (a < b) of nodes that share a key and pass the length and the positional filter.
+def pairs_of(key: np.ndarray, node: np.ndarray, bits: np.ndarray, size: np.ndarray, at: np.ndarray,
+             t: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (a < b) of nodes that share a key and pass the length, the positional and the bit filter.
 
     Rows are ordered by key and set size; each row is compared with the rows after it in its key
     until their sizes are too large."""
-    order = np.lexsort((size, key))
-    key, node, size, at = key[order], node[order], size[order], at[order]
+    order = np.lexsort((node, size, key))
+    key, node, bits, size, at = key[order], node[order], bits[order], size[order], at[order]
+    # a set may come from several batches
+    once = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])]) if len(key) else np.empty(0, bool)
+    key, node, bits, size, at = key[once], node[once], bits[once], size[once], at[once]
     left, lefts, rights, d = np.arange(len(key)), [], [], 1
     while True:
         left = left[left + d < len(key)]
@@ -220,8 +231,10 @@ def pairs_of(key: np.ndarray, node: np.ndarray, size: np.ndarray, at: np.ndarray
         if not len(left):
             break
         # overlap needed: t / (1 + t) * (|a| + |b|); still possible: the shared token and what follows it in both
-        need = np.ceil(t / (1 + t) * (size[left] + size[right]) - 1e-9)
-        ok = (np.minimum(size[left] - at[left], size[right] - at[right]) >= need) & (node[left] != node[right])
+        both = size[left] + size[right]
+        need = np.ceil(t / (1 + t) * both - 1e-9)
+        ok = np.minimum(size[left] - at[left], size[right] - at[right]) >= need
+        ok &= np.bitwise_count(bits[left].view(np.uint64) ^ bits[right].view(np.uint64)) <= both - 2 * need
         lefts.append(np.minimum(node[left[ok]], node[right[ok]]))
         rights.append(np.maximum(node[left[ok]], node[right[ok]]))
         d += 1
@@ -237,10 +250,9 @@ def candidate_pairs(keys: DataFrame, t: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
         if got:
-            key, node, size, at = (np.concatenate(x) for x in zip(*got, strict=True))
+            rows = [np.concatenate(x) for x in zip(*got, strict=True)]
             del got
-            rows = np.unique(np.stack([key, node, size, at], axis=1), axis=0)      # a set may come from several batches
-            a, b = pairs_of(*(rows[:, i] for i in range(4)), t)
+            a, b = pairs_of(*rows, t)
             for i in range(0, len(a), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(a[i:i + 100_000]), pa.array(b[i:i + 100_000])], names=["a", "b"])
 
@@ -317,10 +329,10 @@ def node_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     return sets.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
-def similar_lines(docs: DataFrame, text: str, counts: np.ndarray, t: float = SIMILARITY) -> DataFrame:
+def similar_lines(docs: DataFrame, text: str, counts: np.ndarray, t: float = SIMILARITY, frequent: int = FREQUENT) -> DataFrame:
     """The verified pairs (a, b, similarity) of different token sets, a < b."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
-    pairs = cut(candidate_pairs(prefix_keys(docs, text, shared, t), t), "line-pairs")
+    pairs = cut(candidate_pairs(prefix_keys(docs, text, shared, t, frequent), t), "line-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = cut(node_sets(docs, text, wanted), "line-sets")
 
@@ -341,14 +353,14 @@ def similar_lines(docs: DataFrame, text: str, counts: np.ndarray, t: float = SIM
         verify, "a long, b long, similarity double")
 
 
-def judge_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", t: float = SIMILARITY):
+def judge_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", t: float = SIMILARITY, frequent: int = FREQUENT):
     """(lines, nodes): every line with its node; every node with links and whether its first line stays."""
     both = cut(line_rows(docs, key, text), "line-rows")
     lines = both.filter("counts IS NULL").drop("counts")
     counts = token_counts(both.filter("counts IS NOT NULL").select("number", "counts"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"), F.col("number"))
     nodes = cut(lines.groupBy("node").agg(F.min(place).alias("first")), "line-nodes")
-    links = cut(similar_lines(docs, text, counts, t), "line-links")
+    links = cut(similar_lines(docs, text, counts, t, frequent), "line-links")
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = (both.join(nodes.select(F.col("node").alias("b"), "first"), "b").groupBy("a")
             .agg(F.min("first").alias("earlier"), F.count("*").alias("links")))
@@ -358,9 +370,9 @@ def judge_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", t: flo
     return lines, cut(nodes, "line-judged")
 
 
-def line_figures(docs: DataFrame, key: str = "doc_id", text: str = "text", t: float = SIMILARITY) -> DataFrame:
+def line_figures(docs: DataFrame, key: str = "doc_id", text: str = "text", t: float = SIMILARITY, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, row, n_lines, n_removed, links, kept_numbers of each document."""
-    lines, nodes = judge_lines(docs, key, text, t)
+    lines, nodes = judge_lines(docs, key, text, t, frequent)
     per = lines.distinct().groupBy("doc_id", "row").agg(F.count("*").alias("n_lines"))
     kept = nodes.filter("stays").groupBy(F.col("first.doc_id").alias("_d"), F.col("first.row").alias("_r")).agg(
         F.array_sort(F.collect_list("first.number")).alias("kept_numbers"))

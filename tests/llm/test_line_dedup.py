@@ -59,7 +59,7 @@ def test_near_lines_and_frequent_words(spark):
             (4, "a b c d e\na b c d e f\na b c d\na b c", "", "", 0)]
     rows += [(10 + i, f"a b c d e x{i} y{i}", "", "", 0) for i in range(200)]
     want = brute([r[:2] for r in rows])
-    for r in op.line_figures(documents(spark, rows)).collect():
+    for r in [x for f in (5, op.FREQUENT) for x in op.line_figures(documents(spark, rows), frequent=f).collect()]:
         x = next(y[1] for y in rows if y[0] == r.doc_id)
         assert [r.n_lines, r.n_removed, r.links, list(r.kept_numbers)] == list(want[(r.doc_id, x)]), r.doc_id
 
