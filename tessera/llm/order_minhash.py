@@ -254,7 +254,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K
              .select("node", "doc_id", "copies", F.coalesce("label", "node").alias("label"),
                      F.coalesce("links", F.lit(0)).cast("long").alias("links")))
     named = cut(named, "omh-named")
-    names = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    # a table of its own, so that the join below deals a large class's nodes anew (skew join) after the aggregate
+    names = cut(named.groupBy("label").agg(F.min("doc_id").alias("class_id")), "omh-names")
     per_node = named.join(names, "label").select("node", "class_id", "copies", "links")
     return sk.select("doc_id", "row", "node", "n_words").join(per_node, "node")
 
