@@ -14,9 +14,13 @@ size costs one node. In a bucket (equal entry) of up to ``SMALL`` nodes all pair
 are checked; in a larger one every node is checked against one hub, the nodes not
 linked to it go on among themselves in finer buckets (one more equal entry), and so
 on until no bucket is left; nodes linked to the same hub are in one class already.
-So work stays linear in the bucket and no bucket is cut off. With 24 entries of 6
+So work stays linear in the bucket and no bucket is cut off. With 32 entries of 6
 k-mers, a pair of five-word-shingle similarity 0.8 shares no entry with probability
-0.0007 and, where its only shared buckets are large, fewer than two with 0.007.
+0.00006 and, where its only shared buckets are large, fewer than two with 0.0007 (by
+0.8 ** 6 an entry; 16 entries of 4, the first version, had 0.0002 and 0.003). Small
+texts are worse off, as a text of fewer than 6 k-mers takes them all; so texts of fewer
+than ``SHORT`` k-mers, and those that can be similar to them, also have as entries the
+k-mers of a prefix filter: a pair with such a text and similarity 0.8 always shares one.
 
 Every step is a Spark aggregate or join; hub keys are left to AQE's skew join;
 links, labels and sketches stay in tables of the shared folder.
@@ -29,6 +33,7 @@ smallest doc_id (null if all its ids are null); an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,9 +47,11 @@ from tessera.llm.bitvector import banded_distance
 from tessera.llm.common import cut, split_words, table
 
 K = 5
-ENTRIES = 24
+ENTRIES = 32
 ELL = 6
 SIMILARITY = 0.8
+#: Texts of fewer k-mers are also joined exactly, on their prefixes.
+SHORT = 30
 SMALL = 12
 
 _rng = np.random.default_rng(20240501)
@@ -100,6 +107,18 @@ def sketch(kmers: np.ndarray, entries: int, ell: int) -> np.ndarray:
     return out
 
 
+def prefix(kmers: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The k-mers that a short text is joined on (none for a long one).
+
+    Two sets of that Jaccard similarity share at least ceil(similarity * n) of either's n
+    elements, so the first n - ceil(similarity * n) + 1 of both in one order have one in common.
+    """
+    n = kmers.size
+    if n * similarity >= SHORT:
+        return np.empty(0, np.uint64)       # longer than any text that a short one can be similar to
+    return np.sort(mix(kmers ^ _Q))[:n - math.ceil(n * similarity - 1e-9) + 1]
+
+
 def text_words(text: str | None) -> list[str]:
     return split_words((text or "").lower())
 
@@ -120,8 +139,9 @@ def sketches(docs: DataFrame, key: str, text: str, k: int, entries: int, ell: in
                 nodes.append(xxhash.xxh3_128_digest(" ".join(words).encode()))
                 n_words.append(len(words))
                 if words:
-                    rows.append(sketch(labelled_kmers(word_hashes(words), k), entries, ell).view(np.int64))
-                offsets.append(offsets[-1] + (entries if words else 0))
+                    kmers = labelled_kmers(word_hashes(words), k)
+                    rows += [sketch(kmers, entries, ell).view(np.int64), prefix(kmers).view(np.int64)]
+                offsets.append(offsets[-1] + (rows[-2].size + rows[-1].size if words else 0))
             flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(nodes, pa.binary()), pa.array(n_words, pa.int64()),
@@ -187,7 +207,8 @@ def links_of(nodes: DataFrame, docs: DataFrame, key: str, text: str, similarity:
     n_entries = F.size("entries")
     rows = (nodes.filter(n_entries > 0)
             .select("node", F.posexplode("entries").alias("at", "key")))
-    rows = rows.withColumn("key", F.xxhash64("at", "key"))
+    # prefixes of short texts are equal at any position
+    rows = rows.withColumn("key", F.xxhash64(F.least("at", F.lit(ENTRIES)), "key"))
     found, words, level = None, None, 0
     while True:
         buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
@@ -211,7 +232,7 @@ def links_of(nodes: DataFrame, docs: DataFrame, key: str, text: str, similarity:
         level += 1
         rows = cut(rest.select("node", F.col("key").alias("of"), F.col("at").alias("from"), F.posexplode("entries").alias("at", "entry"))
                    .filter(F.col("at") > F.col("from"))
-                   .select("node", "at", F.xxhash64("of", "at", "entry").alias("key")), f"omh-rest-{level}")
+                   .select("node", "at", F.xxhash64("of", F.least("at", F.lit(ENTRIES)), "entry").alias("key")), f"omh-rest-{level}")
         if rows.isEmpty():
             return found
 

@@ -102,3 +102,12 @@ def test_awkward_rows(spark):
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "10", "3", "7", "9", "None"]
     assert op.classes(documents(spark, [])).count() == 0 and op.keep_one(documents(spark, [])).count() == 0
+
+
+def test_short_texts_with_a_word_added(spark):
+    rows = []
+    for i in range(240):         # 8 against 9, 9 against 10 ... words, the new word first or last
+        w = [f"s{i}_{j}" for j in range(8 + i % 28)]
+        rows += [(2 * i, " ".join(w), "", "", 0), (2 * i + 1, " ".join([*w, "new"] if i % 2 else ["new", *w]), "", "", 0)]
+    got = {r.doc_id: r.class_id for r in op.classes(documents(spark, rows)).collect()}
+    assert all(got[i] == i - i % 2 for i in range(480))
