@@ -11,16 +11,19 @@ connected components of the links.
 
 Texts with the same words are one node from the start, so a group of copies of any
 size costs one node. In a bucket (equal entry) of up to ``SMALL`` nodes all pairs
-are checked; in a larger one every node is checked against one hub, the nodes not
-linked to it go on among themselves in finer buckets (one more equal entry), and so
-on until no bucket is left; nodes linked to the same hub are in one class already.
-So work stays linear in the bucket and no bucket is cut off. With 32 entries of 6
-k-mers, a pair of five-word-shingle similarity 0.8 shares no entry with probability
-0.00006 and, where its only shared buckets are large, fewer than two with 0.0007 (by
-0.8 ** 6 an entry; 16 entries of 4, the first version, had 0.0002 and 0.003). Small
-texts are worse off, as a text of fewer than 6 k-mers takes them all; so texts of fewer
-than ``SHORT`` k-mers, and those that can be similar to them, also have as entries the
-k-mers of a prefix filter: a pair with such a text and similarity 0.8 always shares one.
+are checked; in a larger one every node is checked against one hub, and then every
+node that no chain of links has joined to the hub against all others of the bucket it
+is not joined to, in blocks spread over tasks. So every pair that shares an entry is
+compared or in one class already, and no bucket is cut off; work is quadratic only in
+nodes that share an entry and are not near copies (a common passage), where nearly all
+pairs end at a comparison of word counts. With 32 entries of 6 k-mers, a pair of
+five-word-shingle similarity 0.8 shares no entry with probability 0.00006 (by 0.8 ** 6
+an entry; 16 entries of 4, the first version, had 0.0002). Small texts are worse off,
+as a text of fewer than 6 k-mers takes them all; so texts of fewer than ``SHORT``
+k-mers, and those that can be similar to them, also have as entries the k-mers of a
+prefix filter: a pair with such a text and similarity 0.8 always shares one.
+
+``links`` counts the links found; a pair in one class already may not be compared.
 
 Every step is a Spark aggregate or join; hub keys are left to AQE's skew join;
 links, labels and sketches stay in tables of the shared folder.
@@ -53,6 +56,9 @@ SIMILARITY = 0.8
 #: Texts of fewer k-mers are also joined exactly, on their prefixes.
 SHORT = 30
 SMALL = 12
+#: Nodes of a large bucket that are compared in one task with as many others, and bins of their word counts.
+BLOCK = 256
+BINS = 128
 
 _rng = np.random.default_rng(20240501)
 _XOR = _rng.integers(1, 1 << 63, 64, dtype=np.uint64)
@@ -165,35 +171,36 @@ def node_words(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataF
     return rows.mapInArrow(run, "node binary, words binary").dropDuplicates(["node"])
 
 
+def similar(a: bytes, b: bytes, similarity: float) -> bool:
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    longer = max(len(x), len(y))
+    k = int((1 - similarity) * longer + 1e-9)
+    if abs(len(x) - len(y)) > k:
+        return False
+    n = min(len(x), len(y))
+    differ = np.flatnonzero(x[:n] != y[:n])
+    if len(differ) + longer - n <= k:
+        return True        # an alignment along the main diagonal is enough
+    head = int(differ[0])
+    x, y = x[head:], y[head:]
+    n = min(len(x), len(y))
+    differ = np.flatnonzero(x[::-1][:n] != y[::-1][:n])
+    tail = int(differ[0]) if len(differ) else n
+    x, y = x[:len(x) - tail], y[:len(y) - tail]
+    u, c = np.unique(x, return_counts=True)
+    v, d = np.unique(y, return_counts=True)
+    _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+    if max(len(x), len(y)) - int(np.minimum(c[i], d[j]).sum()) > k:
+        return False       # too few words in common for any alignment
+    return banded_distance(x.tolist(), y.tolist(), k) <= k
+
+
 def verify(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose words align with at least the given edit similarity."""
 
-    def similar(a: bytes, b: bytes) -> bool:
-        x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-        longer = max(len(x), len(y))
-        k = int((1 - similarity) * longer + 1e-9)
-        if abs(len(x) - len(y)) > k:
-            return False
-        n = min(len(x), len(y))
-        differ = np.flatnonzero(x[:n] != y[:n])
-        if len(differ) + longer - n <= k:
-            return True        # an alignment along the main diagonal is enough
-        head = int(differ[0])
-        x, y = x[head:], y[head:]
-        n = min(len(x), len(y))
-        differ = np.flatnonzero(x[::-1][:n] != y[::-1][:n])
-        tail = int(differ[0]) if len(differ) else n
-        x, y = x[:len(x) - tail], y[:len(y) - tail]
-        u, c = np.unique(x, return_counts=True)
-        v, d = np.unique(y, return_counts=True)
-        _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
-        if max(len(x), len(y)) - int(np.minimum(c[i], d[j]).sum()) > k:
-            return False       # too few words in common for any alignment
-        return banded_distance(x.tolist(), y.tolist(), k) <= k
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [similar(p, q) for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            ok = [similar(p, q, similarity) for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     left = words.select(F.col("node").alias("a"), F.col("words").alias("wa"))
@@ -202,39 +209,83 @@ def verify(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
+def across(members: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join members of a bucket which no link has joined yet.
+
+    ``members``: key, node, label, apart (not in the hub's class). A bucket is dealt into
+    blocks, those of the nodes apart first, and each pair of blocks with such a node
+    is a group of its own. In a group every pair of different classes is compared: by
+    lengths and word counts in ``BINS`` bins (each edit changes two counts by one or one
+    by one, so no similar pair fails), then by alignment; a link joins the two classes.
+    """
+    counted = members.groupBy("key").agg(F.count_if("apart").alias("n_apart"), F.count_if(~F.col("apart")).alias("n_in")).filter("n_apart > 0")
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
+    dealt = (members.join(counted, "key").withColumn("p", blocks("n_apart")).withColumn("q", blocks("n_in"))
+             .withColumn("h", F.xxhash64("node", "key"))
+             .withColumn("block", F.when(F.col("apart"), F.pmod("h", "p")).otherwise(F.col("p") + F.pmod("h", F.greatest("q", F.lit(1))))))
+    with_block = F.explode(F.sequence(F.lit(0), F.when(F.col("apart"), F.col("p") + F.col("q")).otherwise(F.col("p")) - 1))
+    groups = (dealt.select("key", "node", "label", "block", with_block.alias("other"))
+              .select("key", "node", "label", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+                      (F.col("block") <= F.col("other")).alias("first"))
+              .join(words, "node").select("key", "lo", "hi", "first", "node", "label", "words"))
+
+    def run(group: pa.Table) -> pa.Table:
+        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+        first = np.array(group.column("first").to_pylist(), bool)
+        node, label, text = (group.column(c).to_pylist() for c in ("node", "label", "words"))
+        sets = [np.frombuffer(t, "<u4") for t in text]
+        n = np.array([len(x) for x in sets])
+        counts = np.stack([np.bincount(x % BINS, minlength=BINS) for x in sets]).astype(np.int32)
+        up = {c: c for c in label}
+
+        def root(c: bytes) -> bytes:
+            while up[c] != c:
+                up[c] = c = up[up[c]]
+            return c
+
+        links = []
+        for i in np.flatnonzero(first):
+            others = np.arange(i + 1, len(node)) if lo == hi else np.flatnonzero(~first)
+            longer = np.maximum(n[i], n[others])
+            apart = np.abs(n[i] - n[others])
+            k = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+            others, k, apart = (v[apart <= k] for v in (others, k, apart))
+            near = np.abs(counts[others] - counts[i]).sum(axis=1) <= 2 * k - apart
+            for j in others[near]:
+                p, q = root(label[i]), root(label[j])
+                if p != q and similar(text[i], text[j], similarity):
+                    up[p] = q
+                    links.append(sorted((node[i], node[j])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
+
+    return groups.groupBy("key", "lo", "hi").applyInArrow(run, "a binary, b binary")
+
+
 def links_of(nodes: DataFrame, docs: DataFrame, key: str, text: str, similarity: float, small: int) -> DataFrame:
     """Verified links (a, b) between nodes. ``nodes``: node, row, entries (one row per node)."""
-    n_entries = F.size("entries")
-    rows = (nodes.filter(n_entries > 0)
-            .select("node", F.posexplode("entries").alias("at", "key")))
-    # prefixes of short texts are equal at any position
-    rows = rows.withColumn("key", F.xxhash64(F.least("at", F.lit(ENTRIES)), "key"))
-    found, words, level = None, None, 0
-    while True:
-        buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
-        active = cut(rows.join(buckets, "key"), f"omh-rows-{level}")
-        pairs = active.filter((F.col("n") > small) & (F.col("node") != F.col("hub"))).select(
-            F.col("hub").alias("a"), F.col("node").alias("b"))
-        # at most ``small`` nodes a key: a bounded list each
-        lists = (active.filter(F.col("n") <= small).groupBy("key")
-                 .agg(F.array_sort(F.collect_list("node")).alias("nodes")))
-        tails = lists.select(F.posexplode("nodes").alias("i", "a"), "nodes").select(
-            "a", F.explode(F.expr("slice(nodes, i + 2, size(nodes))")).alias("b"))
-        pairs = pairs.unionByName(tails).distinct()
-        if words is None:
-            wanted = nodes.join(active.select("node").distinct(), "node").select("row", "node")
-            words = cut(node_words(docs, key, text, wanted), "omh-words")
-        fresh = cut(verify(pairs, words, similarity), f"omh-links-{level}")
-        found = fresh if found is None else found.unionByName(fresh)
-        large = active.filter((F.col("n") > small) & (F.col("node") != F.col("hub")))
-        rest = large.join(fresh, (large["hub"] == fresh["a"]) & (large["node"] == fresh["b"]), "left_anti")
-        rest = rest.select("node", "key", "at").join(nodes.select("node", "entries"), "node")
-        level += 1
-        rows = cut(rest.select("node", F.col("key").alias("of"), F.col("at").alias("from"), F.posexplode("entries").alias("at", "entry"))
-                   .filter(F.col("at") > F.col("from"))
-                   .select("node", "at", F.xxhash64("of", F.least("at", F.lit(ENTRIES)), "entry").alias("key")), f"omh-rest-{level}")
-        if rows.isEmpty():
-            return found
+    # an entry's value differs by its place in the sketch; prefixes of short texts are equal at any place
+    rows = nodes.filter(F.size("entries") > 0).select("node", F.explode(F.array_distinct("entries")).alias("key"))
+    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
+    active = cut(rows.join(buckets, "key"), "omh-rows")
+    large = active.filter(F.col("n") > small)
+    pairs = large.filter(F.col("node") != F.col("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    # at most ``small`` nodes a key: a bounded list each
+    lists = (active.filter(F.col("n") <= small).groupBy("key")
+             .agg(F.array_sort(F.collect_list("node")).alias("nodes")))
+    tails = lists.select(F.posexplode("nodes").alias("i", "a"), "nodes").select(
+        "a", F.explode(F.expr("slice(nodes, i + 2, size(nodes))")).alias("b"))
+    pairs = pairs.unionByName(tails).distinct()
+    wanted = nodes.join(active.select("node").distinct(), "node").select("row", "node")
+    words = cut(node_words(docs, key, text, wanted), "omh-words")
+    found = cut(verify(pairs, words, similarity), "omh-links-hub")
+    if large.isEmpty():
+        return found
+    labels = components(found)
+    of_hub = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+    members = (large.join(labels, "node", "left").join(of_hub, "hub", "left")
+               .select("key", "node", F.coalesce("label", "node").alias("label"), F.coalesce("hub_label", "hub").alias("hub_label")))
+    members = cut(members.select("key", "node", "label", (F.col("label") != F.col("hub_label")).alias("apart")), "omh-members")
+    return found.unionByName(cut(across(members, words, similarity), "omh-links-across"))
 
 
 def components(links: DataFrame) -> DataFrame:

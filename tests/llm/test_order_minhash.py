@@ -111,3 +111,39 @@ def test_short_texts_with_a_word_added(spark):
         rows += [(2 * i, " ".join(w), "", "", 0), (2 * i + 1, " ".join([*w, "new"] if i % 2 else ["new", *w]), "", "", 0)]
     got = {r.doc_id: r.class_id for r in op.classes(documents(spark, rows)).collect()}
     assert all(got[i] == i - i % 2 for i in range(480))
+
+
+def test_large_bucket_equals_all_pairs(spark):
+    rng = random.Random(8)
+    texts = []
+    for family in range(3):            # chains: neighbours differ by 15 words of 100, ends by 90
+        words = [f"f{family}_{j}" for j in range(100)]
+        for step in range(7):
+            texts.append([f"g{family}_{j}" if j < 15 * step else w for j, w in enumerate(words)])
+    hub = [f"h{j}" for j in range(100)]
+    for i in range(600):               # versions around the limit of 0.8 from one another
+        w = list(hub)
+        for at in rng.sample(range(100), rng.randint(9, 30)):
+            w[at] = f"v{i}_{at}"
+        texts.append(w)
+    docs = documents(spark, [(i, " ".join(w), "", "", 0) for i, w in enumerate(texts)])
+    nodes = op.sketches(docs, "doc_id", "text", op.K, 1, op.ELL).select("node", "row", "doc_id")
+    one = nodes.selectExpr("node", "row", "array(7L) AS entries")        # all in one bucket
+    found = op.components(op.links_of(one, docs, "doc_id", "text", op.SIMILARITY, op.SMALL).distinct())
+    label = {r.doc_id: r.label for r in nodes.join(found, "node").collect()}
+    best = list(range(len(texts)))
+
+    def root(i):
+        while best[i] != i:
+            i = best[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if root(i) != root(j) and sum(x != y for x, y in zip(texts[i], texts[j], strict=True)) <= 20:      # no shifts
+                best[root(i)] = root(j)
+    groups = collections.defaultdict(set)
+    for i in range(len(texts)):
+        groups[root(i)].add(label.get(i, i))
+    assert all(len(g) == 1 for g in groups.values()) and len({x for g in groups.values() for x in g}) == len(groups)
+    assert 3 < len(groups) < 600
