@@ -13,8 +13,9 @@ that say nothing about a vendor's format:
 
 A random forest learns from labelled findings (columns value, label) and scores all
 candidates; those under ``THRESHOLD`` are dropped as false positives. It is fitted on a
-bounded, documented sample (the ``TRAIN_ROWS`` labelled rows with the smallest hash);
-everything else covers all rows. The fit sorts that sample, so reruns agree.
+bounded, documented sample (of each label the ``TRAIN_ROWS`` rows with the smallest
+hash, so a rare label is not crowded out); everything else covers all rows. The fit
+sorts that sample, so reruns agree.
 
 Dictionary counts come from one partial aggregate over all words, joined to the few
 letter runs of the candidates; candidates are spread by a hash of their place, so a
@@ -22,8 +23,8 @@ hot document or value is no hot key.
 
 Defined results: null and empty texts have no candidates; a word that occurs twice is
 two findings; a null path has depth 0; labelled values that are null are ignored; with
-labels of one kind only (or none) every candidate scores that label (or 1.0); an empty
-table gives no rows. Values leave the operator only as a hash and a mask.
+labels of one kind only (or none) nothing can be learnt, so every candidate is kept with
+score 1.0 but those reviewed as false, which score 0.0; an empty table gives no rows. Values leave the operator only as a hash and a mask.
 """
 
 from __future__ import annotations
@@ -40,6 +41,12 @@ MIN_LENGTH = 12
 CANDIDATE = rf"(?:(?=[^0-9]*[0-9]).{{{MIN_LENGTH},}}|[^A-Z]*[A-Z]{{16,}}.*)"
 CREDENTIAL = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api.?key|access.?key|credential|auth|bearer|private.?key)"
 SAMPLE_PATH = r"(?i)(^|[/_.-])(tests?|examples?|samples?|mocks?|fixtures?|docs?|demo)([/_.-]|$)"
+#: Tokens with an issuer's prefix (bare, quoted or assigned), and values of 8 or more characters with a
+#: digit that are assigned to a credential's name in the same word.
+ISSUED = (r"(?:^|[\"'`=:])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|github_pat_\w{22,}|glpat-[\w-]{20,}|xox[abeprs]-[\w-]{10,}"
+          r"|[sr]k_live_[0-9A-Za-z]{16,}|AIza[\w-]{35}|sk-[\w-]{20,}|npm_[0-9A-Za-z]{36}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]+)(?![\w-])")
+ASSIGNED = (r"^(?i)[\"']?[\w.-]*(?:password|passwd|passphrase|pwd|secret|token|api_?-?key|access_?-?key)[\"']?[:=]"
+            r"(?=[^0-9]*[0-9])[\"'`]?[^\s\"'`<>${}()@/]{8,}[\"'`]?[,;]?$")
 #: The smallest number of occurrences of a word of the dictionary.
 DICTIONARY_COUNT = 5
 TRAIN_ROWS = 20_000
@@ -106,12 +113,15 @@ def features(found: DataFrame, docs: DataFrame, text: str = "text", least: int =
 def score(found: DataFrame, labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """``found`` (with features) -> + score. ``labelled``: rows of ``found`` with a column label (0 or 1)."""
     vec = VectorAssembler(inputCols=FEATURES, outputCol="_x")
-    sample = (labelled.filter("label IS NOT NULL").select("finding", F.col("label").cast("double").alias("label"), *FEATURES)
-              .withColumn("_h", F.xxhash64("finding", "label")).orderBy("_h", "finding", *FEATURES).limit(train_rows))
-    sample = cut(sample.coalesce(1), "secret-training")       # a bounded sample, in one order
+    rows = (labelled.filter("label IS NOT NULL").select("finding", F.col("label").cast("double").alias("label"), *FEATURES)
+            .withColumn("_h", F.xxhash64("finding", "label")))
+    each = [rows.filter(c).orderBy("_h", "finding", *FEATURES).limit(train_rows) for c in ("label = 0", "label <> 0")]
+    sample = each[0].unionByName(each[1]).coalesce(1).sortWithinPartitions("_h", "finding", *FEATURES)
+    sample = cut(sample, "secret-training")                   # a bounded sample, in one order
     kinds = [r["label"] for r in sample.select("label").distinct().collect()]
     if len(kinds) < 2:
-        return found.withColumn("score", F.lit(float(kinds[0]) if kinds else 1.0))
+        reviewed = F.col("label") if "label" in found.columns else F.lit(None)
+        return found.withColumn("score", F.when(reviewed == 0, 0.0).otherwise(1.0))
     model = RandomForestClassifier(featuresCol="_x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED,
                                    probabilityCol="_p", rawPredictionCol="_r", predictionCol="_y").fit(vec.transform(sample))
     return model.transform(vec.transform(found)).withColumn(
@@ -125,8 +135,7 @@ def review(found: DataFrame) -> DataFrame:
     passwords and quoted tokens are real; addresses, card-like numbers and host numbers are not.
     """
     v = F.col("value")
-    real = (v.rlike("^AKIA[0-9A-Z]{16}$") | v.rlike("^password=[0-9a-f]{18}$")
-            | (v.rlike("^\"[0-9a-f]{40}\"$") & (F.col("before1") == "=")))
+    real = v.rlike(ISSUED) | v.rlike(ASSIGNED) | (v.rlike("^[\"'`](?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[0-9A-Za-z]{20,}[\"'`][,;]?$") & F.col("before1").rlike("[:=]$"))
     other = (v.rlike("@") | v.rlike("^[0-9]{13,19}$") | v.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$") | v.rlike("^(?i)https?://")
              | v.rlike("^[A-Z]+[!.,]+$"))
     return found.withColumn("label", F.when(real, 1).when(other, 0))
