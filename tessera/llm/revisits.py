@@ -20,14 +20,14 @@ that a 304 answer may carry.
 
 The as-of join never sorts a resource's captures in one task: full responses are first
 reduced to one row per URL and date; the latest earlier one is sought in the rows of
-the same URL and day (at most 86,400 at the dates' resolution of a second) and else
+the same URL and day (one row per date, to the microsecond) and else
 taken from the latest earlier day that has one (one row per URL and day). Revisits
 then join these rows by equality of URL and date, left to AQE if a URL is hot. Bodies are
 not moved: a resolved record names the original, and ``with_bodies`` joins them.
 
 Defined results: records with null URL or date resolve to ``no_original``; null headers
 are empty; header names compare in lower case, of repeated names the last counts; fractions of a
-second are cut; full responses are those of status 200 and type response; repeated
+second count (``op5_warc_revisits`` prints whole seconds); full responses are those of status 200 and type response; repeated
 rows are rows of their own (of equal originals the row is one); empty tables give no rows.
 """
 
@@ -44,14 +44,20 @@ NOT_MERGED = ["connection", "content-encoding", "content-length", "content-range
               "proxy-authenticate", "proxy-authorization", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade"]
 
 
+def _upper_escapes(c: Column) -> Column:
+    parts = F.transform(F.split(c, "%"), lambda p, i: F.when((i > 0) & p.rlike("^[0-9A-Fa-f]{2}"), F.concat(
+        F.upper(F.substring(p, 1, 2)), F.substring(p, 3, 1 << 30))).otherwise(p))
+    return F.array_join(parts, "%")
+
+
 def canonical_url(url: Column) -> Column:
     u = F.regexp_replace(F.trim(url), "#.*$", "")
     u = F.regexp_replace(u, "^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host = F.lower(F.regexp_extract(u, "^([^/?]*)", 1))
     host = F.regexp_replace(F.regexp_replace(host, "^www\\.", ""), ":(80|443)$", "")
-    path = F.regexp_extract(u, "^[^/?]*([^?]*)", 1)
+    path = _upper_escapes(F.regexp_extract(u, "^[^/?]*([^?]*)", 1))
     path = F.regexp_replace(path, "/+$", "")
-    query = F.regexp_extract(u, "^[^?]*\\?(.*)$", 1)
+    query = _upper_escapes(F.regexp_extract(u, "^[^?]*\\?(.*)$", 1))
     kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(TRACKING)))
     return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")))
 
@@ -81,7 +87,7 @@ def resolve(records: DataFrame) -> DataFrame:
     ``records``: record_id, warc_type, target_uri, warc_date, status, headers (map).
     """
     r = records.select("record_id", "warc_type", canonical_url(F.col("target_uri")).alias("url_key"),
-                       F.date_trunc("second", "warc_date").alias("at"), "status", lower_names(F.col("headers")).alias("headers"))
+                       F.col("warc_date").alias("at"), "status", lower_names(F.col("headers")).alias("headers"))
     full = r.filter((F.col("warc_type") == "response") & (F.col("status") == 200) & F.col("url_key").isNotNull() & F.col("at").isNotNull())
     revisits = r.filter(F.col("warc_type") == "revisit")
     original = F.struct(F.col("record_id").alias("id"), F.col("headers").alias("headers"))

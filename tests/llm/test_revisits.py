@@ -62,3 +62,19 @@ def test_hot_url_equals_plain_as_of(spark):
         if r[1] == "revisit":
             before = [x for x in full if x[0] < r[3]]
             assert got[r[0]] == (max(before)[1] if before else None)
+
+
+def test_percent_escapes(spark):
+    rows = [("http://e.com/a%2fb%c3%a9?q=%3d&p=%zz", "e.com/a%2Fb%C3%A9?p=%zz&q=%3D"), ("e.com/100%", "e.com/100%"), ("e.com/%", "e.com/%")]
+    got = spark.createDataFrame(rows, "u string, k string").select(op.canonical_url(F.col("u")).alias("got"), "k").collect()
+    assert [r.got for r in got] == [r.k for r in got]
+    records = [(1, "response", "http://e.com/a%2Fb", at(1), 200, {"etag": '"a"'}, "x"), (2, "revisit", "http://e.com/a%2fb", at(2), 304, {}, None)]
+    assert op.resolve(spark.createDataFrame(records, SCHEMA)).collect()[0].original_id == 1
+
+
+def test_fractions_of_a_second(spark):
+    u, micros = "http://e.com/x", lambda n: at(2) + dt.timedelta(microseconds=n)
+    rows = [(1, "response", u, at(1), 200, {}, "old"), (2, "response", u, micros(100_000), 200, {}, "new"),
+            (3, "revisit", u, micros(700_000), 304, {}, None), (4, "revisit", u, micros(100_000), 304, {}, None)]
+    got = {r.record_id: r.original_id for r in op.resolve(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {3: 2, 4: 1}
