@@ -45,7 +45,7 @@ POSITIVES, NEGATIVES = 5, 10
 #: A negative's score lies within these percentages of its positive's.
 LOW, HIGH = 30, 90
 #: Anchors a pass (64 dimensions: 2 MB of broadcast); anchors and candidates of one product.
-ANCHOR_BLOCK, ANCHOR_TILE, CANDIDATE_TILE = 4096, 512, 2048
+ANCHOR_BLOCK, ANCHOR_TILE, CANDIDATE_TILE = 4096, 256, 2048
 #: Sizes at which the recursion ends.
 LEAF = 16
 
