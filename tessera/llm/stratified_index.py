@@ -9,10 +9,11 @@ the score is one number for each tf:
 (n terms of the document, L terms of all N documents that have one, w the term's weight).
 
 ``build`` counts the terms of each whole text once (written to the shared folder), then
-range-partitions the documents by (m, id): rows of one m, however many, spread over as many
-tasks as their share of the data asks for. A task writes its strata as blocks: the ids of
-documents of one m, the block's terms, and each term's postings grouped by tf. A block ends
-at ``BLOCK_POSTINGS`` postings, so memory is bounded however large a stratum is.
+deals the documents by (m, part), where a stratum has a part for each ``BLOCK_POSTINGS``
+of its postings: a stratum, however large, spreads over tasks, and tasks are alike in
+postings, not in documents. A task writes its strata as blocks: the ids of documents of one
+m, the block's terms, and each term's postings grouped by tf. A block ends at
+``BLOCK_POSTINGS`` postings.
 
 ``search`` reads the index once for the document counts of the query terms and once for the
 scores. A task computes each impact once per (term, tf) of a block, adds up each block's
@@ -47,6 +48,8 @@ from tessera.llm.common import cut, table
 TOP = 20
 #: (document, term) pairs in one block of the index: some 2 MB.
 BLOCK_POSTINGS = 200_000
+#: (document, term) pairs dealt to one task when the index is written: some 20 MB.
+TASK_POSTINGS = 2_000_000
 #: Characters of queries broadcast at a time.
 QUERY_CHARS = 1_000_000
 #: Bytes outside terms become spaces, A-Z become a-z.
@@ -123,15 +126,18 @@ def pack_strata(limit: int):
     return run
 
 
-def build(docs: DataFrame, key: str = "doc_id", text: str = "text", block_postings: int = BLOCK_POSTINGS) -> DataFrame:
+def build(docs: DataFrame, key: str = "doc_id", text: str = "text", block_postings: int = BLOCK_POSTINGS,
+          task_postings: int = TASK_POSTINGS) -> DataFrame:
     """The index of all documents that have a term, written to the shared folder (schema ``INDEX``)."""
     counted = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text")).mapInArrow(
         count_terms, "id long, n long, terms binary, tfs array<int>")
     counted = cut(counted.withColumn("row", F.monotonically_increasing_id()), "term-counts")
-    n_docs, n_terms = counted.agg(F.count("*"), F.sum("n")).first()
-    m = F.expr(f"75L + (25L * n * {n_docs}L) div {n_terms or 1}L")
-    strata = (counted.withColumn("m", m).repartitionByRange("m", F.col("id").asc_nulls_last(), "row")
-              .sortWithinPartitions("m", F.col("id").asc_nulls_last(), "row"))
+    n_docs, n_terms, postings = counted.agg(F.count("*"), F.sum("n"), F.sum(F.size("tfs"))).first()
+    counted = counted.withColumn("m", F.expr(f"75L + (25L * n * {n_docs}L) div {n_terms or 1}L"))
+    parts = counted.groupBy("m").agg(F.ceil(F.sum(F.size("tfs")) / block_postings).alias("parts"))   # a row for each m
+    dealt = counted.join(parts, "m").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
+    strata = (dealt.repartition(max(1, -(-(postings or 0) // task_postings)), "m", "part")
+              .sortWithinPartitions("m", "part", F.col("id").asc_nulls_last(), "row"))
     blocks = strata.select("m", "id", "n", "terms", "tfs").mapInArrow(pack_strata(block_postings), INDEX)
     return cut(blocks, "stratified-index")
 
