@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm import (
-    chat_windows, decontamination, hard_negatives, line_dedup, line_quality, mixing, order_minhash, packed_tokens,
+    chat_windows, decontamination, hard_negatives, line_dedup, line_quality, main_text, mixing, order_minhash, packed_tokens,
     pitman_yor, revisits, secret_forest, stratified_index,
 )
 
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_order_minhash": order_minhash.op10_order_minhash,
+    "op11_main_text": main_text.op11_main_text,
     "op12_stratified_search": stratified_index.op12_stratified_search,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
@@ -27,6 +28,7 @@ ORACLE = {
     "op2_chat_windows": chat_windows.ORACLE_SQL,
     "op5_warc_revisits": revisits.ORACLE_SQL,
     "op8_mix_sources": mixing.ORACLE_SQL,
+    "op11_main_text": main_text.ORACLE_SQL,
     "op12_stratified_search": stratified_index.ORACLE_SQL,
     "op13_hard_negatives": hard_negatives.ORACLE_SQL,
 }
