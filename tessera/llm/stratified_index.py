@@ -134,7 +134,8 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", block_postin
     counted = cut(counted.withColumn("row", F.monotonically_increasing_id()), "term-counts")
     n_docs, n_terms, postings = counted.agg(F.count("*"), F.sum("n"), F.sum(F.size("tfs"))).first()
     counted = counted.withColumn("m", F.expr(f"75L + (25L * n * {n_docs}L) div {n_terms or 1}L"))
-    parts = counted.groupBy("m").agg(F.ceil(F.sum(F.size("tfs")) / block_postings).alias("parts"))   # a row for each m
+    # A row for each m, as a table of known size: Spark plans the join by it.
+    parts = cut(counted.groupBy("m").agg(F.ceil(F.sum(F.size("tfs")) / block_postings).alias("parts")), "strata")
     dealt = counted.join(parts, "m").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
     strata = (dealt.repartition(max(1, -(-(postings or 0) // task_postings)), "m", "part")
               .sortWithinPartitions("m", "part", F.col("id").asc_nulls_last(), "row"))
