@@ -1,4 +1,4 @@
-"""Text routing, tokenising, passage building and vector search.
+"""Text routing, tokenising and passage building.
 
 All per-row work is built-in expressions (``split``, ``slice``, ``transform``,
 ``aggregate``); nothing leaves the JVM.
@@ -6,13 +6,10 @@ All per-row work is built-in expressions (``split``, ``slice``, ``transform``,
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import cosine_similarity, spread
-from tessera.session import scratch_dir
+from tessera.functions.exprs import spread
 
 # Intent keyword groups, checked in this order; the first group
 # with a keyword contained in the lower-cased prompt wins.
@@ -94,82 +91,3 @@ def index_documents(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
     # inlined: exploded rows never carry the whole word array.
     return d.select(key, F.inline(F.transform(F.sequence(F.lit(0), n_chunks - 1), passage)))
 
-
-
-
-# Cells of the search index (a parameter, not a limit: any number gives the exact result).
-CELLS = 32
-
-
-def _norm(v: str):
-    return F.sqrt(F.aggregate(F.col(v), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-
-
-def _distance(v: str, norm: str, pivot):
-    """Distance of the vector, scaled to length one, from a pivot of length one."""
-    dot = F.aggregate(F.zip_with(F.col(v), pivot, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda acc, x: acc + x)
-    return F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot / F.col(norm)))
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """Computed once, in the shared folder: the search reads it several times."""
-    path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def semantic_search(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
-                    vec_col: str = "embedding", query_id: str = "query_id", query_vec: str = "query_vec",
-                    extra: list[str] | None = None, cells: int = CELLS) -> DataFrame:
-    """Exact top-k corpus rows per query by cosine similarity (4 digits; ties by id).
-
-    Corpus vectors (of length one) belong to the cell of the nearest of ``cells``
-    pivots, the corpus rows with the smallest id hash. By the triangle inequality a
-    row at distance r from its pivot is at least |d(query, pivot) - r| from the query.
-    The cells nearest to a query that hold k rows give it a bound; then the cells
-    and rows that the inequality does not exclude are compared. Queries are a
-    DataFrame of any size and both joins are equi-joins on the cell, so nothing but
-    the pivots (``cells`` vectors) passes through the driver and a hot cell is split
-    by AQE. Rows and queries with a zero or null vector have no similarity and are
-    left out."""
-    extra = extra or []
-    rows = corpus.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_e{i}") for i, c in enumerate(extra)],
-                         F.col(vec_col).alias("_v"), _norm(vec_col).alias("_len")).filter("_len > 0")
-    asked = queries.select(F.col(query_id).alias("_q"), F.col(query_vec).alias("_qv"), _norm(query_vec).alias("_qlen")).filter("_qlen > 0")
-    asked = _written(asked, "search-queries")
-    first = rows.select("_v", "_len", F.xxhash64("_id").alias("_h"), "_id").orderBy("_h", "_id").limit(cells).collect()
-    pivots = [[float(x) / r["_len"] for x in r["_v"]] for r in first]
-    # one text literal, folded to a constant array once
-    table_of = F.from_json(F.lit(json.dumps([{"cell": i, "p": p} for i, p in enumerate(pivots)])),
-                           "array<struct<cell: int, p: array<double>>>")
-
-    def distances(v: str, norm: str):
-        return F.transform(table_of, lambda t: F.struct(_distance(v, norm, t["p"]).alias("d"), t["cell"].alias("cell")))
-
-    near = F.array_min(distances("_v", "_len"))
-    rows = _written(rows.withColumn("_n", near).drop("_len"), "search-rows") \
-        .withColumn("_cell", F.col("_n.cell")).withColumn("_r", F.col("_n.d")).drop("_n")
-    about = rows.groupBy("_cell").agg(F.min("_r").alias("_lo"), F.max("_r").alias("_hi"), F.count(F.lit(1)).alias("_rows"))
-    # one row per query and cell
-    pairs = asked.select("_q", F.inline(distances("_qv", "_qlen"))).join(about, F.col("cell") == F.col("_cell")).drop("cell")
-    pairs = _written(pairs.withColumn("_least", F.greatest(F.lit(0.0), F.col("d") - F.col("_hi"), F.col("_lo") - F.col("d"))),
-                     "search-cells")
-    order = Window.partitionBy("_q").orderBy("_least", "d", "_cell")
-    first = pairs.withColumn("_before", F.coalesce(F.sum("_rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    first = first.filter(F.col("_before") < k).select("_q", "_cell")
-
-    by_sim = Window.partitionBy("_q").orderBy(F.desc("_sim"), "_id")
-
-    def compared(chosen: DataFrame) -> DataFrame:
-        sims = chosen.join(asked, "_q").join(rows, "_cell")
-        if "_far" in chosen.columns:
-            sims = sims.filter(F.abs(F.col("d") - F.col("_r")) <= F.col("_far"))
-        sims = sims.withColumn("_sim", F.round(cosine_similarity("_qv", "_v"), 4))
-        return sims.withColumn("_rank", F.row_number().over(by_sim)).filter(F.col("_rank") <= k)
-
-    # the k-th similarity so far, a rounding step lower, as a distance of vectors of length one
-    bound = compared(first).groupBy("_q").agg(F.min("_sim").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    far = F.when(F.col("_n") < k, F.lit(2.1)).otherwise(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * (F.col("_s") - 0.0001))) + 1e-6)
-    chosen = pairs.join(bound.select("_q", far.alias("_far")), "_q").filter(F.col("_least") <= F.col("_far")).select("_q", "_cell", "d", "_far")
-    return compared(chosen).select(F.col("_q").alias(query_id), F.col("_id").alias(id_col), *[F.col(f"_e{i}").alias(c) for i, c in enumerate(extra)],
-                                   F.col("_sim").alias("similarity"), F.col("_rank").alias("rank"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import text as TX
+from tessera.operators import vector_index as VI
 from tessera.plans import fixtures as fx
 from tessera.plans.registry import register
 from tessera.sources.files import table
@@ -81,4 +82,23 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarit
 SELECT * FROM r WHERE "rank" <= 5""")
 def q_semantic_search(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings")
-    return TX.semantic_search(emb, _queries(emb), k=5, extra=["label"])
+    return VI.exact_search(emb, _queries(emb), k=5, extra=["label"])
+
+
+def _every_fiftieth(emb):
+    return emb.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+
+
+@register("semantic_search_index")
+def q_semantic_search_index(spark, sf_dir):
+    """Every 50th vector as a query against the index of all (recall is measured by the next query)."""
+    emb = table(spark, sf_dir, "embeddings")
+    return VI.index_and_search(emb, _every_fiftieth(emb), k=5, extra=["label"])
+
+
+@register("semantic_search_recall")
+def q_semantic_search_recall(spark, sf_dir):
+    """The index against the exact search for the same queries."""
+    emb = table(spark, sf_dir, "embeddings")
+    asked = _every_fiftieth(emb)
+    return VI.recall(VI.exact_search(emb, asked, k=5), VI.index_and_search(emb, asked, k=5))
