@@ -255,25 +255,47 @@ FUNNEL_STAGES = ("view", "click", "signup", "purchase")
 def funnel(events: DataFrame, stages=FUNNEL_STAGES, unit=("user_id", "day"), strict: bool = True) -> DataFrame:
     """(stage_order, stage, count, conv_from_prev).
 
-    Unit = (user, day). A unit reaches stage k when it has every stage 1..k;
-    with ``strict`` the first times must also be increasing (stage 1 before
-    stage 2 before ...). conv_from_prev = round(count / previous * 100, 1)."""
+    Unit = (user, day). With ``strict`` a unit reaches stage k when it has events of the
+    stages 1..k in this order, each later than the one before; other events may lie between
+    (click, view, click reaches ``click`` by the second click). Without, it needs every
+    stage 1..k at any time. conv_from_prev = round(count / previous * 100, 1).
+
+    Strict matching takes the earliest event that continues the match: the time of stage k
+    is the least one of its events after the time of stage k - 1. Each step is one join on
+    the unit, whose partitioning the next step keeps: every event is shuffled once."""
     ev = events.select("user_id", "ts", "event_type").withColumn("day", F.to_date("ts")) \
-        .filter(F.col("event_type").isin(*stages))
-    firsts = ev.groupBy(*unit).agg(*[F.min(F.when(F.col("event_type") == s, F.col("ts"))).alias(f"m{i}")
-                                     for i, s in enumerate(stages)])
+        .filter(F.col("event_type").isin(*stages)).select(*unit, "ts", "event_type")
+    known = None
+    for u in unit:   # an unknown unit is none
+        known = F.col(u).isNotNull() if known is None else known & F.col(u).isNotNull()
+    ev = ev.filter(known)
+    if strict:
+        first = ev.filter(F.col("event_type") == stages[0])
+        firsts = first.groupBy(*unit).agg(F.min("ts").alias("m0"))
+        for i, s in enumerate(stages[1:], 1):
+            times = [f"m{j}" for j in range(i)]
+            step = ev.filter(F.col("event_type") == s).withColumnsRenamed({u: f"_{u}" for u in unit})
+            later = (F.col("ts") > F.col(times[-1]))
+            for u in unit:
+                later = later & (F.col(u) == F.col(f"_{u}"))
+            firsts = firsts.join(step, later, "left").groupBy(*unit, *times).agg(F.min("ts").alias(f"m{i}"))
+    else:
+        firsts = ev.groupBy(*unit).agg(*[F.min(F.when(F.col("event_type") == s, F.col("ts"))).alias(f"m{i}")
+                                         for i, s in enumerate(stages)])
     reach = []
     cond = None
     for i in range(len(stages)):
         step = F.col(f"m{i}").isNotNull()
-        if i > 0 and strict:
-            step = step & (F.col(f"m{i - 1}") < F.col(f"m{i}"))
         cond = step if cond is None else cond & step
         reach.append(F.count(F.when(cond, 1)).alias(f"c{i}"))
     counts = firsts.agg(*reach)
     rows = counts.select(F.inline(F.array(*[
         F.struct(F.lit(i + 1).alias("stage_order"), F.lit(s).alias("stage"), F.col(f"c{i}").alias("count"))
         for i, s in enumerate(stages)])))
+    return _conversion(rows)
+
+
+def _conversion(rows: DataFrame) -> DataFrame:
     w = Window.orderBy("stage_order")   # one row per stage
     return rows.select("stage_order", "stage", "count",
                        F.round(safe_div(F.col("count") * 100.0, F.lag("count").over(w)), 1).alias("conv_from_prev"))

@@ -182,14 +182,13 @@ def q_top_products(spark, sf_dir):
 
 
 @register("funnel", """
-WITH u AS (SELECT user_id, CAST(ts AS DATE) AS day,
-             min(ts) FILTER (WHERE event_type = 'view') AS m0, min(ts) FILTER (WHERE event_type = 'click') AS m1,
-             min(ts) FILTER (WHERE event_type = 'signup') AS m2, min(ts) FILTER (WHERE event_type = 'purchase') AS m3
-           FROM events WHERE event_type IN ('view', 'click', 'signup', 'purchase') GROUP BY 1, 2),
-c AS (SELECT 1 AS stage_order, 'view' AS stage, count(m0) AS "count" FROM u
-      UNION ALL SELECT 2, 'click', count(*) FILTER (WHERE m0 IS NOT NULL AND m0 < m1) FROM u
-      UNION ALL SELECT 3, 'signup', count(*) FILTER (WHERE m0 < m1 AND m1 < m2) FROM u
-      UNION ALL SELECT 4, 'purchase', count(*) FILTER (WHERE m0 < m1 AND m1 < m2 AND m2 < m3) FROM u)
+WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, ts FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+u0 AS (SELECT user_id, day, min(ts) AS m0 FROM e WHERE event_type = 'view' GROUP BY 1, 2),
+u1 AS (SELECT user_id, day, min(ts) AS m1 FROM e JOIN u0 USING (user_id, day) WHERE event_type = 'click' AND ts > m0 GROUP BY 1, 2),
+u2 AS (SELECT user_id, day, min(ts) AS m2 FROM e JOIN u1 USING (user_id, day) WHERE event_type = 'signup' AND ts > m1 GROUP BY 1, 2),
+u3 AS (SELECT user_id, day, min(ts) AS m3 FROM e JOIN u2 USING (user_id, day) WHERE event_type = 'purchase' AND ts > m2 GROUP BY 1, 2),
+c AS (SELECT 1 AS stage_order, 'view' AS stage, count(*) AS "count" FROM u0 UNION ALL SELECT 2, 'click', count(*) FROM u1
+      UNION ALL SELECT 3, 'signup', count(*) FROM u2 UNION ALL SELECT 4, 'purchase', count(*) FROM u3)
 SELECT stage_order, stage, "count",
        round("count" * 100.0::DOUBLE / nullif(lag("count") OVER (ORDER BY stage_order), 0), 1) AS conv_from_prev FROM c""")
 def q_funnel(spark, sf_dir):

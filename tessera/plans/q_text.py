@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import passage_index as PI
 from tessera.operators import text as TX
 from tessera.operators import vector_index as VI
 from tessera.plans import fixtures as fx
 from tessera.plans.registry import register
+from tessera.session import scratch_dir
 from tessera.sources.files import table
 
 
@@ -56,17 +58,54 @@ def q_word_counts(spark, sf_dir):
     return TX.word_counts(table(spark, sf_dir, "conversations"))
 
 
-@register("index_documents", """
-WITH w AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '^[\\t\\n\\f\\r ]+|[\\t\\n\\f\\r ]+$', '', 'g'), '[\\t\\n\\f\\r ]+') AS w
-           FROM documents),
-c AS (SELECT doc_id, w, unnest(range(CASE WHEN len(w) <= 200 THEN 1 ELSE CAST(ceil((len(w) - 200) / 150) AS INTEGER) + 1 END)) AS chunk_id FROM w)
+PASSAGES_SQL = """
 SELECT doc_id, CAST(chunk_id AS INTEGER) AS chunk_id, CAST(chunk_id * 150 AS INTEGER) AS start_word,
        CAST(len(list_slice(w, chunk_id * 150 + 1, chunk_id * 150 + 200)) AS INTEGER) AS n_words,
-       array_to_string(list_slice(w, chunk_id * 150 + 1, chunk_id * 150 + 200), ' ') AS text FROM c""")
+       array_to_string(list_slice(w, chunk_id * 150 + 1, chunk_id * 150 + 200), ' ') AS text
+FROM (SELECT doc_id, w, unnest(range(CASE WHEN len(w) <= 200 THEN 1 ELSE CAST(ceil((len(w) - 200) / 150) AS INTEGER) + 1 END)) AS chunk_id
+      FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '^[\\t\\n\\f\\r ]+|[\\t\\n\\f\\r ]+$', '', 'g'), '[\\t\\n\\f\\r ]+') AS w
+            FROM documents))"""
+
+
+@register("index_documents", PASSAGES_SQL)
 def q_index_documents(spark, sf_dir):
     return TX.index_documents(table(spark, sf_dir, "documents"))
 
 
+POSTINGS_CTE = f"""
+w AS (SELECT doc_id, chunk_id, list_filter(string_split(lower(text), ' '), lambda x: x <> '') AS w FROM ({PASSAGES_SQL})),
+postings AS (SELECT term, doc_id, chunk_id, count(*) AS tf, n_words
+             FROM (SELECT doc_id, chunk_id, CAST(len(w) AS INTEGER) AS n_words, unnest(w) AS term FROM w) GROUP BY ALL)"""
+
+
+@register("index_postings", f"WITH {POSTINGS_CTE} SELECT * FROM postings")
+def q_index_postings(spark, sf_dir):
+    """The written postings of all passages."""
+    passages = TX.index_documents(table(spark, sf_dir, "documents"))
+    return PI.build(passages, scratch_dir(spark, "passages"), ["doc_id", "chunk_id"]).postings
+
+
+@register("passage_search", f"""
+WITH {POSTINGS_CTE},
+size AS (SELECT count(*) AS passages, sum(len(w)) AS words FROM w WHERE len(w) > 0),
+terms AS (SELECT term, count(*) AS df FROM postings GROUP BY 1),
+q AS (SELECT item_id, term, count(*) AS times FROM (
+        SELECT item_id, unnest(list_filter(string_split(lower(regexp_replace(text, '[\\t\\n\\f\\r ]+', ' ', 'g')), ' '), lambda x: x <> '')) AS term
+        FROM benchmark) GROUP BY ALL),
+i AS (SELECT q.*, ln(1.0 + (passages - df + 0.5) / (df + 0.5)) AS idf FROM q JOIN terms USING (term), size),
+s AS (SELECT item_id, doc_id, chunk_id, sum(CAST(round(idf * tf * {PI.K1 + 1.0}
+        / (tf + {PI.K1} * ({1.0 - PI.B} + {PI.B} * n_words / (words / passages))) * {PI.UNIT}) AS BIGINT) * times) AS s
+      FROM i JOIN postings USING (term), size GROUP BY ALL)
+SELECT item_id, doc_id, chunk_id, round(s / {PI.UNIT}, 4) AS score,
+       CAST(row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id, chunk_id) AS INTEGER) AS "rank"
+FROM s QUALIFY "rank" <= 10""")
+def q_passage_search(spark, sf_dir):
+    """The ten best passages for each benchmark text."""
+    passages = TX.index_documents(table(spark, sf_dir, "documents"))
+    index = PI.build(passages, scratch_dir(spark, "passages"), ["doc_id", "chunk_id"])
+    return PI.search(index, table(spark, sf_dir, "benchmark"), k=10, query_id="item_id")
+
+
 def _queries(emb):
     firsts = emb.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
     return emb.join(firsts, ["label", "vec_id"]).select(F.col("vec_id").alias("query_id"),
