@@ -12,6 +12,7 @@ import weakref
 
 from pyspark.sql import functions as F
 
+from tessera.operators import attribution as AT
 from tessera.operators import drift as D
 from tessera.operators import ml as ML
 from tessera.plans import fixtures as fx
@@ -196,6 +197,26 @@ def q_shap_like(spark, sf_dir):
     return ML.permutation_importance(spark, run["model"], test, run["features"], ["o_orderkey"])
 
 
+def _explained(spark, sf_dir):
+    run = _clf(spark, sf_dir)
+    od = fx.orders_dummies(spark, sf_dir).withColumn("key", F.col("o_orderkey"))
+    feats = [c for c in od.columns if c not in ("label", "key")]
+    enc, _ = ML.one_hot_encode(od, target="label", features=feats, keep=["key"])
+    _, test = ML.train_test_split(enc, "key", 0.2)
+    return AT.attributions(run["model"], ML.spread(test, ["key"]), run["features"], ["key"])
+
+
+@register("shap_values")
+def q_shap_values(spark, sf_dir):
+    """Attributions of every prediction for the test part: they add up to prediction - base."""
+    return _as_order_key(_explained(spark, sf_dir))
+
+
+@register("shap_summary")
+def q_shap_summary(spark, sf_dir):
+    return AT.attribution_summary(_explained(spark, sf_dir))
+
+
 @register("cross_validate")
 def q_cross_validate(spark, sf_dir):
     return ML.cross_validate(fx.orders_dummies(spark, sf_dir), "label", "o_orderkey", folds=5, max_depth=QUERY_DEPTH,
