@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans import fixtures as fx
 from tessera.plans.registry import register
+from tessera.streaming import adaptive as AD
 from tessera.streaming import streams as S
 
 # the delay of the events source: its files do not overlap in time
@@ -73,6 +74,24 @@ def q_stream_anomalies(spark, sf_dir):
     return S.stream_anomalies(spark, sf_dir, watermark=DELAY)
 
 
+@register("stream_anomalies_adaptive", f"""
+WITH h AS (SELECT event_type, date_trunc('hour', ts) AS window_start, count(*) AS events, {CLOSED} FROM events
+           WHERE event_type IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2),
+g AS (SELECT *, CAST(coalesce(window_start - lag(window_start) OVER o > INTERVAL {AD.IDLE_HOURS} HOUR, false) AS INTEGER) AS anew
+      FROM h WHERE closed WINDOW o AS (PARTITION BY event_type ORDER BY window_start)),
+k AS (SELECT *, sum(anew) OVER (PARTITION BY event_type ORDER BY window_start) AS run FROM g),
+s AS (SELECT event_type, window_start, events, count(*) OVER p AS hours, sum(events) OVER p AS s1, sum(events * events) OVER p AS s2
+      FROM k WINDOW p AS (PARTITION BY event_type, run ORDER BY window_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+z AS (SELECT *, s1 / nullif(hours, 0) AS m, CASE WHEN hours > 1 THEN sqrt((hours * s2 - s1 * s1) / (hours * (hours - 1))) END AS sd FROM s),
+r AS (SELECT *, CASE WHEN hours >= {AD.LEAST_HOURS} THEN round((events - m) / nullif(sd, 0), 4) END AS z_score FROM z)
+SELECT event_type, window_start, events, hours, round(m, 4) AS baseline_mean, round(sd, 4) AS baseline_std, z_score,
+       CASE WHEN abs(z_score) >= 6 THEN 'CRITICAL' WHEN abs(z_score) >= 3.8 THEN 'HIGH'
+            WHEN abs(z_score) >= 3 THEN 'MEDIUM' WHEN abs(z_score) >= 2 THEN 'LOW' END AS severity FROM r""")
+def q_stream_anomalies_adaptive(spark, sf_dir):
+    """Every closed hour against the hours of its type before it, learnt in the stream's own state."""
+    return AD.adaptive_anomalies(spark, sf_dir, watermark=DELAY)
+
+
 @register("stream_score")
 def q_stream_score(spark, sf_dir):
     from tessera.operators import ml as ML

@@ -25,6 +25,10 @@ from tessera.session import scratch_dir
 
 # Source types a stream may be registered with.
 STREAM_SOURCE_TYPES = ("kafka", "iot", "web_logs")
+# Seconds between looks at a running query's progress.
+PROGRESS_SECONDS = 2
+# Micro-batches of an upsert sink after which its latest rows are written as a snapshot.
+COMPACT_EVERY = 50
 
 
 def register_stream_source(name: str, source_type: str, configuration: dict | None = None) -> dict:
@@ -88,15 +92,24 @@ def run_foreach_batch(query_df: DataFrame, fn, checkpoint: str, mode: str = "app
     """Run over everything available; returns the rows that state operators dropped as late."""
     q = (query_df.writeStream.foreachBatch(fn).outputMode(mode).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in q.recentProgress for op in _field(p, "stateOperators"))
+    late: dict = {}
+
+    def note():   # recentProgress keeps the last 100 batches only
+        for p in q.recentProgress:
+            late[_field(p, "batchId", 0), _field(p, "timestamp", "")] = sum(
+                int(op.get("numRowsDroppedByWatermark", 0)) for op in _field(p, "stateOperators", []))
+
+    while not q.awaitTermination(PROGRESS_SECONDS):
+        note()
+    note()
+    return sum(late.values())
 
 
-def _field(progress, name: str) -> list[dict]:
+def _field(progress, name: str, default):
     if isinstance(progress, dict):
-        return progress.get(name, [])
+        return progress.get(name, default)
     import json
-    return json.loads(progress.json).get(name, [])
+    return json.loads(progress.json).get(name, default)
 
 
 def run_updates(query_df: DataFrame, out: str, keys: list[str]) -> DataFrame:
@@ -105,21 +118,44 @@ def run_updates(query_df: DataFrame, out: str, keys: list[str]) -> DataFrame:
     Each micro-batch writes the rows that changed, to a folder of its own
     (overwritten when the batch is replayed); reading takes the newest batch's
     row of a key. So windows that are still open are there as well, and a batch
-    costs what it changes. Late rows are reported as a warning."""
+    costs what it changes. Every ``COMPACT_EVERY`` batches the latest rows are written
+    as a snapshot; reading starts from the newest one. Late rows are reported as a warning."""
     spark = query_df.sparkSession
-    late = run_foreach_batch(query_df, lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}"),
-                             out + "-checkpoint", mode="update")
+
+    def keep(batch: DataFrame, epoch: int):
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        if (epoch + 1) % COMPACT_EVERY == 0:
+            latest_updates(batch.sparkSession, out, query_df.schema, keys, before=epoch) \
+                .write.mode("overwrite").parquet(f"{out}-snapshots/upto={epoch}")
+
+    late = run_foreach_batch(query_df, keep, out + "-checkpoint", mode="update")
     if late:
         warnings.warn(f"{late} rows came after their watermark and were dropped: choose a longer delay", stacklevel=2)
     return latest_updates(spark, out, query_df.schema, keys)
 
 
-def latest_updates(spark: SparkSession, out: str, schema: T.StructType, keys: list[str]) -> DataFrame:
-    """The newest row of each key of an upsert sink (null keys are keys)."""
+def newest_snapshot(spark: SparkSession, out: str, before: int | None) -> int | None:
+    """The last micro-batch that a complete snapshot (older than ``before``) covers."""
+    if not _exists(spark, f"{out}-snapshots"):
+        return None
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}-snapshots")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    upto = [int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(path) if _exists(spark, f"{f.getPath()}/_SUCCESS")]
+    return max((u for u in upto if before is None or u < before), default=None)
+
+
+def latest_updates(spark: SparkSession, out: str, schema: T.StructType, keys: list[str], before: int | None = None) -> DataFrame:
+    """The newest row of each key of an upsert sink (null keys are keys): the newest snapshot and the batches after it
+    (snapshots from ``before`` on are left out: a batch that is replayed writes its own anew)."""
     if not _exists(spark, out):
         return spark.createDataFrame([], schema)
     values = [f.name for f in schema.fields if f.name not in keys]
-    r = spark.read.schema(T.StructType(schema.fields + [T.StructField("epoch", T.LongType())])).parquet(out)
+    full = T.StructType(schema.fields + [T.StructField("epoch", T.LongType())])
+    r = spark.read.schema(full).parquet(out)
+    upto = newest_snapshot(spark, out, before)
+    if upto is not None:   # older folders are not read (the filter prunes them)
+        r = r.filter(F.col("epoch") > upto).unionByName(
+            spark.read.schema(schema).parquet(f"{out}-snapshots/upto={upto}").withColumn("epoch", F.lit(upto).cast("long")))
     newest = r.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("_v"))
     return newest.select(*[F.col(f"_v.{f.name}").alias(f.name) if f.name in values else F.col(f.name) for f in schema.fields])
 
@@ -309,20 +345,22 @@ def hourly_baseline(events: DataFrame, days: int = 15) -> DataFrame:
 
 
 def stream_anomalies(spark: SparkSession, sf_dir: str, *, watermark: str, source: DataFrame | None = None) -> DataFrame:
-    """Hourly counts per event type from the stream, scored against the static
-    baseline; the windows with |z| >= 2, open ones with ``closed`` false."""
+    """Hourly counts per event type, scored in the stream against a static baseline (a stream-static join
+    in the streaming plan); the windows with |z| >= 2, open ones with ``closed`` false.
+
+    Rows below the threshold are kept in the sink: a later update may take a window back below it."""
     static = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
     ev, w = event_window(source if source is not None else event_stream(spark, sf_dir), 3600, watermark)
     agg = ev.groupBy(w, "event_type").agg(F.count(F.lit(1)).alias("events"), F.max("ts").alias("newest"))
-    counts = run_updates(agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "event_type", "events",
-                                    "newest"), scratch_dir(spark, "alerts"), ["window_start", "window_end", "event_type"])
-    newest = F.max("newest").over(Window.partitionBy())      # one row per hour and event type: a small table
-    counts = counts.withColumn("closed", closed(F.col("window_end"), newest, watermark))
-    scored = counts.join(hourly_baseline(static), "event_type").select(
-        "event_type", _ntz("window_start").alias("window_start"), "events",
+    scored = agg.join(hourly_baseline(static), "event_type").select(
+        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "event_type", "events",
         F.round("baseline_mean", 4).alias("baseline_mean"), F.round("baseline_std", 4).alias("baseline_std"),
-        F.round(F.try_divide(F.col("events") - F.col("baseline_mean"), F.col("baseline_std")), 4).alias("z_score"), "closed")
-    return scored.withColumn("severity", severity_from_z("z_score")).filter(F.col("severity").isNotNull())
+        F.round(F.try_divide(F.col("events") - F.col("baseline_mean"), F.col("baseline_std")), 4).alias("z_score"), "newest")
+    r = run_updates(scored, scratch_dir(spark, "alerts"), ["window_start", "window_end", "event_type"])
+    newest = F.max("newest").over(Window.partitionBy())      # one row per hour and event type: a small table
+    return r.select("event_type", _ntz("window_start").alias("window_start"), "events", "baseline_mean", "baseline_std", "z_score",
+                    closed(F.col("window_end"), newest, watermark).alias("closed")) \
+        .withColumn("severity", severity_from_z("z_score")).filter(F.col("severity").isNotNull())
 
 
 def stream_score(spark: SparkSession, stream: DataFrame, transform, out: str | None = None) -> DataFrame:
