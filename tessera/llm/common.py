@@ -60,6 +60,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_row(df: DataFrame) -> F.Column:
+    """All columns of ``df`` as one struct ``_doc``: names of the caller and of an operator then cannot clash."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc")
+
+
 def word_count(col) -> F.Column:
     """Number of words of a text column, null counting as 0 (built-in expressions only)."""
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")

@@ -24,7 +24,7 @@ most ``FREQUENT`` lines.
 Defined results: null and empty texts have no lines; lines without words are kept
 and not counted; rows with equal id and text are one document (each row returned
 with the same figures); a null id is ordered last; an empty table gives no rows;
-``dedup_lines`` keeps all columns.
+``dedup_lines`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, small_batches, split_words, table
+from tessera.llm.common import cut, small_batches, split_words, table, whole_row
 
 SIMILARITY = 0.8
 BUCKETS = 1 << 21
@@ -394,12 +394,12 @@ def line_figures(docs: DataFrame, key: str = "doc_id", text: str = "text", t: fl
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", t: float = SIMILARITY) -> DataFrame:
     """``docs`` without the removed lines (lines without words stay)."""
     f = line_figures(docs, key, text, t).select(F.col("row").alias("_row"), "kept_numbers").distinct()
-    out = docs.withColumn("_key", row_key(key, text)).join(f, F.col("_key") == F.col("_row"))
-    parts = F.split(F.col(text), "\n")
+    out = docs.select(whole_row(docs), F.col(text).alias("_text"), row_key(key, text).alias("_key")).join(f, F.col("_key") == F.col("_row"))
+    parts = F.split(F.col("_text"), "\n")
     stays = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
                      lambda p: F.array_contains("kept_numbers", p["i"]) | ~p["x"].rlike("[^\\x20\\x09-\\x0D]"))
-    new = F.when(F.col(text).isNotNull(), F.array_join(F.transform(stays, lambda p: p["x"]), "\n"))
-    return out.withColumn(text, new).select(*docs.columns)
+    new = F.when(F.col("_text").isNotNull(), F.array_join(F.transform(stays, lambda p: p["x"]), "\n"))
+    return out.select(*[new.alias(c) if c == text else F.col(f"_doc.`{c}`") for c in docs.columns])
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,9 @@ more than ``max_lost`` of its words that way is rejected.
 Rows are independent: one pass, no shuffle; a text is held in memory one batch
 at a time. Defined results: null text counts as no text (0 words, base_failed);
 texts without words fail the base rule; repeated rows and tied ids are judged row
-by row; an empty table gives an empty result; ``clean`` keeps every other column
-and raises if a result name clashes.
+by row; an empty table gives an empty result; ``clean`` keeps every other column, or,
+where a result name clashes with one, all of them in a struct ``_doc``; ``keep_clean``
+keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import SPACE, split_words, table
+from tessera.llm.common import SPACE, split_words, table, whole_row
 
 NOISY = re.compile(r"[#*$%&<>]|[!?]{2,}$")
 MARK = re.compile(r"[#*$%&<>]|[!?]{2}")
@@ -150,11 +151,13 @@ RESULT = T.StructType(
 
 
 def clean(df: DataFrame, text: str = "text", rules: LineRules = LineRules(), with_text: bool = True) -> DataFrame:
-    """``df`` and the result columns of ``judge`` (``with_text=False``: without clean_text and the text column)."""
+    """``df`` and the result columns of ``judge`` (``with_text=False``: without clean_text and the text column;
+    where names clash: ``_doc``, the row of ``df``, and the result columns)."""
     fields = [f for f in RESULT.fields if with_text or f.name != "clean_text"]
-    clash = {f.name for f in fields} & set(df.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    if {f.name.lower() for f in fields} & {c.lower() for c in df.columns}:
+        rest = df if with_text else df.drop(text)
+        packed = df.select(whole_row(rest), F.col(text).alias("_text"))
+        return clean(packed, "_text", rules, with_text).drop("_text")
     kept = [f for f in df.schema.fields if with_text or f.name != text]
     names, at = [f.name for f in kept], df.columns.index(text)
     out = pa.schema([(f.name, {"long": pa.int64(), "bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
@@ -172,9 +175,10 @@ def clean(df: DataFrame, text: str = "text", rules: LineRules = LineRules(), wit
 
 def keep_clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """The documents that pass, with the failing lines removed (same columns)."""
-    got = clean(docs, rules=rules).filter("kept")
+    packed = docs.select(whole_row(docs.drop("text")), "text")
+    got = clean(packed, rules=rules).filter("kept")
     return got.select(*[F.col("clean_text").alias("text") if c == "text" else
-                        F.length("clean_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c)
+                        F.length("clean_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"_doc.`{c}`")
                         for c in docs.columns])
 
 

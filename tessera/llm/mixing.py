@@ -18,7 +18,7 @@ many blocks as its hashes.
 Defined results: null or empty text has size 0; a null source is a source of its
 own, ordered last; repeated rows (also repeated ids) are rows of their own; a
 source of size 0 has target 0 and takes nothing; an empty table gives no rows;
-``mix`` keeps all columns (its own begin with an underscore). Ids should tell rows
+``mix`` keeps all columns, whatever their names (a row travels as one struct). Ids should tell rows
 apart: a row without id is placed by the hash of its text, equal rows side by side.
 """
 
@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table, word_count
+from tessera.llm.common import cut, table, whole_row, word_count
 
 #: Units of one expected copy.
 UNIT = 1 << 24
@@ -131,9 +131,11 @@ def plan_mix(marked: DataFrame, key: str = "doc_id", weights=WEIGHTS, share: flo
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **params) -> DataFrame:
     """The mixed documents: each row of ``docs`` once per integer crossed, all columns kept."""
-    planned = plan_mix(_marks(docs, key, source, word_count(F.col(text)), text), key, **params)
+    packed = docs.select(whole_row(docs), F.col(key).alias("_id"), F.col(source).alias("_from"), F.col(text).alias("_text"))
+    marked = _marks(packed, "_id", "_from", word_count(F.col("_text")), "_text").drop("_from", "_text")
+    planned = plan_mix(marked, "_id", **params)
     return (planned.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-                   .select(*docs.columns))
+                   .select("_doc.*"))
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bitvector import banded_distance
-from tessera.llm.common import cut, split_words, table
+from tessera.llm.common import cut, split_words, table, whole_row
 
 K = 5
 ENTRIES = 32
@@ -337,9 +337,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **params)
     found = classes(docs, key, text, **params).withColumn("class", F.coalesce(F.col("class_id").cast("string"), F.hex("node")))
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     kept = found.groupBy("class").agg(best.alias("b"), F.count("*").alias("n")).select(F.col("b.row").alias("_row"))
-    out = docs.withColumn("_key", row_key(key, text)).join(kept, F.col("_key") == F.col("_row"))
+    out = docs.select(whole_row(docs), row_key(key, text).alias("_key")).join(kept, F.col("_key") == F.col("_row"))
     # equal rows (same id and text) share a key: one of them stays
-    return out.dropDuplicates(["_key"]).select(*docs.columns)
+    return out.dropDuplicates(["_key"]).select("_doc.*")
 
 
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

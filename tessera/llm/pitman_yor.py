@@ -8,12 +8,12 @@ C and T of the restaurant, discount d and strength s:
 
     P(w | u) = (c - d t) / (s + C) + (s + d T) / (s + C) * P(w),    P(w) alike over 1 / (V + 1)
 
-Seating: a customer leaves its table and sits down again, at a table of its dish with
-weight (customers - d) or at a new one with weight (s + d T) P(w). Dishes of one
-customer have one table. ``BURN`` sweeps precede ``SAMPLES`` samples (one sweep
-apart), and the predictive probability is the mean over the samples. A sweep visits every
-customer of a dish, in dishes above ``VISITS`` customers that many drawn at random
-(a random scan leaves the same distribution). All dishes of a task move side by
+Seating: what matters of a dish's seating is its number of tables, and a Gibbs step draws
+that number anew from its exact conditional distribution given the other dishes' tables
+(``table_counts``): the same as moving its customers one by one until they have forgotten
+their seats, for dishes of any size. ``BURN`` sweeps precede ``SAMPLES`` samples (one sweep
+apart), and the predictive probability is the mean over the samples. A sweep draws the dishes
+of a restaurant in ``GROUPS`` groups, one after the other; those of a group are drawn side by
 side, against the table numbers left by the step before. Discounts come from the
 counts of counts, n1 / (n1 + 2 n2). Contexts are seated twice: first with the word
 shares of their bucket as parent, then with the parent seated on the first result.
@@ -49,9 +49,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import shared_dir, table
+from tessera.llm.table_counts import Stirling, draw
 
 STRENGTH = 1.0
-BURN, SAMPLES, VISITS = 2, 2, 32
+BURN, SAMPLES, GROUPS = 2, 2, 4
 SEED = 7
 CHUNK_CHARS = 10_000_000
 HELD_OUT_OF = 10
@@ -240,75 +241,29 @@ class Restaurants:
 
 
 def seat(rng, room, c, base, tables, scale, d, s, sweeps, samples) -> list[np.ndarray]:
-    """Tables per dish after ``sweeps`` sweeps and one more for each further sample.
+    """Tables per dish after ``sweeps`` sweeps and a first one, and one more for each further sample.
 
     Dish i has c[i] >= 2 customers in restaurant room[i] and base probability base[i];
     ``tables``: tables of the restaurants' other dishes; ``scale``: by how much the
-    tables seen here are to be multiplied. Every customer has a seat: the number of its table.
+    tables seen here are to be multiplied.
     """
     n = len(c)
     if not n:
         return [np.empty(0, np.int64)] * samples
-    off = np.concatenate([[0], np.cumsum(c)])[:-1]
+    numbers, t = Stirling(d, int(c.max())), np.ones(n, np.int64)
     total = tables + np.bincount(room, minlength=len(tables))
-    at, size, t = np.zeros(int(c.sum()), np.int32), np.zeros(int(c.sum()), np.int32), np.ones(n, np.int64)
-    size[off] = 1
-    # first seating: one after the other; from nine customers on an eighth of those seated at once
-    k = 1
-    while True:
-        live = np.flatnonzero(c > k)
-        if not len(live):
-            break
-        step = max(1, k // 8)
-        m = np.minimum(c[live] - k, step)
-        dish = np.repeat(live, m)
-        pos = k + np.arange(len(dish)) - np.repeat(np.cumsum(m) - m, m)
-        new_weight = (s + d * total[room[dish]] * scale[room[dish]]) * base[dish]
-        fresh = rng.random(len(dish)) * (new_weight + k - d * t[dish]) < new_weight
-        like = at[off[dish] + (rng.random(len(dish)) * k).astype(np.int64)]
-        sits = np.where(fresh, pos, like).astype(np.int32)
-        at[off[dish] + pos] = sits
-        np.add.at(size, off[dish] + sits, 1)
-        t += np.bincount(dish[fresh], minlength=n)
-        total += np.bincount(room[dish[fresh]], minlength=len(total))
-        k += step
+    order = np.argsort(room, kind="stable")
+    place = np.empty(n, np.int64)      # of a dish in its restaurant
+    place[order] = np.arange(n) - np.searchsorted(room[order], room[order])
+    groups = [g for g in (np.flatnonzero(place % GROUPS == i) for i in range(GROUPS)) if len(g)]
     out = []
-    by_size = np.argsort(-c, kind="stable")
-    live_at = np.searchsorted(-c[by_size], -np.arange(1, VISITS + 1), side="right")
-    for sweep in range(sweeps + samples - 1):
-        for v in range(VISITS):
-            dish = by_size[:live_at[v]]                # the dishes with more than v customers
-            if not len(dish):
-                break
-            o, cd, r = off[dish], c[dish], room[dish]
-            i = np.where(cd <= VISITS, v, (rng.random(len(dish)) * cd).astype(np.int64))
-            old = o + at[o + i]
-            size[old] -= 1
-            gone = size[old] == 0
-            t[dish] -= gone
-            new_weight = (s + d * (total[r] - gone) * scale[r]) * base[dish]
-            fresh = rng.random(len(dish)) * (new_weight + (cd - 1) - d * t[dish]) < new_weight
-            sits = np.zeros(len(dish), np.int32)
-            todo = np.flatnonzero(~fresh)              # a customer's table, kept with probability (size - d) / size
-            while len(todo):
-                j = (rng.random(len(todo)) * (cd[todo] - 1)).astype(np.int64)
-                j += j >= i[todo]
-                x = at[o[todo] + j]
-                z = size[o[todo] + x]
-                ok = rng.random(len(todo)) * z < z - d
-                sits[todo[ok]] = x[ok]
-                todo = todo[~ok]
-            todo = np.flatnonzero(fresh)               # any number that no table has
-            while len(todo):
-                x = (rng.random(len(todo)) * cd[todo]).astype(np.int32)
-                ok = size[o[todo] + x] == 0
-                sits[todo[ok]] = x[ok]
-                todo = todo[~ok]
-            at[o + i] = sits
-            size[o + sits] += 1
-            t[dish] += fresh
-            total += np.bincount(r, weights=fresh.astype(float) - gone, minlength=len(total))
-        if sweep >= sweeps - 1:
+    for sweep in range(sweeps + samples):
+        for g in groups:
+            r = room[g]
+            new = draw(rng, numbers, c[g], base[g], s + d * np.maximum(total[r] * scale[r] - t[g], 0))
+            total += np.bincount(r, weights=new - t[g], minlength=len(total))
+            t[g] = new
+        if sweep >= sweeps:
             out.append(t.copy())
     return out
 

@@ -65,7 +65,7 @@ def test_near_lines_and_frequent_words(spark):
 
 
 def test_awkward_rows(spark):
-    docs = with_clashes(documents(spark), "node", "row", "key", "links")
+    docs = with_clashes(documents(spark), "node", "row", "key", "links", "_size", "_key", "_row", "_source", "_doc", "_copies")
     out = op.dedup_lines(docs)
     assert out.columns == docs.columns
     rows = out.collect()

@@ -3,7 +3,6 @@
 import re
 from collections import Counter
 
-import pytest
 
 from tessera.llm import line_quality as op
 from tessera.llm.common import split_words
@@ -61,5 +60,8 @@ def test_awkward_rows(spark):
     assert "home" not in kept.get(9, "")
     assert op.clean(docs, with_text=False).count() == len(DOCS)
     assert op.clean(documents(spark, [])).count() == 0
-    with pytest.raises(ValueError, match="kept"):
-        op.clean(with_clashes(docs, "kept"))
+    clash = op.clean(with_clashes(docs, "kept", "_doc"))
+    assert {r["_doc"]["kept"] for r in clash.collect()} == {"kept"} and clash.filter("kept").count() == out.count()
+    assert op.clean(with_clashes(docs, "kept"), with_text=False).columns[0] == "_doc"
+    odd = op.keep_clean(with_clashes(docs, "kept", "clean_text", "_doc", "n_words"))
+    assert odd.columns[-4:] == ["kept", "clean_text", "_doc", "n_words"] and odd.filter("kept = 'kept' AND _doc = '_doc'").count() == out.count()

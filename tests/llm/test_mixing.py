@@ -56,7 +56,7 @@ def test_systematic_sampling(spark):
 
 
 def test_awkward_rows(spark):
-    docs = with_clashes(documents(spark), "size", "target", "copies")
+    docs = with_clashes(documents(spark), "size", "target", "copies", "_size", "_key", "_row", "_source", "_doc", "_copies")
     out = op.mix(docs)
     assert out.columns == docs.columns
     assert {r.doc_id for r in out.collect()} <= {r[0] for r in DOCS}

@@ -93,7 +93,7 @@ def test_large_groups_of_near_copies(spark):
 
 
 def test_awkward_rows(spark):
-    docs = with_clashes(documents(spark), "node", "label", "class")
+    docs = with_clashes(documents(spark), "node", "label", "class", "_size", "_key", "_row", "_source", "_doc", "_copies")
     got = op.classes(docs).collect()
     assert len(got) == len(DOCS)
     by = {r.doc_id: r for r in got}

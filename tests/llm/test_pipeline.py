@@ -4,6 +4,7 @@ import __spark_entry__ as entry
 import corpus_pipeline as pipeline
 from tessera.llm import decontamination, line_quality
 from tessera.llm.common import cut, table
+from tests.llm.util import DOCS, documents, with_clashes
 from tools.oracle_check import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -31,9 +32,31 @@ def test_stages(spark):
     assert sorted(r.doc_id for r in out.collect()) == sorted(d for d, _ in kept["mix"])
 
 
+def test_awkward_rows(spark):
+    """Nulls, empty and long texts, repeated rows, clashing columns; an empty table."""
+    odd = ("_size", "_key", "_row", "_source", "kept", "clean_text", "_doc", "copies", "row")
+    docs = with_clashes(documents(spark, DOCS + [(20, DOCS[0][1], None, "a", 1), (21, DOCS[0][1] + " And one more.", "en", None, 1)]), *odd)
+    columns = docs.columns
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = cut(stage(spark, docs, SF), "t")
+        assert docs.columns == columns, name
+        rows = docs.collect()
+        assert all(r[c] == c for r in rows for c in odd), name
+        if name == "quality":
+            assert all(line_quality.judge(t)["kept"] == any(r.doc_id == d for r in rows) for d, t, *_ in DOCS if d is not None)
+        if name == "near_duplicates":
+            assert len({r.text for r in rows}) == len(rows) and rows
+    assert pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+    none = documents(spark, [])
+    for _, stage in pipeline.STAGES:
+        none_next = stage(spark, none, SF)
+        assert none_next.count() == 0
+
+
 def test_registered(spark):
     names = [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14)) and "pipeline" in names
     con = connect(SF)
-    for name in ("op1_line_quality", "op2_chat_windows", "op5_warc_revisits", "op8_mix_sources"):
+    for name in ("op1_line_quality", "op2_chat_windows", "op5_warc_revisits", "op8_mix_sources", "op11_main_text",
+                 "op12_stratified_search", "op13_hard_negatives"):
         assert compare(entry.queries()[name](spark, SF).toPandas(), con.sql(entry.oracle_sql()[name]).df()) is None, name

@@ -24,6 +24,35 @@ def test_tables_of_one_dish(c, d, s):
     assert abs(t.mean() - want) < 5 * t.std() / math.sqrt(n) + 0.01 * want
 
 
+def exact_tables(c, d, base, theta):
+    """E[t] and its deviation under S(c, t) base^t prod (theta + d k), S by the recursion."""
+    row = np.zeros(1)
+    for n in range(1, c):
+        t = np.arange(1, n + 1)
+        new = np.full(n + 1, -np.inf)
+        new[:-1] = row + np.log(n - d * t)
+        new[1:] = np.logaddexp(new[1:], row)
+        row = new
+    k = np.arange(c)
+    w = row + np.cumsum(np.log(base * (theta + d * k)))
+    p = np.exp(w - w.max())
+    p /= p.sum()
+    mean = (p * (k + 1)).sum()
+    return mean, math.sqrt((p * (k + 1) ** 2).sum() - mean ** 2)
+
+
+@pytest.mark.parametrize("c,d,base,others", [(30, 0.7, 0.3, 0), (300, 0.7, 0.3, 0), (511, 0.5, 0.1, 40), (513, 0.5, 0.1, 40), (1000, 0.6, 0.5, 500),
+                                             (2000, 0.7, 0.3, 0), (3000, 0.6, 0.5, 500), (3000, 0.9, 0.6, 5), (3000, 0.2, 0.9, 30)])
+def test_tables_of_dishes_of_any_size(c, d, base, others):
+    """Production sweeps, base probability below 1: the mean over restaurants of one dish is the exact one."""
+    n, s = 3000, op.STRENGTH
+    t = op.seat(np.random.default_rng(c), np.arange(n), np.full(n, c), np.full(n, base), np.full(n, float(others)), np.ones(n), d, s,
+                op.BURN, 1)[0]
+    mean, deviation = exact_tables(c, d, base, s + d * others)
+    assert abs(t.mean() - mean) < 4.5 * deviation / math.sqrt(n) + 0.005 * mean
+    assert abs(t.std() / deviation - 1) < 0.08
+
+
 def test_two_dishes_equal_enumeration():
     """Two dishes in one restaurant: the joint distribution of their table numbers, summed over all seatings."""
     d, s, p = 0.6, 1.0, (0.3, 0.05)
