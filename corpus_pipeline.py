@@ -1,5 +1,12 @@
 """The training-data pipeline: five stages over ``documents``, each written as Parquet
-and read again as the next one's input."""
+and read again as the next one's input.
+
+Defined results: null, empty and wordless texts fail the quality stage; a null id or source is
+a value of its own (ordered last) in every stage; of equal rows (same id and text) one passes
+the near-duplicate stage; the mix may repeat any row, each repeat is packed; every stage but
+the last keeps extra columns, whatever their names; an empty table, or one of which nothing
+is left, gives an empty result.
+"""
 
 from __future__ import annotations
 
