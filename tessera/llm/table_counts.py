@@ -22,8 +22,9 @@ import numpy as np
 EXACT = 512
 #: Terms of the alternating sum; log weight below the largest at which a count is left out.
 TERMS, NEGLIGIBLE = 40, 20.0
-#: Cells of one matrix of weights; counts of a large dish at which its weight is computed (linear between them).
-CELLS, POINTS = 2_000_000, 48
+#: Cells of one matrix of weights; counts of a large dish at which its weight is computed, in each of
+#: three looks for the range that holds it and in that range (linear between them).
+CELLS, LOOK, POINTS = 2_000_000, 16, 32
 
 
 def lgamma(x) -> np.ndarray:
@@ -124,17 +125,18 @@ def _draw_large(rng, numbers: Stirling, c: np.ndarray, base: np.ndarray, theta:
         return numbers.log(np.broadcast_to(c_, t.shape), t) + t * slope + lgamma(start + t) - lgamma(start)
 
     # the range that holds the weight, looked for on finer and finer points
-    low, high, share = np.ones(n), c.astype(float), np.linspace(0, 1, POINTS)
+    low, high = np.ones(n), c.astype(float)
     for look in range(4):
+        share = np.linspace(0, 1, POINTS if look == 3 else LOOK)
         t = np.exp(np.log(low)[:, None] + share * np.log(high / low)[:, None]) if look == 0 else low[:, None] + share * (high - low)[:, None]
         t = np.clip(np.round(t), 1, c_)
         w = weight(t)
         if look == 3:
             break
         near = w > w.max(axis=1, keepdims=True) - NEGLIGIBLE
-        first, last = near.argmax(axis=1), POINTS - 1 - near[:, ::-1].argmax(axis=1)
+        first, last = near.argmax(axis=1), LOOK - 1 - near[:, ::-1].argmax(axis=1)
         low = t[np.arange(n), np.maximum(first - 1, 0)]
-        high = t[np.arange(n), np.minimum(last + 1, POINTS - 1)]
+        high = t[np.arange(n), np.minimum(last + 1, LOOK - 1)]
     out = np.empty(n, np.int64)
     for i in range(n):
         every = np.arange(t[i, 0], t[i, -1] + 1, max(1, (t[i, -1] - t[i, 0]) // 50_000))
