@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from tessera.plans import fixtures as fx
 from tessera.plans.registry import register
+from tessera.session import scratch_dir
+from tessera.sources.files import table
 from tessera.streaming import adaptive as AD
 from tessera.streaming import streams as S
+from tessera.streaming import topic_log as TL
 
 # the delay of the events source: its files do not overlap in time
 DELAY = "1 hour"
@@ -60,6 +63,41 @@ def q_stream_lag(spark, sf_dir):
     return S.stream_lag(spark, sf_dir)
 
 
+def _two_segments(spark, sf_dir):
+    """A registered source over a topic log, its events in two parts (15 days and the rest), and a sink."""
+    ev = table(spark, sf_dir, "events")
+    cut = F.lit(ev.agg(F.date_add(F.to_date(F.min("ts")), 15).cast("timestamp_ntz")).first()[0])     # one scalar
+    log = scratch_dir(spark, "log")
+    source = S.register_stream_source("events", "web_logs", {"path": log, "format": "topic_log"})
+    # events without time come with the second part
+    first = F.coalesce(F.col("ts") < cut, F.lit(False))
+    return source, log, scratch_dir(spark, "consumed"), ev.schema, ev.filter(first), ev.filter(~first)
+
+
+@register("stream_source", "SELECT * FROM events")
+def q_stream_source(spark, sf_dir):
+    """Two runs over one checkpoint, the second part appended between: every row once."""
+    source, log, out, schema, *parts = _two_segments(spark, sf_dir)
+    for part in parts:
+        TL.append(part, log, "event_type")
+        TL.consume(S.open_stream(spark, source, schema), out, "event_type")
+    return TL.consumed(spark, out, schema)
+
+
+@register("stream_lag_offsets", """
+WITH d0 AS (SELECT CAST(CAST(min(ts) AS DATE) + INTERVAL 15 DAY AS TIMESTAMP) AS cut FROM events)
+SELECT event_type AS topic, count(*) AS latest_offset, count(*) FILTER (WHERE ts < cut) AS committed_offset,
+       count(*) - count(*) FILTER (WHERE ts < cut) AS lag, count(*) - count(*) FILTER (WHERE ts < cut) > 0 AS alert
+FROM events, d0 GROUP BY 1""")
+def q_stream_lag_offsets(spark, sf_dir):
+    """The second part has arrived, the consumer has stopped after the first."""
+    source, log, out, schema, first, second = _two_segments(spark, sf_dir)
+    TL.append(first, log, "event_type")
+    TL.consume(S.open_stream(spark, source, schema), out, "event_type")
+    TL.append(second, log, "event_type")
+    return TL.consumer_lag(spark, log, out)
+
+
 @register("stream_anomalies", f"""
 WITH d0 AS (SELECT CAST(CAST(min(ts) AS DATE) + INTERVAL 15 DAY AS TIMESTAMP) AS cut FROM events),
 bh AS (SELECT event_type, date_trunc('hour', ts) AS h, count(*) AS n FROM events, d0 WHERE ts < cut GROUP BY 1, 2),

@@ -8,6 +8,7 @@ are unset, never overriding what a cluster already configured.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -81,6 +82,34 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with scheme and authority, a plain one on the cluster's default file system as Spark resolves it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+def complete_folders(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers of the folders ``{name}=number`` below ``path`` whose writing has finished."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p(path)):
+        return []
+    found = [f.getPath() for f in fs.listStatus(p(path)) if f.getPath().getName().startswith(f"{name}=")]
+    return sorted(int(f.getName().split("=")[1]) for f in found if fs.exists(p(f, "_SUCCESS")))
+
+
+def shared_fs(uri: str):
+    """(pyarrow file system, path) of a qualified path that driver and executors share."""
+    from urllib.parse import unquote
+
+    from pyarrow import fs
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), unquote(re.sub("^file:/*", "/", uri))
+    if "://" in uri:
+        return fs.FileSystem.from_uri(uri)
+    raise ValueError(f"{uri} names no file system: qualify it on the driver")
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for one run."""
     return f"{checkpoint_root(spark)}/tessera-{name}-{uuid.uuid4().hex[:12]}"

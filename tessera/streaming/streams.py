@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.exprs import hour_start, instant_to_ntz, ntz_lit, ntz_to_instant, safe_div, severity_from_z
-from tessera.session import scratch_dir
+from tessera.session import complete_folders, scratch_dir
 
 # Source types a stream may be registered with.
 STREAM_SOURCE_TYPES = ("kafka", "iot", "web_logs")
@@ -41,8 +41,8 @@ def register_stream_source(name: str, source_type: str, configuration: dict | No
 
 def open_stream(spark: SparkSession, source: dict, schema: T.StructType) -> DataFrame:
     """Open a registered source: kafka through the Kafka connector (needs its
-    jar on the classpath); iot / web_logs as a directory of JSON or Parquet
-    files with a pinned schema."""
+    jar on the classpath); iot / web_logs as a topic log (format "topic_log",
+    read by offsets) or a directory of JSON or Parquet files with a pinned schema."""
     if source.get("status") != "registered":
         raise ValueError(f"source {source.get('name')} was rejected")
     conf = source["configuration"]
@@ -52,6 +52,9 @@ def open_stream(spark: SparkSession, source: dict, schema: T.StructType) -> Data
             reader = reader.option(k, v)
         return reader.load()
     fmt = conf.get("format", "json")
+    if fmt == "topic_log":
+        from tessera.streaming.topic_log import read_log
+        return read_log(spark, conf["path"], schema)
     reader = spark.readStream.schema(schema)
     for k, v in conf.items():
         if k not in ("format", "path"):
@@ -136,11 +139,7 @@ def run_updates(query_df: DataFrame, out: str, keys: list[str]) -> DataFrame:
 
 def newest_snapshot(spark: SparkSession, out: str, before: int | None) -> int | None:
     """The last micro-batch that a complete snapshot (older than ``before``) covers."""
-    if not _exists(spark, f"{out}-snapshots"):
-        return None
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}-snapshots")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    upto = [int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(path) if _exists(spark, f"{f.getPath()}/_SUCCESS")]
+    upto = complete_folders(spark, f"{out}-snapshots", "upto")
     return max((u for u in upto if before is None or u < before), default=None)
 
 
@@ -316,8 +315,7 @@ def stream_lag(spark: SparkSession, sf_dir: str, alert_seconds: float = 3600.0)
     """Event-time freshness per topic: (event_type, last_ts, events,
     lag_seconds = newest event overall - newest of the topic, alert).
 
-    On Kafka the same report uses end offset - committed offset from
-    ``StreamingQueryProgress.sources``; on files freshness is the lag."""
+    Lag in rows (newest offset less committed offset) is ``topic_log.consumer_lag``."""
     out = scratch_dir(spark, "lag")
     ev = event_stream(spark, sf_dir)
     agg = ev.groupBy("event_type").agg(F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("events"))
