@@ -18,14 +18,14 @@ CATALOG_SCHEMA = ("dataset_id string, name string, source_type string, file_path
                   "size_bytes bigint, schema_json string, profile_json string, created_at timestamp_ntz")
 
 
-def _totals(df: DataFrame, name: str, path: str | None) -> DataFrame:
-    """(name, rows, size_bytes): counts and file lengths added up on the executors (contents are not read)."""
-    rows = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows")
+def _totals(df: DataFrame, place: int, path: str | None) -> DataFrame:
+    """(place, rows, size_bytes): counts and file lengths added up on the executors (contents are not read)."""
+    rows = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(place).alias("place"), "rows")
     if not path:
         return rows.withColumn("size_bytes", F.lit(None).cast("bigint"))
     files = df.sparkSession.read.format("binaryFile").load(path).select("length")
-    size = files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("size_bytes")).select(F.lit(name).alias("name"), "size_bytes")
-    return rows.join(size, "name")
+    size = files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("size_bytes")).select(F.lit(place).alias("place"), "size_bytes")
+    return rows.join(size, "place")
 
 
 def dataset_records(spark: SparkSession, datasets: list[tuple[str, str, str | None, DataFrame]],
@@ -36,14 +36,14 @@ def dataset_records(spark: SparkSession, datasets: list[tuple[str, str, str | No
     per-dataset totals). Every registration has its own id."""
     profiles = profiles or {}
     totals = None
-    for name, _, path, df in datasets:
-        c = _totals(df, name, path)
+    for i, (_, _, path, df) in enumerate(datasets):      # by place: two datasets may have one name
+        c = _totals(df, i, path)
         totals = c if totals is None else totals.unionByName(c)
-    found = {r["name"]: r for r in totals.collect()} if totals is not None else {}
+    found = {r["place"]: r for r in totals.collect()} if totals is not None else {}
     now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     rows = []
     for i, (name, source_type, path, df) in enumerate(datasets):
-        r = found[name]
+        r = found[i]
         rows.append((uuid.uuid4().hex, name, source_type, path, int(r["rows"]), len(df.columns), r["size_bytes"],
                      df.schema.json(), profiles.get(name), now + dt.timedelta(microseconds=i)))
     return spark.createDataFrame(rows, CATALOG_SCHEMA)
