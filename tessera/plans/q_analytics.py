@@ -205,13 +205,16 @@ def q_regions(spark, sf_dir):
     return A.regions(fx.sales(spark, sf_dir, geo=True), period=365)
 
 
-@register("etl_sales_aggregation", f"""
+ROLLUP_SQL = f"""
 SELECT date_trunc('day', o_orderdate) AS day, r_name AS region, p_brand AS brand,
        CAST(grouping(date_trunc('day', o_orderdate), r_name, p_brand) AS INTEGER) AS level,
        {_msum(REV)} AS revenue, sum(l_quantity) AS quantity, count(*) AS lines
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
 JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-GROUP BY ROLLUP (date_trunc('day', o_orderdate), r_name, p_brand)""")
+GROUP BY ROLLUP (date_trunc('day', o_orderdate), r_name, p_brand)"""
+
+
+@register("etl_sales_aggregation", ROLLUP_SQL)
 def q_etl_sales_aggregation(spark, sf_dir):
     from pyspark.sql import functions as F
     df = A.etl_sales_aggregation(fx.sales(spark, sf_dir, part=True, geo=True))
@@ -231,6 +234,35 @@ def q_etl_sales_rollup_written(spark, sf_dir):
     return spark.read.parquet(path).select(F.col("day").cast("timestamp_ntz").alias("day"), "region", "brand", "revenue", "quantity", "lines")
 
 
+@register("etl_sales_incremental", ROLLUP_SQL)
+def q_etl_sales_incremental(spark, sf_dir):
+    """Three nights: the orders until 60 and 30 days before the last one with their lines, then the rest with urgent
+    orders of the second night that come late; each night computes only the days its files touch."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+    from tessera.operators import sales_days as SD
+    from tessera.session import scratch_dir
+    base, orders, lines = scratch_dir(spark, "sales"), table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    end = orders.agg(F.max("o_orderdate")).first()[0]     # one scalar
+    cuts = [end - dt.timedelta(days=60), end - dt.timedelta(days=30)]
+
+    first, second = (F.coalesce(F.col("o_orderdate") < F.lit(c).cast("timestamp_ntz"), F.lit(False)) for c in cuts)
+    night = F.when(first, 0).when(second & (F.col("o_orderpriority") != "1-URGENT"), 1).otherwise(2)
+    of = orders.select("o_orderkey", night.alias("_night"))
+    lines = lines.join(of, F.col("l_orderkey") == F.col("o_orderkey"), "left").drop("o_orderkey")
+
+    def sales_of(found):
+        return fx.sales(spark, sf_dir, part=True, geo=True, source=lambda t: {
+            "orders": found, "lineitem": spark.read.parquet(f"{base}/lineitem")}.get(t) or table(spark, sf_dir, t))
+
+    for k in range(3):
+        orders.filter(night == k).write.mode("append").parquet(f"{base}/orders")
+        lines.filter(F.coalesce("_night", F.lit(0)) == k).drop("_night").write.mode("append").parquet(f"{base}/lineitem")
+        SD.refresh_sales_days(spark, f"{base}/orders", f"{base}/lineitem", sales_of, f"{base}/days")
+    return SD.sales_totals(spark, f"{base}/days").withColumn("level", F.col("level").cast("int"))
+
+
 @register("customer_rfm", """
 SELECT o_custkey AS c_custkey,
        CAST(date_diff('day', CAST(max(o_orderdate) AS DATE), (SELECT CAST(max(o_orderdate) AS DATE) FROM orders)) AS INTEGER) AS recency_days,
