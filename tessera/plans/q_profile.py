@@ -237,3 +237,30 @@ def q_profile_pca_two(spark, sf_dir):
 @register("profile_dataset")
 def q_profile_dataset(spark, sf_dir):
     return P.profile_dataset(table(spark, sf_dir, "orders"))
+
+
+# -- profile by parts ------------------------------------------------------------
+def _merged(spark, sf_dir):
+    """lineitem profiled in three parts by ship year, each from its own scan."""
+    from tessera.operators import profile_parts as PP
+    from tessera.session import scratch_dir
+    li, path = table(spark, sf_dir, "lineitem"), scratch_dir(spark, "profile")
+    year = F.coalesce(F.year("l_shipdate"), F.lit(0))
+    for part, rows in (("old", year < 1995), ("middle", year.between(1995, 1997)), ("new", year > 1997)):
+        PP.refresh_profile(li.filter(rows), path, part)
+    return PP.merged_profile(spark, path)
+
+
+@register("profile_parts", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST(3 AS BIGINT) AS parts, count(*) AS rows, count({c}) AS count, count(*) - count({c}) AS missing, "
+    f"round(avg(CAST({c} AS DOUBLE)), 4) AS mean, round(stddev_samp(CAST({c} AS DOUBLE)), 4) AS std, CAST(min({c}) AS DOUBLE) AS min, "
+    f"CAST(max({c}) AS DOUBLE) AS max FROM lineitem" for c in LINEITEM_NUM))
+def q_profile_parts(spark, sf_dir):
+    return _merged(spark, sf_dir).filter(F.col("column_name").isin(LINEITEM_NUM)).select(
+        "column_name", "parts", "rows", "count", "missing", "mean", "std", "min", "max")
+
+
+@register("profile_parts_sketches")
+def q_profile_parts_sketches(spark, sf_dir):
+    """Quartiles, distinct counts and frequent values of every column, within the sketches' bounds."""
+    return _merged(spark, sf_dir).select("column_name", "p25", "p50", "p75", "distinct", F.to_json("top").alias("top"))
