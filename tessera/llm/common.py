@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import qualified
+
 #: A word is a run of characters other than space and U+0009..U+000D.
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: The same six separators, for Python's ``str`` methods.
@@ -39,7 +41,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the shared folder that the cluster names.
 
     Only where no such folder is set and Spark runs in one local process (tests)
-    is a local one made.
+    is a local one made. A path without scheme is one of the cluster's default file system.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
@@ -48,6 +50,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         import tempfile
         root = tempfile.mkdtemp(prefix="llm-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
+    root = qualified(spark, root)     # pyarrow would take a plain path for the machine's own disk
     return f"{root.rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
 
 

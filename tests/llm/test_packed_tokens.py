@@ -8,6 +8,7 @@ import pytest
 
 from tessera.llm import packed_tokens as op
 from tessera.llm.common import shared_dir, table
+from tessera.session import qualified
 from tests.llm.util import documents, with_clashes
 
 TEXTS = ["", " ", "a  b", "a\n b c", " x y ", "<|endoftext|> hi <|endoftext|>x y", "it's we'll don 't 's", "a 　b \x1c c\x85 d e",
@@ -56,3 +57,19 @@ def test_documents_in_order(spark):
         at += r.n_tokens
     assert not any(want.values())
     assert op.pack_documents(documents(spark, [])).count() == 0
+
+
+def test_plain_paths_are_those_of_the_default_file_system(spark, tmp_path):
+    """Spark and pyarrow must mean the same folder by ``spark.checkpoint.dir``."""
+    assert shared_dir(spark, "x").startswith("file:/")
+    fs, path = op.file_system(qualified(spark, str(tmp_path)))
+    assert path == str(tmp_path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    default = conf.get("fs.defaultFS")
+    conf.set("fs.viewfs.mounttable.elsewhere.link./shared", tmp_path.as_uri())
+    try:
+        conf.set("fs.defaultFS", "viewfs://elsewhere/")
+        assert qualified(spark, "/shared/") == "viewfs://elsewhere/shared"
+        assert op.file_system(qualified(spark, "file:///x"))[1] == "/x"
+    finally:
+        conf.set("fs.defaultFS", default)
