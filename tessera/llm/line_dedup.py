@@ -4,7 +4,7 @@ A line is the set of its lower-cased words; lines with equal sets are one node.
 Tokens are put in one order, rare ones first. Two sets with Jaccard similarity of
 at least t overlap in at least ceil(t * |x|) tokens, so they share a token among
 the first |x| - ceil(t * |x|) + 1 of each (prefix filter). Nodes are dealt by these
-tokens and paired where the length and the positional filter allow and where 64
+tokens and paired where the length and the positional filter allow and where 128
 bits of each set do not show too many differing tokens; what passes is verified on
 the whole sets. A line goes if an earlier line (by document,
 then line number) has an equal set or is a verified match.
@@ -16,8 +16,13 @@ lines would be a frequent one (count over ``FREQUENT``), the key is that token a
 second common one (from prefixes one token longer), which is exact by the same
 argument for the tokens after the first and splits the groups of very common words.
 
+A pair shares several keys. It is compared where a key may hold its first common tokens (the tokens before differ)
+and counted only where they do, so no pair is written: a task gives the number of links of each of its sets and
+whether one has an earlier first line. The rows of a key that is in many lines are compared one with all later ones
+in size by marked tokens: 8,000 near-equal lines take some seconds; one key is still one task.
+
 Tokens are 32-bit hashes inside a comparison (two words of two compared lines are
-taken for one with a chance of about 1 in 10**6 a pair); node ids have 64 bits.
+taken for one with a chance of about 1 in 10**6 a pair); node ids have 64 bits, of 64-bit hashes of the words.
 Copies of a line are one node however many, and a key of one token is held by at
 most ``FREQUENT`` lines.
 
@@ -170,11 +175,15 @@ class Sets(NamedTuple):
         total = np.add.reduceat(self.tokens, self.start) if len(self.start) else np.empty(0, np.uint64)
         return mixed(total ^ mixed(self.size.astype(np.uint64))).view(np.int64)
 
-    def bits(self) -> np.ndarray:
-        """64 bits of each set: the parity of its tokens that fall on each place. Two sets differ in
-        at least as many tokens as their bits differ in places."""
-        one = np.uint64(1) << (self.tokens >> np.uint64(32) & np.uint64(63))
-        return np.bitwise_xor.reduceat(one, self.start).view(np.int64) if len(self.start) else np.empty(0, np.int64)
+    def bits(self) -> list[np.ndarray]:
+        """128 bits of each set in two numbers: the parity of its tokens that fall on each place. Two sets differ
+        in at least as many tokens as their bits differ in places."""
+        if not len(self.start):
+            return [np.empty(0, np.int64)] * 2
+        place = self.tokens >> np.uint64(32) & np.uint64(127)
+        one = np.uint64(1) << (place & np.uint64(63))
+        return [np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == half, one, np.uint64(0)), self.start).view(np.int64)
+                for half in (0, 1)]
 
     def low(self) -> np.ndarray:
         return (self.tokens >> np.uint64(32)).astype("<u4")
@@ -234,11 +243,32 @@ def needed(size: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t * size - 1e-9).astype(np.int64)
 
 
-KEY_ROW = "key long, node long, bits long, size int, at int, last int, prev int"
+#: A prefix key of a set. Rows travel packed: many of one part in a binary value, byte by byte of all rows, so
+#: that the zeros of small numbers compress.
+KEY_ROW = np.dtype([("key", "<i8"), ("node", "<i8"), ("bits", "<i8"), ("more", "<i8"),
+                    ("size", "<i4"), ("at", "<i4"), ("last", "<i4"), ("prev", "<i4")])
+
+
+def packed(columns: list[np.ndarray], parts: int) -> pa.RecordBatch:
+    """part, rows: the key rows, those of one part (chosen by key) together."""
+    rows = np.empty(len(columns[0]), KEY_ROW)
+    for name, x in zip(KEY_ROW.names, columns, strict=True):
+        rows[name] = x
+    part = (mixed(rows["key"].view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    part, rows = part[order], rows[order]
+    cuts = np.flatnonzero(np.concatenate([[len(part) > 0], part[1:] != part[:-1], [len(part) > 0]])).tolist()
+    blobs = [rows[i:j].view(np.uint8).reshape(j - i, -1).T.tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
+    return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), pa.array(blobs, pa.binary())], names=["part", "rows"])
+
+
+def unpacked(blobs: list[bytes]) -> np.ndarray:
+    wide = KEY_ROW.itemsize
+    return np.concatenate([np.frombuffer(b, np.uint8).reshape(wide, -1).T.copy().view(KEY_ROW).ravel() for b in blobs])
 
 
 def prefix_keys(docs: DataFrame, text: str, counts, t: float, frequent: int) -> DataFrame:
-    """Every prefix key of every set: key, node, bits, size, the positions of the key's first and last token
+    """Every prefix key of every set, packed: key, node, its bits, size, the positions of the key's first and last token
     (the same for a key of one token) and prev. prev is the token before the key's last one, or before its first
     where the two are neighbours (0: none): two sets with equal prev share a token before the key's."""
 
@@ -264,16 +294,15 @@ def prefix_keys(docs: DataFrame, text: str, counts, t: float, frequent: int) ->
         before = np.where(second > first + 1, second, first)
         prev = np.where(at[before] > 0, low[np.maximum(before - 1, 0)], 0).astype(np.uint32).view(np.int32)
         ln = s.line[first]
-        return key, node[ln], s.bits()[ln], s.size[ln], at[first], at[second], prev
+        return key, node[ln], *[x[ln] for x in s.bits()], s.size[ln], at[first], at[second], prev
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 0):
-            key, node, bits, *ints = keys_of(Lines(b.column(0).to_pylist()).sets(counts.value))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(node), pa.array(bits)] + [pa.array(x.astype(np.int32)) for x in ints],
-                names=["key", "node", "bits", "size", "at", "last", "prev"])
+            yield packed(keys_of(Lines(b.column(0).to_pylist()).sets(counts.value)), parts)
 
-    return docs.select(text).mapInArrow(run, KEY_ROW)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(n, min(8 * n, 4096))
+    return docs.select(text).mapInArrow(run, "part int, rows binary")
 
 
 def near_rows(key: np.ndarray, size: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -291,15 +320,12 @@ def near_rows(key: np.ndarray, size: np.ndarray, t: float) -> Iterator[tuple[np.
         d += 1
 
 
-def partnered(key: np.ndarray, node: np.ndarray, bits: np.ndarray, size: np.ndarray, at: np.ndarray, last: np.ndarray,
-              prev: np.ndarray, t: float) -> list[np.ndarray]:
-    """key, node, size, at, last of the rows with a partner of the same key that passes the length, the positional
-    and the bit filter and may have its first common tokens at this key."""
-    order = np.lexsort((node, size, key))
-    key, node, bits, size, at, last, prev = (x[order] for x in (key, node, bits, size, at, last, prev))
-    # a set may come from several batches
-    once = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])]) if len(key) else np.empty(0, bool)
-    key, node, bits, size, at, last, prev = (x[once] for x in (key, node, bits, size, at, last, prev))
+def partnered(rows: np.ndarray, t: float) -> np.ndarray:
+    """The key rows with a partner of the same key that passes the length, the positional and the bit filter and
+    may have its first common tokens at this key. A set that came from several batches is there once."""
+    rows = rows[np.lexsort((rows["node"], rows["size"], rows["key"]))]
+    rows = rows[np.concatenate([[True], (rows["key"][1:] != rows["key"][:-1]) | (rows["node"][1:] != rows["node"][:-1])])]
+    key, bits, more, size, at, last, prev = (rows[c].copy() for c in ("key", "bits", "more", "size", "at", "last", "prev"))
     hit, rest = np.zeros(len(key), bool), size - last + (last > at)
     for left, right in near_rows(key, size, t):
         # overlap needed: t / (1 + t) * (|a| + |b|); still possible: the key's tokens and what follows them in both
@@ -307,26 +333,29 @@ def partnered(key: np.ndarray, node: np.ndarray, bits: np.ndarray, size: np.ndar
         need = np.ceil(t / (1 + t) * both - 1e-9)
         ok = np.minimum(rest[left], rest[right]) >= need
         ok &= (prev[left] != prev[right]) | (prev[left] == 0)
-        ok &= np.bitwise_count(bits[left].view(np.uint64) ^ bits[right].view(np.uint64)) <= both - 2 * need
+        left, right, most = left[ok], right[ok], (both - 2 * need)[ok]
+        differ = sum(np.bitwise_count((x[left] ^ x[right]).view(np.uint64)).astype(np.int64) for x in (bits, more))
+        ok = differ <= most
         hit[left[ok]] = True
         hit[right[ok]] = True
-    return [x[hit] for x in (key, node, size, at, last)]
+    return rows[hit]
 
 
 def shared_keys(keys: DataFrame, t: float) -> DataFrame:
-    """key, node, size, at, last of the key rows with a partner. Rows are dealt by key."""
+    """key, node, size, at, last of the key rows with a partner. Rows are dealt by part, all of a key together."""
+    names = ["key", "node", "size", "at", "last"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
-        if got:
-            rows = [np.concatenate(x) for x in zip(*got, strict=True)]
-            del got
-            rows = partnered(*rows, t)
-            for i in range(0, len(rows[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i:i + 100_000]) for x in rows], names=["key", "node", "size", "at", "last"])
+        parts: dict[int, list[bytes]] = {}
+        for b in batches:
+            for p, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                parts.setdefault(p, []).append(blob)
+        while parts:
+            rows = partnered(unpacked(parts.popitem()[1]), t)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[c].copy()) for c in names], names=names)
 
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keys.repartition(n, "key").mapInArrow(run, "key long, node long, size int, at int, last int")
+    return keys.repartition(n, "part").mapInArrow(run, "key long, node long, size int, at int, last int")
 
 
 class Marks:
@@ -542,7 +571,7 @@ def line_links(docs: DataFrame, text: str, counts: np.ndarray, nodes: DataFrame,
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = nodes.select("node", "first.none", F.coalesce("first.doc_id", F.lit(0)).alias("doc_id"), "first.row", "first.number")
-    full = rows.join(sets, "node").join(first, "node").repartition(n, "key").mapInArrow(run, "node long, links long, goes boolean")
+    full = rows.join(sets.hint("merge"), "node").join(first.hint("merge"), "node").repartition(n, "key").mapInArrow(run, "node long, links long, goes boolean")
     return full.groupBy("node").agg(F.sum("links").alias("links"), F.max("goes").alias("goes"))
 
 
@@ -554,7 +583,7 @@ def judge_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", t: flo
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"), F.col("number"))
     nodes = cut(lines.groupBy("node").agg(F.min(place).alias("first")), "line-nodes")
     links = cut(line_links(docs, text, counts, nodes, t, frequent), "line-links")
-    nodes = nodes.join(links, "node", "left").select(
+    nodes = nodes.join(links.hint("merge"), "node", "left").select(
         "node", "first", F.coalesce("links", F.lit(0)).cast("long").alias("links"),
         (~F.coalesce("goes", F.lit(False))).alias("stays"))
     return lines, cut(nodes, "line-judged")
@@ -568,14 +597,14 @@ def line_figures(docs: DataFrame, key: str = "doc_id", text: str = "text", t: fl
     kept = nodes.filter("stays").groupBy(F.col("first.doc_id").alias("_d"), F.col("first.row").alias("_r")).agg(
         F.array_sort(F.collect_list("first.number")).alias("kept_numbers"))
     linked = nodes.filter("links > 0").select("node", "links")
-    links = lines.join(linked, "node").groupBy(F.col("doc_id").alias("_e"), F.col("row").alias("_s")).agg(
+    links = lines.join(linked.hint("merge"), "node").groupBy(F.col("doc_id").alias("_e"), F.col("row").alias("_s")).agg(
         F.sum("links").alias("links"))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), row_key(key, text).alias("row"))
     none = F.expr("CAST(array() AS array<int>)")
-    return (rows.join(per.select(F.col("doc_id").alias("_p"), F.col("row").alias("_q"), "n_lines", "copies"),
+    return (rows.join(per.select(F.col("doc_id").alias("_p"), F.col("row").alias("_q"), "n_lines", "copies").hint("merge"),
                       F.col("doc_id").eqNullSafe(F.col("_p")) & (F.col("row") == F.col("_q")), "left")
-            .join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r")), "left")
-            .join(links, F.col("doc_id").eqNullSafe(F.col("_e")) & (F.col("row") == F.col("_s")), "left")
+            .join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r")), "left")
+            .join(links.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_e")) & (F.col("row") == F.col("_s")), "left")
             .select("doc_id", "row", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
                     (F.coalesce("n_lines", F.lit(0)) - F.size(F.coalesce("kept_numbers", none))).cast("long").alias("n_removed"),
                     F.coalesce(F.round(F.col("links") / F.col("copies")), F.lit(0)).cast("long").alias("links"),
