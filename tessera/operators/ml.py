@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.exprs import NUMERIC_TYPES
 from tessera.functions.exprs import spread as _spread
+from tessera.operators.forest_cells import fit_on_cells
 
 SEED = 42
 
@@ -155,16 +156,27 @@ def fit_forest(vectors: DataFrame, names: list[str], target: str, problem_type:
     """Fit on ``_features`` vectors; the returned pipeline takes the wide feature columns ``names``.
 
     Class labels are indexed over ``labels_from`` (the whole label column, not
-    the training part alone). Null labels raise.
+    the training part alone). Null labels raise. Many rows of few cells are grown on the
+    cells (``forest_cells``), unless ``params`` ask for more than MLlib's defaults.
     """
     asm = VectorAssembler(inputCols=names, outputCol="_features", handleInvalid="keep")
     if not labels_from.filter(F.col(target).isNull()).isEmpty():
         raise ValueError(f"target column {target} has null values")
     if problem_type == "classification":
         idx = StringIndexer(inputCol=target, outputCol="_label", stringOrderType="alphabetAsc").fit(labels_from)
-        rf = _forest(problem_type, "_label", num_trees, max_depth, seed, params).fit(idx.transform(vectors))
-        return PipelineModel(stages=[idx, asm, rf])
-    return PipelineModel(stages=[asm, _forest(problem_type, target, num_trees, max_depth, seed, params).fit(vectors)])
+        return PipelineModel(stages=[idx, asm, _fit(idx.transform(vectors), problem_type, target, "_label", num_trees, max_depth, seed, params)])
+    return PipelineModel(stages=[asm, _fit(vectors, problem_type, target, None, num_trees, max_depth, seed, params)])
+
+
+def _fit(vectors: DataFrame, problem_type: str, target: str, label: str | None, num_trees: int, max_depth: int, seed: int, params: dict | None):
+    forest = _forest(problem_type, label or target, num_trees, max_depth, seed, params)
+    model = None
+    if not params or params == {"minInstancesPerNode": 1}:
+        columns = {"featuresCol": forest.getFeaturesCol(), "predictionCol": forest.getPredictionCol()}
+        if label:
+            columns |= {"probabilityCol": forest.getProbabilityCol(), "rawPredictionCol": forest.getRawPredictionCol()}
+        model = fit_on_cells(vectors, target, label, columns, num_trees, max_depth, seed, MAX_MEMORY_MB)
+    return model if model is not None else forest.fit(vectors)
 
 
 def _labels(model: PipelineModel) -> list[str]:
