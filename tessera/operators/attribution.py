@@ -13,7 +13,8 @@ of a polynomial each), and rows look them up; above ``PATTERNS`` features on a p
 computed for the patterns that occur.
 
 The nodes come from the fitted model's own table (bounded by the model, not the data) and go to
-the tasks as a broadcast; rows are scored in Arrow batches and never shuffled.
+the tasks as a broadcast. Rows between the same thresholds of the forest, a cell, have the same
+attributions: they are computed once a cell in Arrow batches and joined to the rows.
 """
 
 from __future__ import annotations
@@ -163,6 +164,23 @@ def attribute(x: np.ndarray, groups: list[Leaves]) -> np.ndarray:
     return out
 
 
+def forest_cells(groups: list[Leaves], features: int) -> list[np.ndarray]:
+    """The bounds of the leaves by feature; values with the same ones below them reach the same leaves."""
+    edges = []
+    for f in range(features):
+        bounds = [b[g.feature == f] for g in groups for b in (g.low, g.high)]
+        edges.append(np.unique(np.concatenate([[-np.inf], *bounds])))
+    return edges
+
+
+def cell_of(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    """The number of bounds below each value; NaN, which no interval holds, has one of its own."""
+    cell = np.empty(x.shape, np.int32)
+    for f, e in enumerate(edges):
+        cell[:, f] = np.where(np.isnan(x[:, f]), -1, np.searchsorted(e, x[:, f], "left"))
+    return cell
+
+
 def attributions(model: PipelineModel, df: DataFrame, features: list[str], keep: list[str],
                  label: str | None = None) -> DataFrame:
     """keep..., base, prediction, feature, value, attribution: a row for each row and feature.
@@ -181,19 +199,29 @@ def attributions(model: PipelineModel, df: DataFrame, features: list[str], keep:
     kept = F.struct(*[F.col(k) for k in keep], F.lit(0).alias("_none")).alias("_kept")
     rows = align_features(df.select("*", kept), features, ["_kept"])
     rows = rows.select("_kept", F.array(*[F.col(f"`{f}`") for f in features]).alias("_x"))
-    schema = T.StructType([rows.schema["_kept"], rows.schema["_x"], T.StructField("_a", T.ArrayType(T.DoubleType()))])
+    edges = forest_cells(groups, len(features))
+
+    def values(b: pa.RecordBatch) -> np.ndarray:
+        return b.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                keys = [c.tobytes() for c in cell_of(values(b), edges)]
+                yield pa.RecordBatch.from_arrays([b.column("_kept"), b.column("_x"), pa.array(keys, pa.binary())], names=["_kept", "_x", "_cell"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = b.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                found = attribute(x, shared.value)
-                size = np.arange(b.num_rows + 1, dtype=np.int32) * x.shape[1]
+                found = attribute(values(b), shared.value)
+                size = np.arange(b.num_rows + 1, dtype=np.int32) * found.shape[1]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("_kept"), b.column("_x"), pa.ListArray.from_arrays(pa.array(size), pa.array(found.ravel()))],
-                    names=["_kept", "_x", "_a"])
+                    [b.column("_cell"), pa.ListArray.from_arrays(pa.array(size), pa.array(found.ravel()))], names=["_cell", "_a"])
 
-    scored = rows.mapInArrow(run, schema)
+    celled = rows.mapInArrow(cells, T.StructType([rows.schema["_kept"], rows.schema["_x"], T.StructField("_cell", T.BinaryType())]))
+    # few but costly rows: as many parts as tasks can run, which AQE would make one
+    each = celled.groupBy("_cell").agg(F.first("_x").alias("_x")).repartition(spark.sparkContext.defaultParallelism, "_cell")
+    scored = celled.join(each.mapInArrow(run, "_cell binary, _a array<double>"), "_cell")
     names = F.array(*[F.lit(f) for f in features])
     total = F.aggregate("_a", F.lit(0.0), lambda s, v: s + v) + F.lit(base)
     out = scored.select("_kept", total.alias("prediction"), F.inline(F.arrays_zip(

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import attribution as AT
 from tessera.operators import ml as ML
@@ -97,3 +98,24 @@ def test_other_label_and_awkward_input(spark, rows):
     got = AT.attributions(run["model"], part, run["features"], ["b"])
     assert got.columns[0] == "b" and got.filter("feature = 'c'").agg({"value": "max"}).first()[0] == 0.0
     assert AT.attributions(run["model"], enc.limit(0), run["features"], ["id"]).count() == 0
+
+
+def test_rows_of_a_cell_share_their_attributions(spark, rows):
+    run, enc = fitted(rows, "classification", "label", num_trees=5, max_depth=3)
+    groups, base = AT.forest_leaves(spark, run["model"].stages[-1], 1)
+    edges = AT.forest_cells(groups, len(run["features"]))
+    rng = np.random.default_rng(1)
+    x = np.array([[rng.choice([*e, e[-1] + 1, rng.normal(), np.inf, np.nan]) for e in edges] for _ in range(3000)])
+    each = {}
+    for key, a in zip((c.tobytes() for c in AT.cell_of(x, edges)), AT.attribute(x, groups)):
+        assert np.array_equal(each.setdefault(key, a), a)
+    # 500 distinct rows written four times, and values that no interval holds
+    odd = enc.select("id", *[(F.when(F.col("id") % 50 == 7, float("nan")).otherwise(F.col(f)) if f == "a" else F.col(f)).alias(f) for f in run["features"]])
+    odd = odd.unionByName(odd).unionByName(odd).unionByName(odd)
+    got = {}
+    for r in AT.attributions(run["model"], odd, run["features"], ["id"]).collect():
+        got.setdefault((r["id"], r["feature"]), []).append(r["attribution"])
+    want = {r["id"]: AT.attribute(np.array([[r[f] for f in run["features"]]]), groups)[0] for r in odd.distinct().collect()}
+    assert len(got) == 500 * len(run["features"])
+    for (i, f), found in got.items():
+        assert found == [want[i][run["features"].index(f)]] * 4
