@@ -27,7 +27,8 @@ def _edges(n: int = BINS):
 
 
 def feature_psi(df: DataFrame, feature: str, window: str, value: str, baseline: str = "baseline",
-                current: str = "current", approx: bool = False, threshold: float = DRIFT_THRESHOLD) -> DataFrame:
+                current: str = "current", approx: bool = False, threshold: float = DRIFT_THRESHOLD,
+                few: bool = False) -> DataFrame:
     """(feature, psi, status) for rows tagged ``window`` in {baseline, current}.
 
     Missing values (null, NaN) are left out on both sides; a null feature is a
@@ -35,7 +36,8 @@ def feature_psi(df: DataFrame, feature: str, window: str, value: str, baseline:
     are equi-joined to the rows; counts per (feature, window, bin) are
     zero-filled from the (feature x bin) grid by a union and folded to PSI by
     one more aggregate. Nothing runs while the plan is built but the range
-    sampling of the exact deciles."""
+    sampling of the exact deciles. ``few``: the caller knows the features to be few, so the
+    deciles go to the rows; otherwise a feature's rows would meet in one reducer first."""
     qs = _edges()
     v = F.col(value).cast("double")
     tagged = df.filter(F.col(window).isin(baseline, current) & v.isNotNull() & ~F.isnan(v)).select(
@@ -43,7 +45,7 @@ def feature_psi(df: DataFrame, feature: str, window: str, value: str, baseline:
     edge_df = quantile_arrays(tagged.filter(F.col("w") == baseline), "v", qs, ["feature"], "sketch" if approx else "distributed") \
         .select(F.col("feature").alias("_f"), F.col("quantiles").alias("edges"))
     # one row per feature: broadcast by AQE where it is small, a shuffle join beyond
-    binned = tagged.join(edge_df, F.col("feature").eqNullSafe(F.col("_f"))).select(
+    binned = tagged.join(F.broadcast(edge_df) if few else edge_df, F.col("feature").eqNullSafe(F.col("_f"))).select(
         "feature", "w", F.size(F.filter("edges", lambda e: F.col("v") > e)).alias("bin"))
     grid = edge_df.select(F.col("_f").alias("feature"), F.lit(None).cast("string").alias("w"),
                           F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))).alias("bin"), F.lit(0).cast("bigint").alias("n"))
@@ -68,7 +70,7 @@ def column_psi(df: DataFrame, columns: list[str], window, **params) -> DataFrame
     """``feature_psi`` of every column, each a feature: the columns are stacked in one pass."""
     cells = F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns]))
     stacked = df.withColumn("_w", window).select(F.col("_w").alias("window"), cells)
-    return feature_psi(stacked, "feature", "window", "value", **params)
+    return feature_psi(stacked, "feature", "window", "value", few=True, **params)
 
 
 def drift_report(feature_drift: DataFrame, prediction_drift: DataFrame, model_name: str,

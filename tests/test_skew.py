@@ -39,3 +39,18 @@ def test_duplicates_and_value_counts_hot_value(spark):
     assert u["k"] == 1001
     c = {x["column_name"]: x for x in P.profile_categorical_stats(df.select(F.col("k").cast("string").alias("k"))).collect()}
     assert c["k"]["top"] == "0" and c["k"]["freq"] == N // 3
+
+
+def test_column_drift_moves_no_rows_to_their_feature(spark):
+    from tessera.operators import drift as D
+    df = spark.range(400).select(F.col("id").cast("double").alias("a"), (F.col("id") * 2 % 90).cast("double").alias("b"),
+                                 F.when(F.col("id") < 200, "baseline").otherwise("current").alias("w"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = D.column_psi(df, ["a", "b"], F.col("w"))
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin [coalesce(feature" in plan and "SortMergeJoin [coalesce(feature" not in plan
+        assert {r["feature"]: r["status"] for r in got.collect()}["a"] == "WARNING"
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
