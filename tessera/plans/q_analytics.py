@@ -250,7 +250,10 @@ def q_etl_sales_incremental(spark, sf_dir):
     first, second = (F.coalesce(F.col("o_orderdate") < F.lit(c).cast("timestamp_ntz"), F.lit(False)) for c in cuts)
     night = F.when(first, 0).when(second & (F.col("o_orderpriority") != "1-URGENT"), 1).otherwise(2)
     of = orders.select("o_orderkey", night.alias("_night"))
-    lines = lines.join(of, F.col("l_orderkey") == F.col("o_orderkey"), "left").drop("o_orderkey")
+    # the lines' nights are looked up once, not once a night
+    lines = lines.join(of, F.col("l_orderkey") == F.col("o_orderkey"), "left").drop("o_orderkey").withColumn("_night", F.coalesce("_night", F.lit(0)))
+    lines.write.partitionBy("_night").parquet(f"{base}/delivered")
+    lines = spark.read.schema(lines.schema).parquet(f"{base}/delivered")
 
     def sales_of(found):
         return fx.sales(spark, sf_dir, part=True, geo=True, source=lambda t: {
@@ -258,7 +261,7 @@ def q_etl_sales_incremental(spark, sf_dir):
 
     for k in range(3):
         orders.filter(night == k).write.mode("append").parquet(f"{base}/orders")
-        lines.filter(F.coalesce("_night", F.lit(0)) == k).drop("_night").write.mode("append").parquet(f"{base}/lineitem")
+        lines.filter(F.col("_night") == k).drop("_night").write.mode("append").parquet(f"{base}/lineitem")
         SD.refresh_sales_days(spark, f"{base}/orders", f"{base}/lineitem", sales_of, f"{base}/days")
     return SD.sales_totals(spark, f"{base}/days").withColumn("level", F.col("level").cast("int"))
 
