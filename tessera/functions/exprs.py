@@ -142,15 +142,20 @@ def scan_bytes(df: DataFrame) -> int:
     return sum(x for x in sizes if x < 1 << 60)
 
 
-def spread(df: DataFrame, key: list[str] | None = None) -> DataFrame:
+def spread(df: DataFrame, key: list[str] | None = None, bytes_each: int | None = None) -> DataFrame:
     """Hash-repartition a small input to the session's shuffle partitions.
 
     A few unsplittable files would otherwise keep the per-row work in a few
     tasks. Decided by the estimated size alone (below one scan partition per
-    shuffle partition), so without a job and alike on every cluster."""
+    shuffle partition), so without a job and alike on every cluster. With
+    ``bytes_each`` into no more partitions than hold so many bytes of the scan
+    each, or twice the cores if that is more: for work of many short passes,
+    whose time goes with the number of its tasks."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     unit = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     if scan_bytes(df) >= n * unit:
         return df
+    if bytes_each:
+        n = min(n, max(2 * spark.sparkContext.defaultParallelism, -(-scan_bytes(df) // bytes_each)))
     return df.repartition(n, *[F.col(k) for k in key]) if key else df.repartition(n)

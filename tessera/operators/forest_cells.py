@@ -15,6 +15,7 @@ Draws are seeded by cell and label, so a rerun draws the same whatever the parti
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -35,8 +36,8 @@ ROWS, CELLS, SHARED = 400_000, 200_000, 4
 FEATURES = 64
 #: Rows of a cell that one task draws.
 GROUP = 1_000_000
-#: Trees grown at a time.
-AT_ONCE = 8
+#: Trees grown at a time, and trees whose draws are laid out together: a fit reads its points several times.
+AT_ONCE, TOGETHER = 8, 16
 
 
 def feature_edges(values: np.ndarray, bins: int = BINS) -> np.ndarray:
@@ -115,6 +116,12 @@ def _drawn_values(binned: DataFrame, trees: int, seed: int, parts: int) -> DataF
     return sums.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("i", "v")))["v"].alias("s"))
 
 
+def _trees(cells: DataFrame, first: int, several: int, trees: int, numbers: int) -> DataFrame:
+    """The cells with the draws of some of the trees alone; ``numbers``: how many a tree has of a cell."""
+    part = F.concat(*[F.slice("s", k * trees + first + 1, several) for k in range(numbers)])
+    return cells.withColumn("s", part)
+
+
 def _points(cells: DataFrame, tree: int, trees: int, label: str | None, metadata: dict) -> DataFrame:
     """The weighted rows that one tree is grown on: (x, y, w)."""
     if label is not None:
@@ -186,16 +193,23 @@ def fit_on_cells(vectors: DataFrame, target: str, label: str | None, columns: di
         common = dict(featuresCol="x", labelCol="y", weightCol="w", numTrees=1, bootstrap=False, maxDepth=max_depth,
                       maxBins=BINS, maxMemoryInMB=memory_mb)
 
-        def grow(tree: int):
+        def grow(some: DataFrame, first: int, several: int, tree: int):
             if label:
                 est = RandomForestClassifier(featureSubsetStrategy="sqrt", seed=seed + tree, **common)
             else:
                 est = RandomForestRegressor(featureSubsetStrategy="all", seed=seed + tree, **common)
-            return est.fit(_points(cells, tree, num_trees, label, field.metadata))
+            return est.fit(_points(some, tree - first, several, label, field.metadata))
 
-        pool = ThreadPool(min(AT_ONCE, num_trees))
+        fitted, pool = [], ThreadPool(min(AT_ONCE, num_trees))
         try:
-            fitted = pool.map(inheritable_thread_target(spark)(grow), range(num_trees), chunksize=1)
+            for first in range(0, num_trees, TOGETHER):
+                several = min(TOGETHER, num_trees - first)
+                some = _trees(cells, first, several, num_trees, 1 if label else 3).persist(StorageLevel.MEMORY_AND_DISK)
+                try:
+                    one = inheritable_thread_target(spark)(partial(grow, some, first, several))
+                    fitted += pool.map(one, range(first, first + several), chunksize=1)
+                finally:
+                    some.unpersist()
         finally:
             pool.close()
         classes = fitted[0].numClasses if label else None

@@ -223,10 +223,14 @@ def evaluate_classifier(model: PipelineModel, test: DataFrame) -> dict:
     return {"accuracy": sum(r["n"] for r in cm if r["y"] == r["p"]) / total, "f1": f1}
 
 
-def spread(df: DataFrame, key: list[str] | None = None) -> DataFrame:
+#: Bytes of the scanned files that one task of a fit works on: a fit has a job a level, of as many tasks.
+FIT_BYTES = 4 << 20
+
+
+def spread(df: DataFrame, key: list[str] | None = None, bytes_each: int | None = None) -> DataFrame:
     """Training input spread over the cluster (a single small file would
     otherwise train in one task)."""
-    return _spread(df, key)
+    return _spread(df, key, bytes_each)
 
 
 def evaluate_regressor(model: PipelineModel, test: DataFrame, target: str) -> dict:
@@ -253,7 +257,7 @@ def train(df: DataFrame, target: str, problem_type: str, model_type: str = "rand
     split = split_column(keep, test_fraction, seed) if keep else split_column("_features_text", test_fraction, seed)
     if not keep:
         vec = vec.withColumn("_features_text", vector_to_array("_features").cast("string"))
-    vec = spread(vec.withColumn("_split", split), keep or ["_features_text"]).persist(StorageLevel.MEMORY_AND_DISK)
+    vec = spread(vec.withColumn("_split", split), keep or ["_features_text"], FIT_BYTES).persist(StorageLevel.MEMORY_AND_DISK)
     tr, te = vec.filter(F.col("_split") == "train"), vec.filter(F.col("_split") == "test")
     kind = "classification" if problem_type == "classification" else "regression"
     try:
@@ -387,7 +391,7 @@ def cross_validate(df: DataFrame, target: str, key: str | list[str], folds: int
     vec, names = one_hot_vector(df, target, keep=keys)
     _ensure_ckpt(spark)
     fold = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(folds))
-    vec = spread(vec.withColumn("_fold", fold), keys).persist(StorageLevel.MEMORY_AND_DISK)
+    vec = spread(vec.withColumn("_fold", fold), keys, FIT_BYTES).persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
     try:
         for k in range(folds):

@@ -70,3 +70,18 @@ def test_edges_as_mllib_places_them():
     assert FC.feature_edges(np.array([1.0, 1.0, 3.0])).tolist() == [2.0] and len(FC.feature_edges(np.ones(5))) == 0
     e = FC.feature_edges(np.arange(10000.0))
     assert len(e) == 31 and np.allclose(np.diff(e), 312.5, atol=1)
+
+
+def test_a_fit_has_no_more_tasks_than_its_input_asks_for(spark, tmp_path):
+    from tessera.functions.exprs import spread
+    path = str(tmp_path / "rows")
+    spark.range(1000).repartition(1).write.parquet(path)
+    rows = spark.read.parquet(path)
+    asked, most = spark.conf.get("spark.sql.shuffle.partitions"), 2 * spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.shuffle.partitions", str(10 * most))
+    try:
+        assert spread(rows, ["id"], 1 << 20).rdd.getNumPartitions() == most
+        assert spread(rows, ["id"], 1).rdd.getNumPartitions() == 10 * most      # never more than without
+        assert spread(rows, ["id"]).rdd.getNumPartitions() == 10 * most
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", asked)
