@@ -42,15 +42,18 @@ def words_of(text: str) -> F.Column:
 
 
 def postings_of(passages: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, n_words, term, tf): a row for each term of each passage."""
+    """(term, keys, n_words, tf): a row for each term of each passage, in ranges of (term, keys).
+
+    The words are dealt into ranges as they are and counted there: one shuffle, and no count
+    before it, where a task would hold all the words of its files."""
     words = passages.select(*keys, words_of(text).alias("_w")).select(*keys, F.size("_w").alias("n_words"), F.explode("_w").alias("term"))
-    return words.groupBy(*keys, "n_words", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return words.repartitionByRange("term", *keys).groupBy("term", *keys, "n_words").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def build(passages: DataFrame, path: str, keys: list[str], text: str = "text") -> PassageIndex:
     spark = passages.sparkSession
     rows = postings_of(passages, keys, text).select("term", *keys, "tf", "n_words")
-    rows.repartitionByRange("term", *keys).sortWithinPartitions("term", *keys).write.parquet(f"{path}/postings")
+    rows.sortWithinPartitions("term", *keys).write.parquet(f"{path}/postings")
     postings = spark.read.schema(rows.schema).parquet(f"{path}/postings")
     postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences")) \
         .sortWithinPartitions("term").write.parquet(f"{path}/terms")

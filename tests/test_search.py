@@ -91,3 +91,13 @@ def test_codes_are_the_nearest_words():
     back = books.centroids[home] + np.concatenate([b[codes[:, i]] for i, b in enumerate(books.words)], axis=1)
     got = q @ books.centroids[home].T + sum(t[i][:, codes[:, i]] for i in range(3))
     assert np.allclose(got, q @ back.T, atol=1e-4)
+
+
+def test_words_are_dealt_into_ranges_without_a_count_before(spark):
+    from tessera.operators import passage_index as PI
+    passages = spark.createDataFrame([(1, 0, "a b a"), (1, 0, "a c b"), (None, 1, "a"), (2, 0, None)], "doc_id long, chunk_id int, text string")
+    found = PI.postings_of(passages, ["doc_id", "chunk_id"])
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+    assert "rangepartitioning(term" in plan and "hashpartitioning" not in plan
+    got = {(r["doc_id"], r["chunk_id"], r["term"], r["tf"], r["n_words"]) for r in found.collect()}
+    assert got == {(1, 0, "a", 3, 3), (1, 0, "b", 2, 3), (1, 0, "c", 1, 3), (None, 1, "a", 1, 1)}
