@@ -107,7 +107,7 @@ def _same(*cols: tuple[str, str]):
 
 
 def plan_mix(marked: DataFrame, key: str = "doc_id", weights=WEIGHTS, share: float = SHARE, most: float = MOST,
-             seed: str = SEED) -> DataFrame:
+             seed: str = SEED, ties: tuple[str, ...] = ()) -> DataFrame:
     """Rows with their marks -> + _source_size, _target, _copies (integers that the row's step crosses)."""
     counts = cut(marked.groupBy("_source", "_class", "_size", "_block").agg(F.count("*").alias("_n")), "mix-counts")
     sizes = counts.groupBy(F.col("_source").alias("source")).agg(F.sum(F.col("_size") * F.col("_n")).alias("source_size"))
@@ -118,24 +118,36 @@ def plan_mix(marked: DataFrame, key: str = "doc_id", weights=WEIGHTS, share: flo
                        F.col("target").alias("_target"), units.alias("_units"))
     blocks = counts.join(goal, _same()).drop("_s").withColumn("_sum", F.col("_n") * F.col("_units"))
     rows = marked.join(_starts(blocks), _same(("_size", "_z"), ("_block", "_b")))
-    in_block = (Window.partitionBy("_source", "_size", "_block").orderBy("_hash", key)
+    in_block = (Window.partitionBy("_source", "_size", "_block").orderBy("_hash", key, *ties)
                 .rowsBetween(Window.unboundedPreceding, 0))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("_source"), F.lit("\0")))), 1, 6),
                     16, 10).cast("long")
     end = F.col("_start") + F.col("_units") * F.row_number().over(in_block) + offset
+    return rows.withColumn("_end", end).withColumn("_copies", _crossed(F.col("_end"), F.col("_units")))
+
+
+def _crossed(end, units):
     unit = F.lit(UNIT).cast("long")
-    return (rows.withColumn("_end", end)
-                .withColumn("_copies", (F.floor(F.col("_end") / unit)
-                                        - F.floor((F.col("_end") - F.col("_units")) / unit)).cast("int")))
+    return (F.floor(end / unit) - F.floor((end - units) / unit)).cast("int")
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **params) -> DataFrame:
-    """The mixed documents: each row of ``docs`` once per integer crossed, all columns kept."""
-    packed = docs.select(whole_row(docs), F.col(key).alias("_id"), F.col(source).alias("_from"), F.col(text).alias("_text"))
-    marked = _marks(packed, "_id", "_from", word_count(F.col("_text")), "_text").drop("_from", "_text")
-    planned = plan_mix(marked, "_id", **params)
-    return (planned.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-                   .select("_doc.*"))
+    """The mixed documents: each row of ``docs`` once per integer crossed, all columns kept.
+
+    Planned on rows without their texts; whole rows move once, to where their copies are known.
+    Rows of equal id, source and text lie side by side, so the first one's place tells all of theirs."""
+    parts = [F.col(key).cast("string"), F.col(source).cast("string"), F.col(text)]
+    told = [x for p in parts for x in (p.isNull(), F.coalesce(p, F.lit("")))]
+    row = [F.xxhash64(F.lit(i), *told).alias(f"_k{i}") for i in range(2)]
+    thin = docs.select(F.col(key).alias("_id"), F.col(source).alias("_from"), F.col(text).alias("_text"), *row)
+    marked = _marks(thin, "_id", "_from", word_count(F.col("_text")), "_text").drop("_from", "_text")
+    planned = plan_mix(marked, "_id", ties=("_k0", "_k1"), **params)
+    first = planned.groupBy("_k0", "_k1").agg(F.min("_end").alias("_first"), F.first("_units").alias("_units"))
+    nth = F.row_number().over(Window.partitionBy("_k0", "_k1").orderBy("_k0")) - 1
+    rows = docs.select(whole_row(docs), *row).join(first, ["_k0", "_k1"]).withColumn("_nth", nth)
+    copies = _crossed(F.col("_first") + F.col("_nth") * F.col("_units"), F.col("_units"))
+    return (rows.withColumn("_copies", copies).filter("_copies > 0")
+                .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*"))
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,3 +61,28 @@ def test_awkward_rows(spark):
     assert out.columns == docs.columns
     assert {r.doc_id for r in out.collect()} <= {r[0] for r in DOCS}
     assert op.mix(documents(spark, [])).count() == 0
+
+
+def _plan(df) -> str:
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+def test_whole_rows_move_once(spark, tmp_path):
+    import re
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(i, f"s{i % 3}", "a b c") for i in range(60)], "doc_id long, source string, text string").write.parquet(path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(op.mix(spark.read.parquet(path)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [cols for cols in re.findall(r"\) Exchange\s*\nInput \[\d+\]: \[([^\]]*)\]", plan) if "_doc" in cols]
+    assert len(moved) == 1
+
+
+def test_repeated_rows_share_their_copies(spark):
+    """Rows of one id, source and text with other columns apart: each has the copies of a row of its own."""
+    rows = [(1, "a", "x y", i) for i in range(4)] + [(None, None, None, 9), (2, "a", "z z", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, extra int")
+    got = [r["extra"] for r in op.mix(docs, share=2.0, most=2).collect()]
+    assert {e: got.count(e) for e in got} == {0: 2, 1: 2, 2: 2, 3: 2, 5: 2}
