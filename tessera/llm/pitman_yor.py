@@ -91,11 +91,24 @@ def unpack_sorted(data: bytes) -> np.ndarray:
 
 
 def squeeze(x: np.ndarray) -> bytes:
-    return zlib.compress(x.tobytes(), 1)
+    """Compressed, after its size in bytes."""
+    raw = x.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
 
 
 def expand(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), kind)
+    raw = pa.Codec("zstd").decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"))
+    return np.frombuffer(raw, kind)
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, ascending, and the place of each element among them; sorts the distinct ones only."""
+    coded = pa.array(x).dictionary_encode()
+    kinds = coded.dictionary.to_numpy(zero_copy_only=False)
+    order = np.argsort(kinds)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return kinds[order], place[coded.indices.to_numpy(zero_copy_only=False)]
 
 
 def bucket_of(ids: np.ndarray, n: int) -> np.ndarray:
@@ -142,7 +155,7 @@ class Chunk:
         """(context place, word place, bucket, training count) of each distinct pair in bucket order, pair of each token."""
         end = np.searchsorted(self.ids, np.uint64(xxhash.xxh64_intdigest(END) >> (64 - ID_BITS)))
         before = np.concatenate([[end], self.token[:-1]])
-        key, pair = np.unique(before * len(self.ids) + self.token, return_inverse=True)
+        key, pair = distinct(before * len(self.ids) + self.token)
         u, w = key // len(self.ids), key % len(self.ids)
         bucket = bucket_of(self.ids, n)[u]
         if len(heavy):
@@ -195,7 +208,7 @@ def merge_words(rows) -> tuple[np.ndarray, np.ndarray, list]:
     if not got:
         return np.empty(0, np.uint64), np.empty(0, np.int64), []
     parts = [unpack_sorted(x[1]) for x in got]
-    ids, place = np.unique(np.concatenate(parts), return_inverse=True)
+    ids, place = distinct(np.concatenate(parts))
     count = np.bincount(place, weights=np.concatenate([expand(x[2], "<u4") for x in got]), minlength=len(ids)).astype(np.int64)
     cuts = np.cumsum([len(p) for p in parts])[:-1]
     return ids, count, list(zip([x[0] for x in got], np.split(place, cuts), strict=True))
@@ -224,7 +237,7 @@ class Restaurants:
         for i in np.flatnonzero(self.heavy):
             self.customers[i] = heavy[int(self.contexts[i])]
         self.many = np.flatnonzero(self.count > 1)
-        self.many_words, self.many_place = np.unique(self.word[self.many], return_inverse=True)
+        self.many_words, self.many_place = distinct(self.word[self.many])
 
     def seat(self, parent: np.ndarray, d: float, rng, sweeps: int, samples: int, n: int) -> list[np.ndarray]:
         """Tables of every pair, for each sample. ``parent``: P(w) of ``many_words``."""
@@ -361,7 +374,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         if not got:
             return np.empty(0, np.uint64), [], []
         parts = [unpack_sorted(x[1]) for x in got]
-        ids, place = np.unique(np.concatenate(parts), return_inverse=True)
+        ids, place = distinct(np.concatenate(parts))
         sums = np.concatenate([expand(x[2], "<u4").reshape(-1, len(p)) for x, p in zip(got, parts, strict=True)], axis=1)
         samples, number = [], int(bucket_of(ids[:1], n)[0])
         for s, row in enumerate(sums):

@@ -137,3 +137,12 @@ def test_awkward_rows(spark):
     again = {(r.doc_id, r.n_tokens): r.score for r in op.score(docs).collect()}
     assert all(again[(r.doc_id, r.n_tokens)] == r.score for r in got)
     assert op.score(documents(spark, [])).count() == 0
+
+
+def test_distinct_values_and_their_places():
+    distinct, expand, squeeze = op.distinct, op.expand, op.squeeze
+    for x in (np.array([5, 1, 5, 2 ** 63, 1], np.uint64), np.array([], np.uint64), np.array([7, -3, 7], np.int64)):
+        values, place = distinct(x)
+        wanted, at = np.unique(x, return_inverse=True)
+        assert values.tolist() == wanted.tolist() and place.tolist() == at.tolist() and values.dtype == x.dtype
+        assert expand(squeeze(x), x.dtype).tolist() == x.tolist()
