@@ -109,6 +109,28 @@ def test_permute_column_keeps_multiset(spark):
     assert moved > 4000
 
 
+@pytest.mark.parametrize("kind, target", [("classification", "label"), ("regression", "y")])
+def test_permutation_importance_scores_cells(spark, kind, target, monkeypatch):
+    h = [F.pmod(F.xxhash64("k", F.lit(i)), F.lit(1000)) / 1000 for i in range(2)]
+    df = spark.range(25000).select(F.col("id").alias("k"), h[0].alias("a"), h[1].alias("b"), F.when(F.col("id") % 3 == 0, "p").when(F.col("id") % 7 > 0, "q").alias("c"))
+    df = df.withColumn("y", 3 * F.col("a") + F.when(F.col("c") == "p", 1.0).otherwise(0.0))
+    df = df.withColumn("label", F.when(F.col("y") > 2, "hi").otherwise("lo")).drop("y" if target == "label" else "label")
+    run = ML.train(df, target, kind, key="k", num_trees=4, max_depth=4)
+    test, _ = ML.one_hot_encode(df, target=target, keep=["k"])
+
+    def metric(d):
+        return ML.evaluate_classifier(run["model"], d)["accuracy"] if kind == "classification" else ML.evaluate_regressor(run["model"], d, target)["r2"]
+    want = {f: metric(ML.permute_column(test, f, ["k"])) for f in run["features"]}
+    base, scored, plain = metric(test), [], ML._score
+    monkeypatch.setattr(ML, "_score", lambda m, d: scored.append(d.count()) or plain(m, d))
+    got = ML.permutation_importance(spark, run["model"], test, run["features"], ["k"], kind, target).collect()
+    assert [r["feature"] for r in got] == run["features"]
+    for r in got:
+        assert r["baseline"] == pytest.approx(base, abs=1e-9) and r["permuted"] == pytest.approx(want[r["feature"]], abs=1e-9)
+    assert max(r["importance"] for r in got) > 0.05
+    assert len(scored) == 1 and scored[0] < 25000        # before: every row once a feature and once more
+
+
 def test_leaderboard_stages(spark):
     import datetime as dt
     rs = []
