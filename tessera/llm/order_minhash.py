@@ -263,6 +263,11 @@ def across(members: DataFrame, words: DataFrame, similarity: float) -> DataFrame
 
 def links_of(nodes: DataFrame, docs: DataFrame, key: str, text: str, similarity: float, small: int) -> DataFrame:
     """Verified links (a, b) between nodes. ``nodes``: node, row, entries (one row per node)."""
+    return linked(nodes, docs, key, text, similarity, small)[0]
+
+
+def linked(nodes: DataFrame, docs: DataFrame, key: str, text: str, similarity: float, small: int) -> tuple[DataFrame, DataFrame]:
+    """The links of ``links_of``, each once, and their ``components``."""
     # an entry's value differs by its place in the sketch; prefixes of short texts are equal at any place
     rows = nodes.filter(F.size("entries") > 0).select("node", F.explode(F.array_distinct("entries")).alias("key"))
     buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
@@ -278,36 +283,64 @@ def links_of(nodes: DataFrame, docs: DataFrame, key: str, text: str, similarity:
     wanted = nodes.join(active.select("node").distinct(), "node").select("row", "node")
     words = cut(node_words(docs, key, text, wanted), "omh-words")
     found = cut(verify(pairs, words, similarity), "omh-links-hub")
-    if large.isEmpty():
-        return found
     labels = components(found)
+    if large.isEmpty():
+        return found, labels
     of_hub = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
     members = (large.join(labels, "node", "left").join(of_hub, "hub", "left")
                .select("key", "node", F.coalesce("label", "node").alias("label"), F.coalesce("hub_label", "hub").alias("hub_label")))
     members = cut(members.select("key", "node", "label", (F.col("label") != F.col("hub_label")).alias("apart")), "omh-members")
-    return found.unionByName(cut(across(members, words, similarity), "omh-links-across"))
+    more = cut(across(members, words, similarity).distinct(), "omh-links-across")     # of different labels: none is in ``found``
+    return found.unionByName(more), joined(labels, more)
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable over the links, for every node that has one.
 
-    Each round takes the smallest label among the neighbours and then the label of
-    that label, so chains shorten by half; labels stay in a table.
+    Each round points every node to its smallest neighbour (or itself), follows the pointers to
+    their roots and goes on with the links between roots alone: a link is joined with labels once
+    for each round it survives, and a group of near copies seldom survives one.
     """
-    both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "omh-edges")
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"),
-                                                                     F.least("a", "m").alias("label")), "omh-labels")
+    rounds = []
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
-        step = labels.join(near, labels["node"] == near["a"]).select(
-            "node", "label", F.least("label", "m").alias("next"))
-        up = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        new = cut(step.join(up, step["next"] == up["_n"], "left").select(
-            "node", F.least("next", F.coalesce("_l", "next")).alias("label"),
-            (F.least("next", F.coalesce("_l", "next")) != F.col("label")).alias("moved")), "omh-labels")
-        labels = new.select("node", "label")
-        if new.filter("moved").isEmpty():
-            return labels
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "omh-up")
+        while True:
+            above = up.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+            new = cut(up.join(above, up["label"] == above["_n"]).select(
+                "node", F.col("_l").alias("label"), (F.col("_l") != F.col("label")).alias("moved")), "omh-roots")
+            up = new.select("node", "label")
+            if new.filter("moved").isEmpty():
+                break
+        rounds.append(up)
+        links = cut(relabelled(links, up), "omh-between")
+        if links.isEmpty():
+            break
+    labels = rounds.pop()
+    while rounds:
+        labels = cut(under(rounds.pop(), labels), "omh-labels")
+    return labels
+
+
+def relabelled(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """The links between different labels, as links of these, each once; nodes without a label are their own."""
+    of = [labels.select(F.col("node").alias(n), F.col("label").alias(v)) for n, v in (("a", "p"), ("b", "q"))]
+    ends = links.join(of[0], "a", "left").join(of[1], "b", "left").select(F.coalesce("p", "a").alias("p"), F.coalesce("q", "b").alias("q"))
+    return ends.filter("p != q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+
+
+def under(labels: DataFrame, tops: DataFrame) -> DataFrame:
+    """(node, label) with each label replaced by its own label in ``tops``, if it has one."""
+    above = tops.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+    return labels.join(above, labels["label"] == above["_n"], "left").select("node", F.coalesce("_l", "label").alias("label"))
+
+
+def joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """The ``components`` of the links that ``labels`` came from and ``more``."""
+    tops = components(cut(relabelled(more, labels), "omh-between"))
+    ends = more.select(F.col("a").alias("node")).unionByName(more.select(F.col("b").alias("node"))).distinct()
+    new = ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+    return cut(under(labels.unionByName(new), tops), "omh-labels")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, entries: int = ENTRIES, ell: int = ELL,
@@ -316,8 +349,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K
     sk = cut(sketches(docs, key, text, k, entries, ell), "omh-sketches")
     nodes = cut(sk.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.count("*").alias("copies"),
                                        F.first("entries").alias("entries")), "omh-nodes")
-    links = cut(links_of(nodes, docs, key, text, similarity, small).distinct(), "omh-links")
-    labels = components(links)
+    links, labels = linked(nodes, docs, key, text, similarity, small)
     degree = (links.select(F.col("a").alias("n")).unionByName(links.select(F.col("b").alias("n")))
               .groupBy("n").agg(F.count("*").alias("links")))
     named = (nodes.select("node", "doc_id", "copies")

@@ -4,6 +4,7 @@ import collections
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.llm import order_minhash as op
 from tessera.llm.bitvector import banded_distance, best_occurrence, match_masks
@@ -92,6 +93,29 @@ def test_large_groups_of_near_copies(spark):
     assert all(got[i] == i for i in range(300, 400))
 
 
+def test_components_join_a_link_once_for_each_round_it_survives(spark, monkeypatch):
+    rng, node = random.Random(4), lambda i: bytearray(i.to_bytes(2, "big"))
+    links = {(i, i + 1) for i in range(64)}                                       # a chain in order
+    links |= {tuple(sorted((200, j))) for j in range(100, 200)}                   # a star around its largest node
+    links |= {tuple(sorted(rng.sample(range(300, 600), 2))) for _ in range(250)}
+    best = {}
+    for i in sorted({x for ab in links for x in ab}):
+        if i not in best:
+            reached = [i]
+            for x in reached:
+                reached += [y for a, b in links if x in (a, b) for y in (a, b) if y not in reached]
+            best |= dict.fromkeys(reached, i)
+    seen, plain = [], op.relabelled
+    monkeypatch.setattr(op, "relabelled", lambda ls, up: seen.append(ls.count()) or plain(ls, up))
+    df = spark.createDataFrame([(node(a), node(b)) for a, b in sorted(links)], "a binary, b binary")
+    got = {int.from_bytes(r.node): int.from_bytes(r.label) for r in op.components(df).collect()}
+    assert got == best
+    assert sum(seen) < 2 * len(links)               # before: both directions of every link in every round
+    part = df.filter(F.col("a") < F.lit(node(400)))
+    again = op.joined(op.components(part), df.exceptAll(part))
+    assert {int.from_bytes(r.node): int.from_bytes(r.label) for r in again.collect()} == best
+
+
 def test_awkward_rows(spark):
     docs = with_clashes(documents(spark), "node", "label", "class", "_size", "_key", "_row", "_source", "_doc", "_copies")
     got = op.classes(docs).collect()
