@@ -43,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -102,13 +103,46 @@ def expand(data: bytes, kind) -> np.ndarray:
 
 
 def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values, ascending, and the place of each element among them; sorts the distinct ones only."""
-    coded = pa.array(x).dictionary_encode()
-    kinds = coded.dictionary.to_numpy(zero_copy_only=False)
-    order = np.argsort(kinds)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return kinds[order], place[coded.indices.to_numpy(zero_copy_only=False)]
+    """The distinct values, ascending, and the place of each element among them."""
+    bits = len(x).bit_length()
+    if not len(x):
+        return x, np.empty(0, np.int64)
+    span = int(x.max()) - int(x.min())
+    if span >> 64 - bits:
+        first, place = distinct_hashes((x - x.min()).astype(np.uint64) << np.uint64(64 - span.bit_length()))
+        return x[first], place
+    # value and position share a number, so one plain sort does
+    low = x.min()
+    s = np.sort((x - low).astype(np.uint64) << np.uint64(bits) | np.arange(len(x), dtype=np.uint64))
+    at, value = (s & np.uint64((1 << bits) - 1)).astype(np.int64), s >> np.uint64(bits)
+    new = np.concatenate([[True], value[1:] != value[:-1]])
+    place = np.empty(len(x), np.int64)
+    place[at] = np.cumsum(new) - 1
+    return value[new].astype(x.dtype) + low, place
+
+
+def distinct_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First position of each distinct 64-bit hash, in the hashes' order, and the place of each element among them."""
+    bits = len(h).bit_length()
+    s = np.sort(h >> np.uint64(bits) << np.uint64(bits) | np.arange(len(h), dtype=np.uint64))
+    at, high = (s & np.uint64((1 << bits) - 1)).astype(np.int64), s >> np.uint64(bits)
+    new = h[at[1:]] != h[at[:-1]]
+    if (new & (high[1:] == high[:-1])).any():      # hashes that differ in the bits cut off alone
+        _, first, place = np.unique(h, return_index=True, return_inverse=True)
+        return first, place
+    new = np.concatenate([[True], new])[:len(h)]
+    place = np.empty(len(h), np.int64)
+    place[at] = np.cumsum(new) - 1
+    return at[new], place
+
+
+def held_in(ids: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of the ascending, distinct ``ids`` are among ``some``."""
+    out = np.zeros(len(ids), bool)
+    if len(ids):
+        at = np.minimum(np.searchsorted(ids, some), len(ids) - 1)
+        out[at[ids[at] == some]] = True
+    return out
 
 
 def bucket_of(ids: np.ndarray, n: int) -> np.ndarray:
@@ -123,29 +157,40 @@ def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
         return (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
 
 
+def word_ids(words: pa.Array) -> np.ndarray:
+    words = words.cast(pa.large_binary())
+    at, data = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset).tolist(), memoryview(words.buffers()[2] or b"")
+    found = (xxhash.xxh64_intdigest(data[i:j]) for i, j in zip(at, at[1:]))
+    return np.fromiter(found, np.uint64, len(words)) >> np.uint64(64 - ID_BITS)
+
+
+END_ID = word_ids(pa.array([END]))[0]
+
+
 # ---- chunks of documents -------------------------------------------------------------
 
 class Chunk:
     """Some documents: distinct word ids, the tokens as places in them, distinct pairs."""
 
-    def __init__(self, number: int, docs: list[tuple]):
+    def __init__(self, number: int, doc_ids: list, texts: pa.Array):
         self.number = number
-        self.doc_ids = [d for d, _ in docs]
-        self.held = np.array([zlib.crc32(b"" if d is None else str(d).encode()) % HELD_OUT_OF == 0 for d, _ in docs], bool)
-        tokens, sizes = [], []
-        for _, text in docs:
-            w = (text or "").encode("utf-8").lower().split()     # bytes: A-Z only, the six separators
-            tokens += w
-            tokens.append(END)
-            sizes.append(len(w) + 1)
-        self.sizes = np.array(sizes)
-        coded = pa.array(tokens, pa.large_binary()).dictionary_encode()
-        del tokens
-        kinds = coded.dictionary.to_pylist()
-        ids = np.fromiter((xxhash.xxh64_intdigest(k) >> (64 - ID_BITS) for k in kinds), np.uint64, len(kinds))
+        self.doc_ids = doc_ids
+        self.held = np.array([zlib.crc32(b"" if d is None else str(d).encode()) % HELD_OUT_OF == 0 for d in doc_ids], bool)
+        # A-Z only, the six separators
+        found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        words, doc = found.flatten(), pc.list_parent_indices(found).to_numpy()
+        full = pc.greater(pc.binary_length(words), 0)      # a text may begin or end with separators
+        words, doc = words.filter(full), doc[full.to_numpy(zero_copy_only=False)]
+        self.sizes = np.bincount(doc, minlength=len(doc_ids)) + 1
+        coded = words.dictionary_encode()
+        ids = np.append(word_ids(coded.dictionary), END_ID)
         self.ids, place = np.unique(ids, return_inverse=True)
-        self.token = place[coded.indices.to_numpy()]
-        self.doc = np.repeat(np.arange(len(docs)), self.sizes)
+        ends = np.cumsum(self.sizes) - 1
+        self.token = np.full(len(words) + len(doc_ids), place[-1])
+        inside = np.ones(len(self.token), bool)
+        inside[ends] = False
+        self.token[inside] = place[coded.indices.to_numpy()]
+        self.doc = np.repeat(np.arange(len(doc_ids)), self.sizes)
         self.train = ~self.held[self.doc]
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
@@ -153,15 +198,16 @@ class Chunk:
 
     def pairs(self, n: int, heavy: np.ndarray):
         """(context place, word place, bucket, training count) of each distinct pair in bucket order, pair of each token."""
-        end = np.searchsorted(self.ids, np.uint64(xxhash.xxh64_intdigest(END) >> (64 - ID_BITS)))
+        end = np.searchsorted(self.ids, END_ID)
         before = np.concatenate([[end], self.token[:-1]])
         key, pair = distinct(before * len(self.ids) + self.token)
         u, w = key // len(self.ids), key % len(self.ids)
         bucket = bucket_of(self.ids, n)[u]
         if len(heavy):
-            hot = np.isin(self.ids, heavy)[u]
+            hot = held_in(self.ids, heavy)[u]
             bucket[hot] = (pair_hash(self.ids[u[hot]], self.ids[w[hot]]) % np.uint64(n)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        # 16-bit numbers are sorted by radix
+        order = np.argsort(bucket.astype(np.uint16) if n <= 1 << 16 else bucket, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         count = np.bincount(pair, weights=self.train, minlength=len(key)).astype(np.int64)
@@ -170,15 +216,23 @@ class Chunk:
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
     part, held, size, k = TaskContext.get().partitionId(), [], 0, 0
+
+    def chunk() -> Chunk:
+        ids, texts = zip(*held, strict=True)
+        return Chunk(part << 20 | k, [d for x in ids for d in x.to_pylist()], pa.concat_arrays(texts))
+
     for b in batches:
-        for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            held.append((d, t))
-            size += len(t or "") + 1
+        first = 0
+        for i, length in enumerate(pc.fill_null(pc.utf8_length(b.column(1)), 0).to_pylist()):
+            size += length + 1
             if size >= CHUNK_CHARS:
-                yield Chunk(part << 20 | k, held)
-                held, size, k = [], 0, k + 1
+                held.append([c.slice(first, i + 1 - first) for c in b.columns[:2]])
+                yield chunk()
+                held, size, k, first = [], 0, k + 1, i + 1
+        if first < b.num_rows:
+            held.append([c.slice(first) for c in b.columns[:2]])
     if held:
-        yield Chunk(part << 20 | k, held)
+        yield chunk()
 
 
 def slices(bucket: np.ndarray, n: int) -> list[tuple[int, int, int]]:
@@ -220,20 +274,21 @@ class Restaurants:
     def __init__(self, rows, heavy: dict[int, int]):
         got = sorted((pickle.loads(v) for _, v in rows), key=lambda x: x[0])
         us, ws, cs, sizes = [], [], [], []
-        for _, u, n_u, w, c in got:
-            us.append(np.repeat(unpack_sorted(u), expand(n_u, "<u4")))
+        self.asked = [unpack_sorted(x[1]) for x in got]
+        for (_, _, n_u, w, c), u in zip(got, self.asked, strict=True):
+            us.append(np.repeat(u, expand(n_u, "<u4")))
             ws.append(unpack_ids(w))
             cs.append(expand(c, "<u4"))
             sizes.append(len(ws[-1]))
-        self.chunks, self.sizes, self.asked = [x[0] for x in got], sizes, [unpack_sorted(x[1]) for x in got]
+        self.chunks, self.sizes = [x[0] for x in got], sizes
         u, w = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (us, ws))
         c = np.concatenate(cs) if cs else np.empty(0, np.uint32)
-        _, first, self.place = np.unique(pair_hash(u, w), return_index=True, return_inverse=True)
+        first, self.place = distinct_hashes(pair_hash(u, w))
         self.count = np.bincount(self.place, weights=c, minlength=len(first)).astype(np.int64)
         self.word = w[first]
-        self.contexts, self.context = np.unique(u[first], return_inverse=True)
+        self.contexts, self.context = distinct(u[first])
         self.customers = np.bincount(self.context, weights=self.count, minlength=len(self.contexts))
-        self.heavy = np.array([int(x) in heavy for x in self.contexts], bool) if heavy else np.zeros(len(self.contexts), bool)
+        self.heavy = held_in(self.contexts, np.fromiter(heavy, np.uint64, len(heavy)))
         for i in np.flatnonzero(self.heavy):
             self.customers[i] = heavy[int(self.contexts[i])]
         self.many = np.flatnonzero(self.count > 1)
@@ -345,9 +400,9 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     def tables_up(r: Restaurants, tables: list[np.ndarray], number: int):
         """Customers that the contexts of this bucket send to the parent, to the words' buckets."""
         seen = r.count > 0
-        ids, place = np.unique(r.word[seen], return_inverse=True)
+        ids, place = distinct(r.word[seen])
         sums = [np.bincount(place, weights=t[seen], minlength=len(ids)) for t in tables]
-        many = np.isin(ids, r.many_words)
+        many = held_in(ids, r.many_words)
         once = int((r.count == 1).sum()), int((r.count == 2).sum())        # pairs seen once and twice, sent along once
         for b, i, j in slices(bucket_of(ids, n), n):
             yield b, pickle.dumps((number, pack_sorted(ids[i:j]), squeeze(np.stack([x[i:j] for x in sums]).astype("<u4")),
@@ -358,7 +413,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     def first_seating(rows):
         rows = list(rows)
         r, number = Restaurants(rows, heavy), bucket_number(rows)
-        words_here, place = np.unique(r.word, return_inverse=True)
+        words_here, place = distinct(r.word)
         share = np.bincount(place, weights=r.count, minlength=len(words_here))
         share = (share + 0.1) / (share.sum() + 0.1 * (vocab + 1))
         parent = share[np.searchsorted(words_here, r.many_words)]
@@ -534,11 +589,12 @@ def score_chunk(ch: Chunk, got, n, heavy, heavy_ids, heavy_tables, total, vocab,
         back[:, i:j] = (STRENGTH + d1 * tables) / hold[i:j]
         here[i:j] = (c - d1 * t / SAMPLES) / hold[i:j]
     if heavy:
-        for x, t in heavy_tables.items():
-            at = np.searchsorted(ch.ids, np.uint64(x))
-            if at < len(ch.ids) and ch.ids[at] == x:
-                mine = u == at
-                back[:, mine] = np.array([(STRENGTH + d1 * y) / (STRENGTH + heavy[x]) for y in t])[:, None]
+        hot = np.full(len(ch.ids), -1)
+        here_too = np.flatnonzero(held_in(heavy_ids, ch.ids))
+        hot[np.searchsorted(ch.ids, heavy_ids[here_too])] = here_too
+        shares = np.array([[(STRENGTH + d1 * y) / (STRENGTH + heavy[x]) for y in heavy_tables[x]] for x in heavy_ids.tolist()]).T
+        mine = hot[u]
+        back[:, mine >= 0] = shares[:, mine[mine >= 0]]
     p = here + np.mean([back[s] * parent[s][w] for s in range(SAMPLES)], axis=0)
     log = np.log10(p)[pair]
     base = np.log10((count + 0.1) / (total + 0.1 * (vocab + 1)))[ch.token]

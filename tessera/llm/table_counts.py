@@ -22,6 +22,8 @@ import numpy as np
 EXACT = 512
 #: Terms of the alternating sum; log weight below the largest at which a count is left out.
 TERMS, NEGLIGIBLE = 40, 20.0
+#: Numbers of tables whose alternating sums are computed at a time.
+TERM_ROWS = 4096
 #: Cells of one matrix of weights; counts of a large dish at which its weight is computed, in each of
 #: three looks for the range that holds it and in that range (linear between them).
 CELLS, LOOK, POINTS = 2_000_000, 16, 32
@@ -69,12 +71,16 @@ class Stirling:
         return out
 
     def _alternating(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
-        d, whole = self.d, lgamma(c)
-        total, choose = np.zeros(t.shape), np.zeros(t.shape)
-        for j in range(1, TERMS + 1):
-            choose = choose + np.log(np.maximum(t - j + 1, 1e-9) / j)
-            size = choose + lgamma(c - j * d) - whole + float(lgamma(1 + j * d))
-            total += np.where(j <= t, np.exp(size), 0.0) * np.sin(np.pi * j * d) * (-1.0) ** (j + 1)
+        # what depends on the count alone is computed once a count: a dish is asked for many numbers of tables
+        kinds, at = np.unique(c, return_inverse=True)
+        d, whole, j = self.d, lgamma(kinds)[at], np.arange(1, TERMS + 1)[:, None]
+        rising, sign = lgamma(kinds - j * d), np.sin(np.pi * j * d) * (-1.0) ** (j + 1)
+        total = np.empty(t.shape)
+        for i in range(0, len(t), TERM_ROWS):
+            some = slice(i, i + TERM_ROWS)
+            choose = np.cumsum(np.log(np.maximum(t[some] - j + 1, 1e-9) / j), axis=0)
+            size = choose + rising[:, at[some]] - whole[some] + lgamma(1 + j * d)
+            total[some] = np.cumsum(np.where(j <= t[some], np.exp(size), 0.0) * sign, axis=0)[-1]
         return np.log(np.maximum(total, 1e-300) / np.pi) + whole - t * np.log(d) - lgamma(t + 1)
 
     def _saddle(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:

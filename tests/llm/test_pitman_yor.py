@@ -5,7 +5,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 from tessera.llm import pitman_yor as op
 from tessera.llm.common import table
@@ -146,3 +148,37 @@ def test_distinct_values_and_their_places():
         wanted, at = np.unique(x, return_inverse=True)
         assert values.tolist() == wanted.tolist() and place.tolist() == at.tolist() and values.dtype == x.dtype
         assert expand(squeeze(x), x.dtype).tolist() == x.tolist()
+
+
+def test_distinct_values_come_from_plain_sorts():
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 1 << 48, 3000).astype(np.uint64)
+    several = [np.empty(0, np.uint64), ids[:1], ids[rng.integers(0, 3000, 20000)], ids[rng.integers(0, 3000, 200000)],
+               np.uint64(1 << 63) | ids, rng.integers(0, 50, 5000), (ids << np.uint64(16)) + rng.integers(0, 3, 3000).astype(np.uint64)]
+    want = [np.unique(x, return_index=True, return_inverse=True) for x in several]
+    clash = np.array([5, 4, 5, 6, 4], np.uint64)                 # alike but for the bits that a position takes
+    of_clash = np.unique(clash, return_index=True, return_inverse=True)
+    for x, (kinds, first, place) in zip(several, want, strict=True):
+        got = op.distinct(x)
+        assert got[0].dtype == x.dtype and (got[0] == kinds).all() and (got[1] == place).all()
+        got = op.distinct_hashes(x.astype(np.uint64))
+        assert (got[0] == first).all() and (got[1] == place).all()
+    got = op.distinct_hashes(clash)
+    assert (got[0] == of_clash[1]).all() and (got[1] == of_clash[2]).all()
+
+
+def test_members_of_sorted_ids():
+    ids = np.array([2, 5, 9], np.uint64)
+    for some in ([], [5], [1, 2, 3, 9, 10], [9, 9]):
+        some = np.array(some, np.uint64)
+        assert op.held_in(ids, some).tolist() == np.isin(ids, some).tolist() and not len(op.held_in(ids[:0], some))
+
+
+def test_a_chunk_has_the_words_of_its_texts():
+    texts = ["", None, "  A b\x0bA\n", "\xa0x Y É é", "\t", "b" * 40 + "\x1cC \x0c \r z"]
+    ch = op.Chunk(3, ["1", None, "2", "3", "4", "5"], pa.array(["left out", *texts], pa.string()).slice(1))
+    words = [[*(t or "").encode().lower().split(), op.END] for t in texts]
+    ids = [xxhash.xxh64_intdigest(w) >> 16 for ws in words for w in ws]
+    assert ch.sizes.tolist() == [len(w) for w in words] and ch.ids[ch.token].tolist() == ids
+    assert ch.doc.tolist() == [i for i, ws in enumerate(words) for _ in ws]
+    assert op.Chunk(0, ["1"], pa.array([None], pa.string())).ids.tolist() == [op.END_ID]
