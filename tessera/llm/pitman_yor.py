@@ -158,10 +158,8 @@ def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def word_ids(words: pa.Array) -> np.ndarray:
-    words = words.cast(pa.large_binary())
-    at, data = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset).tolist(), memoryview(words.buffers()[2] or b"")
-    found = (xxhash.xxh64_intdigest(data[i:j]) for i, j in zip(at, at[1:]))
-    return np.fromiter(found, np.uint64, len(words)) >> np.uint64(64 - ID_BITS)
+    each = words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    return np.fromiter(map(xxhash.xxh64_intdigest, each), np.uint64, len(each)) >> np.uint64(64 - ID_BITS)
 
 
 END_ID = word_ids(pa.array([END]))[0]
@@ -200,8 +198,9 @@ class Chunk:
         """(context place, word place, bucket, training count) of each distinct pair in bucket order, pair of each token."""
         end = np.searchsorted(self.ids, END_ID)
         before = np.concatenate([[end], self.token[:-1]])
-        key, pair = distinct(before * len(self.ids) + self.token)
-        u, w = key // len(self.ids), key % len(self.ids)
+        bits = len(self.ids).bit_length()
+        key, pair = distinct(before << bits | self.token)
+        u, w = key >> bits, key & (1 << bits) - 1
         bucket = bucket_of(self.ids, n)[u]
         if len(heavy):
             hot = held_in(self.ids, heavy)[u]

@@ -17,6 +17,8 @@ the sum at x = 1. The test compares both with the recursion.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 EXACT = 512
@@ -26,7 +28,9 @@ TERMS, NEGLIGIBLE = 40, 20.0
 TERM_ROWS = 4096
 #: Cells of one matrix of weights; counts of a large dish at which its weight is computed, in each of
 #: three looks for the range that holds it and in that range (linear between them).
-CELLS, LOOK, POINTS = 2_000_000, 16, 32
+CELLS, LOOK, POINTS = 250_000, 16, 32
+#: Newton steps to the saddle point: from the start the slope changes by a factor of two at most.
+NEWTON = 8
 
 
 def lgamma(x) -> np.ndarray:
@@ -42,17 +46,26 @@ def lgamma(x) -> np.ndarray:
     return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + series - shift
 
 
+@lru_cache(maxsize=4)
+def recursion(d: float, most: int) -> np.ndarray:
+    """log S(c, t) of up to ``most`` customers, [t - 1, c]; a task asks for the same few again and again."""
+    table = np.full((most + 1, most), -np.inf)
+    table[1, 0] = 0.0
+    for c in range(1, most):
+        t = np.arange(1, c + 1)
+        table[c + 1, :c] = table[c, :c] + np.log(c - d * t)
+        table[c + 1, 1:c + 1] = np.logaddexp(table[c + 1, 1:c + 1], table[c, :c])
+    table = np.ascontiguousarray(table.T)
+    table.flags.writeable = False
+    return table
+
+
 class Stirling:
     """log S(c, t) for one discount: rows by the recursion up to ``EXACT``, formulas beyond."""
 
     def __init__(self, d: float, most: int):
         self.d, self.most = d, min(most, EXACT)
-        self.table = np.full((self.most + 1, self.most), -np.inf)      # [c, t - 1]
-        self.table[1, 0] = 0.0
-        for c in range(1, self.most):
-            t = np.arange(1, c + 1)
-            self.table[c + 1, :c] = self.table[c, :c] + np.log(c - d * t)
-            self.table[c + 1, 1:c + 1] = np.logaddexp(self.table[c + 1, 1:c + 1], self.table[c, :c])
+        self.table = recursion(d, self.most)      # [t - 1, c]
 
     def log(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
         """log S for more than ``EXACT`` customers (floats of one shape)."""
@@ -73,25 +86,33 @@ class Stirling:
     def _alternating(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
         # what depends on the count alone is computed once a count: a dish is asked for many numbers of tables
         kinds, at = np.unique(c, return_inverse=True)
-        d, whole, j = self.d, lgamma(kinds)[at], np.arange(1, TERMS + 1)[:, None]
-        rising, sign = lgamma(kinds - j * d), np.sin(np.pi * j * d) * (-1.0) ** (j + 1)
+        d, whole, j = self.d, lgamma(kinds), np.arange(1, TERMS + 1)[:, None]
+        # a term over the one before: (t - j + 1) / j times what depends on the count
+        rising = lgamma(kinds - j * d) + lgamma(1 + j * d)
+        ratio = np.exp(np.diff(rising, axis=0, prepend=whole[None])) / j
+        sign = np.sin(np.pi * np.arange(1, TERMS + 1) * d) * (-1.0) ** np.arange(2, TERMS + 2)
         total = np.empty(t.shape)
         for i in range(0, len(t), TERM_ROWS):
             some = slice(i, i + TERM_ROWS)
-            choose = np.cumsum(np.log(np.maximum(t[some] - j + 1, 1e-9) / j), axis=0)
-            size = choose + rising[:, at[some]] - whole[some] + lgamma(1 + j * d)
-            total[some] = np.cumsum(np.where(j <= t[some], np.exp(size), 0.0) * sign, axis=0)[-1]
-        return np.log(np.maximum(total, 1e-300) / np.pi) + whole - t * np.log(d) - lgamma(t + 1)
+            x, by = t[some], ratio[:, at[some]]
+            term, add = np.ones(x.shape), np.zeros(x.shape)
+            for k in range(min(TERMS, int(x.max()))):
+                term *= by[k] * np.maximum(x - k, 0.0)      # none beyond t
+                add += term * sign[k]
+            total[some] = add
+        return np.log(np.maximum(total, 1e-300) / np.pi) + whole[at] - t * np.log(d) - lgamma(t + 1)
 
     def _saddle(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        # x = log v, v = 1 - z: log(t d (1 - v) v^d) - log(c (1 - v^d) v) falls, is convex, has slopes between
+        # d - 1 and (d - 1) / 2, and nears the line that starts the search from the left, where Newton's steps stay
         d = self.d
-        low, high = np.full(t.shape, -40.0), np.full(t.shape, -1e-12)      # log of v = 1 - z
-        for _ in range(32):
-            mid = (low + high) / 2
-            power = np.exp(d * mid)
-            above = t * -np.expm1(mid) * d * power > c * (1 - power) * np.exp(mid)
-            low, high = np.where(above, mid, low), np.where(above, high, mid)
-        v = np.exp((low + high) / 2)
+        slope, ahead = 1 - d, np.log(t * d / c)
+        x = np.clip(ahead / slope, -40.0, -1e-12)
+        for _ in range(NEWTON):
+            rest, rest_d = -np.expm1(x), -np.expm1(d * x)
+            value = ahead + np.log(rest / rest_d) - slope * x
+            x = np.clip(x + value / (1 / rest - d / rest_d), -40.0, -1e-12)
+        v = np.exp(x)
         z, f = 1 - v, (1 - v ** d) / d
         curve = c + t * z * z * (1 - d) * v ** (d - 2) / f - c * c / t
         return (lgamma(c + 1) - lgamma(t + 1) + t * np.log(f) - c * np.log(np.maximum(z, 1e-300))
@@ -99,9 +120,11 @@ class Stirling:
 
 
 def _pick(rng, weight: np.ndarray) -> np.ndarray:
-    """One column of each row of log weights, by its weight."""
-    w = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
-    return (w < rng.random(len(w))[:, None] * w[:, -1:]).sum(axis=1)
+    """One row of each column of log weights, by its weight."""
+    w = np.exp(weight - weight.max(axis=0))
+    for i in range(1, len(w)):
+        w[i] += w[i - 1]
+    return (w < rng.random(w.shape[1]) * w[-1]).sum(axis=0)
 
 
 def draw(rng, numbers: Stirling, c: np.ndarray, base: np.ndarray, theta: np.ndarray) -> np.ndarray:
@@ -111,11 +134,13 @@ def draw(rng, numbers: Stirling, c: np.ndarray, base: np.ndarray, theta: np.ndar
     for w in np.unique(width[c <= numbers.most]).tolist():
         dishes = np.flatnonzero((width == w) & (c <= numbers.most))
         w = min(w, numbers.most)
-        k, step = np.arange(w), max(1, CELLS // w)
+        k, step = np.arange(w)[:, None], max(1, CELLS // w)
         for i in range(0, len(dishes), step):
             at = dishes[i:i + step]
-            weight = np.log(base[at, None] * (theta[at, None] + d * k))
-            out[at] = 1 + _pick(rng, np.cumsum(weight, axis=1) + numbers.table[c[at], :w])
+            weight = np.log(base[at] * (theta[at] + d * k))      # a column for each dish
+            for j in range(1, w):
+                weight[j] += weight[j - 1]
+            out[at] = 1 + _pick(rng, weight + numbers.table[:w, c[at]])
     large = np.flatnonzero(c > numbers.most)
     for i in range(0, len(large), 2000):
         at = large[i:i + 2000]
@@ -143,8 +168,10 @@ def _draw_large(rng, numbers: Stirling, c: np.ndarray, base: np.ndarray, theta:
         first, last = near.argmax(axis=1), LOOK - 1 - near[:, ::-1].argmax(axis=1)
         low = t[np.arange(n), np.maximum(first - 1, 0)]
         high = t[np.arange(n), np.minimum(last + 1, LOOK - 1)]
-    out = np.empty(n, np.int64)
+    out, chance = np.empty(n, np.int64), rng.random(n)
     for i in range(n):
         every = np.arange(t[i, 0], t[i, -1] + 1, max(1, (t[i, -1] - t[i, 0]) // 50_000))
-        out[i] = every[_pick(rng, np.interp(every, t[i], w[i])[None])[0]]
+        size = np.interp(every, t[i], w[i])
+        size = np.cumsum(np.exp(size - size.max()))
+        out[i] = every[np.searchsorted(size, chance[i] * size[-1])]
     return out

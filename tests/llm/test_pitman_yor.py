@@ -10,6 +10,7 @@ import pytest
 import xxhash
 
 from tessera.llm import pitman_yor as op
+from tessera.llm import table_counts
 from tessera.llm.common import table
 from tests.llm.util import DOCS, documents, with_clashes
 
@@ -182,3 +183,74 @@ def test_a_chunk_has_the_words_of_its_texts():
     assert ch.sizes.tolist() == [len(w) for w in words] and ch.ids[ch.token].tolist() == ids
     assert ch.doc.tolist() == [i for i, ws in enumerate(words) for _ in ws]
     assert op.Chunk(0, ["1"], pa.array([None], pa.string())).ids.tolist() == [op.END_ID]
+
+
+def exact_logs(c, d):
+    """log S(c, t) for t = 1 .. c by the recursion."""
+    row = np.zeros(1)
+    for n in range(1, c):
+        new = np.full(n + 1, -np.inf)
+        new[:-1] = row + np.log(n - d * np.arange(1, n + 1))
+        new[1:] = np.logaddexp(new[1:], row)
+        row = new
+    return row
+
+
+@pytest.mark.parametrize("d", [0.05, 0.4, 0.7])
+def test_numbers_of_large_dishes(d):
+    """Few tables: equal to the recursion. Many: the saddle point is where the slope of the exponent is nil."""
+    for c in (600, 2000):
+        want, t = exact_logs(c, d), np.arange(1.0, c + 1)
+        t = t[t <= c ** d]
+        assert np.abs(table_counts.Stirling(d, c).log(np.full(len(t), float(c)), t) - want[:len(t)]).max() < 1e-6
+    for c in (600.0, 1e5, 1e7):
+        t = np.unique(np.geomspace(c ** d, c - 1, 200).round())
+        low, high = np.full(len(t), -60.0), np.full(len(t), -1e-15)
+        for _ in range(90):
+            x = (low + high) / 2
+            right = np.log(t * d / c) + np.log(np.expm1(x) / np.expm1(d * x)) - (1 - d) * x > 0
+            low, high = np.where(right, x, low), np.where(right, high, x)
+        v, z = np.exp(low), -np.expm1(low)
+        f = -np.expm1(d * low) / d
+        curve = c + t * z * z * (1 - d) * v ** (d - 2) / f - c * c / t
+        want = (table_counts.lgamma(c + 1) - table_counts.lgamma(t + 1) + t * np.log(f) - c * np.log(z)
+                - 0.5 * np.log(2 * np.pi * np.maximum(curve, 1e-9)))
+        got = table_counts.Stirling(d, 600)._saddle(np.full(len(t), c), t)
+        ok = t < 0.99 * c                # beyond, the curvature is a difference of almost equal numbers
+        assert np.abs(got - want)[ok].max() < 1e-9 * c + 1e-4, (c, np.abs(got - want)[ok].max())
+
+
+def test_a_number_of_tables_costs_few_logarithms(monkeypatch):
+    """Of many numbers asked for one count, each costs a few logs and exponentials, not one a term or bisection step."""
+    cells = Counter()
+
+    class Counting:
+        def __getattr__(self, name):
+            f = getattr(np, name)
+            if name not in ("log", "exp", "expm1"):
+                return f
+
+            def counted(x, *a, **k):
+                cells[name] += np.size(x)
+                return f(x, *a, **k)
+            return counted
+
+    numbers = table_counts.Stirling(0.7, 5000)
+    c = np.full(3000, 5000.0)
+    monkeypatch.setattr(table_counts, "np", Counting())
+    for t, most in ((np.linspace(1, 300, 3000).round(), 25), (np.linspace(500, 4000, 3000).round(), 60)):
+        cells.clear()
+        numbers.log(c, t)
+        assert sum(cells.values()) < most * len(t), cells
+
+
+def test_equal_tables_are_made_once():
+    assert table_counts.Stirling(0.625, 300).table is table_counts.Stirling(0.625, 300).table
+
+
+def test_small_dishes_are_picked_by_their_weight():
+    weight = np.log(np.array([[1.0, 5.0], [2.0, 0.5], [7.0, 4.5]]))        # a column for each dish
+    got = table_counts._pick(np.random.default_rng(5), np.repeat(weight, 20000, axis=1))
+    for i, want in enumerate(([0.1, 0.2, 0.7], [0.5, 0.05, 0.45])):
+        share = np.bincount(got[i * 20000:][:20000], minlength=3) / 20000
+        assert np.abs(share - want).max() < 0.02
