@@ -29,6 +29,8 @@ TERM_ROWS = 4096
 #: Cells of one matrix of weights; counts of a large dish at which its weight is computed, in each of
 #: three looks for the range that holds it and in that range (linear between them).
 CELLS, LOOK, POINTS = 250_000, 16, 32
+#: Dishes of up to so many customers are weighed without logarithms: no product leaves the range of doubles.
+PLAIN = 16
 #: Newton steps to the saddle point: from the start the slope changes by a factor of two at most.
 NEWTON = 8
 
@@ -127,6 +129,15 @@ def _pick(rng, weight: np.ndarray) -> np.ndarray:
     return (w < rng.random(w.shape[1]) * w[-1]).sum(axis=0)
 
 
+def _pick_plain(rng, ways: np.ndarray, c: np.ndarray, base: np.ndarray, theta: np.ndarray, d: float) -> np.ndarray:
+    """Tables less one of small dishes; ``ways``: S(c, t) / S(c, 1), [t - 1, c]."""
+    w, term = np.ones((len(ways), len(c))), 1.0
+    for k in range(1, len(ways)):
+        term = term * (base * (theta + d * k))
+        w[k] = w[k - 1] + term * ways[k, c]
+    return (w < rng.random(len(c)) * w[-1]).sum(axis=0)
+
+
 def draw(rng, numbers: Stirling, c: np.ndarray, base: np.ndarray, theta: np.ndarray) -> np.ndarray:
     """Tables of each dish; ``theta`` = s + d * tables of the restaurant's other dishes."""
     d, out = numbers.d, np.ones(len(c), np.int64)
@@ -135,8 +146,12 @@ def draw(rng, numbers: Stirling, c: np.ndarray, base: np.ndarray, theta: np.ndar
         dishes = np.flatnonzero((width == w) & (c <= numbers.most))
         w = min(w, numbers.most)
         k, step = np.arange(w)[:, None], max(1, CELLS // w)
+        ways = np.exp(numbers.table[:w, :w + 1] - numbers.table[0, np.maximum(np.arange(w + 1), 1)]) if w <= PLAIN else None
         for i in range(0, len(dishes), step):
             at = dishes[i:i + step]
+            if ways is not None:
+                out[at] = 1 + _pick_plain(rng, ways, c[at], base[at], theta[at], d)
+                continue
             weight = np.log(base[at] * (theta[at] + d * k))      # a column for each dish
             for j in range(1, w):
                 weight[j] += weight[j - 1]

@@ -254,3 +254,17 @@ def test_small_dishes_are_picked_by_their_weight():
     for i, want in enumerate(([0.1, 0.2, 0.7], [0.5, 0.05, 0.45])):
         share = np.bincount(got[i * 20000:][:20000], minlength=3) / 20000
         assert np.abs(share - want).max() < 0.02
+
+
+def test_small_dishes_without_logarithms(monkeypatch):
+    """The same draws as from log weights, for base probabilities and rooms from tiny to huge."""
+    rng = np.random.default_rng(6)
+    n = 4000
+    c, base, theta = rng.integers(2, 17, n), 10.0 ** rng.uniform(-12, 0, n), 10.0 ** rng.uniform(-0.3, 12, n)
+    numbers = table_counts.Stirling(0.6, 16)
+    with monkeypatch.context() as m:
+        m.setattr(table_counts, "_pick", None)           # what takes log weights
+        got = table_counts.draw(np.random.default_rng(7), numbers, c, base, theta)
+    monkeypatch.setattr(table_counts, "PLAIN", 0)
+    want = table_counts.draw(np.random.default_rng(7), numbers, c, base, theta)
+    assert (got == want).all() and (got >= 1).all() and (got <= c).all() and len(np.unique(got)) > 8
