@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from tessera.functions.exprs import NUMERIC_TYPES
 from tessera.functions.exprs import spread as _spread
 from tessera.operators.forest_cells import fit_on_cells
+from tessera.operators.forest_scores import forest_votes
 
 SEED = 42
 
@@ -193,10 +194,31 @@ def scorer(model: PipelineModel) -> PipelineModel:
 
 
 def _score(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """The forest's columns; rows carry the wide features or ``_features``."""
+    """The forest's columns; rows carry the wide features or ``_features``. MLlib's scores, found a cell at a time."""
+    forest, assemble = model.stages[-1], scorer(model)
     if "_features" in df.columns:
-        return model.stages[-1].transform(df)
-    return scorer(model).transform(df)
+        assemble, x = None, vector_to_array("_features")
+    else:
+        x = F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))) for c in _assembled(assemble, df)])
+    votes = forest_votes(df.sparkSession, forest, x) if assemble is None or _assembled(assemble, df) else None
+    if votes is None:
+        return (assemble or forest).transform(df)
+    if not hasattr(forest, "numClasses"):
+        return df.withColumn(forest.getPredictionCol(), votes[0])
+    d = df.withColumn("_votes", votes)
+    total = F.aggregate("_votes", F.lit(0.0), lambda s, v: s + v)
+    return d.withColumns({
+        forest.getRawPredictionCol(): array_to_vector("_votes"),
+        forest.getProbabilityCol(): array_to_vector(F.when(total != 0, F.transform("_votes", lambda v: v / total)).otherwise(F.col("_votes"))),
+        forest.getPredictionCol(): (F.array_position("_votes", F.array_max("_votes")) - 1).cast("double")}).drop("_votes")
+
+
+def _assembled(model: PipelineModel, df: DataFrame) -> list[str]:
+    """The columns that a pipeline of an assembler and a forest takes; none where they aren't all numbers."""
+    if [type(s) for s in model.stages[:-1]] != [VectorAssembler]:
+        return []
+    names = model.stages[0].getInputCols()
+    return names if all(isinstance(df.schema[c].dataType, NUMERIC_TYPES + (T.BooleanType,)) for c in names) else []
 
 
 def classify(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -324,13 +346,13 @@ def predict_batch(model: PipelineModel, df: DataFrame, features: list[str], keep
     x = align_features(df, features, keep)
     if problem_type == "classification":
         return classify(model, x).select(*(keep or []), "prediction")
-    return model.transform(x).select(*(keep or []), "prediction")
+    return _score(model, x).select(*(keep or []), "prediction")
 
 
 def predict_proba(model: PipelineModel, df: DataFrame, features: list[str], keep: list[str] | None = None) -> DataFrame:
     """(keep..., class, probability): one row per class."""
     x = align_features(df, features, keep)
-    out = scorer(model).transform(x)
+    out = _score(model, x)
     labels = F.array(*[F.lit(lbl) for lbl in _labels(model)])
     return out.select(*(keep or []), F.arrays_zip(labels.alias("class"), vector_to_array("probability").alias("probability"))
                       .alias("_z")).select(*(keep or []), F.inline("_z"))
@@ -459,6 +481,7 @@ def cross_validate(df: DataFrame, target: str, key: str | list[str], folds: int
     _ensure_ckpt(spark)
     fold = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(folds))
     vec = spread(vec.withColumn("_fold", fold), keys, FIT_BYTES).persist(StorageLevel.MEMORY_AND_DISK)
+
     rows = []
     try:
         for k in range(folds):

@@ -163,7 +163,8 @@ def q_model_load(spark, sf_dir):
             li = _lineitem_reg(spark, sf_dir).withColumn("key", F.concat_ws("-", "l_orderkey", "l_linenumber"))
             enc, _ = ML.one_hot_encode(li, target="l_extendedprice", keep=["key"],
                                        features=["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"])
-            pred = model.transform(ML.align_features(enc, list(r["features"]), keep=["key"])).select(
+            x = ML.align_features(enc, list(r["features"]), keep=["key"])
+            pred = ML.predict_batch(model, x, list(r["features"]), keep=["key"], problem_type=r["problem_type"]).select(
                 F.col("key").alias("row_key"), F.round("prediction", 4).cast("string").alias("prediction"))
         pred = pred.select(F.lit(r["model_name"]).alias("model_name"), "row_key", "prediction")
         out = pred if out is None else out.unionByName(pred)
