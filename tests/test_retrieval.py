@@ -5,6 +5,8 @@ import math
 import random
 from collections import Counter
 
+import pytest
+
 from tessera.operators import analytics as A
 from tessera.operators import passage_index as PI
 
@@ -85,3 +87,37 @@ def test_funnel_equals_sequence_matcher(spark):
     got = A.funnel(df, stages).orderBy("stage_order").collect()
     assert [r["count"] for r in got] == want and matched(units[900], stages) == 2
     assert A.funnel(df.limit(0), stages).orderBy("stage_order").collect()[0]["count"] == 0
+
+
+@pytest.mark.parametrize("asked, scores", [(PI.ASKED, PI.SCORES), (PI.ASKED, 1), (0, 1)])
+def test_ranks_whatever_the_tasks(spark, tmp_path, monkeypatch, asked, scores):
+    """Passages that go over several batches, ties, repeated and null keys; both ways to add up scores."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    passages = [(d, c, " ".join(rng.choices(words, [1 / (i + 1) for i in range(30)], k=12))) for d in range(60) for c in range(2)]
+    passages += [(100 + d, 0, passages[7][2]) for d in range(20)]
+    queries = [(i, " ".join(rng.choices(words, k=4))) for i in range(12)]
+    df = spark.createDataFrame(passages, "doc_id long, chunk_id int, text string")
+    q = spark.createDataFrame(queries, "query_id long, text string")
+    index = PI.build(df, str(tmp_path / "ix"), ["doc_id", "chunk_id"])
+    monkeypatch.setattr(PI, "ASKED", asked)
+    monkeypatch.setattr(PI, "SCORES", scores)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(map(tuple, PI.search(index, q, k=9).collect())) == bm25(passages, queries, 9)
+        odd = spark.createDataFrame([(None, float("nan"), "a b"), (None, float("nan"), "a b"), (None, 1.0, "a b"), ("x", None, "a"), ("x", 1.0, "c")],
+                                    "k string, v double, text string")
+        found = PI.search(PI.build(odd, str(tmp_path / "odd"), ["k", "v"]), spark.createDataFrame([("p", "a"), (None, "c b")], "query_id string, text string"))
+        got = sorted((r["query_id"] or "", r["k"] or "", str(r["v"]), r["rank"]) for r in found.collect())
+        assert [g[:3] for g in got] == [("", "", "1.0"), ("", "", "nan"), ("", "x", "1.0"), ("p", "", "1.0"), ("p", "", "nan"), ("p", "x", "None")]
+        assert sorted(g[3] for g in got) == [1, 1, 2, 2, 3, 3]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_words_are_split_and_sorted_once(spark):
+    df = spark.createDataFrame([(1, "b a  b"), (1, "b a  b"), (2, ""), (3, None), (None, "A")], "doc_id long, text string")
+    postings = PI.postings_of(df, ["doc_id"])
+    plan = postings._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, postings.collect()), key=str) == [("a", 1, 3, 2), ("a", None, 1, 1), ("b", 1, 3, 4)]
+    assert plan.count("Sort [") == 1 and "HashAggregate" not in plan and plan.count("split(") == 1
