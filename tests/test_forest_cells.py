@@ -85,3 +85,43 @@ def test_a_fit_has_no_more_tasks_than_its_input_asks_for(spark, tmp_path):
         assert spread(rows, ["id"]).rdd.getNumPartitions() == 10 * most
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", asked)
+
+
+@pytest.mark.parametrize("classes", [3, None])
+def test_a_tree_is_the_one_mllib_grows(spark, classes):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, [8, 5, 2, 1], (1500, 4))
+    y = (codes[:, 0] * 3 + codes[:, 1] * codes[:, 2] + rng.integers(0, 6, 1500)) % 7
+    y = y % 3 if classes else y * 1.5
+    df = spark.createDataFrame([(*map(float, c), float(v)) for c, v in zip(codes, y)], "a double, b double, c double, d double, y double")
+    kind = RandomForestClassifier if classes else RandomForestRegressor
+    mllib = kind(featuresCol="x", labelCol="y", numTrees=1, bootstrap=False, featureSubsetStrategy="all", maxDepth=5, seed=1).fit(
+        VectorAssembler(inputCols=["a", "b", "c", "d"], outputCol="x").transform(df))
+    want = {r["id"]: r for r in AT.forest_nodes(spark, mllib).collect()}
+    stats = np.eye(3)[y].T if classes else np.stack([np.ones(1500), y, y * y])
+    for mb in (256, 0):       # side by side, or a node at a time
+        t = FC.grow_tree(codes.T.astype(np.uint8), stats, [8, 5, 2, 1], bool(classes), 5, 4, rng, mb)
+
+        def same(mine, theirs):
+            r = want[theirs]
+            assert np.allclose(t["impurityStats"][mine], r["stats"]) and (t["leftChild"][mine] < 0) == (r["left"] < 0)
+            if r["left"] < 0:
+                return 1
+            assert t["feature"][mine] == r["feature"] and t["bin"][mine] + 0.5 == r["at"][0]
+            return 1 + same(t["leftChild"][mine], r["left"]) + same(t["rightChild"][mine], r["right"])
+        assert same(0, 0) == len(want) == len(t["id"]) > 15
+
+
+def test_jobs_of_a_fit_do_not_grow_with_its_trees(spark, rows, monkeypatch):
+    monkeypatch.setattr(FC, "ROWS", 0)
+    vec, _ = ML.one_hot_vector(rows, "y", ["a", "b", "kind"])
+    jobs = []
+    for trees in (3, 12):
+        spark.sparkContext.setJobGroup(f"fit-{trees}", "")
+        FC.fit_on_cells(vec, "y", None, {"featuresCol": "_features", "predictionCol": "prediction"}, trees, 4, 1, 64)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fit-{trees}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert abs(jobs[0] - jobs[1]) <= 2      # before: a fit of its own for each tree

@@ -46,3 +46,10 @@ def test_other_models_are_scored_by_mllib(spark, rows, monkeypatch):
     monkeypatch.setattr(FS, "VOTES", 3)
     assert FS.forest_votes(spark, forest, F.array()) is None and FS.forest_votes(spark, run["model"].stages[0], F.array()) is None
     assert ML.predict_batch(run["model"], rows, ["a"], ["id"]).count() == 4000
+
+
+@pytest.mark.parametrize("kind, target", [("classification", "label"), ("regression", "y")])
+def test_batches_are_scored_a_cell_at_a_time(spark, rows, kind, target):
+    run = ML.train(rows.select("id", "a", target), target, kind, key="id", features=["a"], num_trees=3, max_depth=3)
+    plan = ML.predict_batch(run["model"], rows, run["features"], ["id"], kind)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "Exchange" not in plan
