@@ -102,15 +102,21 @@ def search(index: PassageIndex, queries: DataFrame, k: int = 10, query_id: str =
     asked = query_terms(index, queries, query_id, text)
     few = asked.limit(ASKED + 1).collect()
     if len(few) <= ASKED:
-        scores = _best_of_tasks(index, asked.schema["_q"].dataType, few, part, k)
+        ids = list(dict.fromkeys(r["_q"] for r in few))
+        names = index.postings.sparkSession.createDataFrame(
+            list(enumerate(ids)), T.StructType([T.StructField("_n", T.IntegerType()), T.StructField("_q", asked.schema["_q"].dataType)]))
+        best = _ranked(_best_of_tasks(index, ids, few, part, k), "_n", index.keys, k).join(F.broadcast(names), "_n")
     else:
         hits = index.postings.join(asked, "term")
-        scores = hits.groupBy("_q", *index.keys).agg(F.sum(part * F.col("times")).alias("_s"))
-    order = Window.partitionBy("_q").orderBy(F.desc("_s"), *index.keys)
-    best = scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        best = _ranked(hits.groupBy("_q", *index.keys).agg(F.sum(part * F.col("times")).alias("_s")), "_q", index.keys, k)
     return best.select(F.col("_q").alias(query_id), *index.keys, F.round(F.col("_s") / UNIT, 4).alias("score"), "rank")
 
 
+def _ranked(scores: DataFrame, query: str, keys: list[str], k: int) -> DataFrame:
+    order = Window.partitionBy(query).orderBy(F.desc("_s"), *keys)
+    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def _starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
     """The first row of each run of equal keys (nulls are equal, NaN too)."""
     new = np.zeros(max(0, rows.num_rows - 1), bool)
@@ -150,10 +156,9 @@ class _Best:
         self.seen += len(scores)
 
 
-def _best_of_tasks(index: PassageIndex, kind: T.DataType, asked: list, part: Column, k: int) -> DataFrame:
-    """(_q, keys, _s): the k best passages of each task for each query."""
+def _best_of_tasks(index: PassageIndex, ids: list, asked: list, part: Column, k: int) -> DataFrame:
+    """(keys, _n, _s): the k best passages of each task for each query; ``_n``: its place in ``ids``."""
     spark, keys = index.postings.sparkSession, index.keys
-    ids = list(dict.fromkeys(r["_q"] for r in asked))
     idf = {r["term"]: r["idf"] for r in asked}
     number, of = {t: i for i, t in enumerate(idf)}, {q: i for i, q in enumerate(ids)}
     rows = np.array([(number[r["term"]], of[r["_q"]], r["times"]) for r in asked], np.int64).reshape(-1, 3)
@@ -197,7 +202,5 @@ def _best_of_tasks(index: PassageIndex, kind: T.DataType, asked: list, part: Col
     terms = spark.createDataFrame([(t, number[t], v) for t, v in idf.items()], "term string, _t int, idf double")
     hits = index.postings.join(F.broadcast(terms), "term").select(*keys, "_t", part.alias("_p"))
     fields = [index.postings.schema[c] for c in keys]
-    found = hits.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
+    return hits.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
         run, T.StructType([*fields, T.StructField("_n", T.IntegerType()), T.StructField("_s", T.LongType())]))
-    names = spark.createDataFrame(list(enumerate(ids)), T.StructType([T.StructField("_n", T.IntegerType()), T.StructField("_q", kind)]))
-    return found.join(F.broadcast(names), "_n").select("_q", *keys, "_s")
