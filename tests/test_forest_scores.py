@@ -53,3 +53,12 @@ def test_batches_are_scored_a_cell_at_a_time(spark, rows, kind, target):
     run = ML.train(rows.select("id", "a", target), target, kind, key="id", features=["a"], num_trees=3, max_depth=3)
     plan = ML.predict_batch(run["model"], rows, run["features"], ["id"], kind)._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "Exchange" not in plan
+
+
+def test_a_loaded_model_is_scored_a_cell_at_a_time(spark, rows, tmp_path):
+    run = ML.train(rows.select("id", "a", "label"), "label", "classification", key="id", features=["a"], num_trees=3, max_depth=3)
+    model = ML.load_model(ML.save_model(run["model"], str(tmp_path / "m")))
+    x = ML.align_features(rows, run["features"], keep=["id"])
+    got = ML.classify(model, x).select("id", "prediction")
+    assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ML.predict_batch(run["model"], rows, run["features"], ["id"]).collect()))
